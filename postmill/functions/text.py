@@ -49,11 +49,12 @@ def strip(c: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _folding() -> tuple[str, str, dict[str, str]]:
+def _folding() -> tuple[str, str, dict[str, str], str]:
     """Folding tables generated from the Unicode decomposition rule.
 
-    Returns (characters, their one-to-one replacements, characters that expand
-    to several). Combining marks follow the replaced characters in the first
+    Returns the characters to translate, their one-to-one replacements, the
+    characters that expand to several, and a character class that covers the
+    latter loosely. Combining marks follow the replaced characters in the first
     string, so ``translate`` deletes them.
     """
     single, target, marks, several = [], [], [], {}
@@ -70,7 +71,14 @@ def _folding() -> tuple[str, str, dict[str, str]]:
             target.append(folded)
         elif folded:
             several[ch] = folded
-    return "".join(single + marks), "".join(target), several
+    ranges: list[list[int]] = []
+    for cp in sorted(map(ord, several)):
+        if ranges and cp - ranges[-1][1] <= 64:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    loose = "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges) + "]"
+    return "".join(single + marks), "".join(target), several, loose
 
 
 def strip_accents(c: Column) -> Column:
@@ -78,18 +86,18 @@ def strip_accents(c: Column) -> Column:
 
     Plain ASCII passes through untouched; other text takes one ``translate``.
     The few characters that expand (ligatures, fractions, units) are replaced
-    one by one, and only in values that contain one. Hangul syllables are left
-    composed.
+    one distinct character at a time, and only in values that hold any. Hangul
+    syllables are left composed.
     """
-    chars, targets, several = _folding()
-    expanded = F.array_join(
-        F.transform(F.split(c, ""), lambda ch: F.coalesce(lookup(several, ch), ch)), ""
+    chars, targets, several, loose = _folding()
+    present = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({loose})"), F.lit(1)))
+    expanded = F.reduce(
+        present, c, lambda text, ch: F.replace(text, ch, F.coalesce(lookup(several, ch), ch))
     )
-    folded = F.translate(c, chars, targets)
     return (
         F.when(~c.rlike(r"[^\x00-\x7F]"), c)
-        .when(c.rlike("[" + "".join(several) + "]"), F.translate(expanded, chars, targets))
-        .otherwise(folded)
+        .when(c.rlike(loose), F.translate(expanded, chars, targets))
+        .otherwise(F.translate(c, chars, targets))
     )
 
 
