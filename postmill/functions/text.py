@@ -77,7 +77,8 @@ def _folding() -> tuple[str, str, dict[str, str], str]:
             ranges[-1][1] = cp
         else:
             ranges.append([cp, cp])
-    loose = "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges) + "]"
+    # The outer range is tested first, so ASCII characters cost one comparison.
+    loose = r"[\x{80}-\x{ffff}&&[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges) + "]]"
     return "".join(single + marks), "".join(target), several, loose
 
 
