@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from harness import duck as d
 from harness.queries_tables import CONFIRMED, SHOWN, _applied
 from harness.queries_text import AS_OF, _local, _first, _mail, _rq, _variant_map
-from harness.registry import query
+from harness import queries_sources  # noqa: F401
+from harness.registry import ORACLES, query
 from harness.views import as_of, requests, sql, table, view
 from postmill import fixed
 from postmill.functions import urls
@@ -211,10 +212,12 @@ def _ctoks(x: str) -> str:
     return f"list_filter({d.toks(d.company(x))}, lambda t: length(t) > 2 AND NOT list_contains({_generic}, t))"
 
 
-CHECKS = f"""
+def checks(board: str) -> str:
+    """CTEs j, k, v: postings with their pages, both checks, and the verdict; ``board`` says when the token is on the address."""
+    return f"""
 j AS MATERIALIZED (SELECT p.posting_id, p.title, p.company_name, p.source, p.custkey, f.*, {_ld} AS ld, {d.html_text('f.html')} AS txt, {_ctoks('p.company_name')} AS own,
     coalesce(json_extract_string({_ld}, '$.hiringOrganization.name'), json_extract_string({_ld}, '$.hiringOrganization')) AS emp FROM postings p JOIN posting_fetch f ON f.url = p.url),
-k AS MATERIALIZED (SELECT *, CASE WHEN posting_id % 2 = 0 AND contains(lower(final_url), 'greenhouse.io') AND contains(lower(final_url), 'acme') THEN 'PASS'
+k AS MATERIALIZED (SELECT *, CASE WHEN contains(lower(final_url), 'greenhouse.io') AND {board} THEN 'PASS'
       WHEN emp IS NOT NULL AND len(own) > 0 AND len({_ctoks('emp')}) > 0 THEN CASE WHEN len(list_intersect(own, {_ctoks('emp')})) > 0 THEN 'PASS' ELSE 'FAIL' END
       WHEN len(list_filter(own, lambda t: contains(lower(final_url), t))) > 0 OR len(list_filter(own, lambda t: contains({d.norm('left(txt, 3000)')}, t))) > 0 THEN 'PASS' ELSE 'UNKNOWN' END AS company,
     CASE WHEN contains(lower(txt), 'no longer accepting applications') THEN 'FAIL' WHEN json_extract_string(ld, '$.validThrough') < '1997' THEN 'FAIL' WHEN ld IS NOT NULL THEN 'PASS'
@@ -226,6 +229,9 @@ v AS MATERIALIZED (SELECT *, CASE WHEN refused IS NOT NULL THEN CASE WHEN own_bo
 """
 
 
+CHECKS = checks("posting_id % 2 = 0 AND contains(lower(final_url), 'acme')")
+
+
 def _to_check(spark, sf):
     return view(spark, sf, "postings").withColumn("board_token", F.when(c("posting_id") % 2 == 0, F.lit("acme")))
 
@@ -476,9 +482,30 @@ def searched(spark, sf):
     )
 
 
-@query("run_search")
+_source_rank = "CASE WHEN source IN ('GREENHOUSE', 'LEVER') THEN 0 ELSE 1 END"
+_per_request = f"""SELECT posting_id AS id, {_source_rank} * 1000000000 + posting_id AS rank, CAST(custkey % 12 AS VARCHAR) || '#' || {d.url('url')} AS a,
+   CAST(custkey % 12 AS VARCHAR) || '#' || {d.dup_key('company_name', 'title', 'location')} AS b FROM postings"""
+
+
+@query(
+    "run_search",
+    f"""WITH {greedy(_per_request)}, {SCORES}, {checks("contains(lower(final_url), lower(split_part(company_name, ' ', 1)))")},
+      m AS (SELECT s.query_id, s.max_rows, s.score, po.posting_id, po.url, {_source_rank.replace('source', 'po.source')} * 1000000000 + po.posting_id AS rank FROM scored s JOIN postings po ON po.posting_id = s.posting_id
+        WHERE po.custkey % 12 = s.query_id AND s.score >= 35.0 AND po.posting_id IN (SELECT id FROM kept)),
+      top AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) <= least(max_rows, 40)),
+      f AS (SELECT top.query_id, v.verdict, row_number() OVER (PARTITION BY top.query_id, coalesce(CASE WHEN v.refused IS NULL AND v.error IS NULL THEN {d.url('v.final_url')} END, {d.url('top.url')})
+          ORDER BY top.score DESC, top.rank) AS n FROM top JOIN v ON v.posting_id = top.posting_id),
+      e AS (SELECT query_id, count(*) FILTER (n > 1) AS late, count(*) FILTER (n = 1 AND verdict IN ('VALID', 'LIKELY_VALID')) AS validated, count(*) FILTER (n = 1 AND verdict = 'UNVERIFIED') AS unverified,
+          count(*) FILTER (n = 1 AND verdict NOT IN ('VALID', 'LIKELY_VALID', 'UNVERIFIED')) AS rejected FROM f GROUP BY 1),
+      r AS (SELECT custkey % 12 AS query_id, count(*) AS raw, count(*) FILTER (posting_id NOT IN (SELECT id FROM kept)) AS repeats FROM postings GROUP BY 1),
+      o AS (SELECT query_id, count(*) AS matching, any_value(max_rows) AS max_rows FROM m GROUP BY 1)
+      SELECT r.query_id, r.raw AS raw_found, r.repeats + coalesce(e.late, 0) AS duplicates_dropped, r.raw - r.repeats - coalesce(o.matching, 0) AS irrelevant_dropped, coalesce(e.validated, 0) AS validated,
+        coalesce(e.unverified, 0) AS unverified, coalesce(e.rejected, 0) AS rejected, CAST(coalesce(greatest(o.matching - least(o.max_rows, 40), 0), 0) AS BIGINT) AS left_over
+      FROM r LEFT JOIN e USING (query_id) LEFT JOIN o USING (query_id)""",
+)
 def _(spark, sf):
-    return searched(spark, sf)["funnel"]
+    out = searched(spark, sf)["funnel"].drop("contacts_found")
+    return out.withColumn("left_over", c("left_over").cast("bigint"))
 
 
 @query("attach_contacts")
@@ -542,9 +569,9 @@ def _(spark, sf):
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "client", "events")
 
 
-@query("stream_dedupe", "SELECT CAST(user_id % 40 * 100 + value::INT % 50 AS BIGINT) AS k, count(*) > 0 AS seen FROM events GROUP BY 1")
+@query("stream_dedupe", "SELECT CAST(user_id % 40 * 100 + CAST(floor(value) AS BIGINT) % 50 AS BIGINT) AS k, count(*) > 0 AS seen FROM events GROUP BY 1")
 def _(spark, sf):
-    keyed = stream(spark, sf, "CAST(user_id % 40 * 100 + CAST(round(value) AS INT) % 50 AS BIGINT) AS canonical_url;CAST(ts AS TIMESTAMP) AS ts")
+    keyed = stream(spark, sf, "CAST(user_id % 40 * 100 + CAST(floor(value) AS BIGINT) % 50 AS BIGINT) AS canonical_url;CAST(ts AS TIMESTAMP) AS ts")
     out = drain(streams.stream_dedupe(keyed, "40 days"), spark, "dedupe")
     return out.groupBy(c("canonical_url").alias("k")).agg((F.count("*") == 1).alias("seen"))
 
@@ -561,7 +588,10 @@ def _(spark, sf):
     return last.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "query_id", "x.*")
 
 
-@query("stream_application_state")
+@query(
+    "stream_application_state",
+    ORACLES["application_state"].replace("AS date_applied", "AS date_applied_us").replace("AS outreach_sent_at", "AS outreach_sent_us").replace("strftime(", "epoch_us(").replace(", '%Y-%m-%d %H:%M:%S')", ")"),
+)
 def _(spark, sf):
     text = (
         "user_id AS application_id;event_id AS seq;ts;CASE WHEN event_id % 5 = 0 THEN 'OUTREACH_CHANGED' ELSE 'STATUS_CHANGED' END AS event_type;"
@@ -572,14 +602,17 @@ def _(spark, sf):
     return out.groupBy("application_id").agg(F.max_by(F.struct("status", "outreach_status", "date_applied_us", "outreach_sent_us"), "last_seq").alias("x")).select("application_id", "x.*")
 
 
-@query("stream_throttle")
+@query("stream_throttle", ORACLES["throttle_events"])
 def _(spark, sf):
     hits = stream(spark, sf, "user_id % 3 AS client;event_id;ts")
     out = drain(streams.stream_throttle(hits, 3, 3600), spark, "throttle", "update")
     return out.select("client", "event_id", "allowed")
 
 
-@query("stream_ingest_upsert")
+@query(
+    "stream_ingest_upsert",
+    "SELECT user_id % 5 AS user_id, 'https://x.example/' || CAST(event_id % 700 AS VARCHAR) AS canonical_url, arg_max(event_type, event_id) AS title FROM events GROUP BY 1, 2",
+)
 def _(spark, sf):
     rows = stream(spark, sf, "user_id % 5 AS user_id;concat('https://x.example/', CAST(event_id % 700 AS STRING)) AS canonical_url;event_type AS title;event_id AS ord;CAST(false AS BOOLEAN) AS is_saved")
     folder = streams.checkpoint_folder(spark, "ingest")

@@ -211,6 +211,42 @@ firms mnc mncs product tech the a an top big small early stage unicorn unicorns
 faang
 """.split()
 
+# --- Fixed values: wording of free-text requests ----------------------------
+
+REQUEST_EXPERIENCE = [
+    r"(?i)\b(?:for|with|requiring|needing|having|of)?\s*"
+    r"(?:\d{1,2}\s*(?:-|–|—|to|~)\s*\d{1,2}|\d{1,2}\s*\+?)\s*"
+    r"(?:years?|yrs?)(?:\s+of)?(?:\s+(?:work\s+)?experience)?",
+    r"(?i)\b(?:for\s+)?(?:freshers?|fresh\s+graduates?|new\s+grads?|entry[\s\-]?level|"
+    r"early\s+career|campus\s+hires?)\b",
+]
+REQUEST_EXCLUSION = (
+    r"(?iU)\b(?:not|no|except|excluding|exclude|without|avoid)\s+([\w .'’\-]+?)(?=\s*(?:,|\.|;|$|\band\b))"
+)
+REQUEST_QUOTED = r"[\"“”']([^\"“”']{2,60})[\"“”']"
+REQUEST_KEYWORD = (
+    r"(?iU)\b(?:with|using|skills?(?:\s+in)?|knowing|experienced?\s+in|proficient\s+in)\s+"
+    r"([\w+#.]+(?:\s*(?:,|and|&|/|\+)\s*[\w+#.]+)*)"
+)
+REQUEST_LOCATION = (
+    r"(?i)\b(?:in|at|near|around|based\s+in|located\s+in|across)\s+"
+    r"([A-Za-z][A-Za-z .'’\-]*(?:\s*(?:,|and|&|/|\+|or)\s*[A-Za-z][A-Za-z .'’\-]*)*)"
+)
+REQUEST_COMPANY = (
+    r"(?U)\b(?:at|with|for)\s+((?:[A-Z][\w&.'’\-]*)(?:\s+[A-Z][\w&.'’\-]*){0,3}"
+    r"(?:\s*(?:,|and|&|/)\s*[A-Z][\w&.'’\-]*(?:\s+[A-Z][\w&.'’\-]*){0,3})*)"
+)
+REQUEST_LIST_BREAK = r"(?i)\s*(?:,|/|\+|&|\band\b|\bor\b)\s*"
+# Removed, in this order, before what is left counts as the title.
+REQUEST_FILLER = [
+    r"(?i)^\s*(?:please\s+)?(?:can\s+you\s+)?(?:help\s+me\s+)?"
+    r"(?:find|search(?:\s+for)?|look(?:ing)?\s+for|show(?:\s+me)?|get(?:\s+me)?|"
+    r"list|fetch|discover|i\s+(?:want|need|am\s+looking\s+for))\s+",
+    r"(?i)\b(?:roles?|jobs?|positions?|openings?|opportunit(?:y|ies)|vacanc(?:y|ies)|posting?s?|listings?)\b",
+    r"(?i)\b(?:for|in|at|with|of|the|a|an|any|please|me)\b",
+    r"(?U)[^\w\s&/+#.'’\-]",
+]
+
 # --- Fixed values: experience ---------------------------------------------------
 
 EXPERIENCE_RANGE = r"(?i)\b([0-9]{1,2})\s*(?:-|–|—|to|~)\s*([0-9]{1,2})\s*\+?\s*(?:\+)?\s*(?:years?|yrs?|y)\b"

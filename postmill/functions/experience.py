@@ -35,38 +35,47 @@ def parse_experience(c: Column, window: int | None = WINDOW) -> Column:
     if window is not None:
         text = F.left(text, F.lit(window))
 
-    def hit(pattern: str, group: int = 0) -> Column:
-        return F.regexp_extract(text, pattern, group)
-
-    found = F.struct(
-        hit(fixed.EXPERIENCE_RANGE).alias("r"),
-        hit(fixed.EXPERIENCE_MAXIMUM).alias("m"),
-        hit(fixed.EXPERIENCE_PLUS).alias("p"),
-        hit(fixed.EXPERIENCE_MINIMUM).alias("b"),
-    )
-    first = _years(hit(fixed.EXPERIENCE_RANGE, 1))
-    second = _years(hit(fixed.EXPERIENCE_RANGE, 2))
-    low = (
-        F.when(found["r"] != "", F.least(first, second))
-        .when(found["m"] != "", F.lit(0.0))
-        .when(found["p"] != "", _years(hit(fixed.EXPERIENCE_PLUS, 1)))
-        .when(found["b"] != "", _years(hit(fixed.EXPERIENCE_MINIMUM, 1)))
-    )
-    high = F.when(found["r"] != "", F.greatest(first, second)).when(
-        found["m"] != "", _years(hit(fixed.EXPERIENCE_MAXIMUM, 1))
-    )
-    phrase = (
-        F.when(found["r"] != "", found["r"])
-        .when(found["m"] != "", found["m"])
-        .when(found["p"] != "", found["p"])
-        .when(found["b"] != "", found["b"])
-    )
-    return F.struct(
-        low.alias("min_years"),
-        high.alias("max_years"),
-        experience_level(text).alias("level"),
-        F.trim(phrase).alias("text"),
-    )
+    def hit(name: str, pattern: str, source: Column, group: int = 0) -> Column:
+        return F.regexp_extract(source, pattern, group).alias(name)
+
+    def phrases(source: Column) -> Column:
+        return F.struct(
+            hit("r", fixed.EXPERIENCE_RANGE, source),
+            hit("m", fixed.EXPERIENCE_MAXIMUM, source),
+            hit("p", fixed.EXPERIENCE_PLUS, source),
+            hit("b", fixed.EXPERIENCE_MINIMUM, source),
+            experience_level(source).alias("level"),
+        )
+
+    def numbers(found: Column) -> Column:
+        """Years are read from the short matched phrase, not from the whole text again."""
+        first = _years(hit("n", r"([0-9]{1,2})[^0-9]+([0-9]{1,2})", found["r"], 1))
+        second = _years(hit("n", r"([0-9]{1,2})[^0-9]+([0-9]{1,2})", found["r"], 2))
+
+        def single(name: str) -> Column:
+            return _years(hit("n", r"([0-9]{1,2})", found[name], 1))
+
+        low = (
+            F.when(found["r"] != "", F.least(first, second))
+            .when(found["m"] != "", F.lit(0.0))
+            .when(found["p"] != "", single("p"))
+            .when(found["b"] != "", single("b"))
+        )
+        high = F.when(found["r"] != "", F.greatest(first, second)).when(found["m"] != "", single("m"))
+        phrase = (
+            F.when(found["r"] != "", found["r"])
+            .when(found["m"] != "", found["m"])
+            .when(found["p"] != "", found["p"])
+            .when(found["b"] != "", found["b"])
+        )
+        return F.struct(
+            low.alias("min_years"),
+            high.alias("max_years"),
+            found["level"].alias("level"),
+            F.trim(phrase).alias("text"),
+        )
+
+    return tx.let(text, lambda source: tx.let(phrases(source), numbers))
 
 
 def experience_bounds(c: Column) -> Column:

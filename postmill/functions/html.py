@@ -71,11 +71,15 @@ def html_to_text(c: Column, limit: int | None = 20000, exact: bool = False) -> C
     if exact:
         text = F.pandas_udf(_exact_text, "string")(page)
     else:
-        text = F.regexp_replace(F.regexp_replace(page, INVISIBLE, " "), TAG, " ")
-        plain = text
-        for entity, char in ENTITIES:
-            plain = F.replace(plain, F.lit(entity), F.lit(char))
-        text = tx.collapse(F.when(F.contains(text, F.lit("&")), plain).otherwise(text))
+
+        def decoded(raw: Column) -> Column:
+            plain = raw
+            for entity, char in ENTITIES:
+                plain = F.replace(plain, F.lit(entity), F.lit(char))
+            return F.when(F.contains(raw, F.lit("&")), plain).otherwise(raw)
+
+        bare = F.regexp_replace(F.regexp_replace(page, INVISIBLE, " "), TAG, " ")
+        text = tx.collapse(tx.let(bare, decoded))
     return text if limit is None else F.left(text, F.lit(limit))
 
 
@@ -219,11 +223,15 @@ def clean_email(c: Column, domain: Column) -> Column:
     Personal mailboxes never are; with a known company domain the address must
     be on it or below it.
     """
-    email = tx.strip(F.substring_index(F.regexp_replace(F.lower(tx.strip(c)), "^mailto:", ""), "?", 1))
-    host = F.substring_index(email, "@", -1)
-    foreign = ~tx.is_blank(domain) & (host != domain) & ~F.endswith(host, F.concat(F.lit("."), domain))
-    bad = ~F.contains(email, F.lit("@")) | (F.length(email) > 320) | is_personal_address(email)
-    return F.when(email.isNotNull() & ~bad & ~F.coalesce(foreign, F.lit(False)), email)
+
+    def accepted(email: Column) -> Column:
+        host = F.substring_index(email, "@", -1)
+        foreign = ~tx.is_blank(domain) & (host != domain) & ~F.endswith(host, F.concat(F.lit("."), domain))
+        bad = ~F.contains(email, F.lit("@")) | (F.length(email) > 320) | is_personal_address(email)
+        return F.when(email.isNotNull() & ~bad & ~F.coalesce(foreign, F.lit(False)), email)
+
+    bare = F.substring_index(F.regexp_replace(F.lower(tx.strip(c)), "^mailto:", ""), "?", 1)
+    return tx.let(tx.strip(bare), accepted)
 
 
 def classify_contact_title(c: Column) -> Column:

@@ -36,7 +36,7 @@ def resolve_place(c: Column) -> Column:
     places = _place_map()
     whole = F.element_at(places, tx.basic_normalize(c))
     head = F.element_at(places, tx.basic_normalize(F.substring_index(c, ",", 1)))
-    return F.coalesce(whole, F.when(F.contains(c, F.lit(",")), head))
+    return F.when(F.contains(c, F.lit(",")), F.coalesce(whole, head)).otherwise(whole)
 
 
 def resolve_location(df: DataFrame, col: str) -> DataFrame:
@@ -57,12 +57,8 @@ def canonical_place(c: Column) -> Column:
         alias: _plain(display) for alias, display, _ in fixed.CITIES
     }
     parts = F.transform(F.split(c, ","), lambda p: tx.lookup(names, tx.basic_normalize(p)))
-    known = F.filter(parts, lambda p: p.isNotNull())
-    return (
-        F.when(tx.is_blank(c), F.lit(""))
-        .when(F.size(known) > 0, F.get(known, 0))
-        .otherwise(tx.normalize_location(c))
-    )
+    known = F.get(F.filter(parts, lambda p: p.isNotNull()), 0)
+    return F.when(tx.is_blank(c), F.lit("")).otherwise(F.coalesce(known, tx.normalize_location(c)))
 
 
 def duplicate_key(company: Column, title: Column, location: Column) -> Column:
@@ -88,10 +84,13 @@ def location_aliases_of(name: Column) -> Column:
     grouped: dict[str, list[str]] = {}
     for display, alias in _alias_rows():
         grouped.setdefault(display, []).append(alias)
-    display = F.coalesce(resolve_place(name)["display"], name)
-    known = F.coalesce(tx.lookup(grouped, display, "array<string>"), tx.str_array([]))
-    own = F.array(tx.basic_normalize(display), tx.basic_normalize(name))
-    return F.filter(F.array_union(known, own), lambda a: a != "")
+
+    def spellings(display: Column) -> Column:
+        known = F.coalesce(tx.lookup(grouped, display, "array<string>"), tx.str_array([]))
+        return F.array_union(known, F.array(tx.basic_normalize(display), tx.basic_normalize(name)))
+
+    found = tx.let(F.coalesce(resolve_place(name)["display"], name), spellings)
+    return F.filter(found, lambda a: a != "")
 
 
 def country_aliases_of(code: Column) -> Column:
@@ -121,10 +120,12 @@ def expand_title(c: Column) -> Column:
     variants: dict[str, list[str]] = {k: [v] for k, v in fixed.ROLE_ABBREVIATIONS.items()}
     for key, more in fixed.TITLE_EXPANSIONS.items():
         variants[key] = variants.get(key, []) + more
-    key = tx.basic_normalize(c)
-    extra = F.coalesce(tx.lookup(variants, key, "array<string>"), tx.str_array([]))
-    fresh = F.filter(extra, lambda v: v != key)
-    return F.concat(F.array(tx.strip(c)), fresh)
+
+    def fresh(key: Column) -> Column:
+        extra = F.coalesce(tx.lookup(variants, key, "array<string>"), tx.str_array([]))
+        return F.filter(extra, lambda v: v != key)
+
+    return F.concat(F.array(tx.strip(c)), tx.let(tx.basic_normalize(c), fresh))
 
 
 def search_titles(titles: Column) -> Column:

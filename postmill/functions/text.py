@@ -34,6 +34,15 @@ def lookup(pairs: dict, key: Column, value_type: str = "string") -> Column:
     return F.element_at(lit_map(pairs, value_type), key)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it.
+
+    Column expressions are trees: using a costly one five times costs it five
+    times, and nesting multiplies. A one-element transform binds it instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | (c == "")
 
@@ -91,15 +100,25 @@ def strip_accents(c: Column) -> Column:
     syllables are left composed.
     """
     chars, targets, several, loose = _folding()
-    present = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({loose})"), F.lit(1)))
-    expanded = F.reduce(
-        present, c, lambda text, ch: F.replace(text, ch, F.coalesce(lookup(several, ch), ch))
-    )
-    return (
-        F.when(~c.rlike(r"[^\x00-\x7F]"), c)
-        .when(c.rlike(loose), F.translate(expanded, chars, targets))
-        .otherwise(F.translate(c, chars, targets))
-    )
+
+    # One delimited string is a much lighter constant than a map of a thousand entries.
+    table = "\x01" + "".join(f"{ch}\x02{folded}\x01" for ch, folded in several.items())
+
+    def spelled(ch: Column) -> Column:
+        name = F.concat(F.lit("\x01"), ch, F.lit("\x02"))
+        value = F.split_part(F.split_part(F.lit(table), name, F.lit(2)), F.lit("\x01"), F.lit(1))
+        return F.when(F.contains(F.lit(table), name), value).otherwise(ch)
+
+    def fold(text: Column) -> Column:
+        present = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({loose})"), F.lit(1)))
+        expanded = F.reduce(present, text, lambda done, ch: F.replace(done, ch, spelled(ch)))
+        return (
+            F.when(~text.rlike(r"[^\x00-\x7F]"), text)
+            .when(text.rlike(loose), F.translate(expanded, chars, targets))
+            .otherwise(F.translate(text, chars, targets))
+        )
+
+    return let(c, fold)
 
 
 def basic_normalize(c: Column) -> Column:
@@ -124,13 +143,13 @@ def token_set(c: Column) -> Column:
 
 def _without_suffixes(base: Column) -> Column:
     drop = str_array(fixed.COMPANY_SUFFIXES)
-    kept = F.filter(F.split(base, " "), lambda t: ~F.array_contains(drop, t))
-    return F.coalesce(F.nullif(F.array_join(kept, " "), F.lit("")), base)
+    kept = F.array_join(F.filter(F.split(base, " "), lambda t: ~F.array_contains(drop, t)), " ")
+    return let(kept, lambda k: F.when(k != "", k).otherwise(base))
 
 
 def normalize_company_name(c: Column) -> Column:
     """Company name without legal and generic suffixes; kept whole if nothing is left."""
-    return _without_suffixes(basic_normalize(c))
+    return let(basic_normalize(c), _without_suffixes)
 
 
 def normalize_title(c: Column) -> Column:
@@ -146,12 +165,15 @@ def normalize_title(c: Column) -> Column:
 
 def normalize_location(c: Column) -> Column:
     """Canonical place text; remote wording becomes 'remote' or 'remote india'."""
-    base = basic_normalize(c)
-    place = base
-    for alias, canonical in fixed.LOCATION_REWRITES:
-        place = F.regexp_replace(place, rf"\b{alias}\b", canonical)
-    remote = F.when(base.rlike(fixed.LOCATION_INDIA_PATTERN), F.lit("remote india")).otherwise(F.lit("remote"))
-    return F.when(base.rlike(fixed.LOCATION_REMOTE_PATTERN), remote).otherwise(F.trim(place))
+
+    def canonical(base: Column) -> Column:
+        place = base
+        for alias, name in fixed.LOCATION_REWRITES:
+            place = F.regexp_replace(place, rf"\b{alias}\b", name)
+        remote = F.when(base.rlike(fixed.LOCATION_INDIA_PATTERN), F.lit("remote india")).otherwise(F.lit("remote"))
+        return F.when(base.rlike(fixed.LOCATION_REMOTE_PATTERN), remote).otherwise(F.trim(place))
+
+    return let(basic_normalize(c), canonical)
 
 
 def seniority_level(c: Column) -> Column:
@@ -162,10 +184,14 @@ def seniority_level(c: Column) -> Column:
 
 
 def overlap_ratio(left: Column, right: Column) -> Column:
-    """Jaccard of two token arrays, 0 when either is empty."""
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(
-        F.size(F.array_intersect(left, right)) / F.size(F.array_union(left, right))
-    )
+    """Jaccard of two duplicate-free token arrays, 0 when either is empty."""
+
+    def ratio(both: Column) -> Column:
+        a, b = F.size(both["a"]), F.size(both["b"])
+        shared = F.size(F.array_intersect(both["a"], both["b"]))
+        return F.when((a == 0) | (b == 0), F.lit(0.0)).otherwise(let(shared, lambda n: n / (a + b - n)))
+
+    return let(F.struct(left.alias("a"), right.alias("b")), ratio)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -174,11 +200,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def token_set_ops(a: Column, b: Column) -> Column:
     """Sizes of the shared and the combined token set of two values."""
-    left, right = token_set(a), token_set(b)
-    return F.struct(
-        F.size(F.array_intersect(left, right)).alias("shared"),
-        F.size(F.array_union(left, right)).alias("combined"),
-    )
+
+    def sizes(both: Column) -> Column:
+        return F.struct(
+            F.size(F.array_intersect(both["a"], both["b"])).alias("shared"),
+            F.size(F.array_union(both["a"], both["b"])).alias("combined"),
+        )
+
+    return let(F.struct(token_set(a).alias("a"), token_set(b).alias("b")), sizes)
 
 
 def content_fingerprint(*parts: Column) -> Column:
@@ -192,15 +221,18 @@ def padded_contains(haystack: Column, needle: Column) -> Column:
 
 
 def contains_term(haystack: Column, term: Column) -> Column:
-    needle = basic_normalize(term)
-    return (needle != "") & padded_contains(basic_normalize(haystack), needle)
+    text = basic_normalize(haystack)
+    return let(basic_normalize(term), lambda needle: (needle != "") & padded_contains(text, needle))
 
 
 def truncate_text(c: Column, limit: int = 280) -> Column:
     """Collapse white space and cut to ``limit`` characters, ending in an ellipsis."""
-    text = collapse(F.coalesce(c, F.lit("")))
-    cut = F.concat(F.rtrim(F.left(text, F.lit(limit - 1))), F.lit("…"))
-    return F.when(F.length(text) <= limit, text).otherwise(cut)
+
+    def cut(text: Column) -> Column:
+        short = F.concat(F.rtrim(F.left(text, F.lit(limit - 1))), F.lit("…"))
+        return F.when(F.length(text) <= limit, text).otherwise(short)
+
+    return let(collapse(F.coalesce(c, F.lit(""))), cut)
 
 
 def company_tokens_of(normalized_company: Column) -> Column:
@@ -217,11 +249,12 @@ def company_tokens(c: Column) -> Column:
 
 def excerpt_around(text: Column, needle: Column, width: int = 160) -> Column:
     """A window of ``width`` characters round the first occurrence of ``needle``."""
-    at = F.instr(F.lower(text), F.lower(needle))
-    start = F.greatest(F.lit(1), at - width // 2)
-    return F.when(at == 0, F.left(text, F.lit(width))).otherwise(
-        collapse(F.substring(text, start, F.lit(width)))
-    )
+
+    def cut(at: Column) -> Column:
+        start = F.greatest(F.lit(1), at - width // 2)
+        return F.when(at == 0, F.left(text, F.lit(width))).otherwise(collapse(F.substring(text, start, F.lit(width))))
+
+    return let(F.instr(F.lower(text), F.lower(needle)), cut)
 
 
 def number_text(c: Column) -> Column:
@@ -266,11 +299,15 @@ def looks_remote(*values: Column) -> Column:
 def first_by_key(values: Column, key) -> Column:
     """Ordered distinct: keep the first value for each non-empty ``key(value)``."""
     keyed = F.transform(values, lambda v: F.struct(key(v).alias("k"), v.alias("v")))
-    keys = F.transform(keyed, lambda kv: kv["k"])
-    firsts = F.filter(
-        keyed, lambda kv, i: (kv["k"] != "") & (F.array_position(keys, kv["k"]) == (i + 1).cast("bigint"))
-    )
-    return F.transform(firsts, lambda kv: kv["v"])
+
+    def firsts(pairs: Column) -> Column:
+        keys = pairs["k"]
+        kept = F.filter(
+            pairs, lambda kv, i: (kv["k"] != "") & (F.array_position(keys, kv["k"]) == (i + 1).cast("bigint"))
+        )
+        return F.transform(kept, lambda kv: kv["v"])
+
+    return let(keyed, firsts)
 
 
 def clean_list(c: Column, max_items: int = 12, max_len: int | None = 120) -> Column:

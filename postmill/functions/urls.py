@@ -81,37 +81,47 @@ def _kept_params(q: Column) -> Column:
     )
 
 
+def _parts(url: Column) -> Column:
+    """The components of an address, each taken once."""
+    return F.struct(
+        url.alias("url"), scheme(url).alias("scheme"), netloc(url).alias("netloc"), path(url).alias("path"),
+        query(url).alias("query"),
+    )
+
+
 def canonicalize_url(c: Column) -> Column:
     """One stable address per page: no tracking parameters, fragment, 'www.' or trailing slash."""
-    url = tx.strip(c)
-    params = F.when(query(url) == "", F.lit("")).otherwise(_kept_params(query(url)))
-    rebuilt = F.concat(
-        scheme(url),
-        F.lit("://"),
-        _drop_www(F.lower(netloc(url))),
-        _bare_path(path(url)),
-        F.when(params == "", F.lit("")).otherwise(F.concat(F.lit("?"), params)),
-    )
-    return F.when((scheme(url) == "") | (netloc(url) == ""), url).otherwise(rebuilt)
+
+    def rebuilt(p: Column) -> Column:
+        params = F.when(p["query"] == "", F.lit("")).otherwise(_kept_params(p["query"]))
+        whole = F.concat(
+            p["scheme"], F.lit("://"), _drop_www(F.lower(p["netloc"])), _bare_path(p["path"]),
+            tx.let(params, lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))),
+        )
+        return F.when((p["scheme"] == "") | (p["netloc"] == ""), p["url"]).otherwise(whole)
+
+    return tx.let(tx.strip(c), lambda url: tx.let(_parts(url), rebuilt))
 
 
 def normalize_url(c: Column) -> Column:
     """Lower-case scheme and host, no default port, no fragment; the query is kept."""
-    url = tx.strip(c)
-    default = ((scheme(url) == "http") & (port_text(url) == "80")) | (
-        (scheme(url) == "https") & (port_text(url) == "443")
-    )
-    port = F.when((port_text(url) == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), port_text(url)))
-    plain_path = F.regexp_replace(path(url), r";[^/]*$", "")
-    rebuilt = F.concat(
-        scheme(url),
-        F.lit("://"),
-        hostname(url),
-        port,
-        _bare_path(plain_path),
-        F.when(query(url) == "", F.lit("")).otherwise(F.concat(F.lit("?"), query(url))),
-    )
-    return F.when(hostname(url) == "", url).otherwise(rebuilt)
+
+    def rebuilt(p: Column) -> Column:
+        default = ((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443"))
+        port = F.when((p["port"] == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), p["port"]))
+        whole = F.concat(
+            p["scheme"], F.lit("://"), p["host"], port, _bare_path(F.regexp_replace(p["path"], r";[^/]*$", "")),
+            F.when(p["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), p["query"])),
+        )
+        return F.when(p["host"] == "", p["url"]).otherwise(whole)
+
+    def parts(url: Column) -> Column:
+        return F.struct(
+            url.alias("url"), scheme(url).alias("scheme"), hostname(url).alias("host"), port_text(url).alias("port"),
+            path(url).alias("path"), query(url).alias("query"),
+        )
+
+    return tx.let(tx.strip(c), lambda url: tx.let(parts(url), rebuilt))
 
 
 def extract_domain(c: Column) -> Column:
@@ -123,13 +133,16 @@ def extract_domain(c: Column) -> Column:
 
 def employer_domain(c: Column) -> Column:
     """The employer's own host, NULL for an IP, a bare name or a job board's host."""
-    host = _drop_www(hostname(tx.strip(c)))
     markers = "|".join(m.replace(".", r"\.") for m in fixed.THIRD_PARTY_HOSTS)
-    unusable = (
-        (host == "") | host.rlike(IPV4_PATTERN) | F.contains(host, F.lit(":"))
-        | ~F.contains(host, F.lit(".")) | host.rlike(markers)
-    )
-    return F.when(c.isNotNull() & ~unusable, host)
+
+    def usable(host: Column) -> Column:
+        bad = (
+            (host == "") | host.rlike(IPV4_PATTERN) | F.contains(host, F.lit(":"))
+            | ~F.contains(host, F.lit(".")) | host.rlike(markers)
+        )
+        return F.when(~bad, host)
+
+    return tx.let(_drop_www(hostname(tx.strip(c))), usable)
 
 
 def board_host_matches(url: Column, token: Column) -> Column:

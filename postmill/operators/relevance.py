@@ -75,15 +75,24 @@ def prepare_postings(postings: DataFrame, window: int = BLOB_WINDOW) -> DataFram
 
 def title_similarity(title_norm: Column, wanted_norm: Column) -> Column:
     """1 for the same title, 0.9 for a contained one, else mostly token overlap."""
-    have, want = tx.token_set_of(title_norm), tx.token_set_of(wanted_norm)
-    shared = F.size(F.array_intersect(want, have))
-    mixed = F.lit(0.75) * shared / F.size(want) + F.lit(0.25) * shared / F.size(F.array_union(want, have))
+
+    def mix(both: Column) -> Column:
+        have, want = both["have"], both["want"]
+
+        def weigh(shared: Column) -> Column:
+            union = F.size(want) + F.size(have) - shared
+            return F.lit(0.75) * shared / F.size(want) + F.lit(0.25) * shared / union
+
+        return F.when(F.size(want) == 0, F.lit(0.0)).otherwise(
+            tx.let(F.size(F.array_intersect(want, have)), weigh)
+        )
+
+    words = F.struct(tx.token_set_of(title_norm).alias("have"), tx.token_set_of(wanted_norm).alias("want"))
     return (
         F.when((title_norm == "") | (wanted_norm == ""), F.lit(0.0))
         .when(title_norm == wanted_norm, F.lit(1.0))
         .when(F.contains(title_norm, wanted_norm), F.lit(0.9))
-        .when(F.size(want) == 0, F.lit(0.0))
-        .otherwise(mixed)
+        .otherwise(tx.let(words, mix))
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from postmill import fixed
 from postmill.functions import text as tx
 from postmill.operators.contacts import contact_dedupe_key
-from postmill.plans.skew import first_per_key
+from postmill.plans.skew import first_per_key, last_per_key
 
 SUMMARY_LENGTH = 600
 # Set when a job is first stored and never changed by a later search.
@@ -88,7 +88,7 @@ def upsert_jobs(existing: DataFrame, incoming: DataFrame, as_of: Column) -> Data
     stay. Of several finds of one job in a batch the last counts.
     """
     keys = ["user_id", "canonical_url"]
-    last = first_per_key(incoming, keys, [-F.col("ord")])
+    last = last_per_key(incoming, keys, [F.col("ord")])
     there = F.col("e._there").isNotNull()
     merged = {c: F.when(there, F.col(f"e.{c}")).otherwise(F.col(f"i.{c}")) for c in JOB_KEPT if c in existing.columns}
     if "last_seen_at" in existing.columns:

@@ -29,11 +29,17 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return best.select("_row.*")
 
 
+def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The last row of each key in the given order."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_row")).select("_row.*")
+
+
 def mark_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:
     """Add a flag that is true on the first row of each key; ``order`` must be total."""
     rank = F.struct(*[F.col(c) for c in order])
-    firsts = df.groupBy(*keys).agg(F.min(rank).alias("_first"))
-    return df.join(firsts, list(keys)).withColumn(flag, rank == F.col("_first")).drop("_first")
+    firsts = df.groupBy(*keys).agg(F.min(rank).alias("_min_rank"))
+    return df.join(firsts, list(keys)).withColumn(flag, rank == F.col("_min_rank")).drop("_min_rank")
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k, rank: str | None = None) -> DataFrame:
