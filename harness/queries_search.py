@@ -8,7 +8,7 @@ from harness import duck as d
 from harness.queries_tables import CONFIRMED, SHOWN, _applied
 from harness.queries_text import AS_OF, _local, _first, _mail, _rq, _variant_map
 from harness import queries_sources  # noqa: F401
-from harness.registry import ORACLES, query
+from harness.registry import TEXTS, query
 from harness.views import as_of, requests, sql, table, view
 from postmill import fixed
 from postmill.functions import urls
@@ -590,7 +590,7 @@ def _(spark, sf):
 
 @query(
     "stream_application_state",
-    ORACLES["application_state"].replace("AS date_applied", "AS date_applied_us").replace("AS outreach_sent_at", "AS outreach_sent_us").replace("strftime(", "epoch_us(").replace(", '%Y-%m-%d %H:%M:%S')", ")"),
+    TEXTS["application_state"].replace("AS date_applied", "AS date_applied_us").replace("AS outreach_sent_at", "AS outreach_sent_us").replace("strftime(", "epoch_us(").replace(", '%Y-%m-%d %H:%M:%S')", ")"),
 )
 def _(spark, sf):
     text = (
@@ -602,7 +602,7 @@ def _(spark, sf):
     return out.groupBy("application_id").agg(F.max_by(F.struct("status", "outreach_status", "date_applied_us", "outreach_sent_us"), "last_seq").alias("x")).select("application_id", "x.*")
 
 
-@query("stream_throttle", ORACLES["throttle_events"])
+@query("stream_throttle", TEXTS["throttle_events"])
 def _(spark, sf):
     hits = stream(spark, sf, "user_id % 3 AS client;event_id;ts")
     out = drain(streams.stream_throttle(hits, 3, 3600), spark, "throttle", "update")

@@ -6,6 +6,7 @@ from harness.views import with_views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+TEXTS: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
@@ -14,7 +15,7 @@ def query(name: str, oracle: str | None = None):
     def add(fn):
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = with_views(oracle)
+            TEXTS[name], ORACLES[name] = oracle, with_views(oracle)
         return fn
 
     return add
