@@ -16,9 +16,8 @@ from harness.views import TABLES
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = """
-canonicalize_url duplicate_key html_to_text parse_datetime read_adzuna target_boards ip_cidr_join robots_join failure_streak_stop
-dedupe_two_key near_duplicate_pairs topk_relevant validate_postings discover_contacts upsert_contacts application_state
-dashboard stream_throttle stream_application_state merge_suggestions structure_request_log
+canonicalize_url duplicate_key html_to_text parse_datetime read_adzuna ip_cidr_join failure_streak_stop dedupe_two_key
+topk_relevant validate_postings upsert_contacts application_state dashboard stream_throttle
 """.split()
 NAMES = sorted(entry.queries()) if os.environ.get("POSTMILL_ALL_QUERIES") else SAMPLE
 
