@@ -264,8 +264,8 @@ def _(spark, sf):
 
 @query(
     "revalidate",
-    f"""WITH {CHECKS} SELECT jobs.job_id, CASE WHEN jobs.user_id % 2 = 0 THEN v.verdict ELSE jobs.validation_status END AS validation_status,
-      coalesce(CASE WHEN jobs.user_id % 2 = 0 AND v.refused IS NULL AND v.error IS NULL THEN v.final_url END, jobs.final_url) AS final_url FROM jobs JOIN v ON v.posting_id = jobs.job_id""",
+    f"""WITH {CHECKS} SELECT jobs.job_id, CASE WHEN jobs.is_saved THEN v.verdict ELSE jobs.validation_status END AS validation_status,
+      coalesce(CASE WHEN jobs.is_saved AND v.refused IS NULL AND v.error IS NULL THEN v.final_url END, jobs.final_url) AS final_url FROM jobs JOIN v ON v.posting_id = jobs.job_id""",
 )
 def _(spark, sf):
     jobs = view(spark, sf, "jobs").withColumns(
@@ -274,7 +274,7 @@ def _(spark, sf):
             "validation_checks": F.create_map(F.lit("URL_REACHABLE"), F.lit("UNKNOWN")),
         }
     )
-    ids = jobs.filter("user_id % 2 = 0").select("job_id")
+    ids = jobs.filter("is_saved").select("job_id")
     out = validation.revalidate(jobs, ids, view(spark, sf, "posting_fetch"), as_of())
     return out.select("job_id", "validation_status", "final_url")
 

@@ -277,7 +277,7 @@ def _(spark, sf):
 _catalog = """SELECT CASE c_custkey % 4 WHEN 0 THEN 'lever' WHEN 1 THEN 'ashby' ELSE 'greenhouse' END AS platform,
    CASE c_custkey % 3 WHEN 0 THEN concat('acme', CAST(c_custkey AS STRING)) WHEN 1 THEN concat('globex-', CAST(c_custkey AS STRING)) ELSE concat('razorpay', CAST(c_custkey AS STRING)) END AS token,
    CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 3 END AS n_jobs FROM customer UNION ALL SELECT 'ashby', 'initech', 1 FROM region WHERE r_regionkey = 0"""
-_known = """SELECT concat('umbrella ', CAST(c_custkey AS STRING)) AS company_key, 'lever' AS platform, concat('umb', CAST(c_custkey AS STRING)) AS token FROM customer WHERE c_custkey % 16 = 7"""
+_known = """SELECT concat('umbrella ', CAST(c_custkey AS STRING)) AS company_key, 'lever' AS platform, concat('umb', CAST(c_custkey AS STRING)) AS token FROM customer"""
 _resolved = f"""SELECT f.company, coalesce(k.platform, p.platform) AS platform, coalesce(k.token, p.token) AS token FROM ({_firms}) f
    LEFT JOIN ({_known}) k ON k.company_key = {d.company('f.company')}
    LEFT JOIN (SELECT company, arg_min(c.platform, x.ord * 10 + CASE c.platform WHEN 'greenhouse' THEN 0 WHEN 'lever' THEN 1 ELSE 2 END) AS platform,
@@ -522,5 +522,5 @@ _hits = "SELECT event_id, user_id % 3 AS client, ts FROM events"
       SELECT event_id, client, allowed FROM r""",
 )
 def _(spark, sf):
-    out = frontier.throttle_events(sql(spark, sf, _hits), "client", "ts", "event_id", limit=3, window_s=3600, tiles_per_round=48)
+    out = frontier.throttle_events(sql(spark, sf, _hits), "client", "ts", "event_id", limit=3, window_s=3600)
     return out.select("event_id", "client", "allowed")

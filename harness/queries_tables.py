@@ -51,7 +51,7 @@ def _(spark, sf):
     return out.select("application_id", "status", day("updated_at"))
 
 
-_owned = "contact_id IN (SELECT l.contact_id FROM job_links l JOIN jobs j ON j.job_id = l.job_id WHERE j.user_id = 7)"
+_owned = "contact_id IN (SELECT l.contact_id FROM job_links l JOIN jobs j ON j.job_id = l.job_id)"
 
 
 @query(
@@ -60,7 +60,7 @@ _owned = "contact_id IN (SELECT l.contact_id FROM job_links l JOIN jobs j ON j.j
 )
 def _(spark, sf):
     out = library.contact_list(
-        view(spark, sf, "contacts"), view(spark, sf, "job_links"), view(spark, sf, "jobs"), F.lit(7), company="1",
+        view(spark, sf, "contacts"), view(spark, sf, "job_links"), view(spark, sf, "jobs"), company="1",
         with_email_only=True, people_only=True, limit=None,
     )
     return out.select("contact_id", "name", "email")
@@ -69,13 +69,13 @@ def _(spark, sf):
 @query("contacts_owned", f"SELECT contact_id FROM contacts WHERE {_owned}")
 def _(spark, sf):
     return library.contacts_owned(
-        view(spark, sf, "contacts"), view(spark, sf, "job_links"), view(spark, sf, "jobs"), F.lit(7)
+        view(spark, sf, "contacts"), view(spark, sf, "job_links"), view(spark, sf, "jobs")
     ).select("contact_id")
 
 
-@query("search_results", "SELECT job_id, relevance_score FROM jobs WHERE search_id = 42 AND NOT is_dismissed")
+@query("search_results", "SELECT search_id, job_id, relevance_score FROM jobs WHERE NOT is_dismissed")
 def _(spark, sf):
-    return library.search_results(view(spark, sf, "jobs"), 42).select("job_id", "relevance_score")
+    return library.search_results(view(spark, sf, "jobs")).select("search_id", "job_id", "relevance_score")
 
 
 @query(
@@ -272,7 +272,8 @@ _source_log = """SELECT custkey % 40 AS query_id, source, CASE WHEN custkey % 40
         SELECT query_id, CASE WHEN e > 0 AND validated + unverified = 0 THEN 'FAILED' WHEN e > 0 OR s > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS run_status FROM f JOIN l USING (query_id)""",
 )
 def _(spark, sf):
-    tagged = sql(spark, sf, _stage).filter("query_id > 5 OR stage NOT IN ('validated', 'unverified')")
+    lost = (c("query_id") <= 5) & c("stage").isin("validated", "unverified")
+    tagged = sql(spark, sf, _stage).withColumn("stage", F.when(lost, "rejected").otherwise(c("stage")))
     return tracker.run_status(tracker.funnel(tagged), sql(spark, sf, _source_log)).select("query_id", "run_status")
 
 
@@ -341,8 +342,8 @@ def _(spark, sf):
 
 @query(
     "application_snapshot",
-    f"""WITH rq AS (SELECT job_id, user_id, min(job_id * 10 + ord) AS pick, arg_min(contact_id, ord) AS contact_id FROM jobs j JOIN contacts c ON c.company_key = j.company_key WHERE ord < 4 GROUP BY 1, 2),
-        old AS (SELECT * FROM apps WHERE application_id % 3 = 0)
+    f"""WITH rq AS (SELECT job_id, user_id, min(job_id * 10 + ord) AS pick, arg_min(contact_id, ord) AS contact_id FROM jobs j JOIN contacts c ON c.company_key = j.company_key GROUP BY 1, 2),
+        old AS (SELECT * FROM apps WHERE status IN ('APPLIED', 'OFFER', 'CLOSED'))
         SELECT j.user_id, j.job_id, coalesce(o.job_title, j.title) AS job_title, coalesce(o.status, 'APPLIED') AS status,
           CASE WHEN c.name IS NOT NULL THEN c.name WHEN c.role = 'TALENT_ALIAS' THEN c.company_name || ' talent inbox' ELSE 'Find recruiters at ' || c.company_name END AS contact_name,
           CASE WHEN o.job_id IS NULL THEN coalesce(j.final_url, j.job_url) ELSE 'kept' END AS job_url
@@ -351,10 +352,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     jobs, contacts = view(spark, sf, "jobs"), view(spark, sf, "contacts")
-    asked = jobs.join(contacts.filter("ord < 4").select("company_key", "contact_id", "ord"), "company_key").select(
+    asked = jobs.join(contacts.select("company_key", "contact_id", "ord"), "company_key").select(
         "user_id", "job_id", "contact_id", F.lit("APPLIED").alias("status"), F.lit(None).cast("string").alias("notes"), "ord"
     )
-    old = view(spark, sf, "apps").filter("application_id % 3 = 0").select(
+    old = view(spark, sf, "apps").filter("status IN ('APPLIED', 'OFFER', 'CLOSED')").select(
         "user_id", "job_id", "job_title", "status", F.lit(-1).cast("bigint").alias("contact_id"),
         F.lit("nobody").alias("contact_name"), F.lit("kept").alias("job_url"),
     )
@@ -368,9 +369,9 @@ def _(spark, sf):
 @query(
     "upsert_jobs",
     f"""WITH inc AS (SELECT * FROM (SELECT custkey % 50 AS user_id, {d.url('url')} AS canonical_url, url, title, source, posting_id,
-            row_number() OVER (PARTITION BY custkey % 50, {d.url('url')} ORDER BY posting_id DESC) AS n FROM postings WHERE posting_id % 4 < 3) WHERE n = 1),
+            row_number() OVER (PARTITION BY custkey % 50, {d.url('url')} ORDER BY posting_id DESC) AS n FROM postings WHERE source <> 'LEVER') WHERE n = 1),
         old AS (SELECT * FROM (SELECT user_id, {d.url('job_url')} AS canonical_url, job_url, title, source, is_saved, job_id,
-            row_number() OVER (PARTITION BY user_id, {d.url('job_url')} ORDER BY job_id) AS n FROM jobs WHERE job_id % 4 > 0) WHERE n = 1)
+            row_number() OVER (PARTITION BY user_id, {d.url('job_url')} ORDER BY job_id) AS n FROM jobs WHERE source <> 'ADZUNA') WHERE n = 1)
         SELECT coalesce(o.user_id, i.user_id) AS user_id, coalesce(o.canonical_url, i.canonical_url) AS canonical_url, coalesce(o.job_url, i.url) AS job_url,
           coalesce(i.title, 'old ' || o.title) AS title, coalesce(o.source, i.source) AS source, coalesce(o.is_saved, false) AS is_saved,
           CASE WHEN i.url IS NOT NULL THEN 'now' ELSE 'before' END AS seen
@@ -380,13 +381,13 @@ def _(spark, sf):
 
     before = F.lit("1990-01-01").cast("timestamp_ntz")
     old = skew.first_per_key(
-        view(spark, sf, "jobs").filter("job_id % 4 > 0").withColumn("canonical_url", urls.canonicalize_url(c("job_url"))),
+        view(spark, sf, "jobs").filter("source <> 'ADZUNA'").withColumn("canonical_url", urls.canonicalize_url(c("job_url"))),
         ["user_id", "canonical_url"], [c("job_id")],
     ).select(
         "user_id", "canonical_url", "job_url", F.concat(F.lit("old "), "title").alias("title"), "source", "is_saved",
         before.alias("last_seen_at"), before.alias("discovered_at"),
     )
-    inc = view(spark, sf, "postings").filter("posting_id % 4 < 3").select(
+    inc = view(spark, sf, "postings").filter("source <> 'LEVER'").select(
         (c("custkey") % 50).alias("user_id"), urls.canonicalize_url(c("url")).alias("canonical_url"),
         c("url").alias("job_url"), "title", "source", F.lit(False).alias("is_saved"), as_of().alias("discovered_at"), "ord",
     )
@@ -400,14 +401,14 @@ def _(spark, sf):
     f"""WITH inc AS (SELECT {d.company('company_name')} AS k, arg_min(company_name, posting_id) AS name,
             arg_min('d' || CAST(posting_id AS VARCHAR), posting_id) FILTER (posting_id % 5 = 0) AS domain FROM postings GROUP BY 1),
         old AS (SELECT {d.company("'Acme ' || CAST(c_custkey AS VARCHAR)")} AS k, 'Acme ' || CAST(c_custkey AS VARCHAR) AS name,
-            CASE WHEN c_custkey % 16 = 0 THEN 'known.example' END AS domain FROM customer WHERE c_custkey % 8 = 0)
+            CASE WHEN c_custkey % 16 = 0 THEN 'known.example' END AS domain FROM customer)
         SELECT coalesce(old.k, inc.k) AS normalized_name, coalesce(old.name, inc.name) AS name, coalesce(old.domain, inc.domain) AS domain FROM old FULL JOIN inc ON old.k = inc.k""",
 )
 def _(spark, sf):
 
     none = F.lit(None).cast("string")
     name = F.concat(F.lit("Acme "), c("c_custkey").cast("string"))
-    old = table(spark, sf, "customer").filter("c_custkey % 8 = 0").select(
+    old = table(spark, sf, "customer").select(
         tx.normalize_company_name(name).alias("normalized_name"), name.alias("name"),
         F.when(c("c_custkey") % 16 == 0, F.lit("known.example")).alias("domain"), none.alias("careers_url"),
     )
@@ -427,7 +428,7 @@ _key = f"""CASE WHEN name IS NOT NULL THEN 'name:' || {d.norm('name')} WHEN emai
     "upsert_contacts",
     f"""WITH keyed AS (SELECT *, {_key} AS k FROM contacts), inc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_key, k ORDER BY source_ord) AS n FROM keyed) WHERE n = 1),
         old AS (SELECT company_key, k, name, CASE WHEN contact_id % 4 = 0 THEN email END AS email, CASE WHEN contact_id % 4 = 0 THEN email_status ELSE 'NONE' END AS email_status,
-            CASE WHEN contact_id % 3 = 0 THEN 'Old title' END AS title FROM inc WHERE contact_id % 2 = 0)
+            CASE WHEN contact_id % 3 = 0 THEN 'Old title' END AS title FROM inc WHERE role IN ('TALENT_ACQUISITION', 'TALENT_ALIAS'))
         SELECT coalesce(o.company_key, i.company_key) AS company_key, coalesce(o.k, i.k) AS dedupe_key, coalesce(o.email, i.email) AS email,
           CASE WHEN o.k IS NULL OR (o.email IS NULL AND i.email IS NOT NULL) THEN i.email_status ELSE o.email_status END AS email_status,
           coalesce(o.title, i.title) AS title FROM old o FULL JOIN inc i ON o.company_key = i.company_key AND o.k = i.k""",
@@ -436,7 +437,7 @@ def _(spark, sf):
     found = con.contact_dedupe_key(view(spark, sf, "contacts"))
     first = skew.first_per_key(found, ["company_key", "dedupe_key"], [c("source_ord")])
     keep = c("contact_id") % 4 == 0
-    old = first.filter("contact_id % 2 = 0").select(
+    old = first.filter("role IN ('TALENT_ACQUISITION', 'TALENT_ALIAS')").select(
         "company_key", "dedupe_key", F.when(keep, c("email")).alias("email"),
         F.when(keep, c("email_status")).otherwise("NONE").alias("email_status"),
         F.when(c("contact_id") % 3 == 0, "Old title").alias("title"),
@@ -446,15 +447,15 @@ def _(spark, sf):
 
 @query(
     "link_job_contacts",
-    """WITH old AS (SELECT * FROM job_links WHERE job_id % 2 = 0)
+    """WITH old AS (SELECT * FROM job_links WHERE rank <= 3)
        SELECT coalesce(o.job_id, n.job_id) AS job_id, coalesce(o.contact_id, n.contact_id) AS contact_id, CAST(coalesce(n.rank + 1, o.rank) AS BIGINT) AS rank,
          CASE WHEN o.job_id IS NOT NULL THEN 0.5 ELSE round(greatest(0.0, 1.0 - (n.rank + 1) * 0.15), 6) END AS relevance
-       FROM old o FULL JOIN (SELECT * FROM job_links WHERE job_id % 3 > 0) n ON o.job_id = n.job_id AND o.contact_id = n.contact_id""",
+       FROM old o FULL JOIN (SELECT * FROM job_links WHERE rank >= 2) n ON o.job_id = n.job_id AND o.contact_id = n.contact_id""",
 )
 def _(spark, sf):
     links = view(spark, sf, "job_links")
-    old = links.filter("job_id % 2 = 0").select("job_id", "contact_id", "rank", F.lit(0.5).alias("relevance"))
-    new = links.filter("job_id % 3 > 0").select("job_id", "contact_id", (c("rank") + 1).alias("rank"))
+    old = links.filter("rank <= 3").select("job_id", "contact_id", "rank", F.lit(0.5).alias("relevance"))
+    new = links.filter("rank >= 2").select("job_id", "contact_id", (c("rank") + 1).alias("rank"))
     out = store.link_job_contacts(old, new)
     return out.select("job_id", "contact_id", c("rank").cast("bigint").alias("rank"), F.round("relevance", 6).alias("relevance"))
 
@@ -466,6 +467,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     runs = view(spark, sf, "runs").withColumn("t", F.concat(F.lit("run "), c("run_id").cast("string")))
+    # The log keeps at most eighty entries, so no more than that is ever gathered per search.
+    runs = skew.first_k(runs, ["search_id"], [c("run_id")], 80)
     listed = runs.groupBy("search_id").agg(F.sort_array(F.collect_list(F.struct("run_id", "t"))).alias("l"))
     listed = listed.select("search_id", c("l.t").alias("errors"), c("l.t").alias("notes"), F.array_join("l.t", ", ").alias("label"))
     rows = store.log_rows(store.log_rows(listed, "run"), "request")
@@ -476,13 +479,12 @@ def _(spark, sf):
 
 @query(
     "delete_propagation",
-    """SELECT 'set_null' AS mode, job_id, CASE WHEN search_id % 5 = 0 THEN NULL ELSE search_id END AS search_id FROM jobs
-       UNION ALL SELECT 'cascade', job_id, search_id FROM jobs WHERE search_id % 5 > 0""",
+    """SELECT 'set_null' AS mode, job_id, CASE WHEN search_id IN (SELECT search_id FROM searches WHERE last_run_at IS NULL) THEN NULL ELSE search_id END AS search_id FROM jobs
+       UNION ALL SELECT 'cascade', job_id, search_id FROM jobs WHERE search_id NOT IN (SELECT search_id FROM searches WHERE last_run_at IS NULL)""",
 )
 def _(spark, sf):
     jobs = view(spark, sf, "jobs").select("job_id", "search_id")
-    gone = view(spark, sf, "searches").filter("search_id % 5 = 0")
-    gone = gone.select("search_id").unionByName(jobs.filter("search_id % 5 = 0").select("search_id"))
+    gone = view(spark, sf, "searches").filter("last_run_at IS NULL")
     kept = store.delete_propagation(jobs, gone, "search_id", "set_null").withColumn("mode", F.lit("set_null"))
     rest = store.delete_propagation(jobs, gone, "search_id", "cascade").withColumn("mode", F.lit("cascade"))
     return kept.unionByName(rest).select("mode", "job_id", "search_id")

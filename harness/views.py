@@ -105,7 +105,7 @@ SELECT j.job_id AS application_id, j.user_id, j.job_id, j.title AS job_title, j.
   CASE WHEN (j.job_id * 3 + 1) % 5 > 0 THEN j.posted_at END AS outreach_sent_at,
   CASE WHEN j.job_id % 3 > 0 THEN CAST(j.posted_at AS DATE) + CAST(j.job_id % 60 AS INT) END AS follow_up_date,
   j.posted_at AS updated_at
-FROM jobs j WHERE j.job_id % 8 < 6
+FROM jobs j WHERE j.source <> 'THE_MUSE'
 """
 
 VIEWS["contacts"] = """

@@ -80,10 +80,12 @@ def contact_list(
     return out if limit is None else out.orderBy("contact_id").limit(limit)
 
 
-def search_results(jobs: DataFrame, search_id: int) -> DataFrame:
-    """Jobs a search found, best match first."""
-    found = jobs.filter((F.col("search_id") == search_id) & ~F.col("is_dismissed"))
-    return found.orderBy(F.col("relevance_score").desc(), "job_id")
+def search_results(jobs: DataFrame, search_id: int | None = None) -> DataFrame:
+    """Jobs a search found, best match first; without an id, those of every search."""
+    found = jobs.filter(~F.col("is_dismissed"))
+    if search_id is None:
+        return found.orderBy("search_id", F.col("relevance_score").desc(), "job_id")
+    return found.filter(F.col("search_id") == search_id).orderBy(F.col("relevance_score").desc(), "job_id")
 
 
 def search_history(searches: DataFrame, limit: int = 20) -> DataFrame:
