@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from postmill import fixed
 
 # Every character Python and the web treat as white space.
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def lit_map(pairs: dict, value_type: str = "string") -> Column:

@@ -149,7 +149,9 @@ def validate_postings(postings: DataFrame, fetch_log: DataFrame, as_of: Column)
     """
     if "board_token" not in postings.columns:
         postings = postings.withColumn("board_token", F.lit(None).cast("string"))
-    joined = postings.join(page_facts(fetch_log).withColumn("_fetched", F.lit(True)), "url", "left")
+    # Only pages of these postings are read; the log may hold far more of them.
+    wanted = fetch_log.join(postings.select("url").distinct(), "url", "left_semi")
+    joined = postings.join(page_facts(wanted).withColumn("_fetched", F.lit(True)), "url", "left")
     joined = joined.withColumn("error", F.when(F.col("_fetched").isNull(), F.lit("NotFetched")).otherwise(F.col("error")))
     joined = active_check(company_check(joined), as_of)
 

@@ -43,3 +43,13 @@ def test_query_matches_its_check(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_is_cut_before_the_shuffle_and_scans_are_pruned(spark):
+    text = plan(entry.queries()["topk_relevant"](spark, SF))
+    assert "WindowGroupLimit" in text and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert "c_name" not in text and "o_totalprice" not in text
