@@ -487,14 +487,18 @@ _per_request = f"""SELECT posting_id AS id, {_source_rank} * 1000000000 + postin
    CAST(custkey % 12 AS VARCHAR) || '#' || {d.dup_key('company_name', 'title', 'location')} AS b FROM postings"""
 
 
-@query(
-    "run_search",
-    f"""WITH {greedy(_per_request)}, {SCORES}, {checks("contains(lower(final_url), lower(split_part(company_name, ' ', 1)))")},
+_RUN = f"""{greedy(_per_request)}, {SCORES}, {checks("contains(lower(final_url), lower(split_part(company_name, ' ', 1)))")},
       m AS (SELECT s.query_id, s.max_rows, s.score, po.posting_id, po.url, {_source_rank.replace('source', 'po.source')} * 1000000000 + po.posting_id AS rank FROM scored s JOIN postings po ON po.posting_id = s.posting_id
         WHERE po.custkey % 12 = s.query_id AND s.score >= 35.0 AND po.posting_id IN (SELECT id FROM kept)),
       top AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) <= least(max_rows, 40)),
-      f AS (SELECT top.query_id, v.verdict, row_number() OVER (PARTITION BY top.query_id, coalesce(CASE WHEN v.refused IS NULL AND v.error IS NULL THEN {d.url('v.final_url')} END, {d.url('top.url')})
-          ORDER BY top.score DESC, top.rank) AS n FROM top JOIN v ON v.posting_id = top.posting_id),
+      f AS (SELECT top.query_id, top.posting_id, top.rank, top.url, v.verdict, row_number() OVER (PARTITION BY top.query_id, coalesce(CASE WHEN v.refused IS NULL AND v.error IS NULL THEN {d.url('v.final_url')} END, {d.url('top.url')})
+          ORDER BY top.score DESC, top.rank) AS n FROM top JOIN v ON v.posting_id = top.posting_id)
+"""
+
+
+@query(
+    "run_search",
+    f"""WITH {_RUN},
       e AS (SELECT query_id, count(*) FILTER (n > 1) AS late, count(*) FILTER (n = 1 AND verdict IN ('VALID', 'LIKELY_VALID')) AS validated, count(*) FILTER (n = 1 AND verdict = 'UNVERIFIED') AS unverified,
           count(*) FILTER (n = 1 AND verdict NOT IN ('VALID', 'LIKELY_VALID', 'UNVERIFIED')) AS rejected FROM f GROUP BY 1),
       r AS (SELECT custkey % 12 AS query_id, count(*) AS raw, count(*) FILTER (posting_id NOT IN (SELECT id FROM kept)) AS repeats FROM postings GROUP BY 1),
@@ -508,9 +512,20 @@ def _(spark, sf):
     return out.withColumn("left_over", c("left_over").cast("bigint"))
 
 
-@query("attach_contacts")
+@query(
+    "attach_contacts",
+    f"""WITH {_RUN},
+      sh AS (SELECT f.query_id, f.rank, {d.url('f.url')} AS canonical_url, {d.company('p2.company_name')} AS firm FROM f JOIN postings p2 ON p2.posting_id = f.posting_id
+        WHERE f.n = 1 AND f.verdict IN ('VALID', 'LIKELY_VALID', 'UNVERIFIED')),
+      cr AS (SELECT query_id, firm FROM sh GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) <= 10)
+      SELECT DISTINCT query_id % 3 AS user_id, canonical_url, CAST(0 AS BIGINT) AS rank, 1.0::DOUBLE AS relevance, 'A search to run yourself — no specific person is being claimed here.' AS rationale
+      FROM sh WHERE firm IN (SELECT firm FROM cr)""",
+)
 def _(spark, sf):
-    return searched(spark, sf)["job_contacts"].select("job_id", "contact_id", "rank", "relevance", "rationale")
+    """Boards publish nobody here, so each crawled company brings its directory search."""
+    out = searched(spark, sf)
+    links = out["job_contacts"].join(out["jobs"].select("job_id", "user_id", "canonical_url"), "job_id")
+    return links.select("user_id", "canonical_url", c("rank").cast("bigint").alias("rank"), "relevance", "rationale")
 
 
 @query(

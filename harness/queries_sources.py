@@ -268,6 +268,20 @@ _guess = f"list_filter([replace({_base}, ' ', ''), replace({_base}, ' ', '-'), s
 _candidates = f"""SELECT company, tok AS token, min(i) AS ord FROM (SELECT company, unnest({_guess}) AS tok, generate_subscripts({_guess}, 1) AS i FROM ({_firms})) GROUP BY 1, 2"""
 
 
+@query(
+    "seed_boards",
+    """SELECT CASE s_suppkey % 3 WHEN 0 THEN 'greenhouse' ELSE 'lever' END AS platform, 'seed' || CAST(s_suppkey AS VARCHAR) AS token,
+       CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'seed' || CAST(s_suppkey AS VARCHAR) END AS company FROM supplier WHERE s_suppkey % 3 < 2""",
+)
+def _(spark, sf):
+    """One board document per supplier; a third name a platform that is not known."""
+    platform = F.element_at(F.array(F.lit(" Greenhouse"), F.lit("lever"), F.lit("unknown")), (c("s_suppkey") % 3 + 1).cast("int"))
+    token = F.concat(F.lit("seed"), c("s_suppkey").cast("string"))
+    entry = F.struct(F.trim(platform).alias("platform"), token.alias("token"), F.when(c("s_suppkey") % 2 == 0, c("s_name")).alias("company"))
+    documents = table(spark, sf, "supplier").select(F.to_json(F.struct(F.array(entry).alias("boards"))).alias("value"))
+    return intake.boards_listed(documents).select("platform", "token", "company")
+
+
 @query("board_token_candidates", f"SELECT company, token, row_number() OVER (PARTITION BY company ORDER BY ord) - 1 AS ord FROM ({_candidates})")
 def _(spark, sf):
     out = intake.board_token_candidates(view(spark, sf, "postings").select(c("company_name").alias("company")).distinct())

@@ -127,12 +127,17 @@ def limit_per_source(df: DataFrame, cap: int = 60, order: str = "item_ord") -> D
 
 
 def seed_boards(spark: SparkSession, path: str) -> DataFrame:
-    """Board file (platform, token, company, seed_ord): a list, or an object with ``boards``."""
+    """Boards of a file (platform, token, company, seed_ord)."""
+    return boards_listed(spark.read.text(path, wholetext=True))
+
+
+def boards_listed(documents: DataFrame) -> DataFrame:
+    """Boards of JSON documents in ``value``: a list, or an object with ``boards``; bad rows are skipped."""
     whole = F.try_parse_json("value")
     listed = F.coalesce(
         F.try_variant_get(whole, "$.boards", "array<variant>"), F.try_variant_get(whole, "$", "array<variant>")
     )
-    entries = spark.read.text(path, wholetext=True).select(F.posexplode(listed).alias("seed_ord", "entry"))
+    entries = documents.select(F.posexplode(listed).alias("seed_ord", "entry"))
 
     def get(name: str) -> Column:
         return tx.strip(F.coalesce(F.try_variant_get("entry", f"$.{name}", "string"), F.lit("")))
