@@ -491,7 +491,7 @@ _RUN = f"""{greedy(_per_request)}, {SCORES}, {checks("contains(lower(final_url),
       m AS (SELECT s.query_id, s.max_rows, s.score, po.posting_id, po.url, {_source_rank.replace('source', 'po.source')} * 1000000000 + po.posting_id AS rank FROM scored s JOIN postings po ON po.posting_id = s.posting_id
         WHERE po.custkey % 12 = s.query_id AND s.score >= 35.0 AND po.posting_id IN (SELECT id FROM kept)),
       top AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) <= least(max_rows, 40)),
-      f AS (SELECT top.query_id, top.posting_id, top.rank, top.url, v.verdict, row_number() OVER (PARTITION BY top.query_id, coalesce(CASE WHEN v.refused IS NULL AND v.error IS NULL THEN {d.url('v.final_url')} END, {d.url('top.url')})
+      f AS (SELECT top.query_id, top.posting_id, top.rank, top.url, CASE WHEN v.refused IS NULL AND v.error IS NULL THEN v.final_url END AS fin, v.verdict, row_number() OVER (PARTITION BY top.query_id, coalesce(CASE WHEN v.refused IS NULL AND v.error IS NULL THEN {d.url('v.final_url')} END, {d.url('top.url')})
           ORDER BY top.score DESC, top.rank) AS n FROM top JOIN v ON v.posting_id = top.posting_id)
 """
 
@@ -515,14 +515,17 @@ def _(spark, sf):
 @query(
     "attach_contacts",
     f"""WITH {_RUN},
-      sh AS (SELECT f.query_id, f.rank, {d.url('f.url')} AS canonical_url, {d.company('p2.company_name')} AS firm FROM f JOIN postings p2 ON p2.posting_id = f.posting_id
+      sh AS (SELECT f.query_id, f.rank, {d.url('f.url')} AS canonical_url, coalesce(f.fin, f.url) AS seen_at, p2.company_name AS name, {d.company('p2.company_name')} AS firm FROM f JOIN postings p2 ON p2.posting_id = f.posting_id
         WHERE f.n = 1 AND f.verdict IN ('VALID', 'LIKELY_VALID', 'UNVERIFIED')),
-      cr AS (SELECT query_id, firm FROM sh GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) <= 10)
-      SELECT DISTINCT query_id % 3 AS user_id, canonical_url, CAST(0 AS BIGINT) AS rank, 1.0::DOUBLE AS relevance, 'A search to run yourself — no specific person is being claimed here.' AS rationale
-      FROM sh WHERE firm IN (SELECT firm FROM cr)""",
+      cr AS (SELECT query_id, firm FROM sh GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) <= 10),
+      own AS (SELECT firm, bool_and(contains(seen_at, 'greenhouse.io')) AS mailed, arg_min(name, query_id * 10000000000 + rank) AS name FROM sh GROUP BY 1),
+      l AS (SELECT firm, 0 AS rank, 'Team address published by ' || name || '.' AS rationale FROM own WHERE mailed
+        UNION ALL SELECT firm, CASE WHEN mailed THEN 1 ELSE 0 END, 'A search to run yourself — no specific person is being claimed here.' FROM own)
+      SELECT DISTINCT query_id % 3 AS user_id, canonical_url, CAST(l.rank AS BIGINT) AS rank, CASE l.rank WHEN 0 THEN 1.0 ELSE 0.85 END::DOUBLE AS relevance, l.rationale
+      FROM sh JOIN l ON l.firm = sh.firm WHERE sh.firm IN (SELECT firm FROM cr)""",
 )
 def _(spark, sf):
-    """Boards publish nobody here, so each crawled company brings its directory search."""
+    """A company seen only on its own board has no site, so the address in its posting is taken; each brings a directory search."""
     out = searched(spark, sf)
     links = out["job_contacts"].join(out["jobs"].select("job_id", "user_id", "canonical_url"), "job_id")
     return links.select("user_id", "canonical_url", c("rank").cast("bigint").alias("rank"), "relevance", "rationale")
