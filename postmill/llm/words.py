@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT = 2 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -96,7 +97,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 def documents(batch: pa.RecordBatch, text: str, fold_case: bool = False) -> Iterator[np.ndarray]:
     """The word hashes of each row of a batch, a few MB of text at a time."""
     column = batch.column(text)
-    sizes = np.cumsum(np.asarray(pa.compute.binary_length(column.cast(pa.large_string())).fill_null(0), dtype=np.int64))
+    sizes = np.cumsum(np.asarray(pc.binary_length(column.cast(pa.large_string())).fill_null(0), dtype=np.int64))
     at = 0
     while at < len(column):
         base = sizes[at - 1] if at else 0
