@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.llm.arrays import squeeze, squeezed_length, unsqueeze
 from postmill.llm.words import documents, grams, mix
 
 WINDOW = 20
@@ -38,21 +39,6 @@ ROUTED = pa.schema([("block", pa.int64()), ("chunk", pa.int64()), ("heads", pa.b
 ROUTED_KINDS = "block long, chunk long, heads binary, at binary, ids binary, texts binary, first binary, table boolean"
 
 
-def squeeze(a: np.ndarray, delta: bool = False) -> bytes:
-    """Bytes of an array, plane by plane, compressed."""
-    if delta:
-        a = np.diff(a, prepend=a.dtype.type(0))
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T)
-    return len(a).to_bytes(8, "little") + bytes(pa.compress(planes.tobytes(), codec="zstd", asbytes=True))
-
-
-def unsqueeze(raw: bytes, kind, delta: bool = False) -> np.ndarray:
-    n, width = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(raw[8:], n * width, codec="zstd", asbytes=True), np.uint8)
-    a = np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
-    return np.cumsum(a, dtype=kind) if delta else a
-
-
 def _chunks(batches: Iterator[pa.RecordBatch], words: int):
     """(ids, text hashes, first word of each document and the end, word hashes) of about so many words.
 
@@ -152,7 +138,7 @@ def repeat_spans(keyed: DataFrame, window: int = WINDOW, group: int = GROUP, chu
         rows = [r for r in rows if not r["table"]]
         if rows:
             heads = np.concatenate([unsqueeze(r["heads"], np.uint64, True) for r in rows])
-            sizes = [int.from_bytes(r["at"][:8], "little") for r in rows]
+            sizes = [squeezed_length(r["at"]) for r in rows]
             bounds = np.cumsum([0, *sizes])
             order = np.argsort(heads, kind="stable")
             same = heads[order][1:] == heads[order][:-1]

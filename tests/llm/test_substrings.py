@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
-from postmill.llm import substrings
+from postmill.llm import arrays
 from postmill.llm.substrings import op9_substring_dedup, remove_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -58,4 +58,4 @@ def test_arrays_survive_squeezing():
     import numpy as np
 
     for a in (np.array([], np.uint64), np.array([5, 9, 2**63], np.uint64)):
-        assert (substrings.unsqueeze(substrings.squeeze(a, True), np.uint64, True) == a).all()
+        assert (arrays.unsqueeze(arrays.squeeze(a, True), np.uint64, True) == a).all()
