@@ -5,6 +5,7 @@ from __future__ import annotations
 from postmill.llm.jaccard import op7_jaccard_join
 from postmill.llm.packing import op6_best_fit_packing
 from postmill.llm.substrings import op9_substring_dedup
+from postmill.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op7_jaccard_join, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op6_best_fit_packing, op7_jaccard_join, op9_substring_dedup)}
 ORACLES: dict[str, str] = {}
