@@ -2,13 +2,14 @@
 
 The overlaps are the product of the sparse document by shingle incidence with its
 transpose, taken in blocks. Equal sets are one row of the matrix. Size-derived bounds
-discard pairs twice. Two sets of similarity 0.75 share one of the n - ceil(0.75 n) + 1
-first shingles of either in any common order, so the first block of the product covers
-only these columns, rarest shingles first, and only pairs whose sizes allow the
-similarity; it is kept as connected candidate clusters, which takes one edge per posting
-and never a pair of a group. Within a cluster the full product follows, one block of rows
-against another: overlap counts accumulate over all shared shingles, pairs below the
-overlap their sizes ask for are dropped, and a spanning forest of the links remains.
+discard pairs three times. First over blocks of columns: of n shingles of a linked set at
+most n - ceil(0.75 n) are not shared, so a set with more unshared ones among the columns
+counted links with nothing. Then the other sets post their rarest columns, as many as that
+bound asks for, and neighbours in size of a posting list whose sizes allow a link form
+candidate clusters; that takes one edge per posting and never the pairs of a group. Last,
+within a cluster, one block of rows is multiplied by another: overlap counts accumulate over
+all shared shingles, pairs below the overlap their sizes ask for are dropped, and a spanning
+forest of the links remains.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ from postmill.session import checkpoint
 
 SHINGLE = 5
 PERCENT = 75
-#: Shingles whose frequency orders them; the others count as rare and go by their hash. Any order is exact.
-RANKED = 1 << 17
+#: Shingles with smaller hashes are the counted columns, for all but small sets.
+LOW = np.uint64(int(0.45 * 2**64))
 CHUNK = 3 << 20
 POSTINGS = 1 << 20
 ROWS = 512
@@ -46,10 +48,6 @@ def set_id(s: np.ndarray) -> int:
     return int(np.add.reduce(mix(s + np.uint64(len(s)))).astype(np.int64)) if len(s) else 0
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
-
-
 def _gathered(batches: Iterator[pa.RecordBatch], k: int, size: int):
     """Distinct non-empty sets of about so many shingles together, as {fingerprint: set}."""
     held, total = {}, 0
@@ -66,82 +64,152 @@ def _gathered(batches: Iterator[pa.RecordBatch], k: int, size: int):
         yield held
 
 
-def frequent(texts: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The most frequent shingles (sorted) with their counts, and the number of shingles.
+def sampled(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """(columns of a sorted set that are counted, twice the number of low ones plus 1 if all are counted).
 
-    A task counts what it holds together; shingles it sees once are not reported, which
-    only touches the order of rare ones.
+    The columns are those of low hashes. At most n - ceil(percent n / 100) shingles of a linked
+    set are not the other's; where the low hashes are too few for that to say much, all count.
     """
+    unshared = len(s) - (percent * len(s) + 99) // 100
+    low = s[: np.searchsorted(s, LOW)]
+    return (low, 2 * len(low)) if len(low) >= unshared + 4 else (s, 2 * len(low) + 1)
+
+
+SINGLES = "block long, chunk long, tokens binary, counts binary, owners binary, table boolean, nodes binary, sizes binary, counted binary, many binary, of binary"
+
+
+def shared_columns(texts: DataFrame, k: int, percent: int, blocks: int) -> DataFrame:
+    """Per chunk of sets its counted columns that other sets have too, with the number of chunk-wise sets that have them.
 
-    def count(batches):
-        for held in _gathered(batches, k, CHUNK):
-            values, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
-            often = n > 1
-            yield pa.record_batch([pa.array(np.append(values[often].view(np.int64), 0)), pa.array(np.append(n[often], n.sum())), pa.array(np.append(np.zeros(often.sum(), bool), True))], ["shingle", "n", "total"])
-
-    counted = texts.mapInArrow(count, "shingle long, n long, total boolean").groupBy("total", "shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("total"), F.desc("n"), "shingle").limit(most + 1).toArrow()
-    values, n, total = (top.column(c).to_numpy() for c in ("shingle", "n", "total"))
-    listed = ~total.astype(bool)
-    order = np.argsort(values[listed].view(np.uint64))
-    return values[listed].view(np.uint64)[order], n[listed][order], int(n[~listed].sum())
-
-
-def candidate_edges(texts: DataFrame, k: int, percent: int, postings: int) -> DataFrame:
-    """a, b: fingerprints of sets that share a posting of the prefix index at sizes that allow a link, as forests."""
-    values, counts, total = frequent(texts, k, RANKED)
-    blocks = max(1, math.ceil(total * (1 - percent / 100) / postings))
-
-    def index(batches):
-        for held in _gathered(batches, k, CHUNK):
-            tokens, owners = [], []
-            for i, s in enumerate(held.values()):
-                p = prefix_length(len(s), percent)
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    rank = np.where(values[at] == s, counts[at], 0)
-                    common = rank > 0
-                    rare, s = s[~common], s[common]
-                    s = rare[:p] if len(rare) >= p else np.concatenate([rare, s[np.argsort(rank[common], kind="stable")][: p - len(rare)]])
-                else:
-                    s = s[:p]
-                tokens.append(s)
-                owners.append(np.full(len(s), i, np.uint32))
-            token, owner = np.concatenate(tokens), np.concatenate(owners)
-            order = np.argsort(token)
+    One row per chunk has the sets (nodes, sizes) and the columns that several of them share
+    (many, of); the other rows answer its columns: tokens, counts, owners.
+    """
+    def ask(batches):
+        task = TaskContext.get().partitionId() << 32
+        for number, held in enumerate(_gathered(batches, k, CHUNK)):
+            sets, counted = zip(*(sampled(s, percent) for s in held.values()))
+            token = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
-            nodes = np.array(list(held), np.int64)
-            sizes = np.array([len(s) for s in held.values()], np.int32)
-            # high bits of a token choose its block
-            block = ((token >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-            bounds = np.searchsorted(block, np.arange(blocks + 1))
-            for b in np.flatnonzero(np.diff(bounds)):
-                mine = slice(bounds[b], bounds[b + 1])
-                used, place = np.unique(owner[mine], return_inverse=True)
-                row = [int(b), squeeze(token[mine], True), squeeze(place.astype(np.uint32)), squeeze(nodes[used]), squeeze(sizes[used])]
-                yield pa.record_batch([pa.array([v]) for v in row], ["block", "tokens", "owners", "nodes", "sizes"])
+            begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            n = np.diff(np.append(begins, len(token)))
+            several = np.repeat(n > 1, n)
+            chunk = task + number
+            sizes = np.array([len(s) for s in held.values()], np.int64)
+            table = {"nodes": squeeze(np.array(list(held), np.int64)), "sizes": squeeze(sizes), "counted": squeeze(np.array(counted, np.int64))}
+            yield _row(SINGLES, block=blocks + (chunk & 0xFFFF), chunk=chunk, table=True, many=squeeze(token[several], True), of=squeeze(owner[several]), **table)
+            token, owner = token[begins], owner[begins]
+            for b, mine in _by_block(token, blocks):
+                yield _row(SINGLES, block=b, chunk=chunk, table=False, tokens=squeeze(token[mine], True), counts=squeeze(n[mine]), owners=squeeze(owner[mine]))
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        out = [_row(SINGLES, **r) for r in rows if r["table"]]
+        rows = [r for r in rows if not r["table"]]
+        if rows:
+            parts = [unsqueeze(r["tokens"], np.uint64, True) for r in rows]
+            token = np.concatenate(parts)
+            n = np.concatenate([unsqueeze(r["counts"], np.int64) for r in rows])
+            _, inverse = np.unique(token, return_inverse=True)
+            total = np.bincount(inverse, n).astype(np.int64)[inverse]
+            bounds = np.cumsum([0, *map(len, parts)])
+            for r, part, lo, hi in zip(rows, parts, bounds[:-1], bounds[1:]):
+                if (shared := total[lo:hi] > 1).any():
+                    owners = unsqueeze(r["owners"], np.int64)
+                    out.append(_row(SINGLES, block=r["block"], chunk=r["chunk"], table=False, tokens=squeeze(part[shared], True), counts=squeeze(total[lo:hi][shared]), owners=squeeze(owners[shared])))
+        return pa.Table.from_batches(out)
+
+    return texts.mapInArrow(ask, SINGLES).groupBy("block").applyInArrow(answer, SINGLES)
+
+
+def _row(kinds: str, **values) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [x.split() for x in kinds.split(", ")]
+    return pa.record_batch([pa.array([values.get(name)], types[kind]) for name, kind in fields], [name for name, _ in fields])
+
+
+def _by_block(token: np.ndarray, blocks: int):
+    """(block, slice) of the blocks of equal ranges that sorted columns fall into."""
+    bounds = np.searchsorted(token, np.arange(1, blocks, dtype=np.uint64) * np.uint64((2**64 - 1) // blocks)) if blocks > 1 else []
+    bounds = [0, *bounds, len(token)]
+    return [(b, slice(lo, hi)) for b, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])) if hi > lo]
+
+
+def _chain(token: np.ndarray, node: np.ndarray, size: np.ndarray, percent: int):
+    """(ids, root of each) by the edges between neighbours in size of each posting list."""
+    linked = np.flatnonzero((token[1:] == token[:-1]) & (node[1:] != node[:-1]) & (100 * size[:-1] >= percent * size[1:]))
+    ids, place = np.unique(node, return_inverse=True)
+    return ids, roots(len(ids), place[linked], place[linked + 1])
+
+
+POSTED = "block long, tokens binary, nodes binary, sizes binary, ids binary, roots binary"
+
+
+def candidate_edges(texts: DataFrame, k: int, percent: int, blocks: int) -> DataFrame:
+    """a, b: fingerprints of sets in one candidate cluster, as forests.
+
+    A set of which too few counted columns are shared at all links with nothing and is out.
+    The others post the columns among which a linked set must have one in common: the first
+    unshared + 1 of their counted columns, rarest first. Neighbours in size of a posting list
+    are joined where their sizes allow a link; any pair of the list that does lies on such a
+    chain. A chunk joins its own sets and posts one set of each size.
+    """
+
+    def post(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        head = next(r for r in rows if r["table"])
+        nodes, sizes, counted = (unsqueeze(head[c], np.int64) for c in ("nodes", "sizes", "counted"))
+        many, of = unsqueeze(head["many"], np.uint64, True), unsqueeze(head["of"], np.int64)
+        rows = [r for r in rows if not r["table"]]
+        token = np.concatenate([many[:0], *(unsqueeze(r["tokens"], np.uint64, True) for r in rows)])
+        count, owner = (np.concatenate([of[:0], *(unsqueeze(r[c], np.int64) for r in rows)]) for c in ("counts", "owners"))
+        order = np.argsort(token)
+        token, count, owner = token[order], count[order], owner[order]
+        # a column that several sets of this chunk have is answered once
+        single = ~np.isin(token, many)
+        frequency = count[np.searchsorted(token, many)] if len(many) else of[:0]
+        token, count, owner = np.concatenate([token[single], many]), np.concatenate([count[single], frequency]), np.concatenate([owner[single], of])
+        order = np.lexsort((token, count, owner))
+        token, owner = token[order], owner[order]
+        at = np.searchsorted(owner, np.arange(len(nodes) + 1))
+        posted, by = [many[:0]], [of[:0]]
+        for i in np.flatnonzero(np.diff(at)):
+            mine, unshared = token[at[i] : at[i + 1]], int(sizes[i]) - (percent * int(sizes[i]) + 99) // 100
+            low, all_columns = int(counted[i]) >> 1, counted[i] & 1
+            columns = int(sizes[i]) if all_columns else low
+            if len(mine) < columns - unshared:
+                continue
+            mine = [mine[: unshared + 1 - (columns - len(mine))]] + [own[: max(0, unshared + 1 - (low - len(own)))] for own in [mine[mine < LOW]] if all_columns]
+            mine = np.unique(np.concatenate(mine))
+            posted.append(mine)
+            by.append(np.full(len(mine), i))
+        token, owner = np.concatenate(posted), np.concatenate(by)
+        order = np.lexsort((nodes[owner], sizes[owner], token))
+        token, owner = token[order], owner[order]
+        ids, root = _chain(token, nodes[owner], sizes[owner], percent)
+        out = [_row(POSTED, block=int(head["chunk"]) % blocks, ids=squeeze(ids), roots=squeeze(ids[root]))]
+        first = np.append(True, (token[1:] != token[:-1]) | (np.diff(sizes[owner]) != 0))[: len(token)]
+        token, owner = token[first], owner[first]
+        for b, mine in _by_block(token, blocks):
+            out.append(_row(POSTED, block=b, tokens=squeeze(token[mine], True), nodes=squeeze(nodes[owner[mine]]), sizes=squeeze(sizes[owner[mine]])))
+        return pa.Table.from_batches(out)
 
     def meet(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        token = np.concatenate([unsqueeze(r["tokens"], np.uint64, True) for r in rows])
-        node = np.concatenate([unsqueeze(r["nodes"], np.int64)[unsqueeze(r["owners"], np.uint32)] for r in rows])
-        size = np.concatenate([unsqueeze(r["sizes"], np.int32)[unsqueeze(r["owners"], np.uint32)] for r in rows])
-        order = np.argsort(token, kind="stable")
-        same = token[order][1:] == token[order][:-1]
-        shared = np.zeros(len(order), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        picked = order[shared]
-        picked = picked[np.lexsort((node[picked], size[picked], token[picked]))]
-        token, node, size = token[picked], node[picked], size[picked].astype(np.int64)
-        linked = np.flatnonzero((token[1:] == token[:-1]) & (node[1:] != node[:-1]) & (100 * size[:-1] >= percent * size[1:]))
-        ids, place = np.unique(node, return_inverse=True)
-        root = roots(len(ids), place[linked], place[linked + 1])
-        moved = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["a", "b"])
-
-    rows = texts.mapInArrow(index, "block long, tokens binary, owners binary, nodes binary, sizes binary")
-    return rows.groupBy("block").applyInArrow(meet, "a long, b long")
+        edges = [(unsqueeze(r["ids"], np.int64), unsqueeze(r["roots"], np.int64)) for r in rows if r["ids"]]
+        rows = [r for r in rows if r["tokens"]]
+        if rows:
+            token = np.concatenate([unsqueeze(r["tokens"], np.uint64, True) for r in rows])
+            node, size = (np.concatenate([unsqueeze(r[c], np.int64) for r in rows]) for c in ("nodes", "sizes"))
+            order = np.lexsort((node, size, token))
+            ids, root = _chain(token[order], node[order], size[order], percent)
+            edges.append((ids, ids[root]))
+        a, b = (np.concatenate([e[i] for e in edges]) for i in range(2))
+        return pa.table([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+    answered = shared_columns(texts, k, percent, blocks)
+    return answered.groupBy("chunk").applyInArrow(post, POSTED).groupBy("block").applyInArrow(meet, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -206,7 +274,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
 
     signed = checkpoint(texts.mapInArrow(sign, "doc_id long, n_shingles long, node long"))
-    clusters = connected(candidate_edges(texts.select("text"), k, percent, postings))
+    total = signed.agg(F.sum("n_shingles")).first()[0] or 0
+    clusters = connected(candidate_edges(texts.select("text"), k, percent, max(1, math.ceil(total / 2 / postings))))
     sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
     owners = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = clusters.join(sizes, "root").join(owners, "node").select("doc_id", "node", "root", "m")
