@@ -83,7 +83,7 @@ def probabilities(cells: DataFrame, share: float = SHARE) -> DataFrame:
     cells = cells.withColumn("ratio", ratio)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     # with the cells ahead cut at 1, this rate spends what is left
-    rate = (F.lit(share * total) - F.coalesce(F.sum("tokens").over(ahead), F.lit(0))) / F.sum("weight").over(behind)
+    rate = F.try_divide(F.lit(share * total) - F.coalesce(F.sum("tokens").over(ahead), F.lit(0)), F.sum("weight").over(behind))
     rates = cells.withColumn("rate", rate).withColumn("at", F.row_number().over(order))
     fits = rates.filter(F.col("rate") * F.col("ratio") <= 1).agg(F.min_by("rate", "at")).first()[0]
     return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(float(fits or 0.0)) * F.col("ratio")))
