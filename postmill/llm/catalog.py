@@ -5,9 +5,10 @@ from __future__ import annotations
 from postmill.llm.jaccard import op7_jaccard_join
 from postmill.llm.mixing import MIXING_SQL, op3_mixing
 from postmill.llm.packing import op6_best_fit_packing
+from postmill.llm.pages import op8_html_extraction
 from postmill.llm.secrets import op10_secrets
 from postmill.llm.substrings import op9_substring_dedup
 from postmill.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mixing, op6_best_fit_packing, op7_jaccard_join, op9_substring_dedup, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mixing, op6_best_fit_packing, op7_jaccard_join, op8_html_extraction, op9_substring_dedup, op10_secrets)}
 ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL}
