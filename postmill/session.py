@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,21 +20,39 @@ def build_session(master: str | None = None, app: str = "postmill", **conf) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in (defaults | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a session whose executors are threads of
+    this process; on a cluster the setting is required.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name for one run, in the shared root."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder and cut the lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (single-machine tests) a temporary one is used.
+    Spark removes the files once nothing refers to them where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,16 +13,14 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from postmill import fixed
 from postmill.operators import store
 from postmill.operators.tracker import FUNNEL_STAGES
+from postmill.session import shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def checkpoint_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own below the cluster's checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", "")
-    if not root:
-        return tempfile.mkdtemp(prefix=f"spark-{name}-")
-    return os.path.join(root, f"{name}-{spark.sparkContext.applicationId}-{os.urandom(6).hex()}")
+    """A folder of its own in the folder that the driver and all executors share."""
+    return shared_folder(spark, name)
 
 
 def _use_rocksdb(spark: SparkSession) -> None:
