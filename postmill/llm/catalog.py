@@ -8,9 +8,10 @@ from postmill.llm.neighbours import op5_permutation_index
 from postmill.llm.packing import op6_best_fit_packing
 from postmill.llm.pages import op8_html_extraction
 from postmill.llm.rollups import op1_token_counts
+from postmill.llm.search import TOP_K_SQL, op4_top_k_search
 from postmill.llm.secrets import op10_secrets
 from postmill.llm.substrings import op9_substring_dedup
 from postmill.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_mixing, op5_permutation_index, op6_best_fit_packing, op7_jaccard_join, op8_html_extraction, op9_substring_dedup, op10_secrets)}
-ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_mixing, op4_top_k_search, op5_permutation_index, op6_best_fit_packing, op7_jaccard_join, op8_html_extraction, op9_substring_dedup, op10_secrets)}
+ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op4_top_k_search": TOP_K_SQL}
