@@ -301,6 +301,16 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, without all but the smallest doc_id of each component.
+
+    Of rows that share an id one stays; rows without an id stay.
+    """
+    copies = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by five-word shingles at a similarity of 0.75."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -171,6 +171,19 @@ def redact(text: str | None, mark: str = "[SECRET]", guesses: float = GUESSES) -
     return "".join([*out, text[end:]])
 
 
+def redact_documents(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
+    """The rows of docs, all columns, with the secrets of text marked and n_chars counted anew."""
+    names = docs.columns
+
+    def clean(batches):
+        for batch in batches:
+            texts = [redact(t.as_py(), guesses=guesses) for t in batch.column("text")]
+            columns = {**{c: batch.column(i) for i, c in enumerate(names)}, "text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+            yield pa.record_batch([columns[c] for c in names], names)
+
+    return docs.withColumn("n_chars", F.col("n_chars").cast("long")).mapInArrow(clean, docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, spans and a digest of the base spans of every document."""
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))

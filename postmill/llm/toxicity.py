@@ -260,6 +260,17 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(scan, "doc_id long, held_out boolean, score double, predicted int, passages array<struct<start:int,end:int,evidence:double>>")
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns, whose text the model does not call toxic."""
+
+    def keep(batches):
+        for batch in batches:
+            clean = [model.score(sum(s for _, _, s in model.significant(t.as_py()))) < 0.5 for t in batch.column("text")]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, by a model of the labelled rows outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
