@@ -50,8 +50,9 @@ def uniform(doc_id: Column, text: Column) -> Column:
 
 def rake(cells: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SWEEPS) -> DataFrame:
     """cells (the dimensions and tokens) with their raked weight; the weights sum to the tokens."""
-    few = cells.count() <= FEW
-    cells = checkpoint(cells.coalesce(1) if few else cells)
+    cells = checkpoint(cells)
+    parts = 1 if cells.count() <= FEW else cells.rdd.getNumPartitions()
+    cells = cells.coalesce(parts)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     for d, power in powers.items():
         masses = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("mass"))
@@ -66,7 +67,7 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SWEE
             for d in powers:
                 at = F.sum("weight").over(Window.partitionBy(d))
                 before = before.withColumn("weight", F.when(at > 0, F.col("weight") * F.col(f"target_{d}") / at).otherwise(0.0))
-        now, done = checkpoint(before), done + step
+        now, done = checkpoint(before).coalesce(parts), done + step
         moved = now.agg(F.max(F.abs(F.col("weight") - F.col("before")) / F.greatest(F.col("weight"), F.lit(1e-9)))).first()[0] or 0.0
         now = now.drop("before")
         if moved < STILL:
