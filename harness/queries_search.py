@@ -104,7 +104,7 @@ rq AS MATERIALIZED ({_rq}),
 st AS (SELECT query_id, unnest(list_concat([t], coalesce(({_variant_map})[{d.norm('t')}], []::VARCHAR[]))) AS v FROM (SELECT query_id, unnest(titles) AS t FROM rq)),
 wt AS MATERIALIZED (SELECT DISTINCT query_id, {d.norm('v')} AS w, {d.toks('v')} AS wt FROM st),
 p AS MATERIALIZED (SELECT posting_id, ord, {d.norm('title')} AS tn, {d.toks('title')} AS tt, {d.norm('location')} AS ln, location, is_remote,
-   {d.norm("title || ' ' || company_name || ' ' || coalesce(location, '') || ' ' || left(description, 4000)")} AS blob, {d.company('company_name')} AS ck,
+   {d.norm("title || ' ' || company_name || ' ' || coalesce(location, '') || ' ' || description")} AS blob, {d.company('company_name')} AS ck,
    {d.exp_min(_need)} AS lo, {d.exp_max(_need)} AS hi, {d.level(_need)} AS lvl FROM postings),
 ts AS MATERIALIZED (SELECT query_id, tn, max(CASE WHEN w = tn THEN 1.0 WHEN contains(tn, w) THEN 0.9 ELSE
      0.75 * len(list_intersect(wt, tt)) / len(wt) + 0.25 * len(list_intersect(wt, tt)) / len(list_distinct(list_concat(wt, tt))) END) AS s
@@ -186,7 +186,7 @@ def _(spark, sf):
 @query(
     "topk_relevant",
     f"""WITH {SCORES} SELECT query_id, posting_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS match_rank FROM scored WHERE score >= 35.0
-        QUALIFY match_rank <= least(max_rows, 40)""",
+        QUALIFY match_rank <= least(max_rows, 120)""",
 )
 def _(spark, sf):
     best, _ = relevance.topk_relevant(matched(spark, sf))
@@ -195,7 +195,7 @@ def _(spark, sf):
 
 @query(
     "topk_overflow",
-    f"WITH {SCORES} SELECT query_id, CAST(greatest(count(*) - least(any_value(max_rows), 40), 0) AS BIGINT) AS left_over FROM scored WHERE score >= 35.0 GROUP BY 1",
+    f"WITH {SCORES} SELECT query_id, CAST(greatest(count(*) - least(any_value(max_rows), 120), 0) AS BIGINT) AS left_over FROM scored WHERE score >= 35.0 GROUP BY 1",
 )
 def _(spark, sf):
     _, overflow = relevance.topk_relevant(matched(spark, sf))
@@ -219,10 +219,10 @@ j AS MATERIALIZED (SELECT p.posting_id, p.title, p.company_name, p.source, p.cus
     coalesce(json_extract_string({_ld}, '$.hiringOrganization.name'), json_extract_string({_ld}, '$.hiringOrganization')) AS emp FROM postings p JOIN posting_fetch f ON f.url = p.url),
 k AS MATERIALIZED (SELECT *, CASE WHEN contains(lower(final_url), 'greenhouse.io') AND {board} THEN 'PASS'
       WHEN emp IS NOT NULL AND len(own) > 0 AND len({_ctoks('emp')}) > 0 THEN CASE WHEN len(list_intersect(own, {_ctoks('emp')})) > 0 THEN 'PASS' ELSE 'FAIL' END
-      WHEN len(list_filter(own, lambda t: contains(lower(final_url), t))) > 0 OR len(list_filter(own, lambda t: contains({d.norm('left(txt, 3000)')}, t))) > 0 THEN 'PASS' ELSE 'UNKNOWN' END AS company,
+      WHEN len(list_filter(own, lambda t: contains(lower(final_url), t))) > 0 OR len(list_filter(own, lambda t: contains({d.norm('txt')}, t))) > 0 THEN 'PASS' ELSE 'UNKNOWN' END AS company,
     CASE WHEN contains(lower(txt), 'no longer accepting applications') THEN 'FAIL' WHEN json_extract_string(ld, '$.validThrough') < '1997' THEN 'FAIL' WHEN ld IS NOT NULL THEN 'PASS'
-      WHEN len(list_filter({d.toks('title')}, lambda t: length(t) > 3)) > 0 AND len(list_intersect(list_filter({d.toks('title')}, lambda t: length(t) > 3), {d.toks('left(txt, 8000)')})) / len(list_filter({d.toks('title')}, lambda t: length(t) > 3)) >= 0.6
-      THEN CASE WHEN regexp_matches(lower(left(txt, 4000)), 'search results|all jobs|browse jobs|current openings') THEN 'UNKNOWN' ELSE 'PASS' END ELSE 'UNKNOWN' END AS active,
+      WHEN len(list_filter({d.toks('title')}, lambda t: length(t) > 3)) > 0 AND len(list_intersect(list_filter({d.toks('title')}, lambda t: length(t) > 3), {d.toks('txt')})) / len(list_filter({d.toks('title')}, lambda t: length(t) > 3)) >= 0.6
+      THEN CASE WHEN regexp_matches(lower(txt), 'search results|all jobs|browse jobs|current openings') THEN 'UNKNOWN' ELSE 'PASS' END ELSE 'UNKNOWN' END AS active,
     source IN ('GREENHOUSE', 'LEVER') AS own_board, coalesce(blocked_reason, CASE WHEN error IS NULL AND status = 403 THEN 'http_403' END) AS refused FROM j),
 v AS MATERIALIZED (SELECT *, CASE WHEN refused IS NOT NULL THEN CASE WHEN own_board THEN 'LIKELY_VALID' ELSE 'UNVERIFIED' END WHEN error IS NOT NULL THEN 'UNVERIFIED' WHEN status = 404 THEN 'BROKEN'
       WHEN status <> 200 THEN 'UNVERIFIED' WHEN company = 'FAIL' THEN 'MISMATCH' WHEN active = 'FAIL' THEN 'EXPIRED' WHEN company = 'PASS' AND active = 'PASS' THEN 'VALID' WHEN own_board THEN 'VALID' ELSE 'LIKELY_VALID' END AS verdict FROM k)
@@ -367,7 +367,7 @@ def _(spark, sf):
 
 @query(
     "top_contacts_per_job",
-    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY company_key ORDER BY {_rank}, (email IS NULL)::INT, (name IS NULL)::INT, contact_id) - 1 AS n FROM contacts)
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY company_key ORDER BY {_rank}, (email IS NULL)::INT, (name IS NULL)::INT, confidence DESC, source_ord, page_ord, item_ord, contact_id) - 1 AS n FROM contacts)
         SELECT j.job_id, r.contact_id, r.n AS rank, round(greatest(0.0, 1.0 - 0.15 * r.n), 6) AS relevance FROM jobs j JOIN r USING (company_key) WHERE r.n < 6""",
 )
 def _(spark, sf):
@@ -490,7 +490,7 @@ _per_request = f"""SELECT posting_id AS id, {_source_rank} * 1000000000 + postin
 _RUN = f"""{greedy(_per_request)}, {SCORES}, {checks("contains(lower(final_url), lower(split_part(company_name, ' ', 1)))")},
       m AS (SELECT s.query_id, s.max_rows, s.score, po.posting_id, po.url, {_source_rank.replace('source', 'po.source')} * 1000000000 + po.posting_id AS rank FROM scored s JOIN postings po ON po.posting_id = s.posting_id
         WHERE po.custkey % 12 = s.query_id AND s.score >= 35.0 AND po.posting_id IN (SELECT id FROM kept)),
-      top AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) <= least(max_rows, 40)),
+      top AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) <= least(max_rows, 120)),
       f AS (SELECT top.query_id, top.posting_id, top.rank, top.url, CASE WHEN v.refused IS NULL AND v.error IS NULL THEN v.final_url END AS fin, v.verdict, row_number() OVER (PARTITION BY top.query_id, coalesce(CASE WHEN v.refused IS NULL AND v.error IS NULL THEN {d.url('v.final_url')} END, {d.url('top.url')})
           ORDER BY top.score DESC, top.rank) AS n FROM top JOIN v ON v.posting_id = top.posting_id)
 """
@@ -504,7 +504,7 @@ _RUN = f"""{greedy(_per_request)}, {SCORES}, {checks("contains(lower(final_url),
       r AS (SELECT custkey % 12 AS query_id, count(*) AS raw, count(*) FILTER (posting_id NOT IN (SELECT id FROM kept)) AS repeats FROM postings GROUP BY 1),
       o AS (SELECT query_id, count(*) AS matching, any_value(max_rows) AS max_rows FROM m GROUP BY 1)
       SELECT r.query_id, r.raw AS raw_found, r.repeats + coalesce(e.late, 0) AS duplicates_dropped, r.raw - r.repeats - coalesce(o.matching, 0) AS irrelevant_dropped, coalesce(e.validated, 0) AS validated,
-        coalesce(e.unverified, 0) AS unverified, coalesce(e.rejected, 0) AS rejected, CAST(coalesce(greatest(o.matching - least(o.max_rows, 40), 0), 0) AS BIGINT) AS left_over
+        coalesce(e.unverified, 0) AS unverified, coalesce(e.rejected, 0) AS rejected, CAST(coalesce(greatest(o.matching - least(o.max_rows, 120), 0), 0) AS BIGINT) AS left_over
       FROM r LEFT JOIN e USING (query_id) LEFT JOIN o USING (query_id)""",
 )
 def _(spark, sf):
@@ -620,13 +620,6 @@ def _(spark, sf):
     return out.groupBy("application_id").agg(F.max_by(F.struct("status", "outreach_status", "date_applied_us", "outreach_sent_us"), "last_seq").alias("x")).select("application_id", "x.*")
 
 
-@query("stream_throttle", TEXTS["throttle_events"])
-def _(spark, sf):
-    hits = stream(spark, sf, "user_id % 3 AS client;event_id;ts")
-    out = drain(streams.stream_throttle(hits, 3, 3600), spark, "throttle", "update")
-    return out.select("client", "event_id", "allowed")
-
-
 @query(
     "stream_ingest_upsert",
     "SELECT user_id % 5 AS user_id, 'https://x.example/' || CAST(event_id % 700 AS VARCHAR) AS canonical_url, arg_max(event_type, event_id) AS title FROM events GROUP BY 1, 2",

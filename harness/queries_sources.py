@@ -432,7 +432,7 @@ def _(spark, sf):
 
 @query(
     "fetch_outcome",
-    """SELECT page_id, CASE WHEN status = 403 THEN 'blocked' WHEN status = 500 THEN 'retryable' WHEN bytes > 3000000 THEN 'blocked' WHEN status = 404 THEN 'gone'
+    """SELECT page_id, CASE WHEN status = 403 THEN 'blocked' WHEN status = 500 THEN 'retryable' WHEN status = 404 THEN 'gone'
        WHEN status = 200 THEN 'ok' ELSE 'other' END AS outcome FROM page_log""",
 )
 def _(spark, sf):
@@ -521,20 +521,3 @@ _arrive = """SELECT event_id, user_id % 20 AS domain, ts, CASE WHEN user_id % 20
 def _(spark, sf):
     out = frontier.politeness_schedule(sql(spark, sf, _arrive), "domain", "ts", c("delay_s"), "event_id")
     return out.select("event_id", "domain", "start_us", "waited_s")
-
-
-_hits = "SELECT event_id, user_id % 3 AS client, ts FROM events"
-
-
-@query(
-    "throttle_events",
-    f"""WITH RECURSIVE a AS (SELECT event_id, client, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS i FROM ({_hits})),
-      r AS (SELECT event_id, client, i, true AS allowed, [us] AS hits FROM a WHERE i = 1
-        UNION ALL SELECT a.event_id, a.client, a.i, len(list_filter(r.hits, lambda h: h >= a.us - 3600000000)) < 3,
-          CASE WHEN len(list_filter(r.hits, lambda h: h >= a.us - 3600000000)) < 3 THEN list_append(list_filter(r.hits, lambda h: h >= a.us - 3600000000), a.us) ELSE list_filter(r.hits, lambda h: h >= a.us - 3600000000) END
-        FROM r JOIN a ON a.client = r.client AND a.i = r.i + 1)
-      SELECT event_id, client, allowed FROM r""",
-)
-def _(spark, sf):
-    out = frontier.throttle_events(sql(spark, sf, _hits), "client", "ts", "event_id", limit=3, window_s=3600)
-    return out.select("event_id", "client", "allowed")

@@ -80,7 +80,7 @@ def _(spark, sf):
 
 @query(
     "search_history",
-    f"SELECT search_id, raw_query, {d.ts('created_at')} AS created_at FROM searches ORDER BY searches.created_at DESC, search_id LIMIT 20",
+    f"SELECT search_id, raw_query, {d.ts('created_at')} AS created_at FROM searches QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY searches.created_at DESC, search_id) <= 20",
 )
 def _(spark, sf):
     return library.search_history(view(spark, sf, "searches")).select("search_id", "raw_query", day("created_at"))
@@ -89,7 +89,7 @@ def _(spark, sf):
 @query(
     "recent_jobs",
     f"""SELECT job_id, relevance_score FROM jobs WHERE NOT is_dismissed AND {SHOWN}
-        ORDER BY discovered_at DESC, relevance_score DESC, job_id LIMIT 8""",
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY discovered_at DESC, relevance_score DESC, job_id) <= 8""",
 )
 def _(spark, sf):
     return library.recent_jobs(view(spark, sf, "jobs")).select("job_id", "relevance_score")
@@ -232,7 +232,7 @@ def _(spark, sf):
 @query(
     "follow_ups_due",
     f"""SELECT application_id, strftime(follow_up_date, '%Y-%m-%d') AS follow_up_date FROM apps WHERE {d.due(AS_OF)}
-        ORDER BY apps.follow_up_date, application_id LIMIT 20""",
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY apps.follow_up_date, application_id) <= 20""",
 )
 def _(spark, sf):
     out = tracker.follow_ups_due(view(spark, sf, "apps"), as_of())
@@ -332,9 +332,12 @@ _event_label = f"""CASE WHEN event_type = 'OUTREACH_CHANGED' THEN {d.label_case(
 
 @query(
     "application_history",
-    f"""SELECT application_id, seq, coalesce(lag(label) OVER (PARTITION BY application_id, event_type ORDER BY seq),
-        CASE WHEN event_type = 'OUTREACH_CHANGED' THEN 'Not started' ELSE 'Saved' END) || ' → ' || label AS detail
-        FROM (SELECT *, {_event_label} AS label FROM app_events)""",
+    f"""WITH e AS (SELECT *, {_event_label} AS label, event_type = 'OUTREACH_CHANGED' AS outreach FROM app_events),
+      w AS (SELECT *, last_value(CASE WHEN outreach THEN new_status END IGNORE NULLS) OVER before AS stated, max(CASE WHEN outreach THEN seq END) OVER before AS stated_at,
+          last_value(CASE WHEN NOT outreach THEN label END IGNORE NULLS) OVER before AS status, max(CASE WHEN NOT outreach AND new_status = 'OUTREACH_SENT' THEN seq END) OVER before AS mailed_at
+        FROM e WINDOW before AS (PARTITION BY application_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      f AS (SELECT *, CASE WHEN coalesce(stated, 'NOT_STARTED') <> 'NOT_STARTED' THEN stated WHEN mailed_at > coalesce(stated_at, -1) THEN 'EMAIL_SENT' ELSE 'NOT_STARTED' END AS contact FROM w)
+      SELECT application_id, seq, CASE WHEN outreach THEN {d.label_case('contact', fixed.OUTREACH_LABELS)} ELSE coalesce(status, 'Saved') END || ' → ' || label AS detail FROM f""",
 )
 def _(spark, sf):
     return tracker.application_history(view(spark, sf, "app_events")).select("application_id", "seq", "detail")
@@ -462,13 +465,11 @@ def _(spark, sf):
 
 @query(
     "append_log",
-    """SELECT search_id, CAST(least(count(*), 50) AS BIGINT) AS errors, CAST(least(count(*), 80) AS BIGINT) AS notes, left(string_agg('run ' || CAST(run_id AS VARCHAR), ', ' ORDER BY run_id), 300) AS label
+    """SELECT search_id, count(*) AS errors, count(*) AS notes, string_agg('run ' || CAST(run_id AS VARCHAR), ', ' ORDER BY run_id) AS label
        FROM runs GROUP BY 1""",
 )
 def _(spark, sf):
     runs = view(spark, sf, "runs").withColumn("t", F.concat(F.lit("run "), c("run_id").cast("string")))
-    # The log keeps at most eighty entries, so no more than that is ever gathered per search.
-    runs = skew.first_k(runs, ["search_id"], [c("run_id")], 80)
     listed = runs.groupBy("search_id").agg(F.sort_array(F.collect_list(F.struct("run_id", "t"))).alias("l"))
     listed = listed.select("search_id", c("l.t").alias("errors"), c("l.t").alias("notes"), F.array_join("l.t", ", ").alias("label"))
     rows = store.log_rows(store.log_rows(listed, "run"), "request")

@@ -340,10 +340,11 @@ over(
 
 @query(
     "is_person_name",
-    r"SELECT doc_id, coalesce(regexp_matches(left(text, 14), '^[A-ZÉÈÀÇÊÖÄÜÑÓÍ][\w\p{L}’''\-]+(?:\s+[A-Z][\w\p{L}’''\-]+){1,3}$') AND regexp_matches(text, '^[A-Z]'), false) AS value FROM documents",
+    r"SELECT contact_id, coalesce(regexp_matches(trim(coalesce(name, title)), '^[A-ZÉÈÀÇÊÖÄÜÑÓÍ][\w\p{L}’''\-]+(?:\s+[A-Z][\w\p{L}’''\-]+){1,3}$'), false) AS value FROM contacts",
 )
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", html.is_person_name(F.left("text", F.lit(14))).alias("value"))
+    rows = view(spark, sf, "contacts")
+    return rows.select("contact_id", html.is_person_name(F.coalesce("name", "title")).alias("value"))
 
 
 # --- experience and places ----------------------------------------------------------------

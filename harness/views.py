@@ -240,8 +240,8 @@ def with_views(text: str) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table. Each is one small file, which scans as one task, so its rows are spread over the cores."""
-    return spark.read.parquet(f"{sf}/{name}.parquet").repartition(spark.sparkContext.defaultParallelism)
+    """A given table, split as its files are."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def sql(spark: SparkSession, sf: str, text: str) -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from postmill import fixed
 from postmill.functions import text as tx
 
-WINDOW = 4000
-
 
 def experience_level(text: Column) -> Column:
     """First level whose wording appears in the text."""
@@ -24,12 +22,11 @@ def _years(value: Column) -> Column:
     return F.least(number, F.lit(fixed.MAX_YEARS))
 
 
-def parse_experience(c: Column, window: int | None = WINDOW) -> Column:
+def parse_experience(c: Column, window: int | None = None) -> Column:
     """Struct (min_years, max_years, level, text).
 
     A stated range wins over "up to", which wins over "N+", which wins over a
-    bare number of years. Requirements stand near the top of a posting, so by
-    default only its first ``window`` characters count.
+    bare number of years. The whole text is read unless ``window`` limits it.
     """
     text = F.coalesce(c, F.lit(""))
     if window is not None:

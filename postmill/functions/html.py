@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,103 +24,60 @@ ENTITIES = [
 ]
 JSONLD = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script\s*>"""
 MAILTO = r"""(?is)<a\b[^>]*\bhref\s*=\s*(?:"\s*mailto:([^"]*)"|'\s*mailto:([^']*)')[^>]*>(.*?)</a\s*>"""
-JSON_DEPTH = 3
 
 
-class _TextReader(HTMLParser):
-    """Collects visible text nodes of one page."""
-
-    HIDDEN = {"script", "style", "noscript", "template"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.depth, self.parts = 0, []
-
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in self.HIDDEN
-
-    def handle_endtag(self, tag):
-        self.depth -= tag in self.HIDDEN and self.depth > 0
-
-    def handle_data(self, data):
-        if not self.depth:
-            self.parts.append(data)
-
-
-def _exact_text(pages: pd.Series) -> pd.Series:
-    def read(page):
-        if not page:
-            return ""
-        reader = _TextReader()
-        reader.feed(page)
-        reader.close()
-        return " ".join(" ".join(reader.parts).split())
-
-    return pages.map(read)
-
-
-def html_to_text(c: Column, limit: int | None = 20000, exact: bool = False) -> Column:
+def html_to_text(c: Column, limit: int | None = None) -> Column:
     """Readable text of a page: hidden elements and tags out, white space collapsed.
 
-    The default is a chain of built-in expressions that knows the common named
-    entities. ``exact`` runs the standard library's HTML tokenizer in Arrow
-    batches for pages with unusual markup or numeric entities. ``limit`` cuts
-    the result; None keeps all of it.
+    A chain of built-in expressions that knows the common named entities.
+    ``limit`` cuts the result.
     """
     page = F.coalesce(c, F.lit(""))
-    if exact:
-        text = F.pandas_udf(_exact_text, "string")(page)
-    else:
-
-        def decoded(raw: Column) -> Column:
-            plain = raw
-            for entity, char in ENTITIES:
-                plain = F.replace(plain, F.lit(entity), F.lit(char))
-            return F.when(F.contains(raw, F.lit("&")), plain).otherwise(raw)
-
-        bare = F.regexp_replace(F.regexp_replace(page, INVISIBLE, " "), TAG, " ")
-        text = tx.collapse(tx.let(bare, decoded))
-    return text if limit is None else F.left(text, F.lit(limit))
 
+    def decoded(raw: Column) -> Column:
+        plain = raw
+        for entity, char in ENTITIES:
+            plain = F.replace(plain, F.lit(entity), F.lit(char))
+        return F.when(F.contains(raw, F.lit("&")), plain).otherwise(raw)
 
-# --- structured data ----------------------------------------------------------
+    bare = F.regexp_replace(F.regexp_replace(page, INVISIBLE, " "), TAG, " ")
+    text = tx.collapse(tx.let(bare, decoded))
+    return text if limit is None else F.left(text, F.lit(limit))
 
 
-def _as_list(v: Column) -> Column:
-    """A JSON value as a list: an array gives its items, anything else itself."""
-    return F.when(
-        F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>")
-    ).otherwise(F.array(v))
+# --- structured data ----------------------------------------------------------
 
 
 def _is_object(v: Column) -> Column:
     return F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
 
 
-def _flatten(v: Column, depth: int) -> Column:
-    """Objects of a JSON value in document order, following lists and @graph."""
-    items = F.filter(_as_list(v), lambda x: x.isNotNull())
-    if depth == 0:
-        return F.filter(items, _is_object)
+def _flat_objects(scripts: pd.Series) -> pd.Series:
+    """Objects of each page's JSON scripts in document order, following lists and @graph to any depth."""
 
-    def expand(x: Column) -> Column:
-        graph = F.try_variant_get(x, '$["@graph"]', "variant")
-        below = F.when(graph.isNotNull(), _flatten(graph, depth - 1)).otherwise(F.array().cast("array<variant>"))
-        nested = F.when(F.startswith(F.schema_of_variant(x), F.lit("ARRAY")), _flatten(x, depth - 1)).otherwise(
-            F.array().cast("array<variant>")
-        )
-        return F.when(_is_object(x), F.concat(F.array(x), below)).otherwise(nested)
+    def objects(raw: str) -> list[str]:
+        try:
+            todo, out = [json.loads(raw)], []
+        except (ValueError, RecursionError):
+            return []
+        while todo:
+            value = todo.pop()
+            if isinstance(value, dict):
+                out.append(json.dumps(value, ensure_ascii=False))
+                value = value.get("@graph")
+                value = [value] if isinstance(value, dict) else value
+            if isinstance(value, list):
+                todo += reversed(value)
+        return out
 
-    return F.flatten(F.transform(items, expand))
+    return scripts.map(lambda raws: [] if raws is None else [o for raw in raws for o in objects(raw)])
 
 
-def jsonld_blocks(html: Column, depth: int = JSON_DEPTH) -> Column:
+def jsonld_blocks(html: Column) -> Column:
     """ARRAY<VARIANT> of the page's linked-data objects; unreadable blocks are skipped."""
     raw = F.regexp_extract_all(html, F.lit(JSONLD), F.lit(1))
-    parsed = F.filter(F.transform(raw, lambda r: F.try_parse_json(r)), lambda v: v.isNotNull())
-    return F.when(
-        F.contains(html, F.lit("ld+json")), F.flatten(F.transform(parsed, lambda v: _flatten(v, depth)))
-    ).otherwise(F.array().cast("array<variant>"))
+    flat = F.pandas_udf(_flat_objects, "array<string>")(raw)
+    return F.transform(F.coalesce(flat, F.array().cast("array<string>")), lambda r: F.try_parse_json(r))
 
 
 def text_of(block: Column, key: str) -> Column:

@@ -56,7 +56,7 @@ def contacts_from_posting(postings: DataFrame) -> DataFrame:
     """Addresses a posting publishes: company_key, company_name, company_domain, posting_url, description."""
     found = postings.select(
         "company_key", "company_name", "company_domain", "posting_url", "description",
-        F.posexplode(F.slice(html.extract_emails(F.col("description")), 1, 5)).alias("item_ord", "raw"),
+        F.posexplode(html.extract_emails(F.col("description"))).alias("item_ord", "raw"),
     ).withColumn("address", html.clean_email(F.col("raw"), F.col("company_domain")))
     address = F.col("address")
     alias = html.is_role_address(address) | html.is_talent_address(address)
@@ -184,14 +184,14 @@ def people_blocks(pages: DataFrame) -> DataFrame:
     profile = F.get(F.filter(hrefs, lambda h: F.contains(F.lower(h), F.lit("linkedin.com/in/"))), 0)
     found = titled.withColumns(
         {
-            "_title": F.left("_line", F.lit(200)), "_name": name, "_email": F.get(clean, 0), "_profile": profile,
+            "_title": F.col("_line"), "_name": name, "_email": F.get(clean, 0), "_profile": profile,
             "_key": tx.basic_normalize(name),
         }
     ).filter("_name IS NOT NULL")
     found = first_per_key(
         found.select(
             "company_key", "company_name", "page_url", "page_ord", "block_ord", "line_ord", "_title", "_name",
-            "_email", "_profile", "_key", F.left(F.array_join("_lines", "\n"), F.lit(300)).alias("_excerpt"),
+            "_email", "_profile", "_key", F.array_join("_lines", "\n").alias("_excerpt"),
         ),
         ["company_key", "page_url", "_key"],
         [F.col("block_ord"), F.col("line_ord")],
@@ -209,7 +209,7 @@ def people_blocks(pages: DataFrame) -> DataFrame:
         rationale=F.concat(
             F.lit("Listed on "), urls.netloc(F.col("page_url")), F.lit(" as "), F.col("_title"), F.lit(".")
         ),
-        page_ord=F.col("page_ord"), item_ord=F.col("block_ord") * 1000 + F.col("line_ord"),
+        page_ord=F.col("page_ord"), item_ord=F.shiftleft(F.col("block_ord").cast("long"), 32) + F.col("line_ord"),
     )
 
 
@@ -277,8 +277,10 @@ def rank_contacts(candidates: DataFrame) -> DataFrame:
 
 def top_contacts_per_job(jobs: DataFrame, contacts: DataFrame, n: int = 6) -> DataFrame:
     """The best ``n`` contacts of its company for every job: (job_id, contact_id, rank, relevance)."""
+    found = [F.col(c) for c in ("first_seen_at", "source_ord", "page_ord", "item_ord") if c in contacts.columns]
     order = [
-        role_rank(F.col("role")), tx.is_blank(F.col("email")), tx.is_blank(F.col("name")), F.col("contact_id"),
+        role_rank(F.col("role")), tx.is_blank(F.col("email")), tx.is_blank(F.col("name")),
+        F.col("confidence").desc_nulls_last(), *found, F.col("contact_id"),
     ]
     best = first_k(contacts, ["company_key"], order, n, rank="_n").withColumn("rank", F.col("_n") - 1)
     relevance = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("rank") * F.lit(0.15))

@@ -42,10 +42,13 @@ def dedupe_two_key(
     it is dropped, and the rest go to the next round. Rows with the same pair
     of keys are collapsed before the first round, so a large group of copies
     costs one row. Each round is checkpointed; rounds go on until no row is
-    undecided.
+    undecided. A row without a key shares that key with no other row.
     """
-    part = list(partition_by)
+    part, given = list(partition_by), df.columns
     rank = F.struct(*[F.col(c) for c in order_by])
+    alone = F.concat(F.lit("-"), F.to_json(rank))
+    df = df.withColumns({f"_key_{k}": F.coalesce(F.concat(F.lit("+"), F.col(k).cast("string")), alone) for k in (key_a, key_b)})
+    key_a, key_b = f"_key_{key_a}", f"_key_{key_b}"
     pairs = df.groupBy(*part, key_a, key_b).agg(F.min(rank).alias("_rank"))
     open_pairs = checkpoint(pairs)
     kept_rounds = []
@@ -66,14 +69,14 @@ def dedupe_two_key(
             )
         )
     if not kept_rounds:
-        return df.withColumn("drop_reason", F.lit(None).cast("string"))
+        return df.select(*given, F.lit(None).cast("string").alias("drop_reason"))
     winners = kept_rounds[0]
     for more in kept_rounds[1:]:
         winners = winners.unionByName(more)
     winners = winners.select(*part, key_a, key_b, F.col("_rank").alias("_kept"))
     marked = df.withColumn("_rank", rank).join(winners, [*part, key_a, key_b], "left")
     reason = F.when(F.col("_rank") == F.col("_kept"), F.lit(None).cast("string")).otherwise(F.lit("duplicate"))
-    return marked.withColumn("drop_reason", reason).drop("_rank", "_kept")
+    return marked.select(*given, reason.alias("drop_reason"))
 
 
 def dedupe_final_url(validated: DataFrame, partition_by: Sequence[str] = ("query_id",)) -> DataFrame:

@@ -237,12 +237,13 @@ def resolve_redirects(urls_df: DataFrame, edges: DataFrame, max_hops: int = 4) -
 # --- fetch outcomes ----------------------------------------------------------------
 
 
-def fetch_outcome(status: Column, body_bytes: Column) -> Column:
-    """'blocked', 'retryable', 'gone', 'ok' or 'other'; an oversized body counts as blocked."""
+def fetch_outcome(status: Column, body_bytes: Column, max_bytes: int | None = None) -> Column:
+    """'blocked', 'retryable', 'gone', 'ok' or 'other'; with ``max_bytes`` a larger body counts as blocked."""
+    oversized = F.lit(False) if max_bytes is None else body_bytes > max_bytes
     return (
         F.when(status.isin(fixed.BLOCKING_STATUSES), F.lit("blocked"))
         .when(status.isin(fixed.RETRYABLE_STATUSES), F.lit("retryable"))
-        .when(body_bytes > fixed.MAX_RESPONSE_BYTES, F.lit("blocked"))
+        .when(oversized, F.lit("blocked"))
         .when(status.isin(fixed.GONE_STATUSES), F.lit("gone"))
         .when(status.between(200, 299), F.lit("ok"))
         .otherwise(F.lit("other"))
@@ -363,89 +364,3 @@ def politeness_schedule(
         .withColumn("waited_s", (F.col("start_us") - F.col("_at")) / 1_000_000.0)
         .drop("_at", "_delay", "_i", "_peak", "_chunk")
     )
-
-
-class _TrailingWindow:
-    """Allowed hits of one client in the trailing window."""
-
-    def __init__(self, limit: int, window_us: int) -> None:
-        self.limit, self.window_us, self.hits, self.head = limit, window_us, [], 0
-
-    def allow(self, at: int) -> bool:
-        while self.head < len(self.hits) and self.hits[self.head] < at - self.window_us:
-            self.head += 1
-        if len(self.hits) - self.head >= self.limit:
-            return False
-        self.hits.append(at)
-        if self.head > 4096:
-            self.hits, self.head = self.hits[self.head:], 0
-        return True
-
-
-def throttle_events(
-    events: DataFrame, key: str, ts: str, order: str, limit: int = 240, window_s: int = 60, tiles_per_round: int = 1440
-) -> DataFrame:
-    """Add ``allowed``: at most ``limit`` allowed events per key in any trailing window.
-
-    Denied events do not count, so the result is a fold in time order. Time is
-    cut into tiles one window wide. Where a tile and the one before it hold at
-    most ``limit`` events together, everything in the tile is allowed, without
-    looking further; only runs of busier tiles are folded. Each run starts from
-    the tile before it, whose events are all allowed. A run longer than
-    ``tiles_per_round`` is folded piece by piece in successive rounds, so no
-    task receives more of one key than that many tiles.
-    """
-    width = window_s * 1_000_000
-    base = events.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
-    base = base.withColumn("_tile", F.floor(F.col("_at") / width).cast("bigint"))
-    tiles = base.groupBy(key, "_tile").agg(F.count("*").alias("_n"))
-    in_order = Window.partitionBy(key).orderBy("_tile")
-    previous = F.when(F.lag("_tile").over(in_order) == F.col("_tile") - 1, F.lag("_n").over(in_order)).otherwise(0)
-    tiles = tiles.withColumn("_busy", F.col("_n") + previous > limit)
-    islands = tiles.filter("_busy").withColumn("_run", F.col("_tile") - F.row_number().over(in_order))
-    start = F.min("_tile").over(Window.partitionBy(key, "_run"))
-    islands = islands.withColumn("_round", F.floor((F.col("_tile") - start) / tiles_per_round).cast("bigint"))
-    islands = checkpoint(islands.select(key, "_tile", "_run", "_round"))
-
-    marked = base.join(islands, [key, "_tile"], "left")
-    calm = marked.filter(F.col("_run").isNull()).withColumn("allowed", F.lit(True))
-    rounds = islands.agg(F.max("_round")).first()[0]
-    done = calm
-    if rounds is not None:
-        schema = base.select(key, order, "_tile").schema.simpleString()[7:-1].replace(":", " ") + ", allowed boolean"
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["_at", order], kind="stable")
-            window = _TrailingWindow(limit, width)
-            verdicts = []
-            for at, settled in zip(pdf["_at"], pdf["_settled"], strict=True):
-                if settled:
-                    window.hits.append(at)
-                    verdicts.append(True)
-                else:
-                    verdicts.append(window.allow(at))
-            out = pdf[[key, order, "_tile"]].assign(allowed=verdicts)
-            return out[~pdf["_settled"].to_numpy()]
-
-        busy = marked.filter(F.col("_run").isNotNull())
-        # Last settled tile of each key and run, as (key, run, tile, at, order).
-        settled = calm.select(key, (F.col("_tile") + 1).alias("_next"), "_at", order).join(
-            islands.filter("_round = 0").groupBy(key, "_run").agg(F.min("_tile").alias("_next")), [key, "_next"]
-        ).select(key, "_run", "_at", order, (F.col("_next") - 1).alias("_tile"))
-        for number in range(rounds + 1):
-            todo = busy.filter(F.col("_round") == number).select(key, "_run", "_at", order, "_tile")
-            work = todo.withColumn("_settled", F.lit(False)).unionByName(settled.withColumn("_settled", F.lit(True)))
-            # A group whose run ended in an earlier round has only settled rows and yields nothing.
-            verdicts = checkpoint(work.groupBy(key, "_run").applyInPandas(fold, schema))
-            result = busy.filter(F.col("_round") == number).join(
-                verdicts.select(key, order, "allowed"), [key, order]
-            )
-            done = done.unionByName(result)
-            last = todo.groupBy(key, "_run").agg(F.max("_tile").alias("_last"))
-            settled = (
-                result.filter("allowed")
-                .join(last, [key, "_run"])
-                .filter(F.col("_tile") == F.col("_last"))
-                .select(key, "_run", "_at", order, "_tile")
-            )
-    return done.drop("_at", "_tile", "_run", "_round")

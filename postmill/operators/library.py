@@ -9,6 +9,7 @@ from postmill import fixed
 from postmill.functions import dates
 from postmill.functions import text as tx
 from postmill.operators import store, tracker
+from postmill.plans.skew import first_k
 
 
 def _like(col: str, text: str) -> Column:
@@ -89,12 +90,14 @@ def search_results(jobs: DataFrame, search_id: int | None = None) -> DataFrame:
 
 
 def search_history(searches: DataFrame, limit: int = 20) -> DataFrame:
-    return searches.orderBy(F.col("created_at").desc(), "search_id").limit(limit)
+    """Each user's newest searches."""
+    return first_k(searches, ["user_id"], [F.col("created_at").desc(), F.col("search_id")], limit)
 
 
 def recent_jobs(jobs: DataFrame, n: int = 8) -> DataFrame:
+    """Each user's newest jobs that may be shown."""
     shown = jobs.filter(~F.col("is_dismissed") & F.col("validation_status").isin(fixed.DISPLAYABLE_STATUSES))
-    return shown.orderBy(F.col("discovered_at").desc(), F.col("relevance_score").desc(), "job_id").limit(n)
+    return first_k(shown, ["user_id"], [F.col("discovered_at").desc(), F.col("relevance_score").desc(), F.col("job_id")], n)
 
 
 def job_contacts(links: DataFrame, contacts: DataFrame) -> DataFrame:

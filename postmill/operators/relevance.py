@@ -17,7 +17,6 @@ from postmill.functions import places
 from postmill.functions import text as tx
 from postmill.plans.skew import first_k
 
-BLOB_WINDOW = 4000
 GRAM = 3
 
 
@@ -53,11 +52,13 @@ def prepare_requests(queries: DataFrame) -> DataFrame:
     )
 
 
-def prepare_postings(postings: DataFrame, window: int = BLOB_WINDOW) -> DataFrame:
-    """Add the derived columns a posting is matched by."""
+def prepare_postings(postings: DataFrame, window: int | None = None) -> DataFrame:
+    """Add the derived columns a posting is matched by; ``window`` reads only so much of a description."""
     description = F.coalesce("description", F.lit(""))
+    if window is not None:
+        description = F.left(description, F.lit(window))
     blob = F.concat_ws(
-        " ", "title", "company_name", F.coalesce("location", F.lit("")), F.left(description, F.lit(window))
+        " ", "title", "company_name", F.coalesce("location", F.lit("")), description
     )
     return postings.withColumns(
         {
@@ -375,11 +376,11 @@ def relevance_filter(scored: DataFrame, min_score: float = fixed.MIN_RELEVANCE)
     return scored.withColumn("drop_reason", F.when(F.col("score") < min_score, F.lit("irrelevant")))
 
 
-def topk_relevant(scored: DataFrame, cap: int = fixed.RESULT_LIMIT) -> tuple[DataFrame, DataFrame]:
+def topk_relevant(scored: DataFrame, cap: int = fixed.MAX_RESULT_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(best matches per request, count left over per request).
 
-    A request keeps its own ``limit`` but never more than ``cap``; equal scores
-    keep arrival order.
+    A request keeps as many as its own ``limit``, which no request may set above
+    ``cap``; equal scores keep arrival order.
     """
     matching = scored.filter(F.col("score") >= fixed.MIN_RELEVANCE)
     best = first_k(matching, ["query_id"], [F.col("score").desc(), F.col("ord")], cap, rank="match_rank")

@@ -301,7 +301,7 @@ def structure_request_log(requests: DataFrame, limit: int | None = None) -> Data
     )
     rows = rows.withColumns(
         {
-            "titles": F.when(unnamed, F.array(F.left("raw", F.lit(120)))).otherwise(F.col("titles")),
+            "titles": F.when(unnamed, F.array("raw")).otherwise(F.col("titles")),
             "parse_notes": notes, "parse_method": F.lit("rules"), "max_age_days": F.lit(45), "limit": F.lit(kept),
         }
     )

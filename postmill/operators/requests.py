@@ -68,10 +68,9 @@ def apply_overrides(queries: DataFrame, overrides: DataFrame, default_limit: int
 
 
 def _usable(values: Column) -> Column:
-    """Suggested list values worth taking: the first eight, 2 to 80 characters each."""
-    firsts = F.slice(F.coalesce(values, tx.str_array([])), 1, 8)
-    trimmed = F.transform(firsts, tx.strip)
-    return F.filter(trimmed, lambda v: v.isNotNull() & F.length(v).between(2, 80))
+    """Suggested list values worth taking: of two characters or more."""
+    trimmed = F.transform(F.coalesce(values, tx.str_array([])), tx.strip)
+    return F.filter(trimmed, lambda v: v.isNotNull() & (F.length(v) >= 2))
 
 
 def merge_suggestions(queries: DataFrame, suggestions: DataFrame) -> DataFrame:

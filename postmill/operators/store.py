@@ -15,21 +15,19 @@ from postmill.functions import text as tx
 from postmill.operators.contacts import contact_dedupe_key
 from postmill.plans.skew import first_per_key, last_per_key
 
-SUMMARY_LENGTH = 600
 # Set when a job is first stored and never changed by a later search.
 JOB_KEPT = ["job_url", "source", "discovered_at", "is_saved", "is_dismissed"]
 
 
-def job_rows(validated: DataFrame, as_of: Column) -> DataFrame:
-    """Validated matches in the shape of the job library."""
+def job_rows(validated: DataFrame, as_of: Column, summary_length: int | None = None) -> DataFrame:
+    """Validated matches in the shape of the job library; ``summary_length`` cuts the summary."""
+    summary = tx.collapse(F.col("description")) if summary_length is None else tx.truncate_text(F.col("description"), summary_length)
     found = validated.withColumns(
         {
             "job_url": F.col("url"),
             "normalized_title": tx.normalize_title(F.col("title")),
             "normalized_location": F.nullif(tx.normalize_location(F.col("location")), F.lit("")),
-            "summary": F.when(
-                ~tx.is_blank(F.col("description")), tx.truncate_text(F.col("description"), SUMMARY_LENGTH)
-            ),
+            "summary": F.when(~tx.is_blank(F.col("description")), summary),
             "experience_text": F.col("experience.text"),
             "posting_min_years": F.col("experience.min_years"),
             "posting_max_years": F.col("experience.max_years"),
@@ -59,11 +57,12 @@ def upsert(
     """Full outer join on ``keys``; ``merged`` gives a column from its ``e.`` and ``i.`` side.
 
     Columns not named take the incoming value for rows that came in.
-    Both sides must be unique in ``keys``.
+    Both sides must be unique in ``keys``; a NULL key meets a NULL key, so that
+    a batch that is sent again adds nothing.
     """
     e = existing.withColumn("_there", F.lit(True)).alias("e")
     i = incoming.withColumn("_came", F.lit(True)).alias("i")
-    on = [F.col(f"e.{k}") == F.col(f"i.{k}") for k in keys]
+    on = [F.col(f"e.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys]
     both = e.join(i, on, "full_outer")
     came = F.col("i._came").isNotNull()
     out = []
@@ -108,7 +107,7 @@ def upsert_companies(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         return F.min_by(F.when(~tx.is_blank(F.col(col)), F.col(col)), F.when(~tx.is_blank(F.col(col)), F.col("ord")))
 
     batch = keyed.groupBy("normalized_name").agg(
-        F.left(tx.strip(F.min_by("name", "ord")), F.lit(300)).alias("name"),
+        tx.strip(F.min_by("name", "ord")).alias("name"),
         first_known("domain").alias("domain"),
         first_known("careers_url").alias("careers_url"),
     )
@@ -160,20 +159,27 @@ def link_job_contacts(links: DataFrame, ranked: DataFrame) -> DataFrame:
 # --- logs --------------------------------------------------------------------------
 
 
+LOG_KINDS = ("run", "event", "request")
+
+
 def log_rows(df: DataFrame, kind: str) -> DataFrame:
-    """Rows of the run, event or request log, cut to what the log keeps."""
-    if kind == "run":
-        return df.withColumns({"errors": F.slice("errors", 1, 50), "notes": F.slice("notes", 1, 80)})
-    if kind == "request":
-        return df.withColumn("label", F.left("label", F.lit(300)))
-    if kind == "event":
-        return df
-    raise ValueError(f"unknown log: {kind}")
+    """Rows of the run, event or request log, as they are stored: whole."""
+    if kind not in LOG_KINDS:
+        raise ValueError(f"unknown log: {kind}")
+    return df
 
 
-def append_log(df: DataFrame, path: str, kind: str) -> None:
-    """Append to a log table; nothing in it is ever changed."""
-    log_rows(df, kind).write.mode("append").parquet(path)
+def append_log(df: DataFrame, path: str, kind: str, batch: str | None = None) -> None:
+    """Append to a log table; nothing in it is ever changed.
+
+    With ``batch`` the rows go to a folder of that name, so a batch that is
+    sent again replaces its own rows and adds none.
+    """
+    rows = log_rows(df, kind)
+    if batch is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def write_version(df: DataFrame, folder: str, version: int, partition_by: list[str] | None = None) -> str:
@@ -184,6 +190,12 @@ def write_version(df: DataFrame, folder: str, version: int, partition_by: list[s
     return path
 
 
+def batch_marker(spark: SparkSession, folder: str, stream_id: str, batch_id: int):
+    """(file system, path) of the mark that a stream's batch is in the library."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_batches/{stream_id}-{batch_id:010d}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def latest_version(spark: SparkSession, folder: str) -> int | None:
     """Number of the newest complete version in a folder, NULL when there is none."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -217,6 +229,14 @@ def delete_propagation(table: DataFrame, deleted: DataFrame, key: str, mode: str
     raise ValueError(f"unknown mode: {mode}")
 
 
+def unsave_deleted(jobs: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Jobs with ``is_saved`` cleared where the user's application (user_id, job_id) was deleted."""
+    keys = ["user_id", "job_id"]
+    gone = deleted.select(*keys).distinct().withColumn("_gone", F.lit(True))
+    marked = jobs.join(gone, keys, "left")
+    return marked.withColumn("is_saved", F.col("is_saved") & F.col("_gone").isNull()).select(*jobs.columns)
+
+
 def display_name(df: DataFrame) -> Column:
     name, company = F.col("name"), F.col("company_name")
     return (

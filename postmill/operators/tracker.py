@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill import fixed
 from postmill.functions import text as tx
-from postmill.plans.skew import ordered_chunks, running
+from postmill.plans.skew import first_k, ordered_chunks, running
 
 
 def status_label(c: Column) -> Column:
@@ -74,16 +74,36 @@ def application_state(events: DataFrame) -> DataFrame:
 
 
 def application_history(events: DataFrame) -> DataFrame:
-    """Events with a ``detail`` text, 'Applied → Interview', in order per application."""
-    label = F.when(
-        F.col("event_type") == "OUTREACH_CHANGED", tx.lookup(fixed.OUTREACH_LABELS, F.col("new_status"))
-    ).otherwise(status_label(F.col("new_status")))
-    start = F.when(F.col("event_type") == "OUTREACH_CHANGED", F.lit("Not started")).otherwise(F.lit("Saved"))
-    keys = ["application_id", "event_type"]
-    ready = ordered_chunks(events.withColumn("_label", label), keys, ["seq"])
-    told = running(ready, keys, ["seq"], {"_before": ("previous", F.col("_label"))})
-    detail = F.concat(F.coalesce(F.col("_before"), start), F.lit(" → "), F.col("_label"))
-    return told.withColumn("detail", detail).drop("_label", "_before", "_chunk")
+    """Events with a ``detail`` text, 'Applied → Interview', in order per application.
+
+    What an outreach event starts from is the folded outreach: the last stated
+    one, or, where that is none, an e-mail if a status has said since that
+    outreach was sent.
+    """
+    outreach = F.col("event_type") == "OUTREACH_CHANGED"
+    new, seq = F.col("new_status"), F.col("seq")
+    label = F.when(outreach, tx.lookup(fixed.OUTREACH_LABELS, new)).otherwise(status_label(new))
+    keys, order = ["application_id"], ["seq"]
+    stamped = F.struct(seq.alias("seq"), new.alias("new"))
+    ready = ordered_chunks(events.withColumn("_label", label), keys, order)
+    folded = running(
+        ready, keys, order,
+        {
+            "_stated": ("max", F.when(outreach, stamped)),
+            "_status": ("max", F.when(~outreach, stamped)),
+            "_mailed": ("max", F.when(~outreach & (new == "OUTREACH_SENT"), seq)),
+        },
+    )
+    told = running(folded, keys, order, {f"{c}_before": ("previous", F.col(c)) for c in ("_stated", "_status", "_mailed")})
+    stated = F.col("_stated_before")
+    contact = (
+        F.when(F.coalesce(stated["new"], F.lit("NOT_STARTED")) != "NOT_STARTED", stated["new"])
+        .when(F.col("_mailed_before") > F.coalesce(stated["seq"], F.lit(-1)), F.lit("EMAIL_SENT"))
+        .otherwise(F.lit("NOT_STARTED"))
+    )
+    status = F.coalesce(F.col("_status_before")["new"], F.lit("SAVED"))
+    before = F.when(outreach, tx.lookup(fixed.OUTREACH_LABELS, contact)).otherwise(status_label(status))
+    return told.select(*events.columns, F.concat(before, F.lit(" → "), F.col("_label")).alias("detail"))
 
 
 # --- counts ------------------------------------------------------------------------
@@ -133,9 +153,9 @@ def job_counts(jobs: DataFrame) -> DataFrame:
 
 
 def follow_ups_due(apps: DataFrame, as_of: Column, limit: int = 20) -> DataFrame:
-    """Applications whose follow-up is due, oldest date first."""
+    """Each user's applications whose follow-up is due, the oldest ``limit`` dates."""
     due = apps.filter(follow_up_due(F.col("follow_up_date"), F.col("status"), as_of))
-    return due.orderBy("follow_up_date", "application_id").limit(limit)
+    return first_k(due, ["user_id"], [F.col("follow_up_date"), F.col("application_id")], limit)
 
 
 def tracker_tiles(apps: DataFrame, as_of: Column) -> DataFrame:

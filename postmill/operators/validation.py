@@ -10,7 +10,6 @@ from postmill.functions import dates, html, urls
 from postmill.functions import text as tx
 
 PASS, FAIL, UNKNOWN = "PASS", "FAIL", "UNKNOWN"
-PAGE_LIMIT, HEAD, TITLE_HEAD, HINT_HEAD = 40000, 3000, 8000, 4000
 
 
 def page_facts(fetch_log: DataFrame) -> DataFrame:
@@ -29,7 +28,7 @@ def page_facts(fetch_log: DataFrame) -> DataFrame:
     )
     return read.select(
         "url", "final_url", "status", "blocked_reason", "error",
-        html.html_to_text(F.col("html"), PAGE_LIMIT).alias("page_text"),
+        html.html_to_text(F.col("html")).alias("page_text"),
         F.size("_blocks").alias("records"),
         F.transform(
             employers, lambda v: F.struct(v.alias("name"), tx.company_tokens(v).alias("tokens"))
@@ -53,7 +52,7 @@ def company_check(joined: DataFrame) -> DataFrame:
             "_own": own,
             # The first record that names a recognisable employer decides.
             "_named": F.get(F.filter("employers", lambda e: F.size(e["tokens"]) > 0), 0),
-            "_head": tx.basic_normalize(F.left("page_text", F.lit(HEAD))),
+            "_head": tx.basic_normalize(F.col("page_text")),
         }
     )
     own, named = F.col("_own"), F.col("_named")
@@ -103,14 +102,14 @@ def active_check(joined: DataFrame, as_of: Column) -> DataFrame:
         phrase = F.when(F.contains(lowered, F.lit(closed)), F.lit(closed)).otherwise(phrase)
     now, none = as_of.cast("timestamp"), F.lit(None).cast("timestamp")
     title_words = F.filter(tx.token_set(F.col("title")), lambda t: F.length(t) > 3)
-    page_words = tx.token_set(F.left("page_text", F.lit(TITLE_HEAD)))
+    page_words = tx.token_set(F.col("page_text"))
     joined = joined.withColumns(
         {
             "_closed": phrase,
             "_past": F.get(F.filter("ends", lambda e: e < now), 0),
             "_last": F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1),
             "_hit": F.size(F.array_intersect(title_words, page_words)) / F.nullif(F.size(title_words), F.lit(0)),
-            "_listing": F.left(lowered, F.lit(HINT_HEAD)).rlike("|".join(fixed.LISTING_HINTS)),
+            "_listing": lowered.rlike("|".join(fixed.LISTING_HINTS)),
         }
     )
     closed, past = F.col("_closed"), F.col("_past")

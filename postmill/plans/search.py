@@ -31,7 +31,9 @@ STORE_SCHEMAS = {
         "posted_at timestamp_ntz, experience_text string, min_years double, max_years double, "
         "discovered_at timestamp_ntz, last_seen_at timestamp_ntz, validated_at timestamp_ntz, http_status int, "
         "final_url string, is_saved boolean, is_dismissed boolean, validation_status string, validation_reason string, "
-        "relevance_score double, match_reasons array<string>"
+        "relevance_score double, match_reasons array<string>, validation_checks map<string,string>, relevance_breakdown map<string,struct<score:double,max:double,ratio:double>>, "
+        "board_token string, employment_type string, department string, salary_text string, apply_url string, "
+        "source_query_url string, external_id string"
     ),
     "companies": (
         "normalized_name string, name string, domain string, careers_url string, contacts_checked_at timestamp_ntz"

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from postmill.session import checkpoint
 
 CHUNK = "_chunk"
+CHUNK_ROWS = 1_000_000
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -35,11 +36,18 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_row")).select("_row.*")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equality join on keys by which a NULL meets a NULL; gives the left keys and the right side's other columns."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def mark_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:
     """Add a flag that is true on the first row of each key; ``order`` must be total."""
     rank = F.struct(*[F.col(c) for c in order])
     firsts = df.groupBy(*keys).agg(F.min(rank).alias("_min_rank"))
-    return df.join(firsts, list(keys)).withColumn(flag, rank == F.col("_min_rank")).drop("_min_rank")
+    return join_null_safe(df, firsts, keys).withColumn(flag, rank.eqNullSafe(F.col("_min_rank"))).drop("_min_rank")
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k, rank: str | None = None) -> DataFrame:
@@ -54,9 +62,11 @@ def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chu
     """Range partition by (keys, order) and tag each row with its chunk.
 
     The chunks are written once, because range bounds come from a sample and
-    must not move between the passes that use them.
+    must not move between the passes that use them. There are as many as keep
+    a chunk at CHUNK_ROWS rows, counted first, and no fewer than the shuffle has.
     """
-    count = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = chunks or max(least, -(-df.count() // CHUNK_ROWS))
     ranged = df.repartitionByRange(count, *[F.col(c) for c in (*keys, *order)])
     return checkpoint(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
@@ -98,6 +108,6 @@ def running(
 
     totals = named.groupBy(*keys, CHUNK).agg(*summaries).withColumns(carried)
     totals = totals.select(*keys, CHUNK, *carried)
-    joined = named.withColumns(local).join(totals, [*keys, CHUNK])
+    joined = join_null_safe(named.withColumns(local), totals, [*keys, CHUNK])
     scratch = [*(f"_in_{n}" for n in values), *local, *carried]
     return joined.withColumns(final).drop(*scratch)

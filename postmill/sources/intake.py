@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postmill import fixed
 from postmill.functions import places
 from postmill.functions import text as tx
-from postmill.plans.skew import first_k
+from postmill.plans.skew import first_k, first_per_key
 
 
 def tag_incomplete(raw: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def target_boards(queries: DataFrame, resolved: DataFrame, seeds: DataFrame, max
     that names none takes the first seeds of the file.
     """
     named = queries.select(
-        "query_id", F.posexplode(F.slice("companies", 1, max_companies)).alias("pos", "company")
+        "query_id", F.posexplode("companies").alias("pos", "company")
     )
     own = named.join(
         resolved.filter("token IS NOT NULL").select("company", "platform", "token").distinct(), "company"
@@ -211,8 +211,9 @@ def target_boards(queries: DataFrame, resolved: DataFrame, seeds: DataFrame, max
     matching = wanted.join(keyed_seeds, "company_key").select(
         "query_id", "platform", "token", "company", F.lit(1).alias("tier"), F.col("seed_ord").alias("ord")
     )
-    # The first seeds of the file, as one short array carried to every open request.
-    head = seeds.orderBy("seed_ord").limit(max_companies)
+    # The first different seeds of the file, as one short array carried to every open request.
+    once = first_per_key(seeds, ["platform", "token"], [F.col("seed_ord")])
+    head = once.orderBy("seed_ord").limit(max_companies)
     head = head.agg(F.sort_array(F.collect_list(F.struct("seed_ord", "platform", "token", "company"))).alias("seeds"))
     open_requests = queries.filter(F.size("companies") == 0).select("query_id", F.lit(1).alias("_one"))
     defaults = open_requests.join(F.broadcast(head.withColumn("_one", F.lit(1))), "_one").select(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from postmill import fixed
 from postmill.operators import store
@@ -33,20 +34,26 @@ def _use_rocksdb(spark: SparkSession) -> None:
 def stream_ingest_upsert(stream: DataFrame, store_path: str, as_of: Column, checkpoint_path: str):
     """Writer that merges arriving job rows into a versioned library.
 
-    Each batch reads the newest version, merges and writes the next one, named
-    by the batch, so a batch that is run again writes the same version again.
+    Each batch is merged onto the newest complete version, whoever wrote it: a
+    batch job, another stream or an earlier run. A mark under the stream's
+    checkpoint and the batch's number is left last, so a batch that is run again
+    after its commit changes nothing, and one that broke before it is merged
+    anew, which gives the same rows. One writer at a time.
     """
+    stream_id = hashlib.sha256(checkpoint_path.encode()).hexdigest()[:16]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        fs, marker = store.batch_marker(spark, store_path, stream_id, batch_id)
+        if fs.exists(marker):
+            return
         newest = store.latest_version(spark, store_path)
-        if newest is not None and newest >= batch_id + 1:
-            newest = batch_id or None
         if newest is None:
             existing = spark.createDataFrame([], batch.drop("ord").schema)
         else:
             existing = spark.read.parquet(f"{store_path}/v={newest:010d}")
-        store.write_version(store.upsert_jobs(existing, batch, as_of), store_path, batch_id + 1)
+        store.write_version(store.upsert_jobs(existing, batch, as_of), store_path, (newest or 0) + 1)
+        fs.create(marker, True).close()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_path)
 
@@ -142,47 +149,3 @@ def stream_application_state(stream: DataFrame) -> DataFrame:
         "application_id", "seq", "event_type", "new_status", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")
     )
     return events.groupBy("application_id").transformWithStateInPandas(ApplicationFold(), STATE_OUTPUT, "Update", "None")
-
-
-# --- throttle -----------------------------------------------------------------------------
-
-_HITS = StructType([StructField("hits", ArrayType(LongType()))])
-
-
-class Throttle(StatefulProcessor):
-    """Allows at most ``limit`` events per key in any trailing window; denied ones do not count."""
-
-    def __init__(self, limit: int, window_us: int) -> None:
-        self.limit, self.window_us = limit, window_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # At most ``limit`` times per key: hits older than the window go with the next event.
-        self.hits = handle.getValueState("hits", _HITS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        hits = list(self.hits.get()[0]) if self.hits.exists() else []
-        verdicts = []
-        for at in events["ts_us"]:
-            at = int(at)
-            hits = [h for h in hits if h >= at - self.window_us]
-            verdicts.append(len(hits) < self.limit)
-            if verdicts[-1]:
-                hits.append(at)
-        self.hits.update((hits,))
-        yield pd.DataFrame({"client": key[0], "event_id": events["event_id"].to_numpy(), "allowed": verdicts})
-
-    def close(self) -> None:
-        pass
-
-
-def stream_throttle(stream: DataFrame, limit: int = 240, window_s: int = 60) -> DataFrame:
-    """Verdict per event of a stream (client, event_id, ts)."""
-    _use_rocksdb(stream.sparkSession)
-    events = stream.select(
-        F.col("client").cast("bigint").alias("client"), "event_id",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
-    )
-    return events.groupBy("client").transformWithStateInPandas(
-        Throttle(limit, window_s * 1_000_000), "client bigint, event_id bigint, allowed boolean", "Update", "None"
-    )

@@ -17,7 +17,7 @@ from harness.views import TABLES
 SF = "/root/testdata/sf0.001"
 SAMPLE = """
 canonicalize_url duplicate_key html_to_text parse_datetime read_adzuna ip_cidr_join failure_streak_stop dedupe_two_key
-topk_relevant validate_postings upsert_contacts application_state dashboard stream_throttle
+topk_relevant validate_postings upsert_contacts application_state dashboard stream_ingest_upsert application_history follow_ups_due recent_jobs search_history is_person_name target_boards
 """.split()
 NAMES = sorted(entry.queries()) if os.environ.get("POSTMILL_ALL_QUERIES") else SAMPLE
 
