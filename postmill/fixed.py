@@ -82,72 +82,71 @@ COUNTRIES = {
     "switzerland": "ch", "belgium": "be",
 }
 
-# alias | display name | country
-CITY_ROWS = """
-bangalore|Bangalore|in
-bengaluru|Bangalore|in
-hyderabad|Hyderabad|in
-mumbai|Mumbai|in
-bombay|Mumbai|in
-delhi|Delhi|in
-new delhi|Delhi|in
-ncr|Delhi NCR|in
-delhi ncr|Delhi NCR|in
-gurgaon|Gurgaon|in
-gurugram|Gurgaon|in
-noida|Noida|in
-pune|Pune|in
-chennai|Chennai|in
-kolkata|Kolkata|in
-ahmedabad|Ahmedabad|in
-jaipur|Jaipur|in
-kochi|Kochi|in
-coimbatore|Coimbatore|in
-indore|Indore|in
-chandigarh|Chandigarh|in
-trivandrum|Trivandrum|in
-thiruvananthapuram|Trivandrum|in
-san francisco|San Francisco|us
-sf|San Francisco|us
-bay area|San Francisco Bay Area|us
-new york|New York|us
-nyc|New York|us
-seattle|Seattle|us
-austin|Austin|us
-boston|Boston|us
-chicago|Chicago|us
-los angeles|Los Angeles|us
-denver|Denver|us
-atlanta|Atlanta|us
-san diego|San Diego|us
-washington dc|Washington DC|us
-london|London|gb
-manchester|Manchester|gb
-edinburgh|Edinburgh|gb
-dublin|Dublin|ie
-berlin|Berlin|de
-munich|Munich|de
-hamburg|Hamburg|de
-amsterdam|Amsterdam|nl
-paris|Paris|fr
-madrid|Madrid|es
-barcelona|Barcelona|es
-zurich|Zurich|ch
-warsaw|Warsaw|pl
-lisbon|Lisbon|pt
-singapore|Singapore|sg
-toronto|Toronto|ca
-vancouver|Vancouver|ca
-sydney|Sydney|au
-melbourne|Melbourne|au
-dubai|Dubai|ae
-tokyo|Tokyo|jp
-sao paulo|São Paulo|br
-mexico city|Mexico City|mx
-cape town|Cape Town|za
-tel aviv|Tel Aviv|il
-"""
-CITIES = [tuple(row.split("|")) for row in CITY_ROWS.strip().split("\n")]
+# alias, display name, country
+CITIES = [
+    ("bangalore", "Bangalore", "in"),
+    ("bengaluru", "Bangalore", "in"),
+    ("hyderabad", "Hyderabad", "in"),
+    ("mumbai", "Mumbai", "in"),
+    ("bombay", "Mumbai", "in"),
+    ("delhi", "Delhi", "in"),
+    ("new delhi", "Delhi", "in"),
+    ("ncr", "Delhi NCR", "in"),
+    ("delhi ncr", "Delhi NCR", "in"),
+    ("gurgaon", "Gurgaon", "in"),
+    ("gurugram", "Gurgaon", "in"),
+    ("noida", "Noida", "in"),
+    ("pune", "Pune", "in"),
+    ("chennai", "Chennai", "in"),
+    ("kolkata", "Kolkata", "in"),
+    ("ahmedabad", "Ahmedabad", "in"),
+    ("jaipur", "Jaipur", "in"),
+    ("kochi", "Kochi", "in"),
+    ("coimbatore", "Coimbatore", "in"),
+    ("indore", "Indore", "in"),
+    ("chandigarh", "Chandigarh", "in"),
+    ("trivandrum", "Trivandrum", "in"),
+    ("thiruvananthapuram", "Trivandrum", "in"),
+    ("san francisco", "San Francisco", "us"),
+    ("sf", "San Francisco", "us"),
+    ("bay area", "San Francisco Bay Area", "us"),
+    ("new york", "New York", "us"),
+    ("nyc", "New York", "us"),
+    ("seattle", "Seattle", "us"),
+    ("austin", "Austin", "us"),
+    ("boston", "Boston", "us"),
+    ("chicago", "Chicago", "us"),
+    ("los angeles", "Los Angeles", "us"),
+    ("denver", "Denver", "us"),
+    ("atlanta", "Atlanta", "us"),
+    ("san diego", "San Diego", "us"),
+    ("washington dc", "Washington DC", "us"),
+    ("london", "London", "gb"),
+    ("manchester", "Manchester", "gb"),
+    ("edinburgh", "Edinburgh", "gb"),
+    ("dublin", "Dublin", "ie"),
+    ("berlin", "Berlin", "de"),
+    ("munich", "Munich", "de"),
+    ("hamburg", "Hamburg", "de"),
+    ("amsterdam", "Amsterdam", "nl"),
+    ("paris", "Paris", "fr"),
+    ("madrid", "Madrid", "es"),
+    ("barcelona", "Barcelona", "es"),
+    ("zurich", "Zurich", "ch"),
+    ("warsaw", "Warsaw", "pl"),
+    ("lisbon", "Lisbon", "pt"),
+    ("singapore", "Singapore", "sg"),
+    ("toronto", "Toronto", "ca"),
+    ("vancouver", "Vancouver", "ca"),
+    ("sydney", "Sydney", "au"),
+    ("melbourne", "Melbourne", "au"),
+    ("dubai", "Dubai", "ae"),
+    ("tokyo", "Tokyo", "jp"),
+    ("sao paulo", "São Paulo", "br"),
+    ("mexico city", "Mexico City", "mx"),
+    ("cape town", "Cape Town", "za"),
+    ("tel aviv", "Tel Aviv", "il"),
+]
 
 REMOTE_TERMS = ["remote", "work from home", "wfh", "anywhere", "fully remote", "remote only"]
 HYBRID_TERMS = ["hybrid", "onsite", "on-site", "in office", "in-office"]
