@@ -120,7 +120,8 @@ def shared_columns(texts: DataFrame, k: int, percent: int, blocks: int) -> DataF
                     out.append(_row(SINGLES, block=r["block"], chunk=r["chunk"], table=False, tokens=squeeze(part[shared], True), counts=squeeze(total[lo:hi][shared]), owners=squeeze(owners[shared])))
         return pa.Table.from_batches(out)
 
-    return texts.mapInArrow(ask, SINGLES).groupBy("block").applyInArrow(answer, SINGLES)
+    # about one block to a partition, so that what a task reads does not grow with the input
+    return texts.mapInArrow(ask, SINGLES).repartition(2 * blocks, "block").groupBy("block").applyInArrow(answer, SINGLES)
 
 
 def _row(kinds: str, **values) -> pa.RecordBatch:

@@ -193,7 +193,8 @@ def repeat_spans(keyed: DataFrame, window: int = WINDOW, group: int = GROUP, chu
         return pa.table([pa.array(ids[docs]), pa.array(texts[docs]), pa.array(parts, pa.binary())], ["id", "text_hash", "spans"])
 
     routed = keyed.mapInArrow(route, ROUTED_KINDS)
-    met = routed.groupBy("block").applyInArrow(meet, ROUTED_KINDS)
+    # about one group to a partition, so that what a task reads does not grow with the input
+    met = routed.repartition(2 * blocks, "block").groupBy("block").applyInArrow(meet, ROUTED_KINDS)
     spans = met.groupBy("chunk").applyInArrow(gather, "id long, text_hash long, spans binary")
     return spans.groupBy("id", "text_hash").agg(F.first("spans").alias("spans"))
 
