@@ -15,6 +15,7 @@ from postmill.functions import urls
 from postmill.operators import contacts as con
 from postmill.operators import dedupe, relevance, store, validation
 from postmill.plans import search
+from postmill.session import shared_folder
 from postmill.streaming import streams
 
 c = F.col
@@ -555,10 +556,19 @@ def _(spark, sf):
 # --- streams -----------------------------------------------------------------------------
 
 
-def stream(spark, sf, text: str):
-    """The events table as a stream of files, shaped by a select list."""
+def stream(spark, sf, text: str, late: bool = True):
+    """The events table as files that arrive one after the other, a batch each, shaped by a select list.
+
+    With ``late`` some of the first events come with the last file.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    source = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events, folder = table(spark, sf, "events"), shared_folder(spark, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    third = (c("event_id") - low) * 3 / (high - low + 1)
+    arrival = F.when((c("event_id") % 97 == 0) & F.lit(late), F.lit(2)).otherwise(F.floor(third))
+    for number in range(3):
+        events.filter(arrival == number).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     return source.selectExpr(*text.split(";"))
 
 
@@ -580,7 +590,7 @@ def drain(df, spark, name: str, mode: str = "append"):
     """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS client, count(*) AS events FROM events GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    counted = streams.stream_event_counts(stream(spark, sf, "user_id AS client;CAST(ts AS TIMESTAMP) AS ts"), "1 hour", "1 hour")
+    counted = streams.stream_event_counts(stream(spark, sf, "user_id AS client;CAST(ts AS TIMESTAMP) AS ts"), "1 hour", "40 days")
     out = drain(counted, spark, "counts", "update")
     # In update mode the newest row of a window is its count.
     out = out.groupBy("window_start", "client").agg(F.max_by("events", "b").alias("events"))
@@ -601,7 +611,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     tags = "CASE event_type WHEN 'error' THEN 'rejected' WHEN 'click' THEN 'validated' WHEN 'signup' THEN 'contact' WHEN 'view' THEN 'duplicate' ELSE 'unverified' END AS stage"
-    out = drain(streams.stream_funnel(stream(spark, sf, f"user_id % 10 AS query_id;CAST(ts AS TIMESTAMP) AS ts;{tags}")), spark, "funnel", "update")
+    out = drain(streams.stream_funnel(stream(spark, sf, f"user_id % 10 AS query_id;CAST(ts AS TIMESTAMP) AS ts;{tags}"), delay="40 days"), spark, "funnel", "update")
     last = out.groupBy("window_start", "query_id").agg(F.max_by(F.struct("raw_found", "rejected", "validated", "contacts_found"), "b").alias("x"))
     return last.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "query_id", "x.*")
 
@@ -617,7 +627,7 @@ def _(spark, sf):
         "ELSE CASE event_type WHEN 'view' THEN 'SAVED' WHEN 'click' THEN 'APPLIED' WHEN 'signup' THEN 'OUTREACH_SENT' WHEN 'purchase' THEN 'OFFER' ELSE 'REJECTED' END END AS new_status"
     )
     out = drain(streams.stream_application_state(stream(spark, sf, text)), spark, "state", "update")
-    return out.groupBy("application_id").agg(F.max_by(F.struct("status", "outreach_status", "date_applied_us", "outreach_sent_us"), "last_seq").alias("x")).select("application_id", "x.*")
+    return out.groupBy("application_id").agg(F.max_by(F.struct("status", "outreach_status", "date_applied_us", "outreach_sent_us"), "b").alias("x")).select("application_id", "x.*")
 
 
 @query(
@@ -625,7 +635,7 @@ def _(spark, sf):
     "SELECT user_id % 5 AS user_id, 'https://x.example/' || CAST(event_id % 700 AS VARCHAR) AS canonical_url, arg_max(event_type, event_id) AS title FROM events GROUP BY 1, 2",
 )
 def _(spark, sf):
-    rows = stream(spark, sf, "user_id % 5 AS user_id;concat('https://x.example/', CAST(event_id % 700 AS STRING)) AS canonical_url;event_type AS title;event_id AS ord;CAST(false AS BOOLEAN) AS is_saved")
+    rows = stream(spark, sf, "user_id % 5 AS user_id;concat('https://x.example/', CAST(event_id % 700 AS STRING)) AS canonical_url;event_type AS title;event_id AS ord;CAST(false AS BOOLEAN) AS is_saved", late=False)
     folder = streams.checkpoint_folder(spark, "ingest")
     q = streams.stream_ingest_upsert(rows, f"{folder}/jobs", as_of(), f"{folder}/cp").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from postmill import fixed
 from postmill.operators import store
@@ -89,49 +90,57 @@ def stream_funnel(stream: DataFrame, width: str = "1 day", delay: str = "1 day")
 
 # --- application state ----------------------------------------------------------------
 
-_STATE = StructType(
-    [
-        StructField("status", StringType()),
-        StructField("outreach_status", StringType()),
-        StructField("date_applied", LongType()),
-        StructField("outreach_sent_at", LongType()),
-        StructField("last_change", LongType()),
-    ]
-)
+_STATE = StructType([StructField("folded", StringType())])
 STATE_OUTPUT = (
     "application_id bigint, status string, outreach_status string, date_applied_us bigint, outreach_sent_us bigint, "
-    "last_change_us bigint, last_seq bigint"
+    "last_change_us bigint"
 )
 
 
 class ApplicationFold(StatefulProcessor):
-    """Keeps the current state of each application; events arrive in seq order across batches."""
+    """Keeps what decides each application's state; events may arrive in any order.
+
+    Kept are the newest status, the first status that means an application went
+    in, the newest stated outreach and reset, and what was sent since that
+    reset. Each is a newest or an oldest of its kind, so a late event falls into
+    its place, and rows are taken chunk by chunk.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("application", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("seq")
-        status, outreach, applied, sent, changed = (
-            self.state.get() if self.state.exists() else ("SAVED", "NOT_STARTED", None, None, None)
-        )
-        for kind, new, at in zip(events["event_type"], events["new_status"], events["ts_us"], strict=True):
-            at = int(at)
-            if kind == "STATUS_CHANGED":
-                status, changed = new, at
-                applied = at if applied is None and new in fixed.APPLIED_STATUSES else applied
-                if new == "OUTREACH_SENT":
-                    outreach = "EMAIL_SENT" if outreach == "NOT_STARTED" else outreach
-                    sent = at if sent is None else sent
-            else:
-                outreach = new
-                sent = None if new == "NOT_STARTED" else (at if sent is None else sent)
-        self.state.update((status, outreach, applied, sent, changed))
+        kept = json.loads(self.state.get()[0]) if self.state.exists() else {"reset": -1, "sent": []}
+
+        def newest(name: str, part: pd.DataFrame, pick=max) -> None:
+            if len(part):
+                row = part.loc[part["seq"].idxmax() if pick is max else part["seq"].idxmin()]
+                found = [int(row["seq"]), row["new_status"], int(row["ts_us"])]
+                kept[name] = pick(kept[name], found) if name in kept else found
+
+        for part in rows:
+            status = part["event_type"] == "STATUS_CHANGED"
+            new = part["new_status"]
+            newest("status", part[status])
+            newest("applied", part[status & new.isin(fixed.APPLIED_STATUSES)], min)
+            newest("stated", part[~status])
+            resets = part.loc[~status & (new == "NOT_STARTED"), "seq"]
+            kept["reset"] = max(kept["reset"], int(resets.max()) if len(resets) else -1)
+            mailed = status & (new == "OUTREACH_SENT")
+            sent = part[mailed | (~status & (new != "NOT_STARTED"))]
+            kept["sent"] += [[int(q), int(t), bool(m)] for q, t, m in zip(sent["seq"], sent["ts_us"], mailed[sent.index], strict=True)]
+            kept["sent"] = sorted(x for x in kept["sent"] if x[0] > kept["reset"])
+        self.state.update((json.dumps(kept),))
+        stated = kept["stated"][1] if "stated" in kept else "NOT_STARTED"
+        if stated == "NOT_STARTED" and any(m for _, _, m in kept["sent"]):
+            stated = "EMAIL_SENT"
+        last = kept.get("status", [None, "SAVED", None])
         yield pd.DataFrame(
             {
-                "application_id": [int(key[0])], "status": [status], "outreach_status": [outreach],
-                "date_applied_us": pd.array([applied], "Int64"), "outreach_sent_us": pd.array([sent], "Int64"),
-                "last_change_us": pd.array([changed], "Int64"), "last_seq": [int(events["seq"].iloc[-1])],
+                "application_id": [int(key[0])], "status": [last[1]], "outreach_status": [stated],
+                "date_applied_us": pd.array([kept.get("applied", [None] * 3)[2]], "Int64"),
+                "outreach_sent_us": pd.array([kept["sent"][0][1] if kept["sent"] else None], "Int64"),
+                "last_change_us": pd.array([last[2]], "Int64"),
             }
         )
 
@@ -140,7 +149,7 @@ class ApplicationFold(StatefulProcessor):
 
 
 def stream_application_state(stream: DataFrame) -> DataFrame:
-    """Current state of every application touched, after each batch.
+    """Current state of every application touched, after each batch; late events count in their place.
 
     The stream has application_id, seq, ts, event_type, new_status.
     """
