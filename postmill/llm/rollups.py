@@ -119,11 +119,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = checkpoint(count_tokens(docs))
     judged = counts.join(labels, "doc_id")
     poor = judged.filter("toxic = 0 and quality = 0")
-    cleaned = docs.withColumn("text", F.regexp_replace("text", "[#%*&$]{3}", "")).join(labels.filter("toxic = 0 and quality = 0"), "doc_id", "left_semi")
+    # only counts are joined, never texts; a text without marks keeps its count
+    cleaned = docs.withColumn("text", F.regexp_replace("text", "[#%*&$]{3}", "")).filter(~F.col("text").eqNullSafe(docs["text"]))
+    anew = count_tokens(cleaned).groupBy("doc_id").agg(F.min("n_tokens").alias("anew"))
+    revised = poor.join(anew, "doc_id", "left").withColumn("n_tokens", F.coalesce("anew", "n_tokens"))
     rollup = TokenRollup(spark, shared_folder(spark, "rollup"))
     for _ in range(2):
         rollup.commit("insert", inserts(counts))
         rollup.commit("delete", deletes(judged.filter("toxic = 1")))
-        rollup.commit("revise", revisions(poor, count_tokens(cleaned)))
+        rollup.commit("revise", revisions(poor, revised))
     rollup.compact()
     return rollup.totals()
