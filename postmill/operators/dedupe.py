@@ -99,14 +99,15 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text: str, threshold: float
 
     Exact, by prefix filtering: two sets this similar must share one of each
     set's rarest ``n - ceil(threshold * n) + 1`` tokens, so only those are
-    joined. Rows with one and the same token set are first collapsed to their
+    joined, and the places of the first one they share must leave room for the
+    overlap that their sizes ask for. Tokens travel as 64-bit hashes. Rows with one and the same token set are first collapsed to their
     smallest id; each copy is paired with that id once (Jaccard 1) and does not
     take part in the join, so a large group of copies costs one row per copy.
     """
-    sets = df.select(F.col(id_col).alias("id"), F.array_sort(tx.token_set(F.col(text))).alias("toks")).filter(
+    sets = df.select(F.col(id_col).alias("id"), F.array_sort(F.transform(tx.token_set(F.col(text)), lambda t: F.xxhash64(t))).alias("toks")).filter(
         F.size("toks") > 0
     )
-    keyed = sets.withColumn("set_key", F.sha2(F.array_join("toks", " "), 256))
+    keyed = sets.withColumn("set_key", F.sha2(F.to_json("toks"), 256))
     groups = keyed.groupBy("set_key").agg(F.min("id").alias("id"), F.min_by("toks", "id").alias("toks"))
     groups = checkpoint(groups.select("id", "set_key", "toks"))
     copies = (
@@ -123,14 +124,17 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text: str, threshold: float
         words.join(frequency, "tok")
         .groupBy("id", "n")
         .agg(F.array_sort(F.collect_list(F.struct("freq", "tok"))).alias("ranked"))
-        .select("id", "n", F.explode(F.slice("ranked", F.lit(1), keep.cast("int"))).alias("r"))
-        .select("id", "n", F.col("r.tok").alias("tok"), F.col("r.freq").alias("freq"))
+        .select("id", "n", F.posexplode(F.slice("ranked", F.lit(1), keep.cast("int"))).alias("at", "r"))
+        .select("id", "n", "at", F.col("r.tok").alias("tok"), F.col("r.freq").alias("freq"))
         .filter("freq > 1")
     )
-    a = prefix.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "tok")
-    b = prefix.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "tok")
+    a = prefix.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), "tok")
+    b = prefix.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "tok")
     near_size = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
-    candidates = a.join(b, "tok").filter((F.col("id_a") < F.col("id_b")) & near_size).select("id_a", "id_b").distinct()
+    # the first token a pair shares leaves this much for the overlap, and its sizes need that much
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
+    candidates = a.join(b, "tok").filter((F.col("id_a") < F.col("id_b")) & near_size & (room >= needed)).select("id_a", "id_b").distinct()
     ratio: Column = tx.overlap_ratio(F.col("toks_a"), F.col("toks_b"))
     checked = (
         candidates.join(groups.select(F.col("id").alias("id_a"), F.col("toks").alias("toks_a")), "id_a")
