@@ -594,7 +594,8 @@ _range = """SELECT {0} AS id, CASE WHEN {0} % 7 > 0 THEN CAST({0} % 12 AS DOUBLE
 
 @query(
     "experience_overlap_join",
-    f"""SELECT a.id AS left_id, b.id AS right_id FROM ({_range.format('c_custkey', 'customer')}) a JOIN ({_range.format('s_suppkey', 'supplier')}) b ON a.low <= b.high AND b.low <= a.high""",
+    f"""SELECT a.low, a.high, b.low AS low_b, b.high AS high_b, count(DISTINCT a.id) AS left_rows, count(DISTINCT b.id) AS right_rows
+        FROM ({_range.format('c_custkey', 'customer')}) a JOIN ({_range.format('s_suppkey', 'supplier')}) b ON a.low <= b.high AND b.low <= a.high GROUP BY 1, 2, 3, 4""",
 )
 def _(spark, sf):
     return relevance.experience_overlap_join(

@@ -190,13 +190,9 @@ def robots_join(urls_df: DataFrame, robots: DataFrame, rules: DataFrame, as_of:
         ),
     )
     keyed = urls_df.withColumns({"origin": origin(F.col("url")), "_path": path})
-    distinct_paths = keyed.select("origin", "_path").distinct()
-    first_rule = (
-        distinct_paths.join(rules, "origin")
-        .filter(F.startswith(F.col("_path"), F.col("prefix")))
-        .groupBy("origin", "_path")
-        .agg(F.min_by("allow", "rule_ord").alias("_rule"))
-    )
+    # a policy's rules are one short array, so an address never becomes a row per rule
+    ruled = rules.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("rule_ord", "prefix", "allow"))).alias("_rules"))
+    first_rule = F.get(F.filter("_rules", lambda r: F.startswith(F.col("_path"), r["prefix"])), 0)["allow"]
     status = F.col("policy.status")
     reason = (
         F.when(F.col("policy").isNull(), F.lit("robots.txt not fetched recently"))
@@ -208,11 +204,12 @@ def robots_join(urls_df: DataFrame, robots: DataFrame, rules: DataFrame, as_of:
     )
     return (
         keyed.join(newest, "origin", "left")
-        .join(first_rule, ["origin", "_path"], "left")
+        .join(ruled, "origin", "left")
+        .withColumn("_rule", first_rule)
         .withColumn("reason", reason)
         .withColumn("allowed", F.col("reason").isin("robots.txt parsed", "no robots.txt (404)"))
         .withColumn("crawl_delay", F.col("policy.crawl_delay"))
-        .drop("policy", "_path", "_rule")
+        .drop("policy", "_path", "_rule", "_rules")
     )
 
 

@@ -415,24 +415,21 @@ def alias_containment_join(left: DataFrame, aliases: DataFrame, text_col: str) -
 
 
 def experience_overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (left_id, right_id) whose closed year ranges meet.
+    """Pairs of different closed year ranges that meet: low, high, low_b, high_b, left_rows, right_rows.
 
     Both sides have (id, low, high), NULL bounds for unknown, which never
-    match. Rows of equal bounds are collapsed first: there are few distinct
-    ranges, so the range test runs on those and not on rows.
+    match. Rows of equal bounds are one range with its number of rows, so no
+    pairs of rows are formed; a row belongs to the range of its own bounds.
     """
-    a = left.filter("low IS NOT NULL").select(F.col("id").alias("left_id"), "low", "high")
-    b = right.filter("low IS NOT NULL").select(F.col("id").alias("right_id"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
 
-    def years(low: str, high: str) -> Column:
-        return F.explode(F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int"))).alias("year")
+    def ranges(side: DataFrame, low: str, high: str, rows: str) -> DataFrame:
+        known = side.filter("low IS NOT NULL AND high IS NOT NULL")
+        counted = known.groupBy(F.col("low").alias(low), F.col("high").alias(high)).agg(F.count("*").alias(rows))
+        years = F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int"))
+        return counted.select("*", F.explode(years).alias("year"))
 
-    ra = a.select("low", "high").distinct().select("*", years("low", "high"))
-    rb = b.select("low_b", "high_b").distinct().select("*", years("low_b", "high_b"))
-    meeting = (
-        ra.join(rb, "year").filter("low <= high_b AND low_b <= high").select("low", "high", "low_b", "high_b").distinct()
-    )
-    return a.join(meeting, ["low", "high"]).join(b, ["low_b", "high_b"]).select("left_id", "right_id")
+    a, b = ranges(left, "low", "high", "left_rows"), ranges(right, "low_b", "high_b", "right_rows")
+    return a.join(b, "year").filter("low <= high_b AND low_b <= high").drop("year").distinct()
 
 
 def company_equi_join(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
