@@ -37,6 +37,8 @@ DEAD_NAMES = re.compile(
     r"signup|login|share|sharing|social|related|recommend\w*|sidebar|widget|breadcrumbs?|menu|nav|navbar|navigation|footer|header|masthead|comments?|commentlist|disqus|respond|replies|"
     r"pagination|pager|toolbar|paywall|disclaimer|teaser|hidden)(?:$|[\s_-])", re.I,
 )
+#: Names that say what stands beside an element
+LAYOUT = re.compile(r"\b(?:has|with|no|without)[-_][\w-]+", re.I)
 PIECE = re.compile(rf"<!--(?:.*?-->|.*\Z)|<({'|'.join(RAW)})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Where no page labels itself
@@ -65,7 +67,7 @@ def _is_dead(name: str, raw: str) -> bool:
     if not raw or name in ("html", "body", *LANDMARKS):
         return False
     known = _attributes(raw)
-    return "hidden" in known or known.get("aria-hidden", "").lower() == "true" or known.get("role", "").lower() in DEAD_ROLES or any(DEAD_NAMES.search(known.get(k, "")) for k in ("class", "id"))
+    return "hidden" in known or known.get("aria-hidden", "").lower() == "true" or known.get("role", "").lower() in DEAD_ROLES or any(DEAD_NAMES.search(LAYOUT.sub("", known.get(k, ""))) for k in ("class", "id"))
 
 
 def read_page(page: str) -> list[tuple[str, str, str, bool, bool]]:

@@ -33,7 +33,7 @@ STORY = " ".join(["A sentence of the story with <b>bold</b> and <a href='x'>link
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p > b {{}}</style></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a>Home</a><li><a>News</a></ul></nav>
 <div class="cookie-notice">We use cookies and more cookies to make this page work for you today.</div>
-<div id="content"><h1>Head &amp; line</h1><p>{STORY}
+<div id="content" class="page with-sidebar"><h1>Head &amp; line</h1><p>{STORY}
 <div class="ad-box">Buy it now, buy it here, buy it soon, buy it all.</div><p>Second&nbsp;&#233;&eacute; {STORY}</p>
 <script>if (a < b) document.write("<p>no</p>")</script><!-- <p>no</p> --><p>Third {STORY}</div>
 <section id="comments"><p>I liked it very much and want to tell you so at length, dear people.</p></section>
