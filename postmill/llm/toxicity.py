@@ -36,10 +36,11 @@ from postmill.session import checkpoint
 SAMPLE = 40_000
 TOKENS = 20_000
 STEMS = range(3, 9)
-#: Words (or texts) of prior evidence, dealt out by frequency; a token gets LEAST at least.
-PRIOR = 500.0
+#: Words and texts of prior evidence, dealt out by frequency; a token gets LEAST at least.
+PRIOR_WORDS = 500.0
+PRIOR_TEXTS = 20.0
 LEAST = 1.0
-TEXTS = 3
+TEXTS = 4
 SIGMAS = 2.9
 STRONG = 1.5
 SAME = 0.95
@@ -170,10 +171,10 @@ def _counts(rows: DataFrame, keep: set[str] | None) -> DataFrame:
     return rows.select("text").mapInArrow(count, "token string, n long, texts long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
-def log_odds(y1: float, n1: float, y0: float, n0: float) -> tuple[float, float]:
+def log_odds(y1: float, n1: float, y0: float, n0: float, prior: float) -> tuple[float, float]:
     """Log-odds ratio under Dirichlet priors, and its number of standard errors."""
-    a = max(PRIOR * (y0 + y1) / (n0 + n1), LEAST)
-    delta = math.log((y1 + a) / max(1, n1 + PRIOR - y1 - a)) - math.log((y0 + a) / max(1, n0 + PRIOR - y0 - a))
+    a = max(prior * (y0 + y1) / (n0 + n1), LEAST)
+    delta = math.log((y1 + a) / max(1, n1 + prior - y1 - a)) - math.log((y0 + a) / max(1, n0 + prior - y0 - a))
     return delta, delta / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
 
 
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for token, (y1, d1) in toxic.items():
         y0, d0 = clean.get(token, (0, 0))
         # how sure: by texts, for one text may repeat a word; how strong: by words
-        (_, z), (delta, _) = log_odds(d1, t1, d0, t0), log_odds(y1, n1, y0, n0)
+        (_, z), (delta, _) = log_odds(d1, t1, d0, t0, PRIOR_TEXTS), log_odds(y1, n1, y0, n0, PRIOR_WORDS)
         if z > SIGMAS and delta > STRONG:
             found[token] = (z, delta, y1, y0)
     # of beginnings that stand for the same words the longest stays; then, what a stem of it does as surely adds nothing
