@@ -22,16 +22,34 @@ POSTING_COLUMNS = [
 
 
 def read_payloads(
-    spark: SparkSession, path: str, company: str | None = None, token: str | None = None
+    spark: SparkSession, path: str, company: str | None = None, token: str | None = None, boards: DataFrame | None = None
 ) -> DataFrame:
-    """One row per landed file: ``body``, ``query_url`` (the file), ``company``, ``token``."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(
-        F.col("value").alias("body"),
-        F.input_file_name().alias("query_url"),
-        F.lit(company).cast("string").alias("company"),
-        F.lit(token).cast("string").alias("token"),
+    """One row per landed file: ``body``, ``query_url`` (the file), ``company``, ``token``.
+
+    With ``boards`` (token, company) one call reads the folders of all boards,
+    such as ``root/*``: a file's token is the name of its folder, and a token the
+    table does not have is its own company's name.
+    """
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("value").alias("body"), F.input_file_name().alias("query_url")
     )
+    if boards is None:
+        return files.withColumns({"company": F.lit(company).cast("string"), "token": F.lit(token).cast("string")})
+    known = boards.groupBy("token").agg(F.min("company").alias("company"))
+    files = files.withColumn("token", F.regexp_extract("query_url", "([^/]+)/[^/]+$", 1))
+    return files.join(known, "token", "left").select(
+        "body", "query_url", F.coalesce("company", "token").alias("company"), "token"
+    )
+
+
+def unreadable(payloads: DataFrame, path: str) -> DataFrame:
+    """What a reader of the list at ``path`` passes over: query_url, reason ('body', 'list' or 'item') and n."""
+    parsed = payloads.select("query_url", F.try_parse_json("body").alias("v"))
+    listed = F.try_variant_get("v", path, "array<variant>")
+    odd = F.filter(listed, lambda x: ~F.coalesce(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), F.lit(False)))
+    reason = F.when(F.col("v").isNull(), "body").when(listed.isNull(), "list").when(F.size(odd) > 0, "item")
+    n = F.when(listed.isNull(), 1).otherwise(F.size(odd)).cast("long")
+    return parsed.select("query_url", reason.alias("reason"), n.alias("n")).filter("reason IS NOT NULL")
 
 
 # --- field access ------------------------------------------------------------------
@@ -275,10 +293,11 @@ def register_reader(name: str, reader) -> None:
 
 
 def read_source(
-    spark: SparkSession, name: str, path: str, company: str | None = None, token: str | None = None
+    spark: SparkSession, name: str, path: str, company: str | None = None, token: str | None = None,
+    boards: DataFrame | None = None,
 ) -> DataFrame:
-    """Postings of one source from a folder of landed responses."""
-    return READERS[name](read_payloads(spark, path, company, token))
+    """Postings of one source from a folder of landed responses, or from the folders of all its boards."""
+    return READERS[name](read_payloads(spark, path, company, token, boards))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

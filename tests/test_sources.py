@@ -65,6 +65,19 @@ def test_broken_bodies_give_no_rows(land):
     assert land("remotive", {"jobs": "none"}) == [] and land("arbeitnow", [1, 2]) == []
 
 
+def test_folders_of_many_boards_in_one_call(spark, tmp_path):
+    for token in ("firco", "oakhaus"):
+        (tmp_path / "in" / token).mkdir(parents=True)
+        (tmp_path / "in" / token / "a.json").write_text(json.dumps(GREENHOUSE), encoding="utf-8")
+    (tmp_path / "in" / "firco" / "b.json").write_text("{not json", encoding="utf-8")
+    (tmp_path / "in" / "firco" / "c.json").write_text('{"jobs": 5}', encoding="utf-8")
+    boards = spark.createDataFrame([("firco", "Fir & Co"), ("other", "Other")], "token string, company string")
+    rows = payloads.read_source(spark, "greenhouse", f"{tmp_path}/in/*", boards=boards).collect()
+    assert sorted((r.company_name, r.payload["board"]) for r in rows) == [("Fir & Co", "firco")] * 2 + [("oakhaus", "oakhaus")] * 2
+    bad = payloads.unreadable(payloads.read_payloads(spark, f"{tmp_path}/in/*", boards=boards), "$.jobs").collect()
+    assert sorted((r.query_url[-12:-7], r.reason, r.n) for r in bad) == [("firco", "body", 1), ("firco", "item", 1), ("firco", "list", 1), ("khaus", "item", 1)]
+
+
 def test_seed_boards_skip_bad_rows(spark, tmp_path):
     boards = {"boards": [{"company": "Fir & Co", "platform": "Greenhouse", "token": "firco"}, {"platform": "lever", "token": "oakhaus"}, {"platform": "x", "token": "y"},
                          {"platform": "ashby", "token": " "}, 7]}
