@@ -240,8 +240,9 @@ def with_views(text: str) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table, split as its files are."""
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table, split as its files are; one that scans as fewer tasks than there are cores is spread over these."""
+    rows, cores = spark.read.parquet(f"{sf}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def sql(spark: SparkSession, sf: str, text: str) -> DataFrame:
