@@ -32,6 +32,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Shingles with smaller hashes are the counted columns, for all but small sets.
 LOW = np.uint64(int(0.45 * 2**64))
+#: A set that counts low columns only has so many in common with each set it links with.
+SPARE = 4
 CHUNK = 3 << 20
 POSTINGS = 1 << 20
 ROWS = 512
@@ -72,7 +74,7 @@ def sampled(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """
     unshared = len(s) - (percent * len(s) + 99) // 100
     low = s[: np.searchsorted(s, LOW)]
-    return (low, 2 * len(low)) if len(low) >= unshared + 4 else (s, 2 * len(low) + 1)
+    return (low, 2 * len(low)) if len(low) >= unshared + SPARE else (s, 2 * len(low) + 1)
 
 
 SINGLES = "block long, chunk long, tokens binary, counts binary, owners binary, table boolean, nodes binary, sizes binary, counted binary, many binary, of binary"
@@ -152,7 +154,9 @@ def candidate_edges(texts: DataFrame, k: int, percent: int, blocks: int) -> Data
 
     A set of which too few counted columns are shared at all links with nothing and is out.
     The others post the columns among which a linked set must have one in common: the first
-    unshared + 1 of their counted columns, rarest first. Neighbours in size of a posting list
+    unshared + 1 of their counted columns, rarest first. A set that counts all columns meets
+    one that counts the low ones by its shared low columns but the SPARE - 1 last, whether or
+    not its other columns are shared. Neighbours in size of a posting list
     are joined where their sizes allow a link; any pair of the list that does lies on such a
     chain. A chunk joins its own sets and posts one set of each size.
     """
@@ -179,10 +183,13 @@ def candidate_edges(texts: DataFrame, k: int, percent: int, blocks: int) -> Data
             mine, unshared = token[at[i] : at[i + 1]], int(sizes[i]) - (percent * int(sizes[i]) + 99) // 100
             low, all_columns = int(counted[i]) >> 1, counted[i] & 1
             columns = int(sizes[i]) if all_columns else low
-            if len(mine) < columns - unshared:
+            # what a set that counts low columns only has in common with this one shows among the low ones alone
+            parts = [own[: len(own) - SPARE + 1] for own in [mine[mine < LOW]] if all_columns and len(own) >= SPARE]
+            if len(mine) >= columns - unshared:
+                parts.append(mine[: unshared + 1 - (columns - len(mine))])
+            if not parts:
                 continue
-            mine = [mine[: unshared + 1 - (columns - len(mine))]] + [own[: max(0, unshared + 1 - (low - len(own)))] for own in [mine[mine < LOW]] if all_columns]
-            mine = np.unique(np.concatenate(mine))
+            mine = np.unique(np.concatenate(parts))
             posted.append(mine)
             by.append(np.full(len(mine), i))
         token, owner = np.concatenate(posted), np.concatenate(by)

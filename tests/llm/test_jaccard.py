@@ -75,3 +75,19 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1000)] + [(5000, 5001)], "a long, b long")
     got = {r.node: r.root for r in connected(edges).collect()}
     assert got == {i: 0 for i in range(1001)} | {5000: 5000, 5001: 5000}
+
+
+def test_small_near_copies_are_found_whichever_columns_they_count(spark):
+    """Pairs of 8 to 60 shingles around the threshold: one may count its low columns, the other all."""
+    rng, docs = random.Random(7), []
+    for pair in range(400):
+        words = [f"p{pair}_{i}_{rng.randrange(10**6)}" for i in range(rng.randrange(12, 65))]
+        n = len(words) - 4
+        lost, more = rng.randrange(0, max(2, n // 6)), rng.randrange(0, max(2, n // 6))
+        docs += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(words[lost:] + [f"m{pair}_{i}" for i in range(more)]))]
+    want = brute(docs)
+    linked = sum(c != d for d, (_, c) in want.items())
+    assert 100 < linked < 400
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for postings in (1 << 20, 2000):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, postings=postings).collect()} == want
