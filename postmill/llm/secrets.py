@@ -4,8 +4,9 @@ The patterns find assigned values, access keys and long hexadecimal strings. Bey
 value in a credential context (a word such as pwd or passphrase, then a separator) is judged
 by the cost to guess it: over all ways to cut it into dictionary words, dates, repeats,
 keyboard walks and brute-force characters, dynamic programming finds the fewest guesses. A
-value that takes GUESSES or more is a secret too. Each text is read on its own, so nothing
-is shuffled.
+value that takes GUESSES or more is a secret too. In prose ("the password is ...") it must also
+be of two classes of characters, as any long word may follow there. Each text is read on its
+own, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ VALUE_LENGTH = 8
 KINDS = ("assign", "access", "hex", "guess")
 
 CONTEXT = re.compile(
-    r"""\b(?i:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|secret[_ -]?key|private[_ -]?key|client[_ -]?secret|auth(?:orization|[_ -]?token)?|bearer|credentials?|login|pin)"""
-    r"""["']?(?:\s{0,8}(?:[:=]|=>|:=)\s{0,8}(?:(?i:bearer|basic)\s)?|\s{1,8}(?i:is|was|bearer|basic)\s{1,8})["'`]?([^\s"'`<>]+)"""
+    r"""(?i:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|secret[_ -]?key|private[_ -]?key|client[_ -]?secret|auth(?:orization|[_ -]?token)?|bearer|credentials?|login|pin)"""
+    r"""["']?(?:\s{0,8}(?:=>|:=|[:=])\s{0,8}(?:(?i:bearer|basic)\s)?|\s{1,8}(?i:bearer|basic|(?P<prose>is|was))\s{1,8})["'`]?(?P<value>[^\s"'`<>]+)"""
 )
+#: No context is longer than so many characters up to its value.
+REACH = 64
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "login", "pin")
 GUESSES = 9.0
 
@@ -116,10 +119,16 @@ def guess_cost(value: str, ranks: dict[str, int] = RANKS) -> tuple[float, list[t
 
 
 def mixed(value: str) -> bool:
-    """Characters of two classes at least: plain words are no secrets, however long."""
+    """Characters of two classes at least: what is asked of values in prose."""
     return (any(c.isdigit() for c in value) + any(c.islower() for c in value) + any(c.isupper() for c in value[1:]) + any(not c.isalnum() for c in value[:-1])) > 1
 
 
+def named(text: str, start: int, end: int) -> bool:
+    """Whether what stands there ends in the name of a value that follows."""
+    m = CONTEXT.search(text, start, end + REACH)
+    return bool(m) and m.start() < end < m.start("value") and any(c in ":=" for c in text[end : m.start("value")])
+
+
 def secret_spans(text: str | None, guesses: float = GUESSES) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as in KINDS; code points, end exclusive."""
     text = text or ""
@@ -131,12 +140,16 @@ def secret_spans(text: str | None, guesses: float = GUESSES) -> list[tuple[int,
         out += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     out += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if any(w in folded for w in HINTS):
-        taken = list(out)
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".,;:!?)]}")
-            start, end = m.start(1), m.start(1) + len(value)
-            if len(value) >= VALUE_LENGTH and mixed(value) and not any(a < end and start < b for a, b, _ in taken) and guess_cost(value)[0] >= guesses:
+        at = 0
+        while m := CONTEXT.search(text, at):
+            value = m["value"].rstrip(".,;:!?)]}")
+            start, end = m.start("value"), m.start("value") + len(value)
+            taken = [b for a, b, _ in out if a < end and start < b]
+            if not taken and len(value) >= VALUE_LENGTH and (mixed(value) or not m["prose"]) and not named(text, start, end) and guess_cost(value)[0] >= guesses:
                 out.append((start, end, "guess"))
+                taken = [end]
+            # the next context may begin in this value, and in what was found only where its own value lies behind it
+            at = max([start, *(b - REACH for b in taken)])
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

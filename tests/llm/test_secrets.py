@@ -77,3 +77,16 @@ def test_odd_rows(spark):
     assert got == [(-1, 1), (1, 0), (2, 0), (3, 1), (3, 1)]
     assert scan_secrets(docs.limit(0)).count() == 0
     assert guess_cost("aB3" * 20_000)[0] > 1000
+
+
+def test_cost_decides_on_values_of_one_class_and_after_longer_names():
+    for text, value in (
+        ("passphrase: xkqvzjwtphmd", "xkqvzjwtphmd"), ("passcode => 839104726518", "839104726518"), ("pwd := xkqvzjwtphmd.", "xkqvzjwtphmd"),
+        ("DB_PWD=aB3$kd92Lx", "aB3$kd92Lx"), ("userPassphrase: gT7#kw9Qz!x4", "gT7#kw9Qz!x4"), ("x2pin='XKQVZJWTPHMD'", "XKQVZJWTPHMD"),
+        ("spin: passphrase: xkqvzjwtphmd", "xkqvzjwtphmd"), ("token=my_secret:aB3$kd92Lx", "aB3$kd92Lx"), ("auth bearer xkqvzjwtphmd", "xkqvzjwtphmd"),
+    ):
+        assert [text[a:b] for a, b, k in secret_spans(text) if k == "guess"] == [value], text
+    for text in ("passphrase: monkeymonkey", "pin: 1234567890", "my login was straightforward", "a compass is indispensable", "pass: aaaaaaaaaaaaaaaa"):
+        assert secret_spans(text) == [], text
+    many = "token=" * 50_000
+    assert redact(f"pwd: {many}") == "pwd: [SECRET]"
