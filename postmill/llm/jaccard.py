@@ -265,28 +265,23 @@ def link_forest(candidates: DataFrame, percent: int) -> DataFrame:
     return candidates.groupBy("bucket", "i", "j").applyInArrow(product, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, postings: int = POSTINGS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of docs.
-
-    Two documents link when 100 * shared >= percent * united distinct shingles of k words
-    (A-Z lower-cased). Texts with fewer words are one shingle; null, empty and blank texts
-    are linked with nothing and are their own component. Equal sets are linked, so repeated
-    rows and ties share a component. A row without an id takes part; its component_id is the
-    smallest id there is, or null. An empty table gives no rows; other columns are not read.
-    """
+def _placed(docs: DataFrame, k: int, percent: int, rows: int, postings: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles and root (null without words) of every row of docs; linked rows share a root."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def sign(batches):
         for batch in batches:
             sets = [shingles(h, k) for h in documents(batch, "text", fold_case=True)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "text_hash", "n_shingles", "node"])
 
-    signed = checkpoint(texts.mapInArrow(sign, "doc_id long, n_shingles long, node long"))
+    hashed = texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    signed = checkpoint(hashed.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, node long"))
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     clusters = connected(candidate_edges(texts.select("text"), k, percent, max(1, math.ceil(total / 2 / postings))))
     sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
-    owners = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = clusters.join(sizes, "root").join(owners, "node").select("doc_id", "node", "root", "m")
+    # a set is spelled from its row with the smallest id; one whose rows have no ids, by the hash of a text
+    owners = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
+    wanted = clusters.join(sizes, "root").join(owners, "node").select("doc_id", "text_hash", "node", "root", "m")
 
     def spell(batches):
         for batch in batches:
@@ -295,7 +290,11 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
                 if set_id(s) == batch.column("node")[i].as_py():
                     yield pa.record_batch([*(batch.column(c).slice(i, 1) for c in ("node", "root", "m")), pa.array([squeeze(s, True)])], ["node", "root", "m", "shingles"])
 
-    spelled = texts.filter("doc_id is not null").join(wanted, "doc_id").select("text", "node", "root", "m").mapInArrow(spell, "node long, root long, m long, shingles binary")
+    kept = ("text", "node", "root", "m")
+    with_id = texts.filter("doc_id is not null").join(wanted.drop("text_hash"), "doc_id").select(*kept)
+    without = hashed.filter("doc_id is null").join(wanted.filter("doc_id is null").drop("doc_id"), "text_hash")
+    without = without.groupBy("node", "root", "m").agg(F.min("text").alias("text")).select(*kept)
+    spelled = with_id.unionByName(without).mapInArrow(spell, "node long, root long, m long, shingles binary")
     # small clusters go together, a large one as pairs of blocks of rows
     blocks = F.ceil(F.col("m") / rows)
     salt = F.pmod(F.xxhash64("node"), blocks)
@@ -304,19 +303,37 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     paired = spelled.select("node", "shingles", F.when(blocks == 1, total).otherwise(-1 - F.abs("root")).alias("bucket"), salt.alias("s"), other)
     forest = link_forest(paired.select("bucket", F.least("s", "other").alias("i"), F.greatest("s", "other").alias("j"), "node", "shingles"), percent)
     components = connected(forest)
-    placed = signed.join(components, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("root"))
+    return signed.join(components, "node", "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("root"))
+
+
+def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, postings: int = POSTINGS) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of docs.
+
+    Two documents link when 100 * shared >= percent * united distinct shingles of k words
+    (A-Z lower-cased). Texts with fewer words are one shingle; null, empty and blank texts
+    are linked with nothing and are their own component. Equal sets are linked, so repeated
+    rows and ties share a component. A row without an id takes part; its component_id is the
+    smallest id there is, or null. An empty table gives no rows; other columns are not read.
+    """
+    placed = _placed(docs, k, percent, rows, postings)
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without all but the smallest doc_id of each component.
+    """The rows of docs, all columns, but of each component only the row of the smallest doc_id, then text hash.
 
-    Of rows that share an id one stays; rows without an id stay.
+    Rows without an id come last. Rows of one id whose texts do not link all stay. Texts
+    without words link with nothing; of those that share an id and the text one stays.
     """
-    copies = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    placed = _placed(docs, SHINGLE, PERCENT, ROWS, POSTINGS).filter("root is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = placed.groupBy("root").agg(F.min(place).alias("first"))
+    copies = placed.join(first, "root").filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash").distinct()
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
+    left = keyed.join(copies.toDF("__a", "__b"), F.col("__id").eqNullSafe(F.col("__a")) & (F.col("__text") == F.col("__b")), "left_anti")
+    alone = F.col("__id").isNull() & ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^ \x09-\x0D]")
+    return left.filter(~alone).dropDuplicates(["__id", "__text"]).unionByName(left.filter(alone)).select(docs.columns)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import re
 
 from postmill.llm.graph import connected
-from postmill.llm.jaccard import jaccard_components, op7_jaccard_join
+from postmill.llm.jaccard import jaccard_components, keep_one_of_each, op7_jaccard_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +91,18 @@ def test_small_near_copies_are_found_whichever_columns_they_count(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     for postings in (1 << 20, 2000):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, postings=postings).collect()} == want
+
+
+def test_one_of_each_with_reused_and_missing_ids(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [
+        (1, "a b c d e f", "first"), (1, "g h i j k l", "another text of id 1"), (2, "A b c d e f", "copy of the first"), (2, "m n o p q r", "clean, though id 2 is a copy elsewhere"),
+        (None, "s t u v w x", "one"), (None, "s t u v w x", "one"), (None, "S t u v w x", "one in capitals"), (None, f"{long} end", "near"), (None, f"{long} fin", "near"),
+        (None, "G h i j k l", "copy of id 1"), (None, None, "null"), (None, None, "null"), (3, " ", "blank"), (3, " ", "blank"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root string").repartition(3)
+    got = sorted((str(r.doc_id), str(r.text).lower()) for r in keep_one_of_each(df).collect())
+    near = {t for _, t in got} & {f"{long} end", f"{long} fin"}
+    assert len(near) == 1
+    want = [("1", "a b c d e f"), ("1", "g h i j k l"), ("2", "m n o p q r"), ("None", "s t u v w x"), ("None", near.pop()), ("None", "none"), ("None", "none"), ("3", " ")]
+    assert got == sorted(want)
