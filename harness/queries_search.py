@@ -14,6 +14,7 @@ from postmill import fixed
 from postmill.functions import urls
 from postmill.operators import contacts as con
 from postmill.operators import dedupe, relevance, store, validation
+from postmill.operators.buckets import BucketTable
 from postmill.plans import search
 from postmill.session import shared_folder
 from postmill.streaming import streams
@@ -639,4 +640,4 @@ def _(spark, sf):
     folder = streams.checkpoint_folder(spark, "ingest")
     q = streams.stream_ingest_upsert(rows, f"{folder}/jobs", as_of(), f"{folder}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/jobs/v={store.latest_version(spark, f'{folder}/jobs'):010d}").select("user_id", "canonical_url", "title")
+    return BucketTable(spark, f"{folder}/jobs").read().select("user_id", "canonical_url", "title")

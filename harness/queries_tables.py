@@ -14,7 +14,9 @@ from postmill.functions import places, urls
 from postmill.functions import text as tx
 from postmill.operators import library, relevance, store, tracker
 from postmill.operators import requests as req
+from postmill.operators.buckets import BucketTable
 from postmill.plans import skew
+from postmill.session import shared_folder
 
 c = F.col
 SHOWN = d.within("validation_status", fixed.DISPLAYABLE_STATUSES)
@@ -369,6 +371,13 @@ def _(spark, sf):
 # --- stores ----------------------------------------------------------------------------
 
 
+def stored(spark, name, old, keys):
+    """A bucketed table that holds some rows."""
+    table = BucketTable.create(spark, shared_folder(spark, name), old.schema, keys)
+    table.merge(old, lambda _, rows: rows)
+    return table
+
+
 @query(
     "upsert_jobs",
     f"""WITH inc AS (SELECT * FROM (SELECT custkey % 50 AS user_id, {d.url('url')} AS canonical_url, url, title, source, posting_id,
@@ -394,7 +403,10 @@ def _(spark, sf):
         (c("custkey") % 50).alias("user_id"), urls.canonicalize_url(c("url")).alias("canonical_url"),
         c("url").alias("job_url"), "title", "source", F.lit(False).alias("is_saved"), as_of().alias("discovered_at"), "ord",
     )
-    out = store.upsert_jobs(old, inc, as_of())
+    jobs = stored(spark, "jobs", old, store.JOB_KEYS)
+    for number, part in enumerate((inc.filter("ord % 3 > 0"), inc)):
+        store.merge_jobs(jobs, part, as_of(), ("query", number))
+    out = jobs.read()
     seen = F.when(c("last_seen_at") == as_of(), "now").otherwise("before")
     return out.select("user_id", "canonical_url", "job_url", "title", "source", "is_saved", seen.alias("seen"))
 
@@ -420,7 +432,9 @@ def _(spark, sf):
         F.when(c("posting_id") % 5 == 0, F.concat(F.lit("d"), c("posting_id").cast("string"))).alias("domain"),
         none.alias("careers_url"), "ord",
     )
-    return store.upsert_companies(old, inc).select("normalized_name", "name", "domain")
+    companies = stored(spark, "companies", old, store.COMPANY_KEYS)
+    store.merge_companies(companies, inc)
+    return companies.read().select("normalized_name", "name", "domain")
 
 
 _key = f"""CASE WHEN name IS NOT NULL THEN 'name:' || {d.norm('name')} WHEN email IS NOT NULL THEN 'email:' || lower(email)
@@ -445,37 +459,40 @@ def _(spark, sf):
         F.when(keep, c("email_status")).otherwise("NONE").alias("email_status"),
         F.when(c("contact_id") % 3 == 0, "Old title").alias("title"),
     )
-    return store.upsert_contacts(old, found, as_of()).select("company_key", "dedupe_key", "email", "email_status", "title")
+    contacts = stored(spark, "contacts", old, store.CONTACT_KEYS)
+    store.merge_contacts(contacts, found, as_of())
+    return contacts.read().select("company_key", "dedupe_key", "email", "email_status", "title")
 
 
 @query(
     "link_job_contacts",
-    """WITH old AS (SELECT * FROM job_links WHERE rank <= 3)
+    """WITH l AS MATERIALIZED (SELECT * FROM job_links), old AS (SELECT * FROM l WHERE rank <= 3)
        SELECT coalesce(o.job_id, n.job_id) AS job_id, coalesce(o.contact_id, n.contact_id) AS contact_id, CAST(coalesce(n.rank + 1, o.rank) AS BIGINT) AS rank,
          CASE WHEN o.job_id IS NOT NULL THEN 0.5 ELSE round(greatest(0.0, 1.0 - (n.rank + 1) * 0.15), 6) END AS relevance
-       FROM old o FULL JOIN (SELECT * FROM job_links WHERE rank >= 2) n ON o.job_id = n.job_id AND o.contact_id = n.contact_id""",
+       FROM old o FULL JOIN (SELECT * FROM l WHERE rank >= 2) n ON o.job_id = n.job_id AND o.contact_id = n.contact_id""",
 )
 def _(spark, sf):
     links = view(spark, sf, "job_links")
     old = links.filter("rank <= 3").select("job_id", "contact_id", "rank", F.lit(0.5).alias("relevance"))
     new = links.filter("rank >= 2").select("job_id", "contact_id", (c("rank") + 1).alias("rank"))
-    out = store.link_job_contacts(old, new)
+    table = stored(spark, "links", old, store.LINK_KEYS)
+    store.merge_links(table, new)
+    out = table.read()
     return out.select("job_id", "contact_id", c("rank").cast("bigint").alias("rank"), F.round("relevance", 6).alias("relevance"))
 
 
 @query(
     "append_log",
-    """SELECT search_id, count(*) AS errors, count(*) AS notes, string_agg('run ' || CAST(run_id AS VARCHAR), ', ' ORDER BY run_id) AS label
-       FROM runs GROUP BY 1""",
+    """SELECT run_id, search_id, status, raw_found, CASE WHEN run_id % 3 = 0 THEN 'second' ELSE 'first' END AS batch FROM runs""",
 )
 def _(spark, sf):
-    runs = view(spark, sf, "runs").withColumn("t", F.concat(F.lit("run "), c("run_id").cast("string")))
-    listed = runs.groupBy("search_id").agg(F.sort_array(F.collect_list(F.struct("run_id", "t"))).alias("l"))
-    listed = listed.select("search_id", c("l.t").alias("errors"), c("l.t").alias("notes"), F.array_join("l.t", ", ").alias("label"))
-    rows = store.log_rows(store.log_rows(listed, "run"), "request")
-    return rows.select(
-        "search_id", F.size("errors").cast("bigint").alias("errors"), F.size("notes").cast("bigint").alias("notes"), "label"
-    )
+    """Two batches, the first sent twice (the first time in part), read back."""
+    runs, log = view(spark, sf, "runs").select("run_id", "search_id", "status", "raw_found"), shared_folder(spark, "log")
+    first = runs.filter("run_id % 3 > 0")
+    store.append_log(first.filter("run_id % 2 = 0"), log, "run", "first")
+    store.append_log(runs.filter("run_id % 3 = 0"), log, "run", "second")
+    store.append_log(first, log, "run", "first")
+    return spark.read.parquet(log)
 
 
 @query(

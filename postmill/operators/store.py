@@ -1,7 +1,9 @@
 """The library: idempotent upserts, links, snapshots, deletes and logs.
 
 Parquet has no MERGE, so an upsert is a function from the stored and the
-incoming table to the next version of the stored one. ``write_version`` puts a
+incoming table to the next version of the stored one. The ``merge_`` functions
+apply these to tables in hash buckets of their keys, where a batch reads and
+rewrites the buckets of its own keys only. ``write_version`` puts a whole
 version into a folder of its own; a path being read is never overwritten.
 """
 
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from postmill import fixed
 from postmill.functions import text as tx
+from postmill.operators.buckets import BucketTable
 from postmill.operators.contacts import contact_dedupe_key
 from postmill.plans.skew import first_per_key, last_per_key
 
@@ -156,17 +159,40 @@ def link_job_contacts(links: DataFrame, ranked: DataFrame) -> DataFrame:
     return upsert(links, batch, ["job_id", "contact_id"], merged)
 
 
-# --- logs --------------------------------------------------------------------------
+# --- the same upserts on bucketed tables ----------------------------------------------
 
+JOB_KEYS = ["user_id", "canonical_url"]
+COMPANY_KEYS = ["normalized_name"]
+CONTACT_KEYS = ["company_key", "dedupe_key"]
+LINK_KEYS = ["job_id", "contact_id"]
 
-LOG_KINDS = ("run", "event", "request")
 
+def merge_jobs(table: BucketTable, incoming: DataFrame, as_of: Column, mark: tuple[str, int] | None = None) -> list[int]:
+    """``upsert_jobs`` on a table in buckets of JOB_KEYS; the buckets that were rewritten."""
+    return table.merge(incoming, lambda stored, batch: upsert_jobs(stored, batch, as_of), mark)
 
-def log_rows(df: DataFrame, kind: str) -> DataFrame:
-    """Rows of the run, event or request log, as they are stored: whole."""
-    if kind not in LOG_KINDS:
-        raise ValueError(f"unknown log: {kind}")
-    return df
+
+def merge_companies(table: BucketTable, incoming: DataFrame, mark: tuple[str, int] | None = None) -> list[int]:
+    """``upsert_companies`` on a table in buckets of COMPANY_KEYS."""
+    keyed = incoming.withColumn("normalized_name", tx.normalize_company_name(F.col("name")))
+    return table.merge(keyed, upsert_companies, mark)
+
+
+def merge_contacts(table: BucketTable, candidates: DataFrame, as_of: Column, mark: tuple[str, int] | None = None) -> list[int]:
+    """``upsert_contacts`` on a table in buckets of CONTACT_KEYS."""
+    keyed = candidates if "dedupe_key" in candidates.columns else contact_dedupe_key(candidates)
+    return table.merge(keyed, lambda stored, batch: upsert_contacts(stored, batch, as_of), mark)
+
+
+def merge_links(table: BucketTable, ranked: DataFrame, mark: tuple[str, int] | None = None) -> list[int]:
+    """``link_job_contacts`` on a table in buckets of LINK_KEYS."""
+    return table.merge(ranked, link_job_contacts, mark)
+
+
+# --- logs --------------------------------------------------------------------------
+
+
+LOG_KINDS = ("run", "event", "request")
 
 
 def append_log(df: DataFrame, path: str, kind: str, batch: str | None = None) -> None:
@@ -175,11 +201,12 @@ def append_log(df: DataFrame, path: str, kind: str, batch: str | None = None) ->
     With ``batch`` the rows go to a folder of that name, so a batch that is
     sent again replaces its own rows and adds none.
     """
-    rows = log_rows(df, kind)
+    if kind not in LOG_KINDS:
+        raise ValueError(f"unknown log: {kind}")
     if batch is None:
-        rows.write.mode("append").parquet(path)
+        df.write.mode("append").parquet(path)
     else:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def write_version(df: DataFrame, folder: str, version: int, partition_by: list[str] | None = None) -> str:
@@ -190,12 +217,6 @@ def write_version(df: DataFrame, folder: str, version: int, partition_by: list[s
     return path
 
 
-def batch_marker(spark: SparkSession, folder: str, stream_id: str, batch_id: int):
-    """(file system, path) of the mark that a stream's batch is in the library."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_batches/{stream_id}-{batch_id:010d}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
 def latest_version(spark: SparkSession, folder: str) -> int | None:
     """Number of the newest complete version in a folder, NULL when there is none."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from postmill import fixed
 from postmill.operators import store
+from postmill.operators.buckets import BucketTable
 from postmill.operators.tracker import FUNNEL_STAGES
 from postmill.session import shared_folder
 
@@ -32,29 +33,21 @@ def _use_rocksdb(spark: SparkSession) -> None:
 # --- ingest and dedupe ----------------------------------------------------------------
 
 
-def stream_ingest_upsert(stream: DataFrame, store_path: str, as_of: Column, checkpoint_path: str):
-    """Writer that merges arriving job rows into a versioned library.
+def stream_ingest_upsert(stream: DataFrame, store_path: str, as_of: Column, checkpoint_path: str, buckets: int = 16, keep: int = 2):
+    """Writer that merges arriving job rows into a library in hash buckets of its key.
 
-    Each batch is merged onto the newest complete version, whoever wrote it: a
-    batch job, another stream or an earlier run. A mark under the stream's
-    checkpoint and the batch's number is left last, so a batch that is run again
-    after its commit changes nothing, and one that broke before it is merged
-    anew, which gives the same rows. One writer at a time.
+    Each batch rewrites the buckets of its own keys, on the newest version, whoever
+    wrote that: a batch job, another stream or an earlier run. The batch's number is
+    committed with its rows under a name from the stream's checkpoint, so a batch
+    that is run again after its commit changes nothing, and one that broke before it
+    leaves nothing behind that is read. The newest ``keep`` versions stay.
     """
     stream_id = hashlib.sha256(checkpoint_path.encode()).hexdigest()[:16]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fs, marker = store.batch_marker(spark, store_path, stream_id, batch_id)
-        if fs.exists(marker):
-            return
-        newest = store.latest_version(spark, store_path)
-        if newest is None:
-            existing = spark.createDataFrame([], batch.drop("ord").schema)
-        else:
-            existing = spark.read.parquet(f"{store_path}/v={newest:010d}")
-        store.write_version(store.upsert_jobs(existing, batch, as_of), store_path, (newest or 0) + 1)
-        fs.create(marker, True).close()
+        table = BucketTable.create(batch.sparkSession, store_path, batch.drop("ord").schema, store.JOB_KEYS, buckets)
+        store.merge_jobs(table, batch, as_of, (stream_id, batch_id))
+        table.vacuum(keep)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_path)
 

@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from postmill.operators import dedupe, store, tracker
+from postmill.operators.buckets import BucketTable
 from postmill.plans import skew
 from postmill.session import shared_folder
 from postmill.streaming import streams
@@ -47,7 +48,7 @@ def test_deleting_an_application_clears_the_flag(spark):
 
 
 def library(spark, path):
-    return {r.canonical_url: r.title for r in spark.read.parquet(f"{path}/v={store.latest_version(spark, path):010d}").collect()}
+    return {r.canonical_url: r.title for r in BucketTable(spark, path).read().collect()}
 
 
 def test_stream_ingest_survives_restart_replay_and_a_seeded_library(spark):
@@ -55,7 +56,7 @@ def test_stream_ingest_survives_restart_replay_and_a_seeded_library(spark):
     landing, jobs = f"{root}/in", f"{root}/jobs"
     schema = "user_id int, canonical_url string, title string, ord int, is_saved boolean"
     seed = spark.createDataFrame([(1, "seed", "s", False)], "user_id int, canonical_url string, title string, is_saved boolean")
-    store.write_version(seed, jobs, 1)
+    store.merge_jobs(BucketTable.create(spark, jobs, seed.schema, store.JOB_KEYS, 4), seed.withColumn("ord", F.lit(0)), F.lit(None).cast("timestamp"))
     now = F.lit(datetime.datetime(2024, 1, 1))
 
     def run(rows, cp):
