@@ -103,20 +103,24 @@ _m_display, _m_country = d.place_map("display"), d.place_map("country")
 _padded = "contains(' ' || {0} || ' ', ' ' || {1} || ' ')"
 SCORES = f"""
 rq AS MATERIALIZED ({_rq}),
-st AS (SELECT query_id, unnest(list_concat([t], coalesce(({_variant_map})[{d.norm('t')}], []::VARCHAR[]))) AS v FROM (SELECT query_id, unnest(titles) AS t FROM rq)),
+st AS MATERIALIZED (SELECT query_id, i * 100 + generate_subscripts(list_concat([t], coalesce(({_variant_map})[{d.norm('t')}], []::VARCHAR[])), 1) AS place,
+   unnest(list_concat([t], coalesce(({_variant_map})[{d.norm('t')}], []::VARCHAR[]))) AS v FROM (SELECT query_id, unnest(titles) AS t, generate_subscripts(titles, 1) AS i FROM rq)),
 wt AS MATERIALIZED (SELECT DISTINCT query_id, {d.norm('v')} AS w, {d.toks('v')} AS wt FROM st),
 p AS MATERIALIZED (SELECT posting_id, ord, {d.norm('title')} AS tn, {d.toks('title')} AS tt, {d.norm('location')} AS ln, location, is_remote,
    {d.norm("title || ' ' || company_name || ' ' || coalesce(location, '') || ' ' || description")} AS blob, {d.company('company_name')} AS ck,
    {d.exp_min(_need)} AS lo, {d.exp_max(_need)} AS hi, {d.level(_need)} AS lvl FROM postings),
-ts AS MATERIALIZED (SELECT query_id, tn, max(CASE WHEN w = tn THEN 1.0 WHEN contains(tn, w) THEN 0.9 ELSE
-     0.75 * len(list_intersect(wt, tt)) / len(wt) + 0.25 * len(list_intersect(wt, tt)) / len(list_distinct(list_concat(wt, tt))) END) AS s
-   FROM (SELECT DISTINCT tn, tt FROM p) t CROSS JOIN wt WHERE w <> '' GROUP BY 1, 2),
+tl AS MATERIALIZED (SELECT DISTINCT tn, tt FROM p WHERE tn <> ''), wl AS MATERIALIZED (SELECT DISTINCT w, wt FROM wt WHERE w <> ''),
+near AS (SELECT tn, w FROM (SELECT tn, unnest(tt) AS k FROM tl) JOIN (SELECT w, unnest(wt) AS k FROM wl) USING (k) UNION SELECT tn, w FROM tl JOIN wl ON contains(tn, w)),
+ns AS MATERIALIZED (SELECT near.tn, near.w, CASE WHEN near.w = near.tn THEN 1.0 WHEN contains(near.tn, near.w) THEN 0.9 ELSE
+     0.75 * len(list_intersect(wt, tt)) / len(wt) + 0.25 * len(list_intersect(wt, tt)) / len(list_distinct(list_concat(wt, tt))) END AS s
+   FROM near JOIN tl USING (tn) JOIN wl USING (w)),
+ts AS MATERIALIZED (SELECT query_id, tn, max(s) AS s FROM ns JOIN (SELECT DISTINCT query_id, w FROM wt) USING (w) WHERE s >= 0.2 GROUP BY 1, 2),
 al(display, alias) AS (VALUES {_aliases}),
-loc AS (SELECT query_id, unnest(locations) AS name FROM rq),
-la AS MATERIALIZED (SELECT query_id, alias FROM loc JOIN al ON display = coalesce(({_m_display})[{d.norm('name')}], name) UNION SELECT query_id, {d.norm('name')} FROM loc),
+loc AS (SELECT query_id, unnest(locations) AS name, generate_subscripts(locations, 1) AS i FROM rq),
+la AS MATERIALIZED (SELECT query_id, i, name, alias FROM loc JOIN al ON display = coalesce(({_m_display})[{d.norm('name')}], name) UNION SELECT query_id, i, name, {d.norm('name')} FROM loc),
 ca AS MATERIALIZED (SELECT DISTINCT query_id, k AS alias FROM loc JOIN (VALUES {', '.join(f"({d.q(k)}, {d.q(v)})" for k, v in fixed.COUNTRIES.items())}) x(k, v) ON v = ({_m_country})[{d.norm('name')}]),
 ll AS (SELECT DISTINCT ln FROM p),
-city AS MATERIALIZED (SELECT DISTINCT query_id, ln FROM ll JOIN la ON {_padded.format('ln', 'alias')}),
+city AS MATERIALIZED (SELECT query_id, ln, arg_min(name, i) AS place FROM ll JOIN la ON {_padded.format('ln', 'alias')} GROUP BY 1, 2),
 land AS MATERIALIZED (SELECT DISTINCT query_id, ln FROM ll JOIN ca ON {_padded.format('ln', 'alias')}),
 terms(i, t) AS (VALUES {', '.join(f"({d.q(k)}, {d.q(t)})" for k, v in fixed.INDUSTRY_TERMS.items() for t in v)}),
 parts AS MATERIALIZED (SELECT rq.query_id, rq.max_rows, p.posting_id, p.ord, ts.s AS title,
@@ -168,40 +172,52 @@ def _(spark, sf):
     )
 
 
-@query(
-    "match_explanations",
-    f"""WITH {SCORES} SELECT query_id, posting_id, CAST((title > 0)::INT + (named > 0 AND company > 0)::INT + (industry > 0 AND query_id IN (SELECT query_id FROM rq WHERE len(industries) > 0))::INT
-        + (location >= 0.7)::INT + (experience >= 1)::INT + (keywords > 0 AND query_id IN (SELECT query_id FROM rq WHERE len(keywords) > 0))::INT AS BIGINT) AS reasons,
-      CAST((location < 0.7)::INT + (experience < 1)::INT + (keywords = 0)::INT + (banned > 0)::INT + (banned = 0 AND named > 0 AND company <= 0)::INT AS BIGINT) AS mismatches FROM scored""",
-)
-def _(spark, sf):
-    return matched(spark, sf).select(
-        "query_id", "posting_id", F.size("reasons").cast("bigint").alias("reasons"), F.size("mismatches").cast("bigint").alias("mismatches")
-    )
-
-
 @query("relevance_filter", f"WITH {SCORES} SELECT query_id, posting_id, CASE WHEN score < 35.0 THEN 'irrelevant' END AS drop_reason FROM scored")
 def _(spark, sf):
     return relevance.relevance_filter(matched(spark, sf)).select("query_id", "posting_id", "drop_reason")
 
 
+def best(spark, sf):
+    return relevance.best_matches(requests(spark, sf), view(spark, sf, "postings"))
+
+
 @query(
     "topk_relevant",
     f"""WITH {SCORES} SELECT query_id, posting_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS match_rank FROM scored WHERE score >= 35.0
         QUALIFY match_rank <= least(max_rows, 120)""",
 )
 def _(spark, sf):
-    best, _ = relevance.topk_relevant(matched(spark, sf))
-    return best.select("query_id", "posting_id", "score", c("match_rank").cast("bigint").alias("match_rank"))
+    return best(spark, sf)[0].select("query_id", "posting_id", "score", c("match_rank").cast("bigint").alias("match_rank"))
 
 
 @query(
     "topk_overflow",
-    f"WITH {SCORES} SELECT query_id, CAST(greatest(count(*) - least(any_value(max_rows), 120), 0) AS BIGINT) AS left_over FROM scored WHERE score >= 35.0 GROUP BY 1",
+    f"WITH {SCORES} SELECT query_id, count(*) AS matching, CAST(greatest(count(*) - least(any_value(max_rows), 120), 0) AS BIGINT) AS left_over FROM scored WHERE score >= 35.0 GROUP BY 1",
+)
+def _(spark, sf):
+    return best(spark, sf)[1].select("query_id", "matching", c("left_over").cast("bigint").alias("left_over"))
+
+
+@query(
+    "match_explanations",
+    f"""WITH {SCORES}, top AS (SELECT * FROM scored WHERE score >= 35.0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) <= least(max_rows, 120)),
+      best AS (SELECT top.query_id, top.posting_id, st.v, st.w = p.tn AS exact FROM top JOIN p USING (posting_id) JOIN (SELECT query_id, place, v, {d.norm('v')} AS w FROM st) st ON st.query_id = top.query_id
+        JOIN ns ON ns.tn = p.tn AND ns.w = st.w QUALIFY row_number() OVER (PARTITION BY top.query_id, top.posting_id ORDER BY ns.s DESC, (st.w = p.tn) DESC, st.place) = 1),
+      x AS (SELECT top.*, best.v, best.exact, city.place, p.location AS said, p.blob, po.company_name, coalesce({d.exp_text("concat(po.title, '. ', po.description)")}, lower(p.lvl)) AS need,
+          rq.locations, rq.remote_only, rq.min_years IS NOT NULL OR rq.max_years IS NOT NULL OR rq.experience_level IS NOT NULL AS stated, rq.industries,
+          list_filter(rq.keywords, lambda k: contains(p.blob, {d.norm('k')})) AS hits, len(rq.keywords) AS asked
+        FROM top JOIN best USING (query_id, posting_id) JOIN p USING (posting_id) JOIN postings po USING (posting_id) JOIN rq USING (query_id) LEFT JOIN city ON city.query_id = top.query_id AND city.ln = p.ln),
+      y AS (SELECT *, CASE WHEN remote_only THEN 'Remote, as requested' WHEN len(locations) = 0 THEN 'No location requested' WHEN location = 0.4 THEN 'Location not stated on the posting' WHEN location = 1 THEN 'Located in ' || place
+            WHEN location = 0.55 THEN 'In the right country, but the posting says “' || said || '”' ELSE 'Remote — reachable from your locations' END AS where_text,
+          CASE WHEN NOT stated THEN 'No experience level requested' WHEN experience = 0.6 THEN 'Posting does not state an experience requirement' ELSE 'Experience requirement (' || need || ') fits' END AS need_text FROM x)
+      SELECT query_id, posting_id,
+        array_to_string(list_filter([CASE WHEN exact THEN 'Title is exactly “' ELSE 'Title matches “' END || v || '”', CASE WHEN named > 0 AND company > 0 THEN 'At ' || company_name || ', one of the companies you named' END,
+          CASE WHEN len(industries) > 0 AND industry > 0 THEN 'Mentions ' || coalesce((SELECT first(t ORDER BY n) FROM (SELECT t, row_number() OVER () AS n FROM terms WHERE terms.i = industries[1]) z WHERE contains(blob, t)), '?') END,
+          CASE WHEN location >= 0.7 THEN where_text END, CASE WHEN experience >= 1 THEN need_text END, CASE WHEN len(hits) > 0 THEN 'Mentions ' || array_to_string(hits[1:4], ', ') END], lambda r: r IS NOT NULL), ' / ') AS reasons,
+        array_to_string(list_filter([CASE WHEN location < 0.7 THEN where_text END, CASE WHEN experience < 1 THEN need_text END, CASE WHEN len(hits) = 0 AND asked > 0 THEN 'None of your keywords appear in the posting' END], lambda r: r IS NOT NULL), ' / ') AS mismatches FROM y""",
 )
 def _(spark, sf):
-    _, overflow = relevance.topk_relevant(matched(spark, sf))
-    return overflow.select("query_id", c("left_over").cast("bigint").alias("left_over"))
+    return best(spark, sf)[0].select("query_id", "posting_id", F.array_join("reasons", " / ").alias("reasons"), F.array_join("mismatches", " / ").alias("mismatches"))
 
 
 # --- checking ----------------------------------------------------------------------------
@@ -464,11 +480,11 @@ def _(spark, sf):
 
 
 def landed(spark, sf):
-    """Every posting was returned to the request of its customer group."""
+    """Every posting was returned to one of the three requests for its craft."""
     rows = view(spark, sf, "postings")
     payload = F.create_map(F.lit("board"), F.lower(F.substring_index("company_name", " ", 1)), F.lit("platform"), F.lower("source"))
     return rows.select(
-        (c("custkey") % 12).alias("query_id"), F.lit(0).alias("provider_ord"), c("ord").alias("item_ord"), "title", "company_name", "url",
+        (c("custkey") - c("custkey") % 3 + c("posting_id") % 3).alias("query_id"), F.lit(0).alias("provider_ord"), c("ord").alias("item_ord"), "title", "company_name", "url",
         "source", F.concat(F.lit("https://feed.example/"), "source").alias("source_query_url"), "location", "is_remote", "description", "posted_at",
         payload.alias("payload"),
     )
@@ -485,13 +501,13 @@ def searched(spark, sf):
 
 
 _source_rank = "CASE WHEN source IN ('GREENHOUSE', 'LEVER') THEN 0 ELSE 1 END"
-_per_request = f"""SELECT posting_id AS id, {_source_rank} * 1000000000 + posting_id AS rank, CAST(custkey % 12 AS VARCHAR) || '#' || {d.url('url')} AS a,
-   CAST(custkey % 12 AS VARCHAR) || '#' || {d.dup_key('company_name', 'title', 'location')} AS b FROM postings"""
+_per_request = f"""SELECT posting_id AS id, {_source_rank} * 1000000000 + posting_id AS rank, CAST(custkey - custkey % 3 + posting_id % 3 AS VARCHAR) || '#' || {d.url('url')} AS a,
+   CAST(custkey - custkey % 3 + posting_id % 3 AS VARCHAR) || '#' || {d.dup_key('company_name', 'title', 'location')} AS b FROM postings"""
 
 
 _RUN = f"""{greedy(_per_request)}, {SCORES}, {checks("contains(lower(final_url), lower(split_part(company_name, ' ', 1)))")},
       m AS (SELECT s.query_id, s.max_rows, s.score, po.posting_id, po.url, {_source_rank.replace('source', 'po.source')} * 1000000000 + po.posting_id AS rank FROM scored s JOIN postings po ON po.posting_id = s.posting_id
-        WHERE po.custkey % 12 = s.query_id AND s.score >= 35.0 AND po.posting_id IN (SELECT id FROM kept)),
+        WHERE po.custkey - po.custkey % 3 + po.posting_id % 3 = s.query_id AND s.score >= 35.0 AND po.posting_id IN (SELECT id FROM kept)),
       top AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) <= least(max_rows, 120)),
       f AS (SELECT top.query_id, top.posting_id, top.rank, top.url, CASE WHEN v.refused IS NULL AND v.error IS NULL THEN v.final_url END AS fin, v.verdict, row_number() OVER (PARTITION BY top.query_id, coalesce(CASE WHEN v.refused IS NULL AND v.error IS NULL THEN {d.url('v.final_url')} END, {d.url('top.url')})
           ORDER BY top.score DESC, top.rank) AS n FROM top JOIN v ON v.posting_id = top.posting_id)
@@ -503,7 +519,7 @@ _RUN = f"""{greedy(_per_request)}, {SCORES}, {checks("contains(lower(final_url),
     f"""WITH {_RUN},
       e AS (SELECT query_id, count(*) FILTER (n > 1) AS late, count(*) FILTER (n = 1 AND verdict IN ('VALID', 'LIKELY_VALID')) AS validated, count(*) FILTER (n = 1 AND verdict = 'UNVERIFIED') AS unverified,
           count(*) FILTER (n = 1 AND verdict NOT IN ('VALID', 'LIKELY_VALID', 'UNVERIFIED')) AS rejected FROM f GROUP BY 1),
-      r AS (SELECT custkey % 12 AS query_id, count(*) AS raw, count(*) FILTER (posting_id NOT IN (SELECT id FROM kept)) AS repeats FROM postings GROUP BY 1),
+      r AS (SELECT custkey - custkey % 3 + posting_id % 3 AS query_id, count(*) AS raw, count(*) FILTER (posting_id NOT IN (SELECT id FROM kept)) AS repeats FROM postings GROUP BY 1),
       o AS (SELECT query_id, count(*) AS matching, any_value(max_rows) AS max_rows FROM m GROUP BY 1)
       SELECT r.query_id, r.raw AS raw_found, r.repeats + coalesce(e.late, 0) AS duplicates_dropped, r.raw - r.repeats - coalesce(o.matching, 0) AS irrelevant_dropped, coalesce(e.validated, 0) AS validated,
         coalesce(e.unverified, 0) AS unverified, coalesce(e.rejected, 0) AS rejected, CAST(coalesce(greatest(o.matching - least(o.max_rows, 120), 0), 0) AS BIGINT) AS left_over

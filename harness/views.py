@@ -24,26 +24,30 @@ VIEWS["postings"] = """
 SELECT o.o_orderkey AS posting_id, o.o_orderkey AS ord, o.o_custkey AS custkey,
   CASE o.o_orderpriority WHEN '1-URGENT' THEN 'GREENHOUSE' WHEN '2-HIGH' THEN 'LEVER' WHEN '3-MEDIUM' THEN 'ADZUNA'
        WHEN '4-NOT SPECIFIED' THEN 'THE_MUSE' ELSE 'ARBEITNOW' END AS source,
-  t.title,
+  concat(v.before, f.craft, v.after) AS title,
   concat(c.base, ' ', CAST(o.o_custkey AS STRING), CASE o.o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' Inc.' WHEN 2 THEN ' Pvt. Ltd.' ELSE ' Technologies' END) AS company_name,
   l.location, l.remote AS is_remote,
-  concat('<p>', t.years, '</p> Write to careers@c', CAST(o.o_custkey AS STRING), '.example.com') AS description,
+  concat('<p>', v.years, '</p> Write to careers@c', CAST(o.o_custkey AS STRING), '.example.com') AS description,
   concat('https://', CASE WHEN o.o_orderkey % 3 = 0 THEN 'WWW.' ELSE '' END, 'board', CAST(k.id % 40 AS STRING), '.example.com/jobs/', CAST(k.id AS STRING),
     CASE o.o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '/?utm_source=feed' WHEN 2 THEN '?ref=x' ELSE '/#top' END) AS url,
   o.o_orderdate AS posted_at
 FROM orders o
 JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 2 THEN o_orderkey - o_orderkey % 10 ELSE o_orderkey END AS id FROM orders) k ON k.o_orderkey = o.o_orderkey
 JOIN (VALUES
-  (0,'Associate Product Manager','0-2 years of experience'), (1,'APM - Bangalore','Entry level role'),
-  (2,'Senior Product Manager','8+ years of experience required'), (3,'Product Manager, Senior (Remote)','at least 5 years'),
-  (4,'Data Scientist','minimum of 2 years experience'), (5,'Sr. Data Scientist [Contract]','up to 4 years'),
-  (6,'Software Engineer','1 to 3 yrs'), (7,'Software Engineer II (f/m/d)','No requirement stated here.'),
-  (8,'Data Analyst','Great team, apply now.'), (9,'DA | Hyderabad','5-2 years'),
-  (10,'Principal Security Engineer','12+ years of experience'), (11,'Sales Development Representative','fresher'),
-  (12,'Backend Engineer - Full-time','3 plus years'), (13,'Summer Internship','Summer internship'),
-  (14,'Director of Product','Director of Product'), (15,'Product Owner Req #123','2 years')) t(i, title, years)
-  ON t.i = (o.o_orderkey * 7 + o.o_custkey) % 16
-JOIN (VALUES (0,'Acme'),(1,'Globex'),(2,'Demo Fintech'),(3,'Razorpay'),(4,'Société Générale'),(5,'Müller'),(6,'Initech'),(7,'Umbrella')) c(i, base)
+  (0,'Associate ','','From 1 to 2 years of experience.'), (1,'',' - Bangalore','Entry level post.'),
+  (2,'Senior ','','We ask for 7+ years of experience'), (3,'',', Senior (Remote)','Bring at least 4 years'),
+  (4,'','','minimum of 3 years experience'), (5,'Sr. ',' [Contract]','up to 6 years'),
+  (6,'',' Hand','2 to 5 yrs'), (7,'',' II (f/m/d)','Nothing is asked here.'),
+  (8,'Night ','','A friendly crew, pay every week.'), (9,'DA | ',' Hyderabad','6-3 years'),
+  (10,'Principal ',' Security Warden','11+ years of experience'), (11,'Sales Development Representative ','','graduates and fresher welcome'),
+  (12,'',' Keeper - Full-time','4 plus years'), (13,'Winter Internship ','','Winter internship'),
+  (14,'Director of ','','Director of works'), (15,'',' Foreman Req #471','3 years')) v(i, before, after, years)
+  ON v.i = (o.o_orderkey * 7 + o.o_custkey) % 16
+JOIN (SELECT c_custkey, concat(w.trade, CAST(CAST(floor(c_custkey / 3) AS BIGINT) AS STRING)) AS craft FROM customer
+  JOIN (VALUES (0,'welder'),(1,'glazier'),(2,'brewer'),(3,'cooper'),(4,'weaver'),(5,'miller'),(6,'tanner'),(7,'binder'),
+    (8,'turner'),(9,'joiner'),(10,'mason'),(11,'tiler'),(12,'roofer'),(13,'baker'),(14,'saddler'),(15,'cutler')) w(i, trade)
+  ON w.i = CAST(floor(c_custkey / 3) AS BIGINT) % 16) f ON f.c_custkey = o.o_custkey
+JOIN (VALUES (0,'Acme'),(1,'Globex'),(2,'Harbour Works'),(3,'Quillon'),(4,'Société Générale'),(5,'Müller'),(6,'Initech'),(7,'Umbrella')) c(i, base)
   ON c.i = o.o_custkey % 8
 JOIN (VALUES (0,'Bangalore, Karnataka, India',false),(1,'Bengaluru',false),(2,'Hyderabad, Telangana',false),
   (3,'Berlin, Germany',false),(4,'Remote - India',true),(5,'Anywhere',true),(6,'London, UK',false),(7,'India',false),
@@ -51,29 +55,33 @@ JOIN (VALUES (0,'Bangalore, Karnataka, India',false),(1,'Bengaluru',false),(2,'H
   ON l.i = (o.o_orderkey + o.o_custkey * 3) % 14
 """
 
-# One request per template, numbered by the smallest customer that stands for it.
+# One request per customer: three neighbours ask for one craft; one in fifty uses words that many titles share.
 VIEWS["request_rows"] = """
-SELECT c.query_id, t.titles, t.locations,
-  CASE WHEN t.company THEN concat('Globex ', CAST(c.partner AS STRING), '|Acme GmbH') ELSE '' END AS companies,
+SELECT c.c_custkey AS query_id,
+  CASE WHEN c.c_custkey % 1200 < 12 THEN t.common WHEN c.c_custkey % 1200 >= 24 AND t.slot IN (0, 3, 5, 10) THEN c.craft
+    ELSE replace(replace(t.titles, '{F}', c.craft), '{E}', substring(c.craft, 2)) END AS titles, t.locations,
+  CASE WHEN t.company THEN concat('Globex ', CAST(c.c_custkey - c.c_custkey % 8 + 1 AS STRING), '|Acme GmbH ', CAST(c.c_custkey - c.c_custkey % 8 AS STRING)) ELSE '' END AS companies,
   t.industries, t.keywords, t.exclusions, t.min_years, t.max_years, t.experience_level, t.remote_only,
-  CAST(CASE c.slot % 3 WHEN 0 THEN 40 WHEN 1 THEN 25 ELSE 120 END AS INT) AS max_rows
-FROM (SELECT c_custkey % 12 AS slot, min(c_custkey) AS query_id, min(c_custkey - c_custkey % 8 + 1) AS partner
-      FROM customer GROUP BY c_custkey % 12) c
+  CAST(CASE c.c_custkey % 3 WHEN 0 THEN 40 WHEN 1 THEN 5 ELSE 120 END AS INT) AS max_rows
+FROM (SELECT c_custkey, concat(w.trade, CAST(CAST(floor(c_custkey / 3) AS BIGINT) AS STRING)) AS craft FROM customer
+  JOIN (VALUES (0,'welder'),(1,'glazier'),(2,'brewer'),(3,'cooper'),(4,'weaver'),(5,'miller'),(6,'tanner'),(7,'binder'),
+    (8,'turner'),(9,'joiner'),(10,'mason'),(11,'tiler'),(12,'roofer'),(13,'baker'),(14,'saddler'),(15,'cutler')) w(i, trade)
+  ON w.i = CAST(floor(c_custkey / 3) AS BIGINT) % 16) c
 JOIN (VALUES
-  (0, 'Associate Product Manager', 'Bangalore|Hyderabad', false, '', '', '', CAST(0 AS DOUBLE), CAST(2 AS DOUBLE), CAST(NULL AS STRING), false),
-  (1, 'Product Manager|APM', 'India', false, 'fintech', '', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'ENTRY', false),
-  (2, 'Data Scientist', '', false, '', 'experience|SQL', '', CAST(2 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS STRING), false),
-  (3, 'Software Engineer', 'Berlin|London', false, '', '', 'contract', CAST(NULL AS DOUBLE), CAST(4 AS DOUBLE), CAST(NULL AS STRING), false),
-  (4, 'data analyst', '', false, '', 'team', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS STRING), true),
-  (5, 'Engineer', 'New York', false, 'cybersecurity', 'security', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'SENIOR', false),
-  (6, 'Product Manager', '', true, '', '', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS STRING), false),
-  (7, 'SDR', 'Gurgaon|São Paulo', false, '', '', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS STRING), false),
-  (8, 'intern', '', false, 'edtech', '', 'sales', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'INTERNSHIP', false),
-  (9, 'director', 'Springfield', false, 'saas', '', '', CAST(10 AS DOUBLE), CAST(30 AS DOUBLE), CAST(NULL AS STRING), false),
-  (10, 'Security Engineer|DA', 'Delhi NCR', false, '', 'Years|zebra', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS STRING), true),
-  (11, 'ct Man|Owner', 'Bengaluru', false, 'ai', '', '', CAST(1 AS DOUBLE), CAST(3 AS DOUBLE), CAST(NULL AS STRING), false)
-) t(slot, titles, locations, company, industries, keywords, exclusions, min_years, max_years, experience_level, remote_only)
-ON t.slot = c.slot
+  (0, 'Associate {F}', 'Associate', 'Bangalore|Hyderabad', false, '', '', '', CAST(0 AS DOUBLE), CAST(2 AS DOUBLE), CAST(NULL AS STRING), false),
+  (1, '{F}|APM', 'APM', 'India', false, 'fintech', '', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'ENTRY', false),
+  (2, '{F}', 'Keeper', '', false, '', 'experience|careers', '', CAST(2 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS STRING), false),
+  (3, 'Foreman {F}', 'Foreman', 'Berlin|London', false, '', '', 'contract', CAST(NULL AS DOUBLE), CAST(4 AS DOUBLE), CAST(NULL AS STRING), false),
+  (4, '{F}', 'night', '', false, '', 'crew', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS STRING), true),
+  (5, '{F} Warden', 'Warden', 'New York', false, 'cybersecurity', 'security', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'SENIOR', false),
+  (6, '{F}', 'hand', '', true, '', '', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS STRING), false),
+  (7, '{F}', 'SDR', 'Gurgaon|São Paulo', false, '', '', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS STRING), false),
+  (8, '{F}', 'intern', '', false, 'edtech', '', 'sales', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'INTERNSHIP', false),
+  (9, '{F}', 'director', 'Springfield', false, 'saas', '', '', CAST(10 AS DOUBLE), CAST(30 AS DOUBLE), CAST(NULL AS STRING), false),
+  (10, 'Security {F}|{F}', 'DA', 'Delhi NCR', false, '', 'Years|zebra', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS STRING), true),
+  (11, '{E}', 'eeper', 'Bengaluru', false, 'ai', '', '', CAST(1 AS DOUBLE), CAST(3 AS DOUBLE), CAST(NULL AS STRING), false)
+) t(slot, titles, common, locations, company, industries, keywords, exclusions, min_years, max_years, experience_level, remote_only)
+ON t.slot = c.c_custkey % 12
 """
 
 VIEWS["jobs"] = """

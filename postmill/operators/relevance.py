@@ -4,11 +4,16 @@ Requests and postings are prepared once each (normalised text, aliases, parsed
 experience), then joined on title similarity and scored with column
 expressions. A pair whose titles do not resemble each other can never reach
 the display threshold, so the join only forms pairs that pass that gate.
+
+``match_queries_to_postings`` gives all such pairs. ``best_matches`` is the join
+for the best of each request: score bounds of groups of like postings decide
+which pairs are formed at all, terms are looked up once per posting and term,
+and texts and explanations are fetched for the winners only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill import fixed
@@ -16,6 +21,7 @@ from postmill.functions import experience as ex
 from postmill.functions import places
 from postmill.functions import text as tx
 from postmill.plans.skew import first_k
+from postmill.session import checkpoint
 
 GRAM = 3
 
@@ -127,8 +133,8 @@ def title_matches(requests: DataFrame, postings: DataFrame) -> DataFrame:
 
     Works on the two dictionaries of distinct titles, not on postings. A pair
     passes only if the titles share a word or one contains the other, so
-    candidates come from two equality joins: on words, and on the first
-    characters of a wanted title among the character runs of posting titles.
+    candidates come from two equality joins: on words, and on character runs,
+    each wanted title by the one of its runs that the fewest posting titles have.
     """
     have = postings.select("title_norm").distinct().filter("title_norm <> ''")
     asked = requests.select("query_id", F.posexplode("w_titles").alias("place", "w")).select(
@@ -139,11 +145,13 @@ def title_matches(requests: DataFrame, postings: DataFrame) -> DataFrame:
     by_word = have.select("title_norm", F.explode(tx.token_set_of(F.col("title_norm"))).alias("k")).join(
         want.select("wanted", F.explode(tx.token_set_of(F.col("wanted"))).alias("k")), "k"
     )
-    head = F.left("wanted", F.lit(GRAM))
     runs = F.flatten(F.array(*[_grams(F.col("title_norm"), n) for n in range(1, GRAM + 1)]))
+    titled = have.select("title_norm", F.explode(F.array_distinct(runs)).alias("k"))
+    own = want.select("wanted", F.explode(_grams(F.col("wanted"), GRAM)).alias("k"))
+    common = titled.join(own.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.count("*").alias("n"))
+    rarest = own.join(common, "k", "left").groupBy("wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k")).alias("run"))
     by_run = (
-        have.select("title_norm", F.explode(F.array_distinct(runs)).alias("k"))
-        .join(want.select("wanted", head.alias("k")), "k")
+        titled.join(rarest.filter("run.n > 0").select("wanted", F.col("run.k").alias("k")), "k")
         .filter(F.contains("title_norm", "wanted"))
     )
     pairs = by_word.select("title_norm", "wanted").unionByName(by_run.select("title_norm", "wanted")).distinct()
@@ -267,6 +275,11 @@ def _ratios() -> dict[str, Column]:
     }
 
 
+def _total(ratios: dict[str, Column], weights: dict[str, float] = fixed.SCORE_WEIGHTS) -> Column:
+    """Weighted ratios added up in one order and rounded: more of any ratio never gives less."""
+    return F.round(sum((F.lit(w) * ratios[name] for name, w in weights.items()), F.lit(0.0)), 1)
+
+
 def score_postings(pairs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Add ``score`` and ``breakdown`` to prepared pairs that have a ``title_match``.
 
@@ -277,7 +290,7 @@ def score_postings(pairs: DataFrame, weights: dict[str, float] | None = None) ->
     for step in (location_score, experience_score, keyword_score, company_score, industry_score):
         pairs = step(pairs)
     ratios = _ratios()
-    total = sum((F.lit(w) * ratios[name] for name, w in weights.items()), F.lit(0.0))
+    total = _total(ratios, weights)
     excluded = F.exists("w_exclusions", lambda e: (e["norm"] != "") & F.contains(F.col("blob"), e["norm"]))
     gated = (
         (ratios["title"] < fixed.MIN_TITLE_SIMILARITY)
@@ -285,7 +298,7 @@ def score_postings(pairs: DataFrame, weights: dict[str, float] | None = None) ->
         | (ratios["experience"] <= 0)
         | ((F.size("companies") > 0) & (ratios["company"] <= 0))
     )
-    score = F.round(total, 1)
+    score = total
     parts = []
     for name, weight in weights.items():
         parts += [
@@ -365,10 +378,10 @@ def match_queries_to_postings(queries: DataFrame, postings: DataFrame) -> DataFr
     otherwise each posting meets every request.
     """
     requests, jobs = prepare_requests(queries), prepare_postings(postings)
-    matches = title_matches(requests, jobs)
+    # requests meet their titles first, so that a posting's text is shuffled once and never with a pair
+    wanted = title_matches(requests, jobs).join(requests, "query_id")
     keys = ["query_id", "title_norm"] if "query_id" in jobs.columns else ["title_norm"]
-    pairs = jobs.join(matches, keys).join(requests, "query_id")
-    return match_explanations(score_postings(pairs))
+    return match_explanations(score_postings(jobs.join(wanted, keys)))
 
 
 def relevance_filter(scored: DataFrame, min_score: float = fixed.MIN_RELEVANCE) -> DataFrame:
@@ -393,6 +406,145 @@ def topk_relevant(scored: DataFrame, cap: int = fixed.MAX_RESULT_LIMIT) -> tuple
     return best, overflow
 
 
+# --- the best matches, by bounds ------------------------------------------------------
+
+PROFILE = ["title_norm", "location_norm", "says_remote", "is_remote", "low", "high"]
+
+
+def posting_profiles(postings: DataFrame) -> DataFrame:
+    """ord, company_key, the columns of PROFILE and ``profile``, which names their values; no text.
+
+    Postings that carry a ``query_id`` keep it, and it is part of the profile.
+    """
+    own = ["query_id"] if "query_id" in postings.columns else []
+    need = ex.parse_experience(F.concat(F.col("title"), F.lit(". "), F.coalesce("description", F.lit(""))))
+    bounds = ex.experience_bounds(need)
+    facts = postings.select(
+        *own, "ord", tx.normalize_company_name(F.col("company_name")).alias("company_key"),
+        tx.basic_normalize(F.col("title")).alias("title_norm"), tx.basic_normalize(F.col("location")).alias("location_norm"),
+        F.contains(F.lower(F.coalesce("location", F.lit(""))), F.lit("remote")).alias("says_remote"), "is_remote",
+        bounds["low"].alias("low"), bounds["high"].alias("high"),
+    )
+    return facts.withColumn("profile", F.sha2(F.to_json(F.struct(*own, *PROFILE)), 256))
+
+
+def _bounded_pairs(requests: DataFrame, facts: DataFrame, min_score: float) -> DataFrame:
+    """Requests with the profiles that may reach ``min_score``: ratios, rows, least and greatest possible score."""
+    own = ["query_id"] if "query_id" in facts.columns else []
+    profiles = facts.groupBy("profile", *own, *PROFILE).agg(F.count("*").alias("rows"))
+    slim = requests.select(
+        "query_id", "locations", "remote_only", "w_places", "w_countries", "w_experience",
+        (F.size("keywords") > 0).alias("_kw"), (F.size("industries") > 0).alias("_ind"),
+        (F.size("companies") > 0).alias("_comp"), (F.size("w_exclusions") > 0).alias("_excl"),
+    )
+    wanted = title_matches(requests, facts).join(slim, "query_id")
+    pairs = profiles.join(wanted, [*own, "title_norm"])
+    # what the score functions read: a place that says "remote" or not, and bounds in place of the text they came from
+    pairs = pairs.withColumns(
+        {
+            "location": F.when(F.col("says_remote"), F.lit("remote")),
+            "experience": F.struct(
+                F.col("low").alias("min_years"), F.col("high").alias("max_years"),
+                F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("text"),
+            ),
+        }
+    )
+    pairs = experience_score(location_score(pairs)).select(
+        "query_id", "profile", "rows", "title_match", F.col("title_match.score").alias("r_title"),
+        F.col("location_match.score").alias("r_location"), F.col("experience_match.score").alias("r_experience"),
+        "_kw", "_ind", "_comp", "_excl",
+    )
+
+    def bound(text: float) -> Column:
+        open_ratio = {"_kw": "keywords", "_ind": "industry", "_comp": "company"}
+        ratios = {n: F.col(f"r_{n}") for n in ("title", "location", "experience")}
+        return _total(ratios | {name: F.when(F.col(flag), F.lit(text)).otherwise(F.lit(1.0)) for flag, name in open_ratio.items()})
+
+    gated = (F.col("r_location") <= 0) | (F.col("r_experience") <= 0)
+    least = F.when(F.col("_comp") | F.col("_excl"), F.lit(0.0)).otherwise(bound(0.0))
+    return pairs.filter(~gated).withColumns({"least": least, "most": bound(1.0)}).filter(F.col("most") >= min_score)
+
+
+def _resolved(pairs: DataFrame, requests: DataFrame, postings: DataFrame) -> DataFrame:
+    """``score`` of pairs of a request and a posting (query_id, ord, company_key, ratios).
+
+    Each (posting, term) that some pair asks for is looked up once, in the posting's
+    text; what travels with pairs is terms and hits.
+    """
+    own = ["query_id"] if "query_id" in postings.columns else []
+    blob = prepare_postings(postings).select(*own, "ord", "blob")
+
+    def terms(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), v.alias("term")))
+
+    norms = [("keyword", F.transform("w_keywords", lambda k: k["norm"])), ("industry", F.col("w_terms")), ("banned", F.transform("w_exclusions", lambda k: k["norm"]))]
+    asked = requests.select("query_id", F.explode(F.concat(*[terms(k, v) for k, v in norms])).alias("t")).select("query_id", "t.*").filter("term <> ''")
+    wanted = pairs.select("query_id", "ord").join(asked, "query_id")
+    found = wanted.select(*own, "ord", "term").distinct().join(blob, [*own, "ord"]).filter(F.contains("blob", "term")).select(*own, "ord", "term")
+    hits = wanted.join(found, [*own, "ord", "term"]).groupBy("query_id", "ord").agg(
+        F.count_if(F.col("kind") == "keyword").alias("n_keyword"), F.count_if(F.col("kind") == "industry").alias("n_industry"),
+        F.count_if(F.col("kind") == "banned").alias("n_banned"),
+    )
+    sizes = requests.select("query_id", F.size("keywords").alias("_keywords"), "w_companies")
+    full = pairs.join(sizes, "query_id").join(hits, ["query_id", "ord"], "left").na.fill(0, ["n_keyword", "n_industry", "n_banned"])
+    ratios = {n: F.col(f"r_{n}") for n in ("title", "location", "experience")}
+    ratios["keywords"] = F.when(F.col("_keywords") == 0, F.lit(1.0)).otherwise(F.col("n_keyword") / F.col("_keywords"))
+    ratios["company"] = F.when(~F.col("_comp") | F.array_contains("w_companies", F.col("company_key")), F.lit(1.0)).otherwise(F.lit(0.0))
+    ratios["industry"] = F.when(~F.col("_ind") | (F.col("n_industry") > 0), F.lit(1.0)).otherwise(F.lit(0.0))
+    score = _total(ratios)
+    score = F.when(F.col("n_banned") > 0, F.lit(0.0)).when(F.col("_comp") & (ratios["company"] <= 0), F.least(score, F.lit(fixed.GATE_SCORE))).otherwise(score)
+    return full.select("query_id", "ord", "title_match", "least", score.alias("score"))
+
+
+def best_matches(
+    queries: DataFrame, postings: DataFrame, cap: int = fixed.MAX_RESULT_LIMIT, min_score: float = fixed.MIN_RELEVANCE
+) -> tuple[DataFrame, DataFrame]:
+    """(best matches per request, scored and explained; matching and left_over per request).
+
+    The same rows as ``topk_relevant`` over all pairs. Postings alike in title, place
+    and experience are one profile. A profile's title, place and experience ratios are
+    exact; keywords, industry, companies and exclusions leave a range between the least
+    and the greatest score. A request visits profiles by descending bound until the
+    least scores of those it has seen fill its limit; what cannot pass these is counted
+    (all of it matches, or none) and not joined. Scores have one decimal, so a request's
+    bounds are a histogram of at most a thousand values, not a sort of its candidates.
+
+    ``ord`` must be unique (per ``query_id`` where postings carry one), and ``min_score``
+    above the cap of contradicted pairs.
+    """
+    if min_score <= fixed.GATE_SCORE:
+        raise ValueError("gated pairs would match: use match_queries_to_postings")
+    # both are read several times below; written once, they also keep the plans of the steps small
+    requests = checkpoint(prepare_requests(queries))
+    own = ["query_id"] if "query_id" in postings.columns else []
+    facts = checkpoint(posting_profiles(postings))
+    pairs = checkpoint(_bounded_pairs(requests, facts, min_score))
+    limits = queries.select("query_id", F.least("limit", F.lit(cap)).alias("_k"))
+
+    sure = pairs.filter(F.col("least") >= min_score).groupBy("query_id", "least").agg(F.sum("rows").alias("rows"))
+    down = Window.partitionBy("query_id").orderBy(F.desc("least"))
+    filled = sure.withColumn("seen", F.sum("rows").over(down)).join(limits, "query_id").filter(F.col("seen") >= F.col("_k"))
+    floors = filled.groupBy("query_id").agg(F.max("least").alias("_floor"))
+    floor = F.coalesce("_floor", F.lit(min_score))
+    unsure = F.col("least") < min_score
+    visited = pairs.join(floors, "query_id", "left").filter((F.col("most") >= floor) | unsure).drop("rows", "_floor")
+    rows = visited.join(facts.select(*own, "profile", "ord", "company_key"), [*own, "profile"])
+    scored = checkpoint(_resolved(rows, requests, postings).filter(F.col("score") >= min_score))
+
+    best = first_k(scored.join(limits, "query_id"), ["query_id"], [F.col("score").desc(), F.col("ord")], cap, rank="match_rank")
+    best = best.filter(F.col("match_rank") <= F.col("_k")).select("query_id", "ord", "title_match", "match_rank")
+    # what every visited pair with a doubtful bound came to, and all others by their profiles
+    late = scored.filter(unsure).groupBy("query_id").agg(F.count("*").alias("late"))
+    early = sure.groupBy("query_id").agg(F.sum("rows").alias("early"))
+    matching = (F.coalesce("early", F.lit(0)) + F.coalesce("late", F.lit(0))).cast("long")
+    overflow = early.join(late, "query_id", "full").join(limits, "query_id").select(
+        "query_id", matching.alias("matching"), F.greatest(matching - F.col("_k"), F.lit(0)).alias("left_over")
+    )
+    fetched = postings.join(best, [*own, "ord"]) if own else best.join(postings, "ord")
+    fetched = match_explanations(score_postings(prepare_postings(fetched).join(requests, "query_id")))
+    return fetched, overflow
+
+
 # --- joins on one criterion ----------------------------------------------------------
 
 

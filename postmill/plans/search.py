@@ -151,16 +151,15 @@ def run_search(
     )
     unique = marked.filter("drop_reason IS NULL").drop("drop_reason", "company_key")
 
-    scored = relevance.match_queries_to_postings(queries, unique)
-    matching = checkpoint(
-        scored.filter(F.col("score") >= fixed.MIN_RELEVANCE).select(
+    best, overflow = relevance.best_matches(queries, unique)
+    best = checkpoint(
+        best.select(
             "query_id", "user_id", "ord", "url", "canonical_url", "fingerprint", "title", "company_name", "company_key",
             "location", "is_remote", "description", "source", "posted_at", "payload", "source_query_url", "experience",
-            "score", "reasons", "breakdown", "limit",
+            "score", "reasons", "breakdown", "match_rank",
         )
     )
-    best, overflow = relevance.topk_relevant(matching)
-    kept = best.drop("match_rank", "limit").withColumnRenamed("reasons", "match_reasons").withColumn(
+    kept = best.drop("match_rank").withColumnRenamed("reasons", "match_reasons").withColumn(
         "board_token", F.element_at("payload", "board")
     )
     checked = validation.validate_postings(kept, fetch_log, as_of)
@@ -204,7 +203,7 @@ def run_search(
     found = marked.groupBy("query_id").agg(
         F.count("*").alias("raw_found"), F.count("drop_reason").alias("_repeats")
     )
-    relevant = overflow.join(matching.groupBy("query_id").agg(F.count("*").alias("_matching")), "query_id")
+    relevant = overflow.withColumnRenamed("matching", "_matching")
     ends = settled.groupBy("query_id").agg(
         F.count_if(F.col("drop_reason") == "duplicate").alias("_late_repeats"),
         F.count_if(F.col("drop_reason") == "rejected").alias("rejected"),
