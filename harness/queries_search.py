@@ -88,6 +88,12 @@ def _(spark, sf):
     return out.select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query("near_duplicates_minhash")
+def _(spark, sf):
+    """Approximate by design: its recall against the exact pairs is measured in the tests."""
+    return dedupe.near_duplicates_minhash(table(spark, sf, "documents"), "doc_id", "text", 0.8)
+
+
 # --- matching ----------------------------------------------------------------------------
 
 _need = "concat(title, '. ', description)"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill import fixed
@@ -25,6 +26,33 @@ def posting_keys(postings: DataFrame) -> DataFrame:
     )
 
 
+def _first_two(pairs: DataFrame, key: str, side: str) -> DataFrame:
+    """The two earliest ranks of each value of a key; the rank limit is applied before the shuffle."""
+    order = Window.partitionBy("_part", key).orderBy("_rank")
+    top = pairs.select("_part", key, "_rank", F.row_number().over(order).alias("_n")).filter("_n <= 2")
+    return top.groupBy("_part", key).agg(F.min("_rank").alias(f"_first_{side}"), F.max(F.when(F.col("_n") == 2, F.col("_rank"))).alias(f"_second_{side}"))
+
+
+def _roots(forest: DataFrame) -> DataFrame:
+    """Pointer doubling: _part, _rank, _root and whether an odd number of edges lies between.
+
+    ``forest`` has one edge (_part, _rank, _root) per row that has one; a path of N edges
+    takes log2(N) joins.
+    """
+    state = forest.withColumn("_odd", F.lit(True))
+    while True:
+        up = state.select("_part", F.col("_rank").alias("_root"), F.col("_root").alias("_up"), F.col("_odd").alias("_up_odd"))
+        moved = F.col("_up").isNotNull()
+        step = state.join(up, ["_part", "_root"], "left").select(
+            "_part", "_rank", F.coalesce("_up", "_root").alias("_root"),
+            (F.col("_odd") != F.coalesce("_up_odd", F.lit(False))).alias("_odd"), moved.alias("_moved"),
+        )
+        step = checkpoint(step)
+        if step.filter("_moved").isEmpty():
+            return state
+        state = step.drop("_moved")
+
+
 def dedupe_two_key(
     df: DataFrame,
     key_a: str,
@@ -35,37 +63,39 @@ def dedupe_two_key(
     """Keep a row iff neither of its keys belongs to a row kept before it.
 
     Adds ``drop_reason``: NULL on kept rows, 'duplicate' on the others.
-    ``order_by`` must be a total order.
-
-    This is the sequential greedy result, computed in parallel rounds: a row
-    that comes first under both its keys is kept, every row sharing a key with
-    it is dropped, and the rest go to the next round. Rows with the same pair
-    of keys are collapsed before the first round, so a large group of copies
-    costs one row. Each round is checkpointed; rounds go on until no row is
-    undecided. A row without a key shares that key with no other row.
+    ``order_by`` must be a total order (within ``partition_by``).
+
+    This is the sequential greedy result, computed in parallel rounds. In a round a
+    row that comes first under both its keys is kept. A row with one undecided
+    earlier neighbour is kept iff that one is not: such rows form a forest, whose
+    chains of any length are settled by pointer doubling. Then every row sharing a
+    key with a kept one is dropped, and the rest, rows that wait for two or more,
+    go to the next round. Rows with the same pair of keys are collapsed before the
+    first round, so a large group of copies costs one row. A row without a key
+    shares that key with no other row; a NULL in ``partition_by`` is a value.
     """
     part, given = list(partition_by), df.columns
     rank = F.struct(*[F.col(c) for c in order_by])
     alone = F.concat(F.lit("-"), F.to_json(rank))
     df = df.withColumns({f"_key_{k}": F.coalesce(F.concat(F.lit("+"), F.col(k).cast("string")), alone) for k in (key_a, key_b)})
+    df = df.withColumn("_part", F.to_json(F.struct(*part)) if part else F.lit(""))
     key_a, key_b = f"_key_{key_a}", f"_key_{key_b}"
-    pairs = df.groupBy(*part, key_a, key_b).agg(F.min(rank).alias("_rank"))
-    open_pairs = checkpoint(pairs)
-    kept_rounds = []
+    open_pairs = checkpoint(df.groupBy("_part", key_a, key_b).agg(F.min(rank).alias("_rank")))
+    node, kept_rounds = ["_part", "_rank"], []
     while not open_pairs.isEmpty():
-        by_a = open_pairs.groupBy(*part, key_a).agg(F.min("_rank").alias("_rank_a"))
-        by_b = open_pairs.groupBy(*part, key_b).agg(F.min("_rank").alias("_rank_b"))
-        kept = (
-            open_pairs.join(by_a, [*part, key_a])
-            .join(by_b, [*part, key_b])
-            .filter((F.col("_rank") == F.col("_rank_a")) & (F.col("_rank") == F.col("_rank_b")))
-            .select(*part, key_a, key_b, "_rank")
-        )
+        seen = open_pairs.join(_first_two(open_pairs, key_a, "a"), ["_part", key_a]).join(_first_two(open_pairs, key_b, "b"), ["_part", key_b])
+        place = {s: F.when(F.col("_rank") == F.col(f"_first_{s}"), 0).when(F.col("_rank") == F.col(f"_second_{s}"), 1).otherwise(2) for s in "ab"}
+        before = F.when(place["a"] == 1, F.col("_first_a")).when(place["b"] == 1, F.col("_first_b"))
+        marked = checkpoint(seen.select(*node, key_a, key_b, (place["a"] + place["b"]).alias("_earlier"), before.alias("_root")))
+        first, waiting = marked.filter("_earlier = 0"), marked.filter("_earlier = 1")
+        rooted = _roots(waiting.select(*node, "_root")).filter("not _odd")
+        settled = rooted.join(first.select("_part", F.col("_rank").alias("_root")), ["_part", "_root"], "left_semi")
+        kept = first.unionByName(waiting.join(settled.select(*node), node, "left_semi")).select(*node, key_a, key_b)
         kept = checkpoint(kept)
         kept_rounds.append(kept)
         open_pairs = checkpoint(
-            open_pairs.join(kept.select(*part, key_a), [*part, key_a], "left_anti").join(
-                kept.select(*part, key_b), [*part, key_b], "left_anti"
+            open_pairs.join(kept.select("_part", key_a), ["_part", key_a], "left_anti").join(
+                kept.select("_part", key_b), ["_part", key_b], "left_anti"
             )
         )
     if not kept_rounds:
@@ -73,8 +103,8 @@ def dedupe_two_key(
     winners = kept_rounds[0]
     for more in kept_rounds[1:]:
         winners = winners.unionByName(more)
-    winners = winners.select(*part, key_a, key_b, F.col("_rank").alias("_kept"))
-    marked = df.withColumn("_rank", rank).join(winners, [*part, key_a, key_b], "left")
+    winners = winners.select("_part", key_a, key_b, F.col("_rank").alias("_kept"))
+    marked = df.withColumn("_rank", rank).join(winners, ["_part", key_a, key_b], "left")
     reason = F.when(F.col("_rank") == F.col("_kept"), F.lit(None).cast("string")).otherwise(F.lit("duplicate"))
     return marked.select(*given, reason.alias("drop_reason"))
 
@@ -94,15 +124,11 @@ def dedupe_final_url(validated: DataFrame, partition_by: Sequence[str] = ("query
     return flagged.withColumn("drop_reason", reason).drop("_first")
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """Pairs (id_a < id_b) of rows whose token sets have a Jaccard of at least ``threshold``.
+def _token_sets(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(distinct token sets: id, toks; pairs of each further row of a set with its smallest id).
 
-    Exact, by prefix filtering: two sets this similar must share one of each
-    set's rarest ``n - ceil(threshold * n) + 1`` tokens, so only those are
-    joined, and the places of the first one they share must leave room for the
-    overlap that their sizes ask for. Tokens travel as 64-bit hashes. Rows with one and the same token set are first collapsed to their
-    smallest id; each copy is paired with that id once (Jaccard 1) and does not
-    take part in the join, so a large group of copies costs one row per copy.
+    Tokens are 64-bit hashes. Rows with one and the same set cost one row each and take
+    no part in what follows.
     """
     sets = df.select(F.col(id_col).alias("id"), F.array_sort(F.transform(tx.token_set(F.col(text)), lambda t: F.xxhash64(t))).alias("toks")).filter(
         F.size("toks") > 0
@@ -116,30 +142,119 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text: str, threshold: float
         .filter("id_b <> id_a")
         .select("id_a", "id_b", F.lit(1.0).alias("jaccard"))
     )
+    return groups, copies
+
+
+def _checked(candidates: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """Candidates (id_a, id_b) with their exact Jaccard, where it is high enough."""
+    ratio: Column = tx.overlap_ratio(F.col("toks_a"), F.col("toks_b"))
+    return (
+        candidates.join(groups.select(F.col("id").alias("id_a"), F.col("toks").alias("toks_a")), "id_a")
+        .join(groups.select(F.col("id").alias("id_b"), F.col("toks").alias("toks_b")), "id_b")
+        .select("id_a", "id_b", ratio.alias("jaccard"))
+        .filter(F.col("jaccard") >= threshold)
+    )
+
+
+def near_duplicate_pairs(df: DataFrame, id_col: str, text: str, threshold: float = 0.8, hot: int = 2000) -> DataFrame:
+    """Pairs (id_a < id_b) of rows whose token sets have a Jaccard of at least ``threshold``.
 
+    Exact, by prefix filtering: two sets this similar must share one of each
+    set's rarest ``n - ceil(threshold * n) + 1`` tokens, and differ in size by at
+    most the factor ``threshold``. Sets are posted under their rarest tokens and a
+    band of sizes, so that only sets of like size meet; a posting list of more than
+    ``hot`` sets is dealt over as many tasks as it has such parts. The places of the
+    first token that a pair shares must leave room for the overlap that their sizes
+    ask for. Rows with one and the same token set are first collapsed to their
+    smallest id; each copy is paired with that id once (Jaccard 1), so a large
+    group of copies costs one row per copy.
+    """
+    groups, copies = _token_sets(df, id_col, text)
     words = groups.select("id", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
     frequency = words.groupBy("tok").agg(F.count("*").alias("freq"))
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1
+    # sizes of one band are within the threshold of each other, so a set's partners are in its band or the next
+    band = F.floor(F.log(F.col("n")) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
     prefix = (
         words.join(frequency, "tok")
         .groupBy("id", "n")
         .agg(F.array_sort(F.collect_list(F.struct("freq", "tok"))).alias("ranked"))
         .select("id", "n", F.posexplode(F.slice("ranked", F.lit(1), keep.cast("int"))).alias("at", "r"))
-        .select("id", "n", "at", F.col("r.tok").alias("tok"), F.col("r.freq").alias("freq"))
+        .select("id", "n", "at", F.col("r.tok").alias("tok"), F.col("r.freq").alias("freq"), band.alias("band"))
         .filter("freq > 1")
     )
-    a = prefix.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), "tok")
-    b = prefix.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "tok")
+    prefix = checkpoint(prefix)
+    lists = prefix.groupBy("tok", "band").agg(F.count("*").alias("sets")).filter(F.col("sets") > hot)
+    parts = lists.select("tok", "band", F.ceil(F.col("sets") / F.lit(hot)).cast("int").alias("parts"))
+    dealt = prefix.join(parts, ["tok", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = dealt.select(
+        F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), "tok", F.col("band").alias("home"),
+        F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"),
+    )
+    # the other side visits its own band and the one below, and every part of the lists there
+    visits = prefix.select("*", F.explode(F.array("band", F.col("band") - 1)).alias("home"))
+    visits = visits.join(parts.withColumnRenamed("band", "home"), ["tok", "home"], "left")
+    b = visits.select(
+        F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("band").alias("band_b"), "tok", "home",
+        F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"),
+    )
+    once = (F.col("home") < F.col("band_b")) | (F.col("id_a") < F.col("id_b"))
     near_size = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
     # the first token a pair shares leaves this much for the overlap, and its sizes need that much
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     needed = F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
-    candidates = a.join(b, "tok").filter((F.col("id_a") < F.col("id_b")) & near_size & (room >= needed)).select("id_a", "id_b").distinct()
-    ratio: Column = tx.overlap_ratio(F.col("toks_a"), F.col("toks_b"))
-    checked = (
-        candidates.join(groups.select(F.col("id").alias("id_a"), F.col("toks").alias("toks_a")), "id_a")
-        .join(groups.select(F.col("id").alias("id_b"), F.col("toks").alias("toks_b")), "id_b")
-        .select("id_a", "id_b", ratio.alias("jaccard"))
-        .filter(F.col("jaccard") >= threshold)
-    )
-    return checked.unionByName(copies)
+    met = a.join(b, ["tok", "home", "part"]).filter(once & (F.col("id_a") != F.col("id_b")) & near_size & (room >= needed))
+    candidates = met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    return _checked(candidates, groups, threshold).unionByName(copies)
+
+
+def minhash_bands(groups: DataFrame, bands: int, rows: int) -> DataFrame:
+    """id and ``keys``: for each band the hash of its ``rows`` min-hashes of the set's tokens.
+
+    The minima combine before the shuffle, so a set of any size costs one row of numbers a task.
+    """
+    tokens = groups.select("id", F.explode("toks").alias("tok"))
+    minima = [F.min(F.xxhash64("tok", F.lit(i))).alias(f"m{i}") for i in range(bands * rows)]
+    signed = tokens.groupBy("id").agg(*minima)
+    return signed.select("id", F.array(*[F.xxhash64(*[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("keys"))
+
+
+def near_duplicates_minhash(
+    df: DataFrame, id_col: str, text: str, threshold: float = 0.8, bands: int = 20, rows: int = 4, full: int = 50
+) -> DataFrame:
+    """Links (id_a < id_b, jaccard) between rows with near token sets, by banded min-hash signatures.
+
+    Approximate: a pair of Jaccard s shares a band with probability 1 - (1 - s^rows)^bands
+    (0.9999 at 0.8 with the defaults); every link given is checked exactly. The members of a
+    bucket of at most ``full`` sets are compared with each other. A larger one is split by the
+    keys of its members' next band, and what is still too large by the band after that; in
+    addition each of its members is compared with its smallest, so the parts stay linked. So
+    no bucket gives more than ``full`` candidates per member, and a cluster of near copies of
+    any size comes out as stars. Copies of one set are linked with its smallest id.
+    """
+    groups, copies = _token_sets(df, id_col, text)
+    signed = checkpoint(minhash_bands(groups, bands, rows))
+
+    def key(extra: int) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(bands - 1)),
+            lambda b: F.struct(b.alias("band"), F.xxhash64(*[F.get("keys", F.pmod(b + F.lit(i), F.lit(bands))) for i in range(extra + 1)]).alias("key")),
+        )
+
+    # the bucket of each band at three depths, split only where the one before was too large
+    levels = signed.select("id", F.explode(F.arrays_zip(key(0).alias("x"), key(1).alias("y"), key(2).alias("z"))).alias("k"))
+    levels = levels.select("id", "k.x.band", F.col("k.x.key").alias("k0"), F.col("k.y.key").alias("k1"), F.col("k.z.key").alias("k2"))
+    links, open_rows = [], levels
+    for depth in range(3):
+        name = f"k{depth}"
+        sizes = open_rows.groupBy("band", name).agg(F.count("*").alias("members"), F.min("id").alias("least")).filter("members > 1")
+        bucketed = open_rows.join(sizes, ["band", name])
+        links.append(bucketed.filter((F.col("members") > full) & (F.col("id") != F.col("least"))).select(F.col("least").alias("id_a"), F.col("id").alias("id_b")))
+        small = bucketed.filter(F.col("members") <= full).groupBy("band", name).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        pairs = small.select("ids", F.posexplode("ids").alias("at", "id_a")).select("id_a", F.explode(F.slice("ids", F.col("at") + 2, F.lit(full))).alias("id_b"))
+        links.append(pairs)
+        open_rows = bucketed.filter(F.col("members") > full).select(*levels.columns)
+    candidates = links[0]
+    for more in links[1:]:
+        candidates = candidates.unionByName(more)
+    return _checked(candidates.distinct(), groups, threshold).unionByName(copies)

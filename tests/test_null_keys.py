@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
 from postmill.operators import dedupe, store, tracker
 from postmill.operators.buckets import BucketTable
 from postmill.plans import skew
-from postmill.session import shared_folder
+from postmill.session import checkpoint, shared_folder
 from postmill.streaming import streams
 
 
@@ -69,3 +70,33 @@ def test_stream_ingest_survives_restart_replay_and_a_seeded_library(spark):
     assert run([(1, "c", "1", 3, False)], f"{root}/cp1") == {"seed": "s", "a": "1", "b": "1", "c": "1"}
     # a new checkpoint folder reads everything again and keeps what is there
     assert run([(1, "d", "1", 4, False)], f"{root}/cp2") == {"seed": "s", "a": "1", "b": "1", "c": "1", "d": "1"}
+
+
+def greedy(rows):
+    a, b, kept = set(), set(), set()
+    for i, x, y in sorted(rows):
+        if x not in a and y not in b:
+            a.add(x)
+            b.add(y)
+            kept.add(i)
+    return kept
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    # row i shares a key with row i - 1 and another with row i + 1
+    chain = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(1000)]
+    calls = []
+    monkeypatch.setattr(dedupe, "checkpoint", lambda df: calls.append(1) or checkpoint(df))
+    out = dedupe.dedupe_two_key(spark.createDataFrame(chain, "ord int, a string, b string"), "a", "b", ["ord"])
+    assert {r.ord for r in out.filter("drop_reason IS NULL").collect()} == greedy(chain) == set(range(0, 1000, 2))
+    assert len(calls) <= 4 + 12  # one round, and a doubling step for each power of two
+
+
+def test_random_key_graphs_with_parts_equal_the_fold(spark):
+    rng = random.Random(12)
+    rows = [(i, f"a{rng.randrange(18)}", f"b{rng.randrange(18)}", rng.choice([None, "x", "y"])) for i in range(150)]
+    rows += [(1000 + i, f"c{(i + 1) // 2}", f"d{i // 2}", "x") for i in range(60)]
+    rng.shuffle(rows)
+    out = dedupe.dedupe_two_key(spark.createDataFrame(rows, "ord int, a string, b string, part string"), "a", "b", ["ord"], ["part"])
+    want = set().union(*(greedy([r[:3] for r in rows if r[3] == p]) for p in (None, "x", "y")))
+    assert {r.ord for r in out.filter("drop_reason IS NULL").collect()} == want and out.count() == len(rows)
