@@ -579,19 +579,25 @@ def _(spark, sf):
 # --- streams -----------------------------------------------------------------------------
 
 
+EVENTS_PER_FILE = 1_000_000
+
+
 def stream(spark, sf, text: str, late: bool = True):
-    """The events table as files that arrive one after the other, a batch each, shaped by a select list.
+    """The events table as three arrivals of files, a batch each, shaped by a select list.
 
-    With ``late`` some of the first events come with the last file.
+    With ``late`` some of the first events come with the last arrival.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events, folder = table(spark, sf, "events"), shared_folder(spark, "events")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
     third = (c("event_id") - low) * 3 / (high - low + 1)
     arrival = F.when((c("event_id") % 97 == 0) & F.lit(late), F.lit(2)).otherwise(F.floor(third))
+    # each third is as many files of some size; what arrived with it is a folder, and folders are read in order
+    files = max(1, -(-(high - low + 1) // (3 * EVENTS_PER_FILE)))
     for number in range(3):
-        events.filter(arrival == number).coalesce(1).write.mode("append").parquet(folder)
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        part = events.filter(arrival == number).repartitionByRange(files, "event_id").sortWithinPartitions("event_id")
+        part.write.option("maxRecordsPerFile", 0).parquet(f"{folder}/arrival={number}")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/arrival=*")
     return source.selectExpr(*text.split(";"))
 
 
@@ -627,6 +633,27 @@ def _(spark, sf):
     return out.groupBy(c("canonical_url").alias("k")).agg((F.count("*") == 1).alias("seen"))
 
 
+_arrived = """SELECT event_id, 1000000000 * (CASE WHEN event_id % 97 = 0 THEN 2 ELSE CAST(floor((event_id - lo) * 3 / (hi - lo + 1)) AS BIGINT) END) + event_id AS rank,
+   'u' || CAST(user_id * 7 + CAST(floor(value) AS BIGINT) % 5 AS VARCHAR) AS a, 'f' || CAST(event_id * 31 % 900 AS VARCHAR) AS b FROM events, (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events)"""
+
+
+@query(
+    "stream_dedupe_two_key",
+    f"""WITH {greedy(_arrived.replace('event_id,', 'event_id AS id,', 1))} SELECT event_id, CASE WHEN event_id NOT IN (SELECT id FROM kept) THEN 'duplicate' END AS drop_reason FROM events""",
+)
+def _(spark, sf):
+    """Three arrivals, the last with late rows: a row is judged when it comes."""
+    text = "event_id;concat('u', CAST(user_id * 7 + CAST(floor(value) AS BIGINT) % 5 AS STRING)) AS canonical_url;concat('f', CAST(event_id * 31 % 900 AS STRING)) AS fingerprint"
+    folder = streams.checkpoint_folder(spark, "two-key")
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/b={batch_id}")
+
+    q = streams.stream_dedupe_two_key(stream(spark, sf, text), f"{folder}/claims", "canonical_url", "fingerprint", ["event_id"], write, f"{folder}/cp")
+    q.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "drop_reason")
+
+
 @query(
     "stream_funnel",
     """SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, user_id % 10 AS query_id, count(*) FILTER (event_type <> 'signup') AS raw_found, count(*) FILTER (event_type = 'error') AS rejected,

@@ -1,11 +1,12 @@
 """A table in hash buckets of its key, merged by rewriting the touched buckets only.
 
-    {folder}/manifest/0000000007.json   one version: for each bucket the folder its rows are in
+    {folder}/manifest/0000000007.json   one version: for each bucket the folders its rows are in
     {folder}/data/<write>/bucket=12/    rows of one bucket, as one merge wrote them
 
 A merge reads the buckets that the keys of its batch fall into, writes their next state to a
 new folder and then commits a manifest that points there; all other buckets keep their
-folders. The manifest appears by a rename that fails if its number is taken, so a version is
+folders. Rows of new keys can be appended: their buckets get one more folder each and nothing is
+read or rewritten. The manifest appears by a rename that fails if its number is taken, so a version is
 whole or absent, readers keep the version they opened, and of two writers one is told to try
 again. A manifest also carries the last batch number of each stream that wrote to the table:
 data and mark are committed together, and a batch that is sent again changes nothing.
@@ -102,7 +103,7 @@ class BucketTable:
         self.manifest = json.loads(self.files.read(self._name(self.version)))
         self.keys, self.buckets = self.manifest["keys"], self.manifest["buckets"]
         self.schema = StructType.fromJson(self.manifest["schema"])
-        self.folders = {int(b): f for b, f in self.manifest["folders"].items()}
+        self.folders = {int(b): list(f) for b, f in self.manifest["folders"].items()}
         return self
 
     def _versions(self) -> list[int]:
@@ -120,7 +121,7 @@ class BucketTable:
         wanted = self.folders if only is None else {b: self.folders[b] for b in only if b in self.folders}
         if not wanted:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/data/{f}/{BUCKET}={b}" for b, f in sorted(wanted.items())])
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/data/{f}/{BUCKET}={b}" for b, many in sorted(wanted.items()) for f in many])
 
     def marked(self, stream: str) -> int:
         """The last batch of a stream that is in the table, -1 before the first."""
@@ -146,6 +147,29 @@ class BucketTable:
                 self.refresh()
         raise Conflict(f"{self.folder}: {attempts} writers were faster")
 
+    def append(self, rows: DataFrame, mark: tuple[str, int] | None = None, attempts: int = 5, most: int = 16) -> list[int]:
+        """Add rows whose keys are not in the table; the buckets that got some.
+
+        The caller answers for the keys being new, also against other writers. Buckets of
+        more than ``most`` folders are then written together.
+        """
+        rows = checkpoint(rows)
+        for _ in range(attempts):
+            if mark and mark[1] <= self.refresh().marked(mark[0]):
+                return []
+            try:
+                added = self._commit(None, rows, mark)
+                self.compact(most)
+                return added
+            except Conflict:
+                self.refresh()
+        raise Conflict(f"{self.folder}: {attempts} writers were faster")
+
+    def compact(self, most: int = 1) -> list[int]:
+        """Write buckets of more than ``most`` folders anew, each as one."""
+        many = [b for b, f in self.folders.items() if len(f) > most]
+        return self._commit(many, self.read(many), None) if many else []
+
     def delete(self, keys: DataFrame) -> list[int]:
         """Take the rows of some keys out."""
 
@@ -160,24 +184,26 @@ class BucketTable:
         rows, self.buckets = self.read(), buckets
         self._commit(sorted(range(buckets)), rows, None, whole=True)
 
-    def _commit(self, touched: list[int], rows: DataFrame, mark: tuple[str, int] | None, whole: bool = False) -> list[int]:
+    def _commit(self, touched: list[int] | None, rows: DataFrame, mark: tuple[str, int] | None, whole: bool = False) -> list[int]:
+        """Write rows and commit a version in which they are the touched buckets, or, for None, in addition to all."""
         write = f"{self.version + 1:010d}-{uuid.uuid4().hex[:12]}"
         path = f"{self.folder}/data/{write}"
         shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).withColumn(BUCKET, self.bucket_of())
         shaped.repartition(BUCKET).write.partitionBy(BUCKET).parquet(path)
         written = {int(n.split("=")[1]) for n in self.files.names(path) if n.startswith(f"{BUCKET}=")}
-        if not written <= set(touched):
+        if touched is not None and not written <= set(touched):
             self.files.drop(path)
             raise ValueError("a merge gave rows of keys that its batch does not have")
-        folders = {} if whole else {b: f for b, f in self.folders.items() if b not in set(touched)}
-        folders |= {b: write for b in written}
+        replaced = set(touched or ())
+        folders = {} if whole else {b: f for b, f in self.folders.items() if b not in replaced}
+        folders |= {b: [*folders.get(b, ()), write] for b in written}
         marks = self.manifest["marks"] | ({mark[0]: mark[1]} if mark else {})
         text = json.dumps(self.manifest | {"buckets": self.buckets, "folders": folders, "marks": marks})
         if not self.files.put_new(self._name(self.version + 1), text):
             self.files.drop(path)
             raise Conflict(self.folder)
         self.refresh()
-        return touched
+        return sorted(written) if touched is None else touched
 
     def vacuum(self, keep: int = 1, older_than: float = 86400.0) -> list[str]:
         """Remove all but the newest ``keep`` versions and the folders only they had; what was removed.
@@ -187,8 +213,9 @@ class BucketTable:
         """
         versions = sorted(self._versions())
         kept, gone = versions[-keep:], versions[:-keep]
-        used = {f for v in kept for f in json.loads(self.files.read(self._name(v)))["folders"].values()}
-        once = {f for v in gone for f in json.loads(self.files.read(self._name(v)))["folders"].values()}
+        used, once = (
+            {f for v in some for many in json.loads(self.files.read(self._name(v)))["folders"].values() for f in many} for some in (kept, gone)
+        )
         for v in gone:
             self.files.drop(self._name(v))
         found = self.files.names(f"{self.folder}/data")

@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from postmill import fixed
-from postmill.operators import store
+from postmill.operators import dedupe, store
 from postmill.operators.buckets import BucketTable
 from postmill.operators.tracker import FUNNEL_STAGES
-from postmill.session import shared_folder
+from postmill.session import checkpoint, shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -57,6 +56,61 @@ def stream_dedupe(stream: DataFrame, delay: str = "1 hour", key: str = "canonica
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+CLAIMS = StructType([StructField("part", StringType()), StructField("kind", StringType()), StructField("key", StringType()), StructField("batch", LongType()), StructField("rank", StringType())])
+
+
+def stream_dedupe_two_key(
+    stream: DataFrame, store_path: str, key_a: str, key_b: str, order_by: Sequence[str], sink: Callable[[DataFrame, int], None],
+    checkpoint_path: str, partition_by: Sequence[str] = (), buckets: int = 16,
+):
+    """Writer that marks repeats under two keys as rows arrive: ``sink`` gets each batch with ``drop_reason``.
+
+    The result is that of ``dedupe_two_key`` over all rows in the order of their batches,
+    and within a batch by ``order_by``: a row is kept iff neither of its keys belongs to a
+    row kept before it. The keys of kept rows are claims in a bucketed table, each with
+    the batch and rank of its row; a batch reads the buckets of its own keys and appends its
+    new claims, committed with the batch's number. A batch that is run again finds its claims
+    there and gives the same marks, so ``sink`` should replace what it wrote under that number.
+    A row without a key shares that key with no other.
+    """
+    stream_id = hashlib.sha256(checkpoint_path.encode()).hexdigest()[:16]
+
+    def mark(batch: DataFrame, batch_id: int) -> None:
+        table = BucketTable.create(batch.sparkSession, store_path, CLAIMS, ["part", "kind", "key"], buckets)
+        rank = F.to_json(F.struct(*order_by))
+        part = F.to_json(F.struct(*partition_by)) if partition_by else F.lit("")
+        rows = checkpoint(batch.withColumns({"_claim_part": part, "_claim_rank": rank, "_a": F.col(key_a).cast("string"), "_b": F.col(key_b).cast("string")}))
+
+        def claims(df: DataFrame) -> DataFrame:
+            sides = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key")) for kind, c in (("a", "_a"), ("b", "_b"))])
+            long = df.select(F.col("_claim_part").alias("part"), F.explode(sides).alias("k"), F.lit(batch_id).cast("long").alias("batch"), F.col("_claim_rank").alias("rank"))
+            return long.select("part", "k.kind", "k.key", "batch", "rank").filter("key IS NOT NULL")
+
+        def known() -> DataFrame:
+            touched = [r[0] for r in claims(rows).select(table.bucket_of()).distinct().collect()]
+            return table.read(touched)
+
+        def with_claims(stored: DataFrame) -> DataFrame:
+            out = rows
+            for kind, c in (("a", "_a"), ("b", "_b")):
+                own = stored.filter(F.col("kind") == kind).select(
+                    F.col("part").alias("_claim_part"), F.col("key").alias(c), F.struct("batch", "rank").alias(f"_claim{c}")
+                )
+                out = out.join(own, ["_claim_part", c], "left")
+            return out
+
+        if table.marked(stream_id) < batch_id:
+            fresh = with_claims(known()).filter("_claim_a IS NULL AND _claim_b IS NULL").drop("_claim_a", "_claim_b")
+            kept = dedupe.dedupe_two_key(fresh, "_a", "_b", order_by, ["_claim_part"]).filter("drop_reason IS NULL")
+            table.append(claims(kept), (stream_id, batch_id))
+        here = F.struct(F.lit(batch_id).cast("long").alias("batch"), F.col("_claim_rank").alias("rank"))
+        mine = [F.coalesce(F.col(f"_claim{c}") == here, F.col(c).isNull()) for c in ("_a", "_b")]
+        told = with_claims(known()).withColumn("drop_reason", F.when(~(mine[0] & mine[1]), F.lit("duplicate")))
+        sink(told.select(*batch.columns, "drop_reason"), batch_id)
+
+    return stream.writeStream.foreachBatch(mark).option("checkpointLocation", checkpoint_path)
+
+
 # --- counts -----------------------------------------------------------------------------
 
 
@@ -83,7 +137,15 @@ def stream_funnel(stream: DataFrame, width: str = "1 day", delay: str = "1 day")
 
 # --- application state ----------------------------------------------------------------
 
-_STATE = StructType([StructField("folded", StringType())])
+_REGISTERS = StructType(
+    [
+        StructField(name, kind)
+        for name, kind in (
+            ("status_seq", LongType()), ("status", StringType()), ("status_us", LongType()), ("applied_seq", LongType()), ("applied_us", LongType()),
+            ("stated_seq", LongType()), ("stated", StringType()), ("reset", LongType()), ("mailed", LongType()), ("sent_seq", LongType()), ("sent_us", LongType()),
+        )
+    ]
+)
 STATE_OUTPUT = (
     "application_id bigint, status string, outreach_status string, date_applied_us bigint, outreach_sent_us bigint, "
     "last_change_us bigint"
@@ -93,47 +155,65 @@ STATE_OUTPUT = (
 class ApplicationFold(StatefulProcessor):
     """Keeps what decides each application's state; events may arrive in any order.
 
-    Kept are the newest status, the first status that means an application went
-    in, the newest stated outreach and reset, and what was sent since that
-    reset. Each is a newest or an oldest of its kind, so a late event falls into
-    its place, and rows are taken chunk by chunk.
+    The value state is a row of registers: the newest status, the first status that means an
+    application went in, the newest stated outreach, the newest reset and mail, and the first
+    thing sent since that reset. Each is a newest or an oldest of its kind, so a late event
+    falls into its place and a batch costs its own events. What was sent after the first is in
+    a map by sequence number, which is read only when a reset arrives, and emptied up to it.
+    With ``late_ms`` entries of the map expire: a reset may then be that much late.
     """
 
+    def __init__(self, late_ms: int | None = None):
+        self.late_ms = late_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("application", _STATE)
+        self.registers = handle.getValueState("registers", _REGISTERS)
+        sent = StructType([StructField("seq", LongType())]), StructType([StructField("us", LongType())])
+        self.sent = handle.getMapState("sent", *sent, self.late_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = json.loads(self.state.get()[0]) if self.state.exists() else {"reset": -1, "sent": []}
-
-        def newest(name: str, part: pd.DataFrame, pick=max) -> None:
-            if len(part):
-                row = part.loc[part["seq"].idxmax() if pick is max else part["seq"].idxmin()]
-                found = [int(row["seq"]), row["new_status"], int(row["ts_us"])]
-                kept[name] = pick(kept[name], found) if name in kept else found
+        names = [f.name for f in _REGISTERS]
+        r = dict(zip(names, self.registers.get() if self.registers.exists() else [None] * len(names), strict=True))
+        before = r["reset"]
+
+        def pick(part: pd.DataFrame, seq: str, columns: dict[str, str], newest: bool = True) -> None:
+            if not len(part):
+                return
+            row = part.loc[part["seq"].idxmax() if newest else part["seq"].idxmin()]
+            if r[seq] is None or (row["seq"] > r[seq] if newest else row["seq"] < r[seq]):
+                r[seq] = int(row["seq"])
+                r.update({name: row[c] if c == "new_status" else int(row[c]) for name, c in columns.items()})
 
         for part in rows:
-            status = part["event_type"] == "STATUS_CHANGED"
-            new = part["new_status"]
-            newest("status", part[status])
-            newest("applied", part[status & new.isin(fixed.APPLIED_STATUSES)], min)
-            newest("stated", part[~status])
-            resets = part.loc[~status & (new == "NOT_STARTED"), "seq"]
-            kept["reset"] = max(kept["reset"], int(resets.max()) if len(resets) else -1)
+            status, new = part["event_type"] == "STATUS_CHANGED", part["new_status"]
+            pick(part[status], "status_seq", {"status": "new_status", "status_us": "ts_us"})
+            pick(part[status & new.isin(fixed.APPLIED_STATUSES)], "applied_seq", {"applied_us": "ts_us"}, newest=False)
+            pick(part[~status], "stated_seq", {"stated": "new_status"})
+            pick(part[~status & (new == "NOT_STARTED")], "reset", {})
             mailed = status & (new == "OUTREACH_SENT")
+            pick(part[mailed], "mailed", {})
             sent = part[mailed | (~status & (new != "NOT_STARTED"))]
-            kept["sent"] += [[int(q), int(t), bool(m)] for q, t, m in zip(sent["seq"], sent["ts_us"], mailed[sent.index], strict=True)]
-            kept["sent"] = sorted(x for x in kept["sent"] if x[0] > kept["reset"])
-        self.state.update((json.dumps(kept),))
-        stated = kept["stated"][1] if "stated" in kept else "NOT_STARTED"
-        if stated == "NOT_STARTED" and any(m for _, _, m in kept["sent"]):
+            for seq, us in zip(sent["seq"], sent["ts_us"], strict=True):
+                if r["reset"] is None or seq > r["reset"]:
+                    self.sent.updateValue((int(seq),), (int(us),))
+            pick(sent[sent["seq"] > (-1 if r["reset"] is None else r["reset"])], "sent_seq", {"sent_us": "ts_us"}, newest=False)
+        if r["reset"] != before and r["reset"] is not None:
+            left = []
+            for (seq,), (us,) in list(self.sent.iterator()):
+                if seq <= r["reset"]:
+                    self.sent.removeKey((seq,))
+                else:
+                    left.append((seq, us))
+            r["sent_seq"], r["sent_us"] = min(left, default=(None, None))
+        self.registers.update(tuple(r[n] for n in names))
+        stated = r["stated"] or "NOT_STARTED"
+        if stated == "NOT_STARTED" and r["mailed"] is not None and r["mailed"] > (-1 if r["reset"] is None else r["reset"]):
             stated = "EMAIL_SENT"
-        last = kept.get("status", [None, "SAVED", None])
         yield pd.DataFrame(
             {
-                "application_id": [int(key[0])], "status": [last[1]], "outreach_status": [stated],
-                "date_applied_us": pd.array([kept.get("applied", [None] * 3)[2]], "Int64"),
-                "outreach_sent_us": pd.array([kept["sent"][0][1] if kept["sent"] else None], "Int64"),
-                "last_change_us": pd.array([last[2]], "Int64"),
+                "application_id": [int(key[0])], "status": [r["status"] or "SAVED"], "outreach_status": [stated],
+                "date_applied_us": pd.array([r["applied_us"]], "Int64"), "outreach_sent_us": pd.array([r["sent_us"]], "Int64"),
+                "last_change_us": pd.array([r["status_us"]], "Int64"),
             }
         )
 
@@ -141,13 +221,15 @@ class ApplicationFold(StatefulProcessor):
         pass
 
 
-def stream_application_state(stream: DataFrame) -> DataFrame:
+def stream_application_state(stream: DataFrame, late_ms: int | None = None) -> DataFrame:
     """Current state of every application touched, after each batch; late events count in their place.
 
-    The stream has application_id, seq, ts, event_type, new_status.
+    The stream has application_id, seq, ts, event_type, new_status. ``late_ms`` bounds what is
+    kept for resets that arrive late; without it they may be late by any time.
     """
     _use_rocksdb(stream.sparkSession)
     events = stream.select(
         "application_id", "seq", "event_type", "new_status", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")
     )
-    return events.groupBy("application_id").transformWithStateInPandas(ApplicationFold(), STATE_OUTPUT, "Update", "None")
+    mode = "None" if late_ms is None else "ProcessingTime"
+    return events.groupBy("application_id").transformWithStateInPandas(ApplicationFold(late_ms), STATE_OUTPUT, "Update", mode)

@@ -132,3 +132,18 @@ def test_library_merges_equal_whole_table_upserts(spark):
     store.merge_links(table, links)
     store.merge_links(table, links.withColumn("rank", F.lit(0)))
     assert content(table) == [(1, 2, 0, 0.85), (4, 5, 0, 0.0)]
+
+
+def test_appended_rows_cost_no_rewrite_and_are_compacted(spark):
+    table, folder = new(spark, 3)
+    for i in range(5):
+        before = files(folder)
+        table.append(rows(spark, [(10 * i + j, "x", i) for j in range(10)]), ("feed", i), most=9)
+        assert before <= files(folder)
+    assert table.append(rows(spark, [(0, "x", 0)]), ("feed", 4)) == []
+    assert content(table) == sorted(((10 * i + j, "x", i) for i in range(5) for j in range(10)), key=str)
+    assert max(map(len, table.folders.values())) == 5
+    assert len(table.compact()) == 3 and max(map(len, table.folders.values())) == 1 and len(content(table)) == 50
+    table.merge(rows(spark, [(3, "x", 99)]), put)
+    assert (3, "x", 99) in content(table) and len(content(table)) == 50
+    assert table.vacuum() and len(content(table)) == 50
