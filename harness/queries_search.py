@@ -489,11 +489,22 @@ def landed(spark, sf):
     """Every posting was returned to one of the three requests for its craft."""
     rows = view(spark, sf, "postings")
     payload = F.create_map(F.lit("board"), F.lower(F.substring_index("company_name", " ", 1)), F.lit("platform"), F.lower("source"))
-    return rows.select(
+    number = c("posting_id").cast("string")
+    out = rows.select(
         (c("custkey") - c("custkey") % 3 + c("posting_id") % 3).alias("query_id"), F.lit(0).alias("provider_ord"), c("ord").alias("item_ord"), "title", "company_name", "url",
         "source", F.concat(F.lit("https://feed.example/"), "source").alias("source_query_url"), "location", "is_remote", "description", "posted_at",
-        payload.alias("payload"),
+        payload.alias("payload"), number.alias("external_id"), F.concat(c("url"), F.lit("#apply")).alias("apply_url"),
+        F.when(c("posting_id") % 2 == 0, "full time").alias("employment_type"), F.concat(F.lit("dept "), (c("custkey") % 7).cast("string")).alias("department"),
+        F.when(c("posting_id") % 3 == 0, F.concat(number, F.lit(" a year"))).alias("salary_text"),
     )
+    # some came without a title
+    blank = out.filter(c("external_id").cast("long") % 53 == 0).withColumns({"title": F.lit("  "), "item_ord": -c("item_ord") - 1})
+    return out.unionByName(blank)
+
+
+_told = """SELECT c_custkey AS query_id, s.source, s.ord, CASE WHEN c_custkey % 17 = s.ord THEN concat(s.source, ' failed: timeout') END AS error,
+   CASE WHEN c_custkey % 5 = 0 AND s.ord = 4 THEN 'no key is set' END AS skip_reason, CASE WHEN c_custkey % 3 = 0 AND s.ord = 1 THEN 'read in part' END AS note
+   FROM customer CROSS JOIN (VALUES ('GREENHOUSE', 0), ('LEVER', 1), ('ADZUNA', 2), ('THE_MUSE', 3), ('ARBEITNOW', 4)) s(source, ord)"""
 
 
 def searched(spark, sf):
@@ -502,7 +513,7 @@ def searched(spark, sf):
         c("page_url").alias("url"), c("page_url").alias("final_url"), F.lit(200).alias("status"), "html"
     )
     return search.run_search(
-        asked, landed(spark, sf), view(spark, sf, "posting_fetch"), pages, search.empty_stores(spark), as_of()
+        asked, landed(spark, sf), view(spark, sf, "posting_fetch"), pages, search.empty_stores(spark), as_of(), source_log=sql(spark, sf, _told)
     )
 
 
@@ -520,22 +531,64 @@ _RUN = f"""{greedy(_per_request)}, {SCORES}, {checks("contains(lower(final_url),
 """
 
 
-@query(
-    "run_search",
-    f"""WITH {_RUN},
+_COUNTED = f"""{_RUN},
       e AS (SELECT query_id, count(*) FILTER (n > 1) AS late, count(*) FILTER (n = 1 AND verdict IN ('VALID', 'LIKELY_VALID')) AS validated, count(*) FILTER (n = 1 AND verdict = 'UNVERIFIED') AS unverified,
           count(*) FILTER (n = 1 AND verdict NOT IN ('VALID', 'LIKELY_VALID', 'UNVERIFIED')) AS rejected FROM f GROUP BY 1),
       r AS (SELECT custkey - custkey % 3 + posting_id % 3 AS query_id, count(*) AS raw, count(*) FILTER (posting_id NOT IN (SELECT id FROM kept)) AS repeats FROM postings GROUP BY 1),
-      o AS (SELECT query_id, count(*) AS matching, any_value(max_rows) AS max_rows FROM m GROUP BY 1)
-      SELECT r.query_id, r.raw AS raw_found, r.repeats + coalesce(e.late, 0) AS duplicates_dropped, r.raw - r.repeats - coalesce(o.matching, 0) AS irrelevant_dropped, coalesce(e.validated, 0) AS validated,
+      o AS (SELECT query_id, count(*) AS matching, any_value(max_rows) AS max_rows FROM m GROUP BY 1),
+      counted AS (SELECT r.query_id, r.raw AS raw_found, r.repeats + coalesce(e.late, 0) AS duplicates_dropped, r.raw - r.repeats - coalesce(o.matching, 0) AS irrelevant_dropped, coalesce(e.validated, 0) AS validated,
         coalesce(e.unverified, 0) AS unverified, coalesce(e.rejected, 0) AS rejected, CAST(coalesce(greatest(o.matching - least(o.max_rows, 120), 0), 0) AS BIGINT) AS left_over
-      FROM r LEFT JOIN e USING (query_id) LEFT JOIN o USING (query_id)""",
+        , coalesce(b.n, 0) AS incomplete_dropped
+      FROM r LEFT JOIN e USING (query_id) LEFT JOIN o USING (query_id)
+        LEFT JOIN (SELECT custkey - custkey % 3 + posting_id % 3 AS query_id, count(*) AS n FROM postings WHERE posting_id % 53 = 0 GROUP BY 1) b USING (query_id)),
+      told AS ({_told})"""
+
+
+@query(
+    "run_search",
+    f"""WITH {_COUNTED}, s AS (SELECT query_id, count(error) AS e, count(skip_reason) AS s FROM told GROUP BY 1)
+      SELECT counted.*, CASE WHEN e > 0 AND validated + unverified = 0 THEN 'FAILED' WHEN e > 0 OR s > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS run_status FROM counted JOIN s USING (query_id)""",
 )
 def _(spark, sf):
     out = searched(spark, sf)["funnel"].drop("contacts_found")
     return out.withColumn("left_over", c("left_over").cast("bigint"))
 
 
+@query(
+    "run_record",
+    f"""WITH {_COUNTED}, s AS (SELECT query_id, count(error) AS e, count(skip_reason) AS s, string_agg(source, '|' ORDER BY ord) FILTER (skip_reason IS NULL) AS sources_queried,
+          coalesce(string_agg(source, '|' ORDER BY ord) FILTER (skip_reason IS NOT NULL), '') AS sources_skipped, coalesce(string_agg(error, '|' ORDER BY ord), '') AS errors,
+          concat_ws('|', max(note), max(source || ': ' || skip_reason)) AS notes FROM told GROUP BY 1)
+      SELECT query_id, query_id % 3 AS user_id, raw_found, incomplete_dropped, CASE WHEN e > 0 AND validated + unverified = 0 THEN 'FAILED' WHEN e > 0 OR s > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS run_status,
+        sources_queried, sources_skipped, errors, notes FROM counted JOIN s USING (query_id)""",
+)
+def _(spark, sf):
+    out = searched(spark, sf)["runs"]
+    lists = [F.array_join(x, "|").alias(x) for x in ("sources_queried", "sources_skipped", "errors", "notes")]
+    return out.select("query_id", "user_id", "raw_found", "incomplete_dropped", "run_status", *lists)
+
+
+@query(
+    "intake_counts",
+    """SELECT source, count(*) + count(*) FILTER (posting_id % 53 = 0) AS rows, count(*) FILTER (posting_id % 53 = 0) AS incomplete FROM postings GROUP BY 1""",
+)
+def _(spark, sf):
+    """Counted by source while a search first read its postings."""
+    return searched(spark, sf)["intake"]
+
+
+@query(
+    "library_columns",
+    f"""WITH {_RUN}, sh AS (SELECT f.query_id % 3 AS user_id, {d.url('f.url')} AS canonical_url, p2.*, row_number() OVER (PARTITION BY f.query_id % 3, {d.url('f.url')} ORDER BY f.query_id DESC, f.rank DESC) AS place
+        FROM f JOIN postings p2 ON p2.posting_id = f.posting_id WHERE f.n = 1 AND f.verdict IN ('VALID', 'LIKELY_VALID', 'UNVERIFIED'))
+      SELECT user_id, canonical_url, lower(split_part(company_name, ' ', 1)) AS board_token, lower(source) AS platform, CASE WHEN posting_id % 2 = 0 THEN 'full time' END AS employment_type, 'dept ' || (custkey % 7)::VARCHAR AS department,
+        CASE WHEN posting_id % 3 = 0 THEN posting_id::VARCHAR || ' a year' END AS salary_text, url || '#apply' AS apply_url, 'https://feed.example/' || source AS source_query_url, posting_id::VARCHAR AS external_id FROM sh WHERE place = 1""",
+)
+def _(spark, sf):
+    jobs = searched(spark, sf)["jobs"]
+    return jobs.select("user_id", "canonical_url", "board_token", F.element_at("payload", "platform").alias("platform"), "employment_type", "department", "salary_text", "apply_url", "source_query_url", "external_id")
+
+
 @query(
     "attach_contacts",
     f"""WITH {_RUN},

@@ -48,8 +48,10 @@ def job_rows(validated: DataFrame, as_of: Column, summary_length: int | None = N
         "experience_text", "discovered_at", "last_seen_at", "validated_at", "http_status", "final_url", "is_saved",
         "is_dismissed", "ord",
     ]
+    # what the source said beside, where the matches still have it
+    said = ["board_token", "employment_type", "department", "salary_text", "apply_url", "source_query_url", "external_id", "payload"]
     return found.select(
-        *plain, F.col("posting_min_years").alias("min_years"), F.col("posting_max_years").alias("max_years"),
+        *plain, *[c for c in said if c in found.columns], F.col("posting_min_years").alias("min_years"), F.col("posting_max_years").alias("max_years"),
         *[F.col(old).alias(new) for old, new in renamed.items()],
     )
 

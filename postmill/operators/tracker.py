@@ -210,6 +210,42 @@ def run_status(funnels: DataFrame, source_log: DataFrame) -> DataFrame:
     return funnels.join(log, "query_id", "left").withColumn("run_status", status).drop("_errors", "_skipped")
 
 
+MOST_ERRORS, MOST_NOTES = 50, 80
+
+
+def run_rows(funnels: DataFrame, queries: DataFrame, source_log: DataFrame, as_of: Column) -> DataFrame:
+    """The record of each run: counters and status with the sources asked and skipped, errors and notes.
+
+    ``source_log`` is (query_id, source, ord, error, skip_reason) and optionally note: one
+    row or more per request and source. A record lists each source once, the first
+    MOST_ERRORS distinct errors and the first MOST_NOTES notes and reasons for skipping, in
+    the order in which they came; the log itself has them all.
+    """
+    log = source_log if "note" in source_log.columns else source_log.withColumn("note", F.lit(None).cast("string"))
+    skipped = F.col("skip_reason").isNotNull()
+
+    def listed(values: DataFrame, name: str, most: int | None = None) -> DataFrame:
+        """(query_id, text, ord) as one list per request, each text once at its first place."""
+        once = values.filter("text IS NOT NULL").groupBy("query_id", "text").agg(F.min("ord").alias("ord"))
+        if most is not None:
+            once = first_k(once, ["query_id"], [F.col("ord"), F.col("text")], most)
+        return once.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("l")).select("query_id", F.col("l.text").alias(name))
+
+    noted = log.select("query_id", "ord", F.explode(F.array("note", F.when(skipped, F.concat("source", F.lit(": "), "skip_reason")))).alias("text"))
+    parts = [
+        listed(log.filter(~skipped).select("query_id", F.col("source").alias("text"), "ord"), "sources_queried"),
+        listed(log.filter(skipped).select("query_id", F.col("source").alias("text"), "ord"), "sources_skipped"),
+        listed(log.select("query_id", F.col("error").alias("text"), "ord"), "errors", MOST_ERRORS),
+        listed(noted, "notes", MOST_NOTES),
+    ]
+    out = funnels.join(queries, "query_id")
+    for part in parts:
+        out = out.join(part, "query_id", "left")
+    none = F.array().cast("array<string>")
+    lists = {c: F.coalesce(c, none) for c in ("sources_queried", "sources_skipped", "errors", "notes")}
+    return out.withColumns(lists).withColumn("finished_at", as_of)
+
+
 def distinct_errors(log: DataFrame) -> DataFrame:
     """Distinct errors per search with the place of their first appearance."""
     return log.filter("error IS NOT NULL").groupBy("query_id", "error").agg(F.min("ord").alias("first_ord"))

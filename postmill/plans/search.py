@@ -33,7 +33,7 @@ STORE_SCHEMAS = {
         "final_url string, is_saved boolean, is_dismissed boolean, validation_status string, validation_reason string, "
         "relevance_score double, match_reasons array<string>, validation_checks map<string,string>, relevance_breakdown map<string,struct<score:double,max:double,ratio:double>>, "
         "board_token string, employment_type string, department string, salary_text string, apply_url string, "
-        "source_query_url string, external_id string"
+        "source_query_url string, external_id string, payload map<string,string>"
     ),
     "companies": (
         "normalized_name string, name string, domain string, careers_url string, contacts_checked_at timestamp_ntz"
@@ -52,6 +52,10 @@ def empty_stores(spark: SparkSession) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame([], schema) for name, schema in STORE_SCHEMAS.items()}
 
 
+#: What a source says about a posting that the library keeps beside what it is matched by.
+CARRIED = ["external_id", "apply_url", "employment_type", "department", "salary_text", "source_query_url", "payload"]
+
+
 def _conform(df: DataFrame, like: DataFrame) -> DataFrame:
     """Columns of ``like``, by name, in its order and types."""
     return df.select(
@@ -66,8 +70,10 @@ def collect_postings(raw_jobs: DataFrame) -> DataFrame:
     """Cleaned postings with their keys and place in the order of arrival.
 
     ``ord`` is a total order: employer boards first, then source, then place in
-    the response.
+    the response. Columns of the posting shape that a source lacks are NULL.
     """
+    kinds = {c: "map<string,string>" if c == "payload" else "string" for c in CARRIED}
+    raw_jobs = raw_jobs.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in raw_jobs.columns})
     keyed = dedupe.posting_keys(intake.tag_incomplete(raw_jobs))
     keyed = keyed.withColumn("company_key", tx.normalize_company_name(F.col("company_name")))
     return keyed.withColumn("ord", F.struct("source_rank", "provider_ord", "item_ord", "url"))
@@ -138,11 +144,14 @@ def run_search(
 
     ``queries`` is in the request schema with ``user_id``. ``raw_jobs`` holds
     what each source returned for each request (query_id, provider_ord,
-    item_ord and the posting columns). Returns the next version of every store
-    and ``funnel``, one row of counters and status per request. Running the
-    same input again changes nothing but the times.
+    item_ord and the posting columns). Returns the next version of every store,
+    ``funnel``, one row of counters and status per request, ``runs``, the record of
+    each request's run with its sources, errors and notes, and ``intake``, what
+    every source brought and how much of it was incomplete, counted while the
+    postings were first read. Running the same input again changes nothing but
+    the times.
     """
-    collected = collect_postings(raw_jobs)
+    collected, counts = intake.observe_intake(collect_postings(raw_jobs))
     complete = collected.filter("drop_reason IS NULL").drop("drop_reason")
     marked = checkpoint(
         dedupe.dedupe_two_key(
@@ -155,8 +164,8 @@ def run_search(
     best = checkpoint(
         best.select(
             "query_id", "user_id", "ord", "url", "canonical_url", "fingerprint", "title", "company_name", "company_key",
-            "location", "is_remote", "description", "source", "posted_at", "payload", "source_query_url", "experience",
-            "score", "reasons", "breakdown", "match_rank",
+            "location", "is_remote", "description", "source", "posted_at", "experience",
+            "score", "reasons", "breakdown", "match_rank", *CARRIED,
         )
     )
     kept = best.drop("match_rank").withColumnRenamed("reasons", "match_reasons").withColumn(
@@ -203,6 +212,7 @@ def run_search(
     found = marked.groupBy("query_id").agg(
         F.count("*").alias("raw_found"), F.count("drop_reason").alias("_repeats")
     )
+    lacking = collected.filter("drop_reason IS NOT NULL").groupBy("query_id").agg(F.count("*").alias("incomplete_dropped"))
     relevant = overflow.withColumnRenamed("matching", "_matching")
     ends = settled.groupBy("query_id").agg(
         F.count_if(F.col("drop_reason") == "duplicate").alias("_late_repeats"),
@@ -211,17 +221,20 @@ def run_search(
         F.count_if(F.col("drop_reason").isNull() & (F.col("status") != "UNVERIFIED")).alias("validated"),
     )
     joined = queries.select("query_id")
-    for part in (found, relevant, ends, people):
+    for part in (found, lacking, relevant, ends, people):
         joined = joined.join(part, "query_id", "left")
     joined = joined.na.fill(0)
     funnel = joined.select(
         "query_id", "raw_found", (F.col("_repeats") + F.col("_late_repeats")).alias("duplicates_dropped"),
         (F.col("raw_found") - F.col("_repeats") - F.col("_matching")).alias("irrelevant_dropped"),
-        "validated", "unverified", "rejected", "contacts_found", "left_over",
+        "validated", "unverified", "rejected", "contacts_found", "left_over", "incomplete_dropped",
     )
     if source_log is not None:
         funnel = tracker.run_status(funnel, source_log)
-    return out | {"funnel": funnel}
+        out["runs"] = tracker.run_rows(funnel, queries.select("query_id", "user_id"), source_log, as_of)
+    rows = [(s, counts.get[f"{s}_rows"], counts.get[f"{s}_incomplete"]) for s in intake.OBSERVED]
+    seen = queries.sparkSession.createDataFrame(rows, "source string, rows bigint, incomplete bigint").filter("rows > 0")
+    return out | {"funnel": funnel, "intake": seen}
 
 
 def dashboard(stores: dict[str, DataFrame], as_of: Column, limit: int = 8) -> dict[str, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from postmill import fixed
@@ -33,6 +33,26 @@ def clean_raw_jobs(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tagged.filter("drop_reason IS NULL").drop("drop_reason"), dropped
 
 
+#: Sources whose rows are counted by name; all others count as one.
+OBSERVED = [*fixed.SOURCE_LABELS, "OTHER"]
+
+
+def observe_intake(tagged: DataFrame, name: str = "intake") -> tuple[DataFrame, Observation]:
+    """The same rows, and what each source brought: ``{source}_rows`` and ``{source}_incomplete``.
+
+    The counts come with the first action that reads the rows, without a pass of their own.
+    """
+    seen = Observation(name)
+    source = F.when(F.col("source").isin(list(fixed.SOURCE_LABELS)), F.col("source")).otherwise("OTHER")
+    counts = []
+    for s in OBSERVED:
+        counts += [
+            F.count_if(source == s).alias(f"{s}_rows"),
+            F.count_if((source == s) & F.col("drop_reason").isNotNull()).alias(f"{s}_incomplete"),
+        ]
+    return tagged.observe(seen, *counts), seen
+
+
 def union_sources(parts: Iterable[tuple[int, DataFrame]]) -> DataFrame:
     """All sources as one table, each row keeping its source's place as ``provider_ord``."""
     tagged = [df.withColumn("provider_ord", F.lit(place)) for place, df in sorted(parts, key=lambda p: p[0])]

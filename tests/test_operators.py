@@ -262,6 +262,17 @@ def test_versions(spark, tmp_path):
 # --- the whole search ------------------------------------------------------------------------
 
 
+def test_run_records_list_each_source_error_and_note_once(spark):
+    log = [(1, "A", i % 3, f"e{i % 60}" if i % 2 else None, None, f"n{i}") for i in range(300)] + [(1, "B", 9, None, "no key", None), (2, "A", 0, None, None, None)]
+    log = spark.createDataFrame(log, "query_id int, source string, ord int, error string, skip_reason string, note string")
+    funnels = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (3, 0, 0)], "query_id int, validated int, unverified int")
+    users = spark.createDataFrame([(i, 7) for i in (1, 2, 3)], "query_id int, user_id int")
+    runs = {r.query_id: r for r in tracker.run_rows(tracker.run_status(funnels, log), users, log, as_of()).collect()}
+    assert (runs[1].run_status, runs[1].sources_queried, runs[1].sources_skipped) == ("FAILED", ["A"], ["B"])
+    assert len(runs[1].errors) == len(set(runs[1].errors)) == 30 and len(runs[1].notes) == tracker.MOST_NOTES
+    assert (runs[2].run_status, runs[3].run_status, runs[3].errors, runs[3].sources_queried) == ("SUCCESS", "SUCCESS", [], [])
+
+
 def test_search_adds_up_and_repeats_cleanly(spark):
     posts = [
         (1, 0, 0, "Backend Engineer", "Larch Interiors", "https://h.example/1?utm_source=a", "GREENHOUSE", "Pune", "3-5 years"),
@@ -287,11 +298,14 @@ def test_search_adds_up_and_repeats_cleanly(spark):
     text = "Find Backend Engineer roles for 3-5 years of experience in Pune and Chennai."
     asked = stored(spark.createDataFrame([(1, text)], "query_id bigint, raw string")).withColumn("user_id", F.lit(5).cast("bigint"))
     first = search.run_search(asked, raw, log, pages, search.empty_stores(spark), as_of())
+    assert {(r.source, r.rows, r.incomplete) for r in first["intake"].collect()} == {("GREENHOUSE", 1, 0), ("ADZUNA", 4, 1)}
     row = first["funnel"].first()
+    assert row.incomplete_dropped == 1
     assert (row.raw_found, row.duplicates_dropped, row.irrelevant_dropped, row.validated, row.rejected) == (4, 1, 1, 1, 1)
     assert row.contacts_found == 2
     jobs = first["jobs"].collect()
     assert [(j.user_id, j.canonical_url, j.validation_status) for j in jobs] == [(5, "https://h.example/1", "VALID")]
+    assert (jobs[0].board_token, jobs[0].source_query_url, jobs[0].payload["platform"], jobs[0].external_id) == ("demo", "https://feed.example", "greenhouse", None)
     assert first["companies"].first().careers_url == "https://boards.greenhouse.io/demo"
     assert first["job_contacts"].count() == first["contacts"].count() == 3
 
