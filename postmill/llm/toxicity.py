@@ -96,7 +96,8 @@ class Model:
         The words between two hits score alike, so a stretch of them is one negative item.
         """
         text = (text or "").lower()
-        stack: list[list] = []  # start, end, sum before, sum after
+        # start, end, sum before, sum after, and the nearest earlier segment with a smaller sum before
+        stack: list[list] = []
         total, at = 0.0, 0
         for start, end, score in self.hits(text):
             total += self.other * max(0, len(text[at:start].split()))
@@ -105,16 +106,18 @@ class Model:
                 continue
             item = [start, end, total, total + score]
             total, at = total + score, end
+            j = len(stack) - 1
             while True:
-                j = len(stack) - 1
+                # what a link passes over was passed over once before, so all walks together are linear
                 while j >= 0 and stack[j][2] >= item[2]:
-                    j -= 1
+                    j = stack[j][4]
                 if j < 0 or stack[j][3] >= item[3]:
-                    stack.append(item)
+                    stack.append([*item, j])
                     break
-                item = [stack[j][0], item[1], stack[j][2], item[3]]
+                item, link = [stack[j][0], item[1], stack[j][2], item[3]], stack[j][4]
                 del stack[j:]
-        return [(a, b, hi - lo) for a, b, lo, hi in stack]
+                j = link
+        return [(a, b, hi - lo) for a, b, lo, hi, _ in stack]
 
     def significant(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, -ln of the expected number) of the significant segments."""

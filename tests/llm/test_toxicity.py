@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 from postmill.llm.toxicity import Model, fit, op2_toxicity, score_toxicity
 
@@ -56,3 +57,16 @@ def test_odd_rows(spark):
     assert got == {(i, i % 4 == 0) for i in range(200)} | {(None, True), (900, False), (901, False)}
     assert score_toxicity(docs.limit(0), model).count() == 0
     assert {r.predicted for r in score_toxicity(docs, fit(docs, labels.limit(0))).collect()} <= {0, 1}
+
+
+def test_the_scan_is_linear_in_the_hits():
+    model = Model({"bad ": 1.0}, other=-0.2)
+    for gap in (10, 2, 5):  # falling, rising and level running sums
+        text = ("bad " + "x " * gap) * 100_000
+        began = time.process_time()
+        found = model.segments(text)
+        assert time.process_time() - began < 4 and (len(found) == 100_000 if gap >= 5 else len(found) == 1)
+    rng = random.Random(1)
+    text = " ".join(rng.choice(["bad", "x", "x", "x", "x"]) for _ in range(400))
+    scores = [1.0 if w == "bad" else -0.2 for w in text.split()]
+    assert sorted(round(s, 6) for _, _, s in model.segments(text)) == sorted(s for _, _, s in best_segments(scores[:400]))
