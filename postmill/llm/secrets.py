@@ -27,9 +27,10 @@ KINDS = ("assign", "access", "hex", "guess")
 
 CONTEXT = re.compile(
     r"""(?i:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|secret[_ -]?key|private[_ -]?key|client[_ -]?secret|auth(?:orization|[_ -]?token)?|bearer|credentials?|login|pin)"""
-    r"""["']?(?:\s{0,8}(?:=>|:=|[:=])\s{0,8}(?:(?i:bearer|basic)\s)?|\s{1,8}(?i:bearer|basic|(?P<prose>is|was))\s{1,8})["'`]?(?P<value>[^\s"'`<>]+)"""
+    r"""["']?(?:\s*+(?:=>|:=|[:=])\s*+(?:(?i:bearer|basic)\s)?|\s++(?i:bearer|basic|(?P<prose>is|was))\s++)["'`]?(?P<value>[^\s"'`<>]+)"""
 )
-#: No context is longer than so many characters up to its value.
+#: What may stand between a context word and its value, however many blanks; and the most that a context has besides blanks.
+BETWEEN = re.compile(r"""["']?\s*+(?:=>|:=|[:=])\s*+""")
 REACH = 64
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "login", "pin")
 GUESSES = 9.0
@@ -125,7 +126,8 @@ def mixed(value: str) -> bool:
 
 def named(text: str, start: int, end: int) -> bool:
     """Whether what stands there ends in the name of a value that follows."""
-    m = CONTEXT.search(text, start, end + REACH)
+    blanks = BETWEEN.match(text, end)
+    m = CONTEXT.search(text, start, (blanks.end() if blanks else end) + REACH)
     return bool(m) and m.start() < end < m.start("value") and any(c in ":=" for c in text[end : m.start("value")])
 
 
@@ -185,16 +187,19 @@ def redact(text: str | None, mark: str = "[SECRET]", guesses: float = GUESSES) -
 
 
 def redact_documents(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
-    """The rows of docs, all columns, with the secrets of text marked and n_chars counted anew."""
+    """The rows of docs, all columns, with the secrets of text marked and n_chars, if there, counted anew."""
     names = docs.columns
+    docs = docs.withColumn("n_chars", F.col("n_chars").cast("long")) if "n_chars" in names else docs
 
     def clean(batches):
         for batch in batches:
             texts = [redact(t.as_py(), guesses=guesses) for t in batch.column("text")]
-            columns = {**{c: batch.column(i) for i, c in enumerate(names)}, "text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+            columns = {c: batch.column(i) for i, c in enumerate(names)} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.record_batch([columns[c] for c in names], names)
 
-    return docs.withColumn("n_chars", F.col("n_chars").cast("long")).mapInArrow(clean, docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema)
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,16 @@ def test_cost_decides_on_values_of_one_class_and_after_longer_names():
         assert secret_spans(text) == [], text
     many = "token=" * 50_000
     assert redact(f"pwd: {many}") == "pwd: [SECRET]"
+
+
+def test_any_number_of_blanks_before_a_value():
+    for n in (0, 9, 5000):
+        text = "password:" + " " * n + "aB3$kd92Lx7"
+        assert [(a, b) for a, b, _ in secret_spans(text)] == [(9 + n, len(text))]
+        text = "passphrase" + "\n" * n + "=" + "\t" * n + "xq9!kd92Lx7 and login: pwd" + " " * n + "= zR7!kd92Lx7"
+        assert [text[a:b] for a, b, _ in secret_spans(text)] == ["xq9!kd92Lx7", "zR7!kd92Lx7"]
+
+
+def test_documents_without_a_length_column(spark):
+    docs = spark.createDataFrame([(1, "pwd: xq9!kd92Lx7", "k"), (2, None, "k")], "doc_id long, text string, spans string")
+    assert [(r.doc_id, r.text, r.spans) for r in secrets.redact_documents(docs).orderBy("doc_id").collect()] == [(1, "pwd: [SECRET]", "k"), (2, None, "k")]
