@@ -12,7 +12,7 @@ from postmill import fixed
 from postmill.operators import contacts as con
 from postmill.functions import places, urls
 from postmill.functions import text as tx
-from postmill.operators import library, relevance, store, tracker
+from postmill.operators import library, relevance, store, tracker, tracker_log
 from postmill.operators import requests as req
 from postmill.operators.buckets import BucketTable
 from postmill.plans import skew
@@ -368,6 +368,58 @@ def _(spark, sf):
     return out.select("user_id", "job_id", "job_title", "status", "contact_name", "job_url")
 
 
+# --- the whole log of the tracker ------------------------------------------------------
+
+_commands = """SELECT e.user_id AS application_id, e.event_id AS seq, e.ts,
+  CASE WHEN e.event_id = f.low THEN 'CREATED' WHEN e.event_id % 7 < 2 THEN 'UPDATED' WHEN e.event_id % 7 = 2 THEN 'CONTACT_SET' WHEN e.event_id % 7 = 3 THEN 'OUTREACH_CHANGED' ELSE 'STATUS_CHANGED' END AS event_type,
+  CASE WHEN e.event_id <> f.low AND e.event_id % 7 = 3 THEN
+      CASE e.event_type WHEN 'click' THEN 'EMAIL_SENT' WHEN 'signup' THEN 'LINKEDIN_SENT' WHEN 'purchase' THEN 'REPLIED' ELSE 'NOT_STARTED' END
+    ELSE CASE e.event_type WHEN 'view' THEN 'SAVED' WHEN 'click' THEN 'APPLIED' WHEN 'signup' THEN 'OUTREACH_SENT' WHEN 'purchase' THEN 'OFFER' ELSE 'REJECTED' END END AS new_status,
+  CASE WHEN e.event_id % 4 = 1 THEN 'by phone' END AS note,
+  CASE WHEN e.event_id % 2 = 0 THEN CASE WHEN e.event_id % 5 = 0 THEN '' ELSE concat('note ', CAST(e.event_id % 3 AS STRING)) END END AS notes,
+  CASE WHEN e.event_id % 3 = 0 THEN CAST('2024-01-28' AS DATE) + CAST(e.event_id % 6 AS INT) END AS follow_up_date, e.event_id % 11 = 0 AS clear_follow_up,
+  concat('Person ', CAST(e.event_id % 13 AS STRING)) AS contact_name, CASE WHEN e.event_id % 5 = 1 THEN concat('  P', CAST(e.event_id % 9 AS STRING), '@X.example ') END AS contact_email,
+  CASE WHEN e.event_id % 13 = 2 THEN e.ts END AS date_applied
+FROM events e JOIN (SELECT user_id, min(event_id) AS low FROM events GROUP BY user_id) f ON f.user_id = e.user_id"""
+
+_status_words = "CASE WHEN {0} = 'OUTREACH_SENT' THEN 'Outreach Sent' ELSE {0}[1] || lower({0}[2:]) END"
+_applies = "IN ('APPLIED', 'OUTREACH_SENT', 'INTERVIEW', 'REJECTED', 'OFFER')"
+# The fold of the commands one by one.
+_folded = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY seq) AS n FROM ({_commands.replace(' AS STRING)', ' AS VARCHAR)')})),
+  f AS (SELECT DISTINCT application_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS detail, 'SAVED' AS status, 'NOT_STARTED' AS outreach, CAST(NULL AS TIMESTAMP) AS applied,
+      CAST(NULL AS VARCHAR) AS notes, CAST(NULL AS DATE) AS follow_up, CAST(NULL AS VARCHAR) AS person, CAST(NULL AS VARCHAR) AS email FROM c
+    UNION ALL SELECT c.application_id, c.n, c.seq,
+      CASE c.event_type WHEN 'CREATED' THEN 'Saved with status ' || {_status_words.format('c.new_status')} || '.' WHEN 'CONTACT_SET' THEN 'Contact set to ' || c.contact_name || '.'
+        WHEN 'UPDATED' THEN nullif(concat_ws(', ', CASE WHEN c.notes IS NOT NULL AND c.notes IS DISTINCT FROM f.notes THEN 'notes' END,
+            CASE WHEN c.clear_follow_up THEN 'follow-up cleared' WHEN c.follow_up_date IS NOT NULL AND c.follow_up_date IS DISTINCT FROM f.follow_up THEN 'follow-up ' || strftime(c.follow_up_date, '%d %b %Y') END,
+            CASE WHEN c.contact_email IS NOT NULL THEN 'contact email' END, CASE WHEN c.date_applied IS NOT NULL THEN 'date applied' END), '')
+        WHEN 'OUTREACH_CHANGED' THEN {d.label_case('f.outreach', fixed.OUTREACH_LABELS)} || ' → ' || {d.label_case('c.new_status', fixed.OUTREACH_LABELS)}
+        ELSE {_status_words.format('f.status')} || ' → ' || {_status_words.format('c.new_status')} || CASE WHEN c.note IS NOT NULL THEN '. ' || c.note ELSE '' END END,
+      CASE WHEN c.event_type IN ('CREATED', 'STATUS_CHANGED') THEN c.new_status ELSE f.status END,
+      CASE WHEN c.event_type = 'OUTREACH_CHANGED' THEN c.new_status WHEN c.event_type = 'STATUS_CHANGED' AND c.new_status = 'OUTREACH_SENT' AND f.outreach = 'NOT_STARTED' THEN 'EMAIL_SENT' ELSE f.outreach END,
+      CASE WHEN c.event_type = 'UPDATED' THEN coalesce(c.date_applied, f.applied) WHEN c.event_type IN ('CREATED', 'STATUS_CHANGED') AND f.applied IS NULL AND c.new_status {_applies} THEN c.ts ELSE f.applied END,
+      CASE WHEN c.event_type IN ('UPDATED', 'CREATED') AND c.notes IS NOT NULL THEN nullif(c.notes, '') ELSE f.notes END,
+      CASE WHEN c.event_type = 'UPDATED' AND c.clear_follow_up THEN NULL WHEN c.event_type = 'UPDATED' THEN coalesce(c.follow_up_date, f.follow_up) ELSE f.follow_up END,
+      CASE WHEN c.event_type = 'CONTACT_SET' THEN c.contact_name ELSE f.person END,
+      CASE WHEN c.event_type = 'CONTACT_SET' THEN c.contact_email WHEN c.event_type = 'UPDATED' AND c.contact_email IS NOT NULL THEN nullif(lower(trim(c.contact_email)), '') ELSE f.email END
+    FROM f JOIN c ON c.application_id = f.application_id AND c.n = f.n + 1)"""
+
+
+@query("application_log", f"{_folded} SELECT application_id, seq, detail FROM f WHERE detail IS NOT NULL")
+def _(spark, sf):
+    return tracker_log.application_log(sql(spark, sf, _commands)).select("application_id", "seq", "detail")
+
+
+_record = """SELECT application_id, status, outreach AS outreach_status, strftime(applied, '%Y-%m-%d %H:%M:%S') AS date_applied, notes, CAST(follow_up AS VARCHAR) AS follow_up_date, person AS contact_name, email AS contact_email
+  FROM f QUALIFY row_number() OVER (PARTITION BY application_id ORDER BY n DESC) = 1"""
+
+
+@query("application_record", f"{_folded} {_record}")
+def _(spark, sf):
+    out = tracker_log.application_record(sql(spark, sf, _commands).withColumn("date_applied", c("date_applied").cast("timestamp_ntz")))
+    return out.select("application_id", "status", "outreach_status", day("date_applied"), "notes", c("follow_up_date").cast("string").alias("follow_up_date"), "contact_name", "contact_email")
+
+
 # --- stores ----------------------------------------------------------------------------
 
 
