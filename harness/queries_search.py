@@ -13,7 +13,7 @@ from harness.views import as_of, requests, sql, table, view
 from postmill import fixed
 from postmill.functions import urls
 from postmill.operators import contacts as con
-from postmill.operators import dedupe, relevance, store, validation
+from postmill.operators import dedupe, relevance, store, validation, verification
 from postmill.operators.buckets import BucketTable
 from postmill.plans import search
 from postmill.session import shared_folder
@@ -482,6 +482,31 @@ def _(spark, sf):
     return rows.select("c_custkey", "v.status", "v.confidence", "v.reason")
 
 
+_verdicts = """SELECT lower(email) AS email, CASE WHEN contact_id % 3 = 0 THEN 'valid' WHEN contact_id % 3 = 1 THEN 'risky' ELSE 'not_checked' END AS status, CAST(0.5 AS DOUBLE) AS confidence, 'before' AS reason,
+   CASE WHEN contact_id % 4 = 0 THEN TIMESTAMP '1996-12-20 08:00:00' WHEN contact_id % 4 = 1 THEN TIMESTAMP '1996-09-01 08:00:00' ELSE TIMESTAMP '1999-01-01 00:00:00' END AS checked_at
+   FROM contacts WHERE email IS NOT NULL AND contact_id % 5 < 3"""
+
+
+@query(
+    "verify_contacts",
+    f"""WITH v AS ({_verdicts}), n AS (SELECT email, max(struct_pack(checked_at, status)) AS x FROM v WHERE checked_at <= {AS_OF} GROUP BY 1),
+      a AS (SELECT DISTINCT lower(email) AS email FROM contacts WHERE email IS NOT NULL),
+      t AS (SELECT a.email, CASE WHEN n.x.checked_at >= {AS_OF} - INTERVAL 30 DAY AND n.x.status <> 'not_checked' THEN n.x.status END AS fresh, n.x.checked_at AS seen_at,
+          CAST(regexp_extract(a.email, '@c([0-9]+)', 1) AS BIGINT) AS firm, split_part(a.email, '@', 1) IN ('careers') AS shared FROM a LEFT JOIN n USING (email)),
+      r AS (SELECT email, coalesce(fresh, CASE WHEN firm % 10 = 0 THEN 'unknown' WHEN firm % 7 = 0 THEN 'invalid' WHEN shared THEN 'risky' ELSE 'valid' END) AS status, CASE WHEN fresh IS NOT NULL THEN seen_at ELSE {AS_OF} END AS told_at FROM t)
+      SELECT c.contact_id, coalesce(r.status, 'not_checked') AS email_verification, strftime(r.told_at, '%Y-%m-%d %H:%M:%S') AS email_verified_at FROM contacts c LEFT JOIN r ON r.email = lower(c.email)""",
+)
+def _(spark, sf):
+    """Fresh verdicts stand, stale ones are done again by the strategy registered for the run."""
+    mx = table(spark, sf, "customer").filter("c_custkey % 10 > 0").select(
+        F.concat(F.lit("c"), c("c_custkey").cast("string"), F.lit(".example.com")).alias("domain"), F.lit(True).alias("resolves"), (c("c_custkey") % 7 > 0).alias("has_mx")
+    )
+    verification.register_verifier("mail records", verification.dns_verifier(mx))
+    verdicts = sql(spark, sf, _verdicts).withColumn("checked_at", c("checked_at").cast("timestamp_ntz"))
+    out, _ = verification.verify_contacts(view(spark, sf, "contacts"), verdicts, "mail records", as_of())
+    return out.select("contact_id", "email_verification", F.date_format("email_verified_at", "yyyy-MM-dd HH:mm:ss").alias("email_verified_at"))
+
+
 # --- whole plans -------------------------------------------------------------------------
 
 

@@ -32,14 +32,14 @@ def day(name):
 
 @query(
     "job_library",
-    f"""SELECT job_id, title, relevance_score FROM jobs WHERE {SHOWN} AND NOT is_dismissed AND is_saved AND {CONFIRMED}
-        AND company_name ILIKE '%e%' AND (title ILIKE '%pro%man%' OR company_name ILIKE '%pro%man%' OR location ILIKE '%pro%man%')
-        ORDER BY relevance_score DESC, discovered_at DESC, job_id LIMIT 50 OFFSET 20""",
+    f"""SELECT user_id, job_id, title, relevance_score FROM jobs WHERE {SHOWN} AND NOT is_dismissed AND is_saved AND {CONFIRMED}
+        AND company_name ILIKE '%e%' AND (title ILIKE '%e%ER%' OR company_name ILIKE '%e%er%' OR location ILIKE '%e%er%')
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY relevance_score DESC, discovered_at DESC, job_id) BETWEEN 2 AND 6""",
 )
 def _(spark, sf):
     jobs = view(spark, sf, "jobs")
-    out = library.job_library(jobs, q="pro%man", saved_only=True, confirmed_only=True, company="e", limit=50, offset=20)
-    return out.select("job_id", "title", "relevance_score")
+    out = library.job_library(jobs, q="e%er", saved_only=True, confirmed_only=True, company="e", limit=5, offset=1)
+    return out.select("user_id", "job_id", "title", "relevance_score")
 
 
 @query(
@@ -58,14 +58,15 @@ _owned = "contact_id IN (SELECT l.contact_id FROM job_links l JOIN jobs j ON j.j
 
 @query(
     "contact_list",
-    f"SELECT contact_id, name, email FROM contacts WHERE NOT is_archived AND company_name ILIKE '%1%' AND email IS NOT NULL AND name IS NOT NULL AND {_owned}",
+    """SELECT DISTINCT user_id, contact_id, name, email FROM contacts JOIN job_links USING (contact_id) JOIN (SELECT job_id, user_id FROM jobs) USING (job_id)
+       WHERE NOT is_archived AND company_name ILIKE '%1%' AND email IS NOT NULL AND name IS NOT NULL QUALIFY dense_rank() OVER (PARTITION BY user_id ORDER BY contact_id) <= 4""",
 )
 def _(spark, sf):
     out = library.contact_list(
         view(spark, sf, "contacts"), view(spark, sf, "job_links"), view(spark, sf, "jobs"), company="1",
-        with_email_only=True, people_only=True, limit=None,
+        with_email_only=True, people_only=True, limit=4,
     )
-    return out.select("contact_id", "name", "email")
+    return out.select("user_id", "contact_id", "name", "email")
 
 
 @query("contacts_owned", f"SELECT contact_id FROM contacts WHERE {_owned}")

@@ -68,19 +68,36 @@ def ip_key(ip: Column) -> Column:
     return F.when(ip.rlike(urls.IPV4_PATTERN), four).when(valid, six)
 
 
+def disjoint_ranges(networks: DataFrame) -> DataFrame:
+    """(low, high) of a table of ranges that may meet or nest, as ranges that don't, by running maxima over chunks."""
+    keys, order = ["_all"], ["low", "high"]
+    rows = networks.select(F.left("low", F.lit(2)).alias("_all"), "low", "high").distinct()
+    ready = ordered_chunks(rows, keys, order)
+    ready = running(running(ready, keys, order, {"_top": ("max", F.col("high"))}), keys, order, {"_before": ("previous", F.col("_top"))})
+    opens = F.when(F.col("_before").isNull() | (F.col("low") > F.col("_before")), F.col("low"))
+    named = running(ready.withColumn("_open", opens), keys, order, {"_island": ("max", F.col("_open"))})
+    return named.groupBy(F.col("_island").alias("low")).agg(F.max("high").alias("high"))
+
+
+def shared_prefix(low: Column, high: Column) -> Column:
+    """The longest beginning that the two ends of a range share."""
+    length = F.size(F.filter(F.sequence(F.lit(1), F.length(low)), lambda i: F.left(low, i) == F.left(high, i)))
+    return F.left(low, length)
+
+
 def ip_cidr_join(ips: DataFrame, networks: DataFrame, ip: str = "ip") -> DataFrame:
     """Add ``is_public``: a readable address that lies in none of the networks.
 
-    The network list is a fixed table of under a hundred ranges, so it is
-    broadcast and the range test is a left anti style existence check.
+    An address within a range begins with what both ends of the range share, so the
+    ranges are found by equality under that prefix, of any length and for a list
+    of any size. Ranges are made disjoint first: then a prefix has at most 15, as each
+    spans another pair of neighbouring next digits, and no list of one prefix is long.
     """
     keyed = ips.withColumn("_key", ip_key(F.col(ip)))
-    hits = (
-        keyed.select("_key")
-        .distinct()
-        .join(F.broadcast(networks), F.col("_key").between(F.col("low"), F.col("high")), "left_semi")
-        .withColumn("_blocked", F.lit(True))
-    )
+    ranges = disjoint_ranges(networks).withColumn("_prefix", shared_prefix(F.col("low"), F.col("high")))
+    lengths = F.sequence(F.lit(2), F.length("_key"))
+    looked = keyed.select("_key").filter("_key IS NOT NULL").distinct().select("_key", F.explode(F.transform(lengths, lambda i: F.left("_key", i))).alias("_prefix"))
+    hits = looked.join(ranges, "_prefix").filter(F.col("_key").between(F.col("low"), F.col("high"))).select("_key").distinct().withColumn("_blocked", F.lit(True))
     public = F.col("_key").isNotNull() & F.col("_blocked").isNull()
     return keyed.join(hits, "_key", "left").withColumn("is_public", public).drop("_key", "_blocked")
 

@@ -19,9 +19,9 @@ def _like(col: str, text: str) -> Column:
 
 def job_library(
     jobs: DataFrame, q: str | None = None, saved_only: bool = False, confirmed_only: bool = False,
-    include_dismissed: bool = False, company: str | None = None, limit: int | None = 50, offset: int = 0,
+    include_dismissed: bool = False, company: str | None = None, limit: int | None = None, offset: int = 0,
 ) -> DataFrame:
-    """Displayable jobs, best match first."""
+    """Each user's displayable jobs, best match first; ``limit`` and ``offset`` cut every user's list."""
     out = jobs.filter(F.col("validation_status").isin(fixed.DISPLAYABLE_STATUSES))
     if not include_dismissed:
         out = out.filter(~F.col("is_dismissed"))
@@ -33,10 +33,12 @@ def job_library(
         out = out.filter(_like("company_name", company))
     if q:
         out = out.filter(_like("title", q) | _like("company_name", q) | _like("location", q))
-    out = out.orderBy(F.col("relevance_score").desc(), F.col("discovered_at").desc(), "job_id")
-    if offset:
-        out = out.offset(offset)
-    return out if limit is None else out.limit(limit)
+    order = [F.col("relevance_score").desc(), F.col("discovered_at").desc(), F.col("job_id")]
+    if limit is not None:
+        out = first_k(out, ["user_id"], order, offset + limit, rank="_place").filter(F.col("_place") > offset).drop("_place")
+    elif offset:
+        raise ValueError("an offset without a limit would number whole lists")
+    return out.orderBy("user_id", *order)
 
 
 def application_list(
@@ -67,9 +69,12 @@ def contacts_owned(contacts: DataFrame, links: DataFrame, jobs: DataFrame, user_
 
 def contact_list(
     contacts: DataFrame, links: DataFrame, jobs: DataFrame, user_id: Column | None = None, company: str | None = None,
-    with_email_only: bool = False, people_only: bool = False, limit: int | None = 100,
+    with_email_only: bool = False, people_only: bool = False, limit: int | None = None,
 ) -> DataFrame:
-    """Contacts behind the user's jobs that are not archived, each once."""
+    """Contacts behind the jobs of each user (or of one) that are not archived, with ``user_id``, each once per user.
+
+    ``limit`` keeps the first so many of every user's, by contact_id.
+    """
     out = contacts.filter(~F.col("is_archived"))
     if company:
         out = out.filter(_like("company_name", company))
@@ -77,8 +82,10 @@ def contact_list(
         out = out.filter("email IS NOT NULL")
     if people_only:
         out = out.filter("name IS NOT NULL")
-    out = contacts_owned(out, links, jobs, user_id)
-    return out if limit is None else out.orderBy("contact_id").limit(limit)
+    own = jobs if user_id is None else jobs.filter(F.col("user_id") == user_id)
+    owned = links.select("job_id", "contact_id").join(own.select("job_id", "user_id"), "job_id").select("user_id", "contact_id").distinct()
+    out = owned.join(out, "contact_id")
+    return out if limit is None else first_k(out, ["user_id"], [F.col("contact_id")], limit)
 
 
 def search_results(jobs: DataFrame, search_id: int | None = None) -> DataFrame:
