@@ -12,7 +12,8 @@ from postmill import fixed
 from postmill.functions import text as tx
 from postmill.functions import urls
 from postmill.operators import frontier
-from postmill.sources import intake, payloads
+from postmill.session import shared_folder
+from postmill.sources import intake, landed, payloads
 
 c = F.col
 DAY = "CAST(CAST(posted_at AS DATE) AS STRING)"
@@ -20,7 +21,7 @@ PLAIN = "regexp_replace(description, '<[^>]*>', ' ', 'g')"
 TEXT = f"trim(regexp_replace({PLAIN}, ' +', ' ', 'g'))"
 
 
-def landed(spark, sf, item: dict, wrap: str):
+def responses(spark, sf, item: dict, wrap: str):
     """One response per posting, made from the posting itself, with junk entries a reader must skip."""
     rows = view(spark, sf, "postings").withColumn("day", F.date_format("posted_at", "yyyy-MM-dd"))
     body = F.to_json(F.struct(*[v.alias(k) for k, v in item.items()]))
@@ -36,7 +37,7 @@ def read(name: str, item, wrap: str, oracle: str):
     """Register a reader over the landed responses and what it must give back."""
 
     def run(spark, sf):
-        out = payloads.READERS[name](landed(spark, sf, item(), wrap))
+        out = payloads.READERS[name](responses(spark, sf, item(), wrap))
         return out.select(
             "posting_id", "title", "company_name", "url", "location", "is_remote", "employment_type", "department",
             "salary_text", "description", F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"), "external_id",
@@ -182,6 +183,55 @@ read(
     ),
 )
 
+# --- landed folders of several sources ---------------------------------------------------
+
+
+def landed_root(spark, sf):
+    """Responses of three sources, some dozens of items to a file, with junk items and two bad bodies, as files."""
+    root = shared_folder(spark, "landed")
+    rows = view(spark, sf, "postings").withColumn("day", F.date_format("posted_at", "yyyy-MM-dd"))
+    kinds = {
+        "greenhouse": ('{"jobs": [', "]}", {"id": c("posting_id"), "title": c("title"), "absolute_url": c("url"), "location": named(c("location"))}),
+        "lever": ("[", "]", {"id": c("posting_id"), "text": c("title"), "hostedUrl": c("url"), "categories": F.struct("location")}),
+        "arbeitnow": ('{"data": [', "]}", {"slug": c("posting_id"), "title": c("title"), "url": c("url"), "location": c("location"), "company_name": c("company_name")}),
+    }
+    parts = []
+    for place, (name, (before, after, item)) in enumerate(kinds.items()):
+        own = rows.filter(c("posting_id") % 3 == place).select((c("custkey") % 40).cast("string").alias("token"), F.floor(c("posting_id") / 5000).alias("page"), F.to_json(F.struct(*[v.alias(k) for k, v in item.items()])).alias("item"))
+        # a file is one response: a page of some dozens of items
+        body = own.groupBy("token", "page").agg(F.concat(F.lit(before), F.array_join(F.collect_list("item"), ", "), F.lit(', "junk", 7' + after)).alias("value"))
+        parts.append(body.select("value", F.lit(name).alias("source"), "token"))
+    bad = sql(spark, sf, "SELECT r_regionkey FROM region").select(
+        F.when(c("r_regionkey") % 2 == 0, F.lit("not json")).otherwise(F.lit('{"data": 5}')).alias("value"), F.lit("arbeitnow").alias("source"),
+        F.concat(F.lit("bad"), c("r_regionkey").cast("string")).alias("token"),
+    )
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(bad)
+    whole.repartition("source", "token").write.option("maxRecordsPerFile", 1).partitionBy("source", "token").text(root)
+    return root
+
+
+@query(
+    "landed_postings",
+    """SELECT CAST(posting_id AS VARCHAR) AS external_id, CASE posting_id % 3 WHEN 0 THEN 'GREENHOUSE' WHEN 1 THEN 'LEVER' ELSE 'ARBEITNOW' END AS source, title, url, location,
+       CASE WHEN posting_id % 3 = 2 THEN company_name WHEN custkey % 40 % 2 = 0 THEN concat('Firm ', CAST(custkey % 40 AS VARCHAR)) ELSE CAST(custkey % 40 AS VARCHAR) END AS company_name FROM postings""",
+)
+def _(spark, sf):
+    boards = sql(spark, sf, "SELECT DISTINCT CAST(c_custkey % 40 AS STRING) AS token, concat('Firm ', CAST(c_custkey % 40 AS STRING)) AS company FROM customer WHERE c_custkey % 40 % 2 = 0")
+    out = landed.landed_postings(landed.landed_payloads(spark, landed_root(spark, sf), boards))
+    return out.select("external_id", "source", "title", "url", "location", "company_name")
+
+
+@query(
+    "landed_unreadable",
+    """SELECT source, reason, CAST(sum(n) AS BIGINT) AS n FROM (
+         SELECT CASE posting_id % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'arbeitnow' END AS source, 'item' AS reason, 2 AS n FROM postings GROUP BY 1, custkey % 40, floor(posting_id / 5000)
+         UNION ALL SELECT 'arbeitnow', CASE WHEN r_regionkey % 2 = 0 THEN 'body' ELSE 'list' END, 1 FROM region) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    told = landed.landed_unreadable(landed.landed_payloads(spark, landed_root(spark, sf)))
+    return told.groupBy("source", "reason").agg(F.sum("n").alias("n"))
+
+
 # --- intake ----------------------------------------------------------------------------
 
 _raw = """SELECT posting_id, ord, source, custkey, CASE WHEN posting_id % 13 = 0 THEN '  ' ELSE concat(' ', title, '  x ') END AS title,

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.sources import intake, payloads
+from postmill.sources import intake, landed, payloads
 
 GREENHOUSE = {
     "jobs": [
@@ -102,3 +102,40 @@ def test_incomplete_rows_are_counted(spark):
     assert [tuple(r) for r in kept.collect()] == [("A", "T x", "C", "u")]
     assert {r.source: r.dropped for r in dropped.collect()} == {"A": 1, "B": 1}
     assert kept.filter(F.col("title") == "T x").count() == 1
+
+
+def test_landed_folders_as_a_stream_and_as_a_table(spark, tmp_path):
+    root, seen = tmp_path / "in", []
+
+    def land(source, token, name, body):
+        folder = root / f"source={source}" / f"token={token}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(body)
+
+    def sink(postings, bad, batch_id):
+        seen.append((sorted((r.source, r.company_name, r.title) for r in postings.collect()), sorted((r.source, r.reason, r.n) for r in bad.collect())))
+
+    def run():
+        landed.stream_landed(spark, str(root), sink, str(tmp_path / "cp"), boards).trigger(availableNow=True).start().awaitTermination()
+
+    boards = spark.createDataFrame([("acme", "Acme Works")], "token string, company string")
+    land("greenhouse", "acme", "1.json", '{"jobs": [{"title": "Miller"}, {"title": "Baker"}, 5]}')
+    land("lever", "007", "1.json", '[{"text": "Tiler"}]')
+    land("nobody", "x", "1.json", "{}")
+    run()
+    land("greenhouse", "acme", "2.json", '{"jobs": [{"title": "Cooper"}]}')
+    land("arbeitnow", "a", "1.json", "broken")
+    run()
+    run()
+    first = [("GREENHOUSE", "Acme Works", "Baker"), ("GREENHOUSE", "Acme Works", "Miller"), ("LEVER", "007", "Tiler")]
+    assert seen == [(first, [("greenhouse", "item", 1), ("nobody", "source", 1)]), ([("GREENHOUSE", "Acme Works", "Cooper")], [("arbeitnow", "body", 1)])]
+    table = landed.landed_payloads(spark, str(root), boards)
+    assert {r.title for r in landed.landed_postings(table).collect()} == {"Miller", "Baker", "Tiler", "Cooper"}
+    # a source of one's own, and one that lacks its settings
+    own = landed.SourceSpec("nobody", "$.rows", lambda p: payloads.READERS["lever"](p.withColumn("body", F.lit('[{"text": "Own"}]'))), needs=("key",))
+    landed.register_source(own)
+    try:
+        assert "Own" in {r.title for r in landed.landed_postings(table).collect()}
+        assert "Own" not in {r.title for r in landed.landed_postings(table, settings=[]).collect()} and own.missing(["key"]) == []
+    finally:
+        del landed.SPECS["nobody"]
