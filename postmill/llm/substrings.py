@@ -1,13 +1,11 @@
 """Removal of word sequences that repeat across or within documents.
 
-Prefix-partitioned suffix trees. Every run of `window` words is the head of a suffix. A
-histogram over the first PREFIX words of all suffixes splits them into groups of a size
-that fits in memory: prefixes with few suffixes are put together until a group is full,
-and the suffixes of a prefix that is too large are split by their whole head. Within a
-group the suffixes are sorted by head; each run of equal heads is an internal node of
-depth `window`, and runs of such nodes along a document are its maximal repeats. Tree
-edges are 64-bit hashes of the words they stand for, so a suffix costs ten bytes and not
-its words.
+Groups by prefix, equal heads by sorting; no suffix tree is built. Every run of `window` words
+is the head of a suffix. A histogram over the first PREFIX words of all suffixes splits them
+into groups of a size that fits in memory: prefixes with few suffixes are put together until a
+group is full, and the suffixes of a prefix that is too large are dealt by their whole head.
+Within a group the heads are sorted; runs of equal heads along a document are its repeats.
+Words travel as 64-bit hashes, so a suffix costs ten bytes and not its words.
 
 A task first meets its own suffixes: of equal ones only the earliest travels, so a
 passage in a third of all rows sends one suffix per task and no group holds more.
