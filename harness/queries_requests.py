@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from harness.registry import query
 from harness.views import sql
+from postmill.operators import gazetteer
 from postmill.operators.request_log import structure_request_log
 
 _asked = """SELECT c_custkey AS query_id, CASE c_custkey % 8
@@ -34,6 +35,24 @@ def _(spark, sf):
     )
 
 
+_ports = """SELECT c_custkey AS query_id, CASE c_custkey % 4 WHEN 0 THEN concat('Find welder jobs in Port ', CAST(c_nationkey AS STRING)) WHEN 1 THEN concat('welder near Old  Harbour ', CAST(c_nationkey AS STRING))
+   WHEN 2 THEN concat('welder jobs in Port ', CAST(c_nationkey AS STRING), ' and Old Harbour ', CAST((c_nationkey + 1) % 25 AS STRING)) ELSE 'welder' END AS raw FROM customer"""
+_port_table = """SELECT 'city' AS kind, concat(a.name, CAST(n_nationkey AS STRING)) AS alias, concat('Port ', CAST(n_nationkey AS STRING)) AS display, concat('x', CAST(n_regionkey AS STRING)) AS country
+   FROM nation CROSS JOIN (VALUES ('port '), ('Old Harbour ')) a(name)"""
+
+
+@query(
+    "gazetteer_requests",
+    """SELECT c_custkey AS query_id, CASE c_custkey % 4 WHEN 2 THEN 'Port ' || c_nationkey::VARCHAR || '|Port ' || ((c_nationkey + 1) % 25)::VARCHAR WHEN 3 THEN '' ELSE 'Port ' || c_nationkey::VARCHAR END AS locations,
+       'welder' AS titles, CASE WHEN c_custkey % 4 = 3 THEN 1 ELSE 0 END::BIGINT AS notes FROM customer""",
+)
+def _(spark, sf):
+    """Places that are rows of a table made from the nations."""
+    out = gazetteer.structure_requests(sql(spark, sf, _ports), sql(spark, sf, _port_table))
+    lists = [F.array_join(x, "|").alias(x) for x in ("locations", "titles")]
+    return out.select("query_id", *lists, F.size("parse_notes").cast("bigint").alias("notes"))
+
+
 _spoken = "SELECT conv_id * 1000 + turn AS query_id, text AS raw FROM conversations"
 
 

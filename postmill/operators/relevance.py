@@ -20,6 +20,7 @@ from postmill import fixed
 from postmill.functions import experience as ex
 from postmill.functions import places
 from postmill.functions import text as tx
+from postmill.operators import gazetteer
 from postmill.plans.skew import first_k
 from postmill.session import checkpoint
 
@@ -32,14 +33,17 @@ def _spelled(values: Column) -> Column:
     )
 
 
-def prepare_requests(queries: DataFrame) -> DataFrame:
-    """Add the derived columns a request is matched by (names start with ``w_``)."""
+def prepare_requests(queries: DataFrame, places_table: DataFrame | None = None) -> DataFrame:
+    """Add the derived columns a request is matched by (names start with ``w_``).
+
+    Places are those of the built-in list, or of a table as in ``gazetteer``.
+    """
     wanted = F.struct(
         F.col("min_years").alias("min_years"),
         F.col("max_years").alias("max_years"),
         F.col("experience_level").alias("level"),
     )
-    return queries.withColumns(
+    out = queries.withColumns(
         {
             "w_titles": _spelled(places.search_titles(F.col("titles"))),
             "w_places": F.transform(
@@ -56,6 +60,9 @@ def prepare_requests(queries: DataFrame) -> DataFrame:
             "w_terms": F.flatten(F.transform("industries", places.industry_keywords)),
         }
     )
+    if places_table is None:
+        return out
+    return out.drop("w_places", "w_countries").join(gazetteer.request_places(queries, places_table), "query_id")
 
 
 def prepare_postings(postings: DataFrame, window: int | None = None) -> DataFrame:
@@ -371,13 +378,13 @@ def match_explanations(scored: DataFrame) -> DataFrame:
     )
 
 
-def match_queries_to_postings(queries: DataFrame, postings: DataFrame) -> DataFrame:
+def match_queries_to_postings(queries: DataFrame, postings: DataFrame, places_table: DataFrame | None = None) -> DataFrame:
     """Every request and posting pair that passes the title gate, scored and explained.
 
     If the postings carry a ``query_id`` they belong to that request only,
     otherwise each posting meets every request.
     """
-    requests, jobs = prepare_requests(queries), prepare_postings(postings)
+    requests, jobs = prepare_requests(queries, places_table), prepare_postings(postings)
     # requests meet their titles first, so that a posting's text is shuffled once and never with a pair
     wanted = title_matches(requests, jobs).join(requests, "query_id")
     keys = ["query_id", "title_norm"] if "query_id" in jobs.columns else ["title_norm"]
@@ -497,7 +504,8 @@ def _resolved(pairs: DataFrame, requests: DataFrame, postings: DataFrame) -> Dat
 
 
 def best_matches(
-    queries: DataFrame, postings: DataFrame, cap: int = fixed.MAX_RESULT_LIMIT, min_score: float = fixed.MIN_RELEVANCE
+    queries: DataFrame, postings: DataFrame, cap: int = fixed.MAX_RESULT_LIMIT, min_score: float = fixed.MIN_RELEVANCE,
+    places_table: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(best matches per request, scored and explained; matching and left_over per request).
 
@@ -515,7 +523,7 @@ def best_matches(
     if min_score <= fixed.GATE_SCORE:
         raise ValueError("gated pairs would match: use match_queries_to_postings")
     # both are read several times below; written once, they also keep the plans of the steps small
-    requests = checkpoint(prepare_requests(queries))
+    requests = checkpoint(prepare_requests(queries, places_table))
     own = ["query_id"] if "query_id" in postings.columns else []
     facts = checkpoint(posting_profiles(postings))
     pairs = checkpoint(_bounded_pairs(requests, facts, min_score))
