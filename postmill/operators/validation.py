@@ -15,9 +15,10 @@ PASS, FAIL, UNKNOWN = "PASS", "FAIL", "UNKNOWN"
 def page_facts(fetch_log: DataFrame) -> DataFrame:
     """What a fetched page says, read once per page.
 
-    Input: url, final_url, status, html, blocked_reason, error. Adds the page
-    text, the employers and end dates its posting records name, and how many
-    records there are.
+    Input: url, final_url, status, html, blocked_reason, error. Adds the normalised
+    page text and its words, what it says of a role that is closed, whether it lists
+    many, the employers and end dates its posting records name, and how many records
+    there are. Postings of one address share all this; none reads the page again.
     """
     blocks = F.filter(html.jsonld_blocks(F.coalesce("html", F.lit(""))), lambda b: html.has_type(b, "JobPosting"))
     read = fetch_log.withColumn("_blocks", blocks)
@@ -26,14 +27,20 @@ def page_facts(fetch_log: DataFrame) -> DataFrame:
         F.transform("_blocks", lambda b: dates.parse_datetime(html.text_of(b, "validThrough"))),
         lambda v: v.isNotNull(),
     )
+    read = read.withColumns({"_employers": employers, "_ends": ends, "_text": html.html_to_text(F.col("html"))})
+    lowered = F.lower("_text")
+    phrase = F.lit(None).cast("string")
+    for closed in reversed(fixed.CLOSED_PHRASES):
+        phrase = F.when(F.contains(lowered, F.lit(closed)), F.lit(closed)).otherwise(phrase)
     return read.select(
         "url", "final_url", "status", "blocked_reason", "error",
-        html.html_to_text(F.col("html")).alias("page_text"),
+        tx.basic_normalize(F.col("_text")).alias("page_norm"), tx.token_set(F.col("_text")).alias("page_words"),
+        phrase.alias("closed_phrase"), lowered.rlike("|".join(fixed.LISTING_HINTS)).alias("is_listing"),
         F.size("_blocks").alias("records"),
         F.transform(
-            employers, lambda v: F.struct(v.alias("name"), tx.company_tokens(v).alias("tokens"))
+            "_employers", lambda v: F.struct(v.alias("name"), tx.company_tokens(v).alias("tokens"))
         ).alias("employers"),
-        ends.alias("ends"),
+        F.col("_ends").alias("ends"),
     )
 
 
@@ -52,7 +59,6 @@ def company_check(joined: DataFrame) -> DataFrame:
             "_own": own,
             # The first record that names a recognisable employer decides.
             "_named": F.get(F.filter("employers", lambda e: F.size(e["tokens"]) > 0), 0),
-            "_head": tx.basic_normalize(F.col("page_text")),
         }
     )
     own, named = F.col("_own"), F.col("_named")
@@ -86,33 +92,26 @@ def company_check(joined: DataFrame) -> DataFrame:
             _check(PASS, "Company name appears in the posting URL", none),
         )
         .when(
-            F.exists(own, lambda t: F.contains(F.col("_head"), t)),
+            F.exists(own, lambda t: F.contains(F.col("page_norm"), t)),
             _check(PASS, "Company name appears on the posting page", none),
         )
         .otherwise(_check(UNKNOWN, "Could not find the company named on the page", none))
     )
-    return joined.withColumn("company_result", result).drop("_own", "_named", "_head")
+    return joined.withColumn("company_result", result).drop("_own", "_named")
 
 
 def active_check(joined: DataFrame, as_of: Column) -> DataFrame:
     """Add ``active_result`` (outcome, reason, found): is the role still open?"""
-    lowered = F.lower("page_text")
-    phrase = F.lit(None).cast("string")
-    for closed in reversed(fixed.CLOSED_PHRASES):
-        phrase = F.when(F.contains(lowered, F.lit(closed)), F.lit(closed)).otherwise(phrase)
     now, none = as_of.cast("timestamp"), F.lit(None).cast("timestamp")
     title_words = F.filter(tx.token_set(F.col("title")), lambda t: F.length(t) > 3)
-    page_words = tx.token_set(F.col("page_text"))
     joined = joined.withColumns(
         {
-            "_closed": phrase,
             "_past": F.get(F.filter("ends", lambda e: e < now), 0),
             "_last": F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1),
-            "_hit": F.size(F.array_intersect(title_words, page_words)) / F.nullif(F.size(title_words), F.lit(0)),
-            "_listing": lowered.rlike("|".join(fixed.LISTING_HINTS)),
+            "_hit": F.size(F.array_intersect(title_words, F.col("page_words"))) / F.nullif(F.size(title_words), F.lit(0)),
         }
     )
-    closed, past = F.col("_closed"), F.col("_past")
+    closed, past = F.col("closed_phrase"), F.col("_past")
     result = (
         F.when(closed.isNotNull(), _check(FAIL, F.concat(F.lit("The page says: “"), closed, F.lit("”")), none))
         .when(
@@ -130,13 +129,13 @@ def active_check(joined: DataFrame, as_of: Column) -> DataFrame:
             _check(PASS, "Page still publishes a live JobPosting record", F.col("_last")),
         )
         .when(
-            (F.col("_hit") >= 0.6) & F.col("_listing"),
+            (F.col("_hit") >= 0.6) & F.col("is_listing"),
             _check(UNKNOWN, "The link resolved to a general listings page rather than this role", none),
         )
         .when(F.col("_hit") >= 0.6, _check(PASS, "The role's title still appears on the page", none))
         .otherwise(_check(UNKNOWN, "The page did not confirm the role is still open", none))
     )
-    return joined.withColumn("active_result", result).drop("_closed", "_past", "_last", "_hit", "_listing")
+    return joined.withColumn("active_result", result).drop("_past", "_last", "_hit")
 
 
 def validate_postings(postings: DataFrame, fetch_log: DataFrame, as_of: Column) -> DataFrame:
