@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 SAMPLE = 4_000
 
 # HTML element names
-RAW = "script style noscript template svg math iframe object canvas title textarea select".split()
+RAW = "script style noscript iframe title textarea".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DEAD = set("head nav header footer aside form button dialog menu fieldset".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr svg canvas object select math semantics mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover".split())
+DEAD = set("head nav header footer aside form button dialog menu fieldset template svg canvas object select".split())
+#: Elements of running text: their names must be a whole class or id to say what they are
+PROSE = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption".split())
 CONTAINERS = set("article main section div aside nav header footer form body table".split())
 LANDMARKS = ("article", "main")
 DEAD_ROLES = set("navigation banner complementary contentinfo search form alert dialog alertdialog menu menubar toolbar status tooltip".split())
@@ -39,7 +41,9 @@ DEAD_NAMES = re.compile(
 )
 #: Names that say what stands beside an element
 LAYOUT = re.compile(r"\b(?:has|with|no|without)[-_][\w-]+", re.I)
-PIECE = re.compile(rf"<!--(?:.*?-->|.*\Z)|<({'|'.join(RAW)})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: What a tag has after its name; quotes count only where a value begins
+REST = r"(?:=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s<>\"'][^\s<>]*+)|[^<>])*+"
+PIECE = re.compile(rf"<!--(?:.*?-->|.*\Z)|<({'|'.join(RAW)})(?=[\s/>]){REST}>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)({REST})>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Where no page labels itself
 TAG, WORD, CHEAP = -2.5, 1.0, set("p h1 h2 h3 h4 h5 h6 br em strong b i blockquote pre".split())
@@ -61,30 +65,42 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
 
 
+def _says_dead(name: str, names: str) -> bool:
+    """Whether a class or id tells that an element is no article text."""
+    names = LAYOUT.sub("", names)
+    return any(DEAD_NAMES.fullmatch(n) for n in names.split()) if name in PROSE else bool(DEAD_NAMES.search(names))
+
+
 def _is_dead(name: str, raw: str) -> bool:
     if name in DEAD:
         return True
     if not raw or name in ("html", "body", *LANDMARKS):
         return False
     known = _attributes(raw)
-    return "hidden" in known or known.get("aria-hidden", "").lower() == "true" or known.get("role", "").lower() in DEAD_ROLES or any(DEAD_NAMES.search(LAYOUT.sub("", known.get(k, ""))) for k in ("class", "id"))
+    return "hidden" in known or known.get("aria-hidden", "").lower() == "true" or known.get("role", "").lower() in DEAD_ROLES or any(_says_dead(name, known.get(k, "")) for k in ("class", "id"))
+
+
+#: The state outside all elements; inside a dead inline element words and tags count for nothing
+NOWHERE = ("", False, "", False, False)
 
 
 def read_page(page: str) -> list[tuple[str, str, str, bool, bool]]:
     """(kind, text or tag, container, whether in a landmark, whether dead) of a page's blocks and tags in order."""
     out: list[tuple[str, str, str, bool, bool]] = []
-    stack: list[tuple[str, bool, str, bool]] = []  # element, dead, container, in a landmark
+    stack: list[tuple[str, bool, str, bool, bool]] = []  # element, dead, container, in a landmark, in a dead inline element
     text: list[str] = []
-    top = ("", False, "", False)
+    top = begun = NOWHERE
 
     def flush() -> None:
         words = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if words:
-            out.append(("text", words, top[2], top[3], top[1]))
+            out.append(("text", words, begun[2], begun[3], begun[1]))
 
     def feed(piece: str) -> None:
-        if piece:
+        nonlocal begun
+        if piece and not top[4]:
+            begun = begun if text else top
             text.append(piece)
 
     at = 0
@@ -96,21 +112,22 @@ def read_page(page: str) -> list[tuple[str, str, str, bool, bool]]:
             continue
         closing, raw = bool(m[2]), m[4]
         if name in INLINE:
-            # an inline element may be an advert or hidden too; else it does not end a block
+            # an inline element may be an advert or hidden too: the words in it, those of inner elements
+            # of its name included, are passed over, and the block around it goes on
+            open_ = name not in VOID and not raw.rstrip().endswith("/")
             if name == "br":
-                text.append(" ")
+                feed(" ")
             if closing:
-                if stack and stack[-1][0] == name:
-                    flush()
-                    stack.pop()
-                    top = stack[-1] if stack else ("", False, "", False)
-            elif raw.strip() and not top[1] and name not in VOID and _is_dead(name, raw):
-                flush()
-                stack.append((name, True, top[2], top[3]))
-                top = stack[-1]
-            out.append(("tag", name, top[2], top[3], top[1])) if not text else None
+                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None) if top[4] else None
+                if depth is not None:
+                    del stack[depth:]
+            elif open_ and (any(s[0] == name for s in stack) if top[4] else not top[1] and _is_dead(name, raw)):
+                stack.append((name, True, top[2], top[3], True))
+            top = stack[-1] if stack else NOWHERE
+            out.append(("tag", name, top[2], top[3], top[1])) if not text and not top[4] else None
             continue
-        flush()
+        if not top[4]:
+            flush()
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None:
@@ -118,14 +135,16 @@ def read_page(page: str) -> list[tuple[str, str, str, bool, bool]]:
         else:
             while stack and (stack[-1][0] == "p" or stack[-1][0] == name in ("li", "dt", "dd", "td", "tr", "option")):
                 stack.pop()
-            top = stack[-1] if stack else ("", False, "", False)
+            top = stack[-1] if stack else NOWHERE
             if name not in VOID and not raw.rstrip().endswith("/"):
                 container = top[2]
                 if name in CONTAINERS:
                     container = ".".join([name, *sorted(_attributes(raw).get("class", "").lower().split())[:2]])
-                stack.append((name, top[1] or _is_dead(name, raw), container, top[3] or name in LANDMARKS))
-        top = stack[-1] if stack else ("", False, "", False)
-        out.append(("tag", name, top[2], top[3], top[1]))
+                stack.append((name, top[1] or _is_dead(name, raw), container, top[3] or name in LANDMARKS, top[4]))
+        top = stack[-1] if stack else NOWHERE
+        if not top[4]:
+            flush()
+            out.append(("tag", name, top[2], top[3], top[1]))
     feed(page[at:])
     flush()
     return out
@@ -158,7 +177,7 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Weights from at most `sample` pages, of which those with a landmark count."""
+    """Weights of all tags and containers of at most `sample` pages, of which those with a landmark count."""
     few = pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).filter("html is not null").withColumn("h", F.xxhash64("page_id", F.length("html")))
     # the sample's ids are bounded by its size
     chosen = few.select("h").distinct().orderBy("h").limit(sample)
@@ -177,7 +196,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Weights:
         yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.int64()))], ["kind", "what", "inside", "n"])
 
     counted = few.mapInArrow(count, "kind string, what string, inside boolean, n long").groupBy("kind", "what", "inside").agg(F.sum("n").alias("n"))
-    seen = {(r.kind, r.what, r.inside): r.n for r in counted.orderBy(F.desc("n"), "kind", "what", "inside").limit(10_000).collect()}
+    seen = {(r.kind, r.what, r.inside): r.n for r in counted.collect()}
     weights = Weights()
     for kind, what in {k[:2] for k in seen}:
         odds = math.log((seen.get((kind, what, True), 0) + 1) / (seen.get((kind, what, False), 0) + 1))

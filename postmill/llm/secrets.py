@@ -5,15 +5,21 @@ value in a credential context (a word such as pwd or passphrase, then a separato
 by the cost to guess it: over all ways to cut it into dictionary words, dates, repeats,
 keyboard walks and brute-force characters, dynamic programming finds the fewest guesses. A
 value that takes GUESSES or more is a secret too. In prose ("the password is ...") it must also
-be of two classes of characters, as any long word may follow there. Each text is read on its
-own, so nothing is shuffled.
+be of two classes of characters, as any long word may follow there. Dictionary words are the
+common passwords' words, then the words of the public 50k vocabulary in its order, which goes
+by frequency. A quoted value with blanks is judged whole, as a passphrase, if none of its words
+is as common as prose needs (COMMON); else, as without quotes, the value ends at a blank. Each
+text is read on its own, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
 import math
 import re
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +38,8 @@ CONTEXT = re.compile(
 #: What may stand between a context word and its value, however many blanks; and the most that a context has besides blanks.
 BETWEEN = re.compile(r"""["']?\s*+(?:=>|:=|[:=])\s*+""")
 REACH = 64
+QUOTES = "\"'`"
+QUOTED = re.compile(r"""[^"'`<>\n]++""")
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "login", "pin")
 GUESSES = 9.0
 
@@ -62,7 +70,22 @@ def _near() -> dict[str, set[str]]:
 
 
 NEAR = _near()
+#: The words of common passwords come first in the dictionary
 RANKS = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
+VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Words of the vocabulary that rank up to here are the stuff of prose and make no passphrase.
+COMMON = 1_000
+LONGEST = 20
+
+
+@functools.cache
+def dictionary(vocabulary: str = VOCABULARY) -> tuple[dict[str, int], frozenset[str]]:
+    """(rank of each word from 1, the words that no passphrase has), read once per worker."""
+    with open(public_tokenizers.path(vocabulary), "rb") as lines:
+        tokens = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, lines))
+    spaced = [t[1:].decode().lower() for _, t in tokens if t[:1] == b" " and t[1:].isalpha() and t.isascii() and 3 <= len(t) - 1 <= LONGEST]
+    spaced = list(dict.fromkeys(spaced))
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*RANKS, *spaced]))}, frozenset(spaced[:COMMON])
 
 
 def brute(char: str) -> float:
@@ -70,14 +93,15 @@ def brute(char: str) -> float:
     return 1.0 if char.isdigit() else math.log10(26) if char.isascii() and char.isalpha() else math.log10(33) if char.isascii() else 3.0
 
 
-def guess_cost(value: str, ranks: dict[str, int] = RANKS) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_cost(value: str, ranks: dict[str, int] | None = None) -> tuple[float, list[tuple[str, int, int]]]:
     """(log10 of the fewest guesses, the cut (kind, start, end) that has it), in time linear in the value.
 
     A span costs the guesses of its kind; each change of kind costs a factor of two.
     """
     n, lower = len(value), value.lower()
     plain = lower.translate(UNLEET)
-    longest = max(map(len, ranks), default=0)
+    longest = LONGEST if ranks is None else max(map(len, ranks), default=0)
+    ranks = dictionary()[0] if ranks is None else ranks
     best, via = [0.0] + [math.inf] * n, [None] * (n + 1)
     glue = math.log10(2)
 
@@ -131,6 +155,18 @@ def named(text: str, start: int, end: int) -> bool:
     return bool(m) and m.start() < end < m.start("value") and any(c in ":=" for c in text[end : m.start("value")])
 
 
+def passphrase_end(text: str, m: re.Match) -> int | None:
+    """Where the quoted words end that the context m opens, if they can be a passphrase."""
+    start = m.start("value")
+    quote = text[start - 1]
+    inner = QUOTED.match(text, start) if quote in QUOTES and m[0].lower().startswith(("pass", "secret")) else None
+    if not inner or text[inner.end() : inner.end() + 1] != quote:
+        return None
+    words = inner[0].lower().split(" ")
+    common = dictionary()[1]
+    return inner.end() if len(words) > 1 and all(len(w) > 2 and w not in common for w in words) else None
+
+
 def secret_spans(text: str | None, guesses: float = GUESSES) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as in KINDS; code points, end exclusive."""
     text = text or ""
@@ -144,8 +180,9 @@ def secret_spans(text: str | None, guesses: float = GUESSES) -> list[tuple[int,
     if any(w in folded for w in HINTS):
         at = 0
         while m := CONTEXT.search(text, at):
-            value = m["value"].rstrip(".,;:!?)]}")
-            start, end = m.start("value"), m.start("value") + len(value)
+            start, end = m.start("value"), passphrase_end(text, m)
+            value = text[start:end] if end else m["value"].rstrip(".,;:!?)]}")
+            end = start + len(value)
             taken = [b for a, b, _ in out if a < end and start < b]
             if not taken and len(value) >= VALUE_LENGTH and (mixed(value) or not m["prose"]) and not named(text, start, end) and guess_cost(value)[0] >= guesses:
                 out.append((start, end, "guess"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import time
 
 from postmill.llm.pages import Weights, extract_pages, fit, main_text, op8_html_extraction, region
 
@@ -52,3 +53,24 @@ def test_odd_rows(spark):
     got = {(r.page_id, r.n_chars) for r in extract_pages(pages, fit(pages)).collect()}
     assert {k for k, _ in got} == {1, 2, 3, None, 5, 6} and {(2, 0), (3, 0), (5, 1), (None, 1_499_999)} <= got
     assert extract_pages(pages.limit(0), fit(pages.limit(0))).count() == 0
+
+
+def test_tags_are_read_by_their_quotes_and_nesting():
+    def text(inner):
+        return main_text(f"<html><body><article>{inner}</article></body></html>", Weights())
+
+    assert text("<p data-x=it's>words of it</p><p class='a\">b'>more</p><p title=\"5 > 3\">last</p>") == "words of it\nmore\nlast"
+    assert text("<p>one <span class=ad><span>x</span> BUY NOW</span> two</p>") == "one two"
+    assert text("<p>one or some more words <span class=ad><div><span>x</span> BUY</div> NOW</span> two as long as the one before</p><p>three</p>") == "one or some more words two as long as the one before\nthree"
+    assert text("<p>one <span class=ad>never closed</p><p>two</p>") == "one\ntwo"
+    assert text("<p>as <math><mi>a</mi> + <mi>b</mi></math> shows</p>") == "as a + b shows"
+    assert text("<p>an <svg><text>drawn</text></svg> icon <svg class=x /> here</p><svg-note>kept as no such drawing</svg-note>") == "an icon here\nkept as no such drawing"
+    assert text("<p class=related-work>work</p><p class='promoted-story'>story</p><p class='x ad'>buy</p><div class=ad-box>buy</div>") == "work\nstory"
+    assert text("<p>a < b and c > d, x=\"y</p>") == "a < b and c > d, x=\"y"
+
+
+def test_unclosed_quotes_and_tags_take_linear_time():
+    for piece in ("<p a=\"", "<p a='x", "<span class=ad>", "</span>", "<svg ", "<p =", "<a href=x="):
+        began = time.time()
+        main_text("<article>words " + piece * 20_000, Weights())
+        assert time.time() - began < 20, piece

@@ -103,3 +103,16 @@ def test_any_number_of_blanks_before_a_value():
 def test_documents_without_a_length_column(spark):
     docs = spark.createDataFrame([(1, "pwd: xq9!kd92Lx7", "k"), (2, None, "k")], "doc_id long, text string, spans string")
     assert [(r.doc_id, r.text, r.spans) for r in secrets.redact_documents(docs).orderBy("doc_id").collect()] == [(1, "pwd: [SECRET]", "k"), (2, None, "k")]
+
+
+def test_ordinary_words_are_no_secrets_and_passphrases_are():
+    found = lambda text: [text[a:b] for a, b, k in secret_spans(text) if k == "guess"]
+    for line in ("Login: information", "pin: downtown", "pass: everything", "auth: administrator", "API key: documentation", "bypass: connection", "Login: administrator",
+                 "passphrase: 'must not be empty'", 'passcode: "please enter your name here"', "pwd: 20241231", "login: qwertyuiop"):
+        assert found(line) == [], line
+    assert found('passphrase: "correct horse battery staple"!') == ["correct horse battery staple"]
+    assert found("passphrase: 'walnut glacier trombone quilt' and more") == ["walnut glacier trombone quilt"]
+    # quotes that do not close, or that another kind closes, are no passphrase
+    assert found('passphrase: "correct horse battery staple\n') == [] and found("passphrase: \"correct horse battery staple'") == []
+    for value in ("aB3$kd92Lx7", "xkqvzjwtphmd", "9f8Q-zz1K-77Lp", "Tr7!vexuQ0mm"):
+        assert found(f"pwd: {value}") == [value] and found(f'pwd: "{value}"') == [value]
