@@ -41,6 +41,20 @@ def test_query_matches_its_check(spark, duck, name):
         assert len(got) > 0
 
 
+def test_upserts_of_one_address_found_twice_match_their_check(spark, tmp_path):
+    """Postings 10k and 10k + 1 have one address: here both are one user's and new to the library."""
+    con = duckdb.connect()
+    for name in TABLES:
+        rows = f"SELECT * FROM '{SF}/{name}.parquet'"
+        if name == "orders":
+            rows = f"SELECT * REPLACE (o_custkey - o_custkey % 50 AS o_custkey, '3-MEDIUM' AS o_orderpriority) FROM '{SF}/orders.parquet' WHERE o_orderkey % 10 < 2"
+        con.execute(f"COPY ({rows}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = con.execute(entry.oracle_sql()["upsert_jobs"]).df()
+    assert len(want) < con.execute("SELECT count(*) FROM orders").fetchone()[0]
+    assert canon(entry.queries()["upsert_jobs"](spark, str(tmp_path)).toPandas()) == canon(want)
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
