@@ -55,6 +55,13 @@ def test_upserts_of_one_address_found_twice_match_their_check(spark, tmp_path):
     assert canon(entry.queries()["upsert_jobs"](spark, str(tmp_path)).toPandas()) == canon(want)
 
 
+def test_application_list_finds_most_of_what_is_due(spark, duck):
+    """The words it searches for stand in most of the sample titles."""
+    name = "application_list"
+    got = entry.queries()[name](spark, SF).toPandas()
+    assert len(got) > 0 and canon(got) == canon(duck.execute(entry.oracle_sql()[name]).df())
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
