@@ -149,3 +149,13 @@ def test_bounds_hold_for_every_pair(spark):
     for r in scores:
         least, most = bounds[r.query_id, r.ord]
         assert least <= r.score <= most
+
+
+def test_postings_of_one_request_meet_no_other_titles(spark):
+    rng = random.Random(7)
+    asked = relevance.prepare_requests(spark.createDataFrame(random_requests(rng, 12), REQUEST))
+    jobs = spark.createDataFrame([(*p, i % 12) for i, p in enumerate(random_postings(rng, 60))], POSTING + ", query_id int")
+    facts = relevance.posting_profiles(jobs)
+    met = relevance.title_matches(asked, facts)
+    every = relevance.title_matches(asked, facts.drop("query_id")).join(facts.select("query_id", "title_norm").distinct(), ["query_id", "title_norm"])
+    assert sorted(map(str, met.select(*every.columns).collect())) == sorted(map(str, every.collect()))
