@@ -159,3 +159,18 @@ def test_postings_of_one_request_meet_no_other_titles(spark):
     met = relevance.title_matches(asked, facts)
     every = relevance.title_matches(asked, facts.drop("query_id")).join(facts.select("query_id", "title_norm").distinct(), ["query_id", "title_norm"])
     assert sorted(map(str, met.select(*every.columns).collect())) == sorted(map(str, every.collect()))
+
+
+def test_requests_that_share_a_title_and_criteria_are_searched_once(spark):
+    """Many requests for few titles: pairs are formed for each title once, and every request gets its own rows and count."""
+    rng = random.Random(11)
+    shared = [(i, "", ["night", ["brewer", "silver smith", "hand"][i % 3]], [], [], [], [["yeast"], []][i % 2], [], None, None, None, None, False, 1 + i % 9) for i in range(60)]
+    asked, jobs = spark.createDataFrame(shared, REQUEST), spark.createDataFrame(random_postings(rng, 120), POSTING)
+    units, members = relevance._search_units(relevance.prepare_requests(asked))
+    assert units.count() == 8 and members.count() == 120
+    every, left = relevance.topk_relevant(relevance.match_queries_to_postings(asked, jobs))
+    best, overflow = relevance.best_matches(asked, jobs)
+    kept = ["query_id", "ord", "score", "match_rank", "title_match", "reasons", "mismatches"]
+    assert sorted(map(str, best.select(*kept).collect())) == sorted(map(str, every.select(*kept).collect()))
+    counts = ["query_id", "left_over"]
+    assert sorted(map(str, overflow.select(*counts).collect())) == sorted(map(str, left.select(*counts).collect()))
