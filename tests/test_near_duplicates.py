@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 
 from postmill.operators import dedupe
+from tests.shuffled import shuffled_bytes
 
 SF = "/root/testdata/sf0.01"
 
@@ -72,3 +74,30 @@ def test_minhash_recall_on_documents(spark):
     exact = {(r.id_a, r.id_b) for r in dedupe.near_duplicate_pairs(docs, "doc_id", "text", 0.8).collect()}
     found = {(r.id_a, r.id_b) for r in dedupe.near_duplicates_minhash(docs, "doc_id", "text", 0.8).collect()}
     assert found <= exact and len(found) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("find", [dedupe.near_duplicate_pairs])
+def test_sets_are_not_shuffled_whole(spark, find):
+    path = Path(SF, "documents.parquet")
+    docs = spark.read.parquet(str(path))
+    moved = shuffled_bytes(spark, lambda: find(docs, "doc_id", "text", 0.8).count())
+    assert moved < 3 * path.stat().st_size
+
+
+def test_a_pair_just_in_reach_is_kept_at_any_size(spark):
+    rng, rows, want = random.Random(7), [], set()
+    for n in range(1, 60):  # a set, and the largest and the smallest that are just near enough
+        base = [f"k{n}x{i}" for i in range(n)]
+        more = base + [f"m{n}x{i}" for i in range(n // 4)]
+        less = base[: -(-4 * n // 5)]
+        rows += [(10 * n, base), (10 * n + 1, more), (10 * n + 2, less)]
+    sets = {i: frozenset(t) for i, t in rows}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    reps = sorted(first.values())
+    want = {(a, b) for k, a in enumerate(reps) for b in reps[k + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    want |= {(first[s], i) for i, s in sets.items() if first[s] != i}
+    texts = [(i, " ".join(rng.sample(t, len(t)))) for i, t in rows]
+    got = {(r.id_a, r.id_b) for r in dedupe.near_duplicate_pairs(spark.createDataFrame(texts, "id int, t string"), "id", "t", 0.8).collect()}
+    assert got == want and len(want) > 100
