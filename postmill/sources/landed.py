@@ -1,6 +1,7 @@
 """All landed responses under one root, batch or stream, by a table of source specifications.
 
     {root}/source=greenhouse/token=acme/2024-05-01.json     one response per file
+    {root}/source=greenhouse/token=acme/2024-05.jsonl       or one per line, under a root of its own
 
 A specification names a source: where the list of items is in a body, how items become
 postings, and when the source can be asked. ``register_source`` adds one or puts another in
@@ -59,9 +60,13 @@ def _shaped(files: DataFrame, boards: DataFrame | None) -> DataFrame:
     return rows.join(known, "token", "left").select("source", "body", "query_url", "token", F.coalesce("company", "token").alias("company"))
 
 
-def landed_payloads(spark: SparkSession, root: str, boards: DataFrame | None = None) -> DataFrame:
-    """Everything landed under a root; ``boards`` is (token, company)."""
-    files = spark.read.schema(LANDED).format("text").option("wholetext", True).load(root)
+def landed_payloads(spark: SparkSession, root: str, boards: DataFrame | None = None, lines: bool = False) -> DataFrame:
+    """Everything landed under a root; ``boards`` is (token, company).
+
+    With ``lines`` each line of a file is a response. A crawl of many small responses should
+    land so: opening a file costs more than reading a response, and such files can be split.
+    """
+    files = spark.read.schema(LANDED).format("text").option("wholetext", not lines).load(root)
     return _shaped(files.withColumn("_file", F.input_file_name()), boards)
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
+from harness.queries_sources import landed_root
 from postmill.sources import intake, landed, payloads
 
 GREENHOUSE = {
@@ -139,3 +142,19 @@ def test_landed_folders_as_a_stream_and_as_a_table(spark, tmp_path):
         assert "Own" not in {r.title for r in landed.landed_postings(table, settings=[]).collect()} and own.missing(["key"]) == []
     finally:
         del landed.SPECS["nobody"]
+
+
+def test_lines_of_a_landed_file_are_responses(spark, tmp_path):
+    folder = tmp_path / "source=lever" / "token=acme"
+    folder.mkdir(parents=True)
+    (folder / "may.jsonl").write_text('[{"text": "Miller"}]\nnot json\n[{"text": "Baker"}, 7]\n')
+    table = landed.landed_payloads(spark, str(tmp_path), lines=True)
+    assert {(r.title, r.company_name) for r in landed.landed_postings(table).collect()} == {("Miller", "acme"), ("Baker", "acme")}
+    assert sorted((r.reason, r.n) for r in landed.landed_unreadable(table).collect()) == [("body", 1), ("item", 1)]
+
+
+def test_sample_responses_share_files(spark):
+    root = Path(urlparse(landed_root(spark, "/root/testdata/sf0.01")).path)
+    files = [f for f in root.rglob("*") if f.is_file() and f.name[0] not in "._"]
+    responses = sum(len(f.read_text().splitlines()) for f in files)
+    assert responses > 300 and len(files) < 130
