@@ -201,3 +201,10 @@ def test_people_search_link(one):
 def test_dates_keep_their_zone(one):
     got = one(dates.parse_datetime, ["2026-01-01T00:00:00-08:00"])[0]
     assert got == dt.datetime(2026, 1, 1, 8, 0)
+
+
+def test_dates_are_stripped_and_matched_once(spark):
+    from postmill.functions.dates import parse_datetime
+
+    plan = spark.range(1).select(parse_datetime(F.col("id").cast("string")).alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("3000") == 2
