@@ -174,3 +174,31 @@ def test_requests_that_share_a_title_and_criteria_are_searched_once(spark):
     assert sorted(map(str, best.select(*kept).collect())) == sorted(map(str, every.select(*kept).collect()))
     counts = ["query_id", "left_over"]
     assert sorted(map(str, overflow.select(*counts).collect())) == sorted(map(str, left.select(*counts).collect()))
+
+
+@pytest.mark.parametrize("bulk", [1, 25, 60])
+def test_values_of_every_pair_by_groups(spark, monkeypatch, bulk):
+    """The same pairs and scores whichever titles are met in bulk; like requests are one group and share its scores."""
+    rng = random.Random(bulk)
+    shared = [(i, "", ["night", ["brewer", "silver smith", "hand"][i % 3]], [], [], [], [["yeast"], []][i % 2], [], None, None, None, None, False, 5) for i in range(60)]
+    requests = shared + [(100 + r[0], *r[1:]) for r in random_requests(rng, 40)]
+    asked, jobs = spark.createDataFrame(requests, REQUEST), spark.createDataFrame(random_postings(rng, 120), POSTING)
+    every = relevance.match_queries_to_postings(asked, jobs)
+    monkeypatch.setattr(relevance, "BULK", bulk)
+    monkeypatch.setattr(relevance, "MEMBERS", 7)
+    monkeypatch.setattr(relevance, "LISTS", 2)
+    names = ["score", "title", "location", "experience", "keyword_ratio", "company", "industry"]
+    values = {n: F.col(n if n in every.columns else f"{n}_match.score") for n in names}
+    got = relevance.pair_values(asked, jobs, values, key="ord").collect()
+    want = every.select("query_id", "ord", *[v.alias(n) for n, v in values.items()]).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 1000
+
+
+def test_like_requests_are_one_group(spark, monkeypatch):
+    alike = [(i, "", ["night", f"smith{i}"], [], [], [], ["yeast"], [], None, None, None, None, False, 5) for i in range(50)]
+    asked, jobs = spark.createDataFrame(alike, REQUEST), spark.createDataFrame([(i, f"night hand{i}", "birk", None, "yeast", False) for i in range(40)], POSTING)
+    seen, grouped = [], relevance._request_groups
+    monkeypatch.setattr(relevance, "BULK", 30)
+    monkeypatch.setattr(relevance, "_request_groups", lambda df: (seen.append(grouped(df)), seen[-1])[1])
+    assert relevance.pair_values(asked, jobs, {"score": F.col("score")}, key="ord").count() == 2000
+    assert [(r.bulk, r.asked, len(r.members)) for r in seen[0].collect()] == [(["night"], 50, 50)]
