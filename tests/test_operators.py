@@ -312,3 +312,11 @@ def test_search_adds_up_and_repeats_cleanly(spark):
     again = search.run_search(asked, raw, log, pages, {k: first[k] for k in search.STORE_SCHEMAS}, as_of())
     for name in search.STORE_SCHEMAS:
         assert again[name].count() == first[name].count(), name
+
+
+def test_page_text_is_read_only_where_it_is_asked_for(spark):
+    record = '<script type="application/ld+json">{"@type":"JobPosting","hiringOrganization":{"name":"%s"}}</script>'
+    pages = [("a", record % "Quarry Birk" + "Mason"), ("b", record % "" + "Mason"), ("c", "Mason wanted"), ("d", "Mason, no longer accepting applications")]
+    log = spark.createDataFrame([(u, u, 200, h, None, None) for u, h in pages], "url string, final_url string, status int, html string, blocked_reason string, error string")
+    facts = {r.url: (r.page_norm, r.page_words) for r in validation.page_facts(log).collect()}
+    assert facts == {"a": (None, None), "b": ("mason", None), "c": ("mason wanted", ["mason", "wanted"]), "d": ("mason no longer accepting applications", None)}
