@@ -44,12 +44,25 @@ def read_payloads(
 
 def unreadable(payloads: DataFrame, path: str) -> DataFrame:
     """What a reader of the list at ``path`` passes over: query_url, reason ('body', 'list' or 'item') and n."""
-    parsed = payloads.select("query_url", F.try_parse_json("body").alias("v"))
-    listed = F.try_variant_get("v", path, "array<variant>")
-    odd = F.filter(listed, lambda x: ~F.coalesce(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), F.lit(False)))
-    reason = F.when(F.col("v").isNull(), "body").when(listed.isNull(), "list").when(F.size(odd) > 0, "item")
-    n = F.when(listed.isNull(), 1).otherwise(F.size(odd)).cast("long")
-    return parsed.select("query_url", reason.alias("reason"), n.alias("n")).filter("reason IS NOT NULL")
+
+    def told(reason: str, n: Column | int) -> Column:
+        return F.struct(F.lit(reason).alias("reason"), (n if isinstance(n, Column) else F.lit(n)).cast("long").alias("n"))
+
+    def of_list(listed: Column) -> Column:
+        odd = F.size(F.filter(listed, lambda x: ~_is_object(x)))
+        return F.when(listed.isNull(), told("list", 1)).otherwise(told("item", odd))
+
+    def of_body(v: Column) -> Column:
+        return F.when(v.isNull(), told("body", 1)).otherwise(tx.let(F.try_variant_get(v, path, "array<variant>"), of_list))
+
+    # a body is parsed once and its items are looked at once: a filter on columns of a select would repeat both
+    found = F.filter(F.array(tx.let(F.try_parse_json("body"), of_body)), lambda x: x["n"] > 0)
+    return payloads.select("query_url", F.inline(found))
+
+
+def _is_object(item: Column) -> Column:
+    """Whether a JSON value is an object, told without spelling its schema."""
+    return F.try_variant_get(item, "$", "map<string,variant>").isNotNull()
 
 
 # --- field access ------------------------------------------------------------------
@@ -89,7 +102,7 @@ def _items(payloads: DataFrame, path: str) -> DataFrame:
     """One row per object of the list at ``path``, with ``item`` and ``item_ord``."""
     listed = F.try_variant_get(F.try_parse_json("body"), path, "array<variant>")
     rows = payloads.select("*", F.posexplode(listed).alias("item_ord", "item"))
-    return rows.filter(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
+    return rows.filter(_is_object(F.col("item")))
 
 
 def _postings(rows: DataFrame, source: str, **columns: Column) -> DataFrame:

@@ -158,3 +158,13 @@ def test_sample_responses_share_files(spark):
     files = [f for f in root.rglob("*") if f.is_file() and f.name[0] not in "._"]
     responses = sum(len(f.read_text().splitlines()) for f in files)
     assert responses > 300 and len(files) < 130
+
+
+def test_a_body_is_parsed_once_for_what_is_passed_over(spark):
+    rows = [('[{"a": 1}, {}, 7, "{", [1], null]',), ("{}",), ("nope",), (None,), ("[]",), ('[{"a": [2]}]',)]
+    told = payloads.unreadable(spark.createDataFrame(rows, "body string").withColumn("query_url", F.col("body")), "$")
+    assert sorted((str(r.query_url), r.reason, r.n) for r in told.collect()) == [
+        ("None", "body", 1), (rows[0][0], "item", 4), ("nope", "body", 1), ("{}", "list", 1),
+    ]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1 and "schema_of_variant" not in plan.lower()
