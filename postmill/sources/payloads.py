@@ -84,8 +84,8 @@ def plain(item: Column, path: str) -> Column:
 def texts(item: Column, path: str, inner: str | None = None) -> Column:
     """Non-empty strings of a JSON list, or of one field of its objects."""
     items = F.coalesce(F.try_variant_get(item, path, "array<variant>"), F.array().cast("array<variant>"))
-    values = F.transform(items, lambda v: field(v, f"$.{inner}" if inner else "$"))
-    return F.filter(values, lambda v: v.isNotNull())
+    values = F.transform(items, lambda v: F.try_variant_get(v, f"$.{inner}" if inner else "$", "string"))
+    return F.filter(values, lambda v: v != "")
 
 
 def joined(values: Column) -> Column:

@@ -208,3 +208,28 @@ def test_dates_are_stripped_and_matched_once(spark):
 
     plan = spark.range(1).select(parse_datetime(F.col("id").cast("string")).alias("d"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("3000") == 2
+
+
+def test_white_space_of_every_kind(one):
+    every = [chr(i) for i in range(0x3001) if chr(i).isspace() or 0x1C <= i <= 0x1F]
+    values = [f"{s}a{s}{s}b c{s} d {s}" for s in every] + ["a b c", " ", "", None, "​a​"]
+    assert one(tx.strip, values) == [v and v.strip() for v in values]
+    assert one(tx.collapse, values) == [v and " ".join(v.split()) for v in values]
+
+
+def test_common_dates_are_read_without_their_parts(one):
+    values = [
+        " 2026-08-07 ", "2026-08-07T09:08:07", "2026-08-07 09:08:07Z", "2026-02-30", "2026-08-07T24:00:00", "2026-08-07T09:08:07.5Z", "2026-8-7",
+        "2026-08-07T09:08:07+01:00", "2026-08-07T09:08",
+    ]
+    assert one(lambda c: dates.parse_datetime(c), values) == one(lambda c: tx.let(tx.strip(c), dates._parsed), values)
+    plain = one(lambda c: c.rlike(dates.PLAIN), [v.strip() for v in values])
+    assert plain == [True, True, True, True, True, False, False, False, False]
+
+
+def test_remote_words_are_looked_for_in_one_lowered_text(spark):
+    rows = spark.createDataFrame([("Work From Home", None), ("x", "ANYWHERE"), (None, None), ("re", "mote")], "a string, b string")
+    told = rows.select(tx.looks_remote(F.col("a"), F.col("b")).alias("r"))
+    assert [r.r for r in told.collect()] == [True, True, False, False]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and "RLIKE" not in plan
