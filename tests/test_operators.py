@@ -320,3 +320,13 @@ def test_page_text_is_read_only_where_it_is_asked_for(spark):
     log = spark.createDataFrame([(u, u, 200, h, None, None) for u, h in pages], "url string, final_url string, status int, html string, blocked_reason string, error string")
     facts = {r.url: (r.page_norm, r.page_words) for r in validation.page_facts(log).collect()}
     assert facts == {"a": (None, None), "b": ("mason", None), "c": ("mason wanted", ["mason", "wanted"]), "d": ("mason no longer accepting applications", None)}
+
+
+def test_contacts_are_read_once_for_their_ranking(spark, monkeypatch):
+    seen, ranked = [], con.rank_contacts
+    monkeypatch.setattr(con, "rank_contacts", lambda df: seen.append(df) or ranked(df))
+    firm = spark.createDataFrame([("c1", "Acme", "acme.example", None, None)], "company_key string, company_name string, company_domain string, careers_url string, role_hint string")
+    posts = spark.createDataFrame([("c1", "u", "write to jobs@acme.example")], "company_key string, posting_url string, description string")
+    pages = spark.createDataFrame([], "url string, final_url string, status int, html string")
+    assert [r.role for r in con.discover_contacts(firm, posts, pages).orderBy("contact_rank").collect()] == ["TALENT_ALIAS", "SEARCH_LINK"]
+    assert "regexp" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
