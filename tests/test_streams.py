@@ -99,3 +99,50 @@ def test_application_state_with_late_events_and_resets(spark):
     assert got == want
     batch = tracker.application_state(spark.read.parquet(f"{root}/in").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
     assert {r.application_id: (r.status, r.outreach_status) for r in batch.collect()} == {a: w[:2] for a, w in want.items()}
+
+
+def test_what_a_batch_sent_is_kept_by_one_call():
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.calls, self.held = 0, None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return iter(self.held) if isinstance(self.held, list) else self.held
+
+        def update(self, value):
+            self.held = value
+
+        def put(self, rows):
+            self.calls, self.held = self.calls + 1, list(rows)
+
+        def appendList(self, rows):
+            self.calls, self.held = self.calls + 1, [*(self.held or []), *rows]
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        registers, sent = State(), State()
+
+        def getValueState(self, *_):
+            return self.registers
+
+        def getListState(self, *_):
+            return self.sent
+
+    def batch(*events):
+        columns = list(zip(*events, strict=True))
+        return pd.DataFrame({"seq": columns[0], "event_type": columns[1], "new_status": columns[2], "ts_us": [s * 10 for s in columns[0]]})
+
+    fold, handle = streams.ApplicationFold(), Handle()
+    fold.init(handle)
+    many = [(s, "OUTREACH_CHANGED", "REPLIED") for s in range(2, 52)]
+    row = next(fold.handleInputRows((1,), iter([batch(*many), batch((60, "STATUS_CHANGED", "OUTREACH_SENT"))]), None)).iloc[0]
+    assert handle.sent.calls == 1 and len(handle.sent.held) == 51 and (row.status, row.outreach_status, row.outreach_sent_us) == ("OUTREACH_SENT", "REPLIED", 20)
+    row = next(fold.handleInputRows((1,), iter([batch((55, "OUTREACH_CHANGED", "NOT_STARTED"))]), None)).iloc[0]
+    assert handle.sent.held == [(60, 600)] and (row.outreach_status, row.outreach_sent_us) == ("EMAIL_SENT", 600)
