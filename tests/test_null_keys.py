@@ -100,3 +100,10 @@ def test_random_key_graphs_with_parts_equal_the_fold(spark):
     out = dedupe.dedupe_two_key(spark.createDataFrame(rows, "ord int, a string, b string, part string"), "a", "b", ["ord"], ["part"])
     want = set().union(*(greedy([r[:3] for r in rows if r[3] == p]) for p in (None, "x", "y")))
     assert {r.ord for r in out.filter("drop_reason IS NULL").collect()} == want and out.count() == len(rows)
+
+
+def test_keys_of_all_rows_are_not_formed_again_for_the_reasons(spark):
+    rows = [(0, "a", "x"), (1, "a", "y"), (2, "b", "y"), (3, None, None)]
+    out = dedupe.dedupe_two_key(spark.createDataFrame(rows, "ord int, a string, b string"), "a", "b", ["ord"]).select("ord", "drop_reason")
+    assert {r.ord for r in out.collect() if r.drop_reason is None} == {0, 2, 3}
+    assert "concat(" not in out._jdf.queryExecution().optimizedPlan().toString()
