@@ -101,3 +101,20 @@ def test_a_pair_just_in_reach_is_kept_at_any_size(spark):
     texts = [(i, " ".join(rng.sample(t, len(t)))) for i, t in rows]
     got = {(r.id_a, r.id_b) for r in dedupe.near_duplicate_pairs(spark.createDataFrame(texts, "id int, t string"), "id", "t", 0.8).collect()}
     assert got == want and len(want) > 100
+
+
+def test_sets_of_a_cluster_move_once_for_each_block(spark):
+    """Some 1,800 pairs of one cluster are checked, and no pair brings its two sets along."""
+    words = [f"v{i}" for i in range(8000)]
+    rows = [(i, " ".join([*words[:i], *words[i + 1 :], f"x{i}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "-1")
+        found = []
+        moved = shuffled_bytes(spark, lambda: found.extend(dedupe.near_duplicate_pairs(df, "id", "t", 0.8).collect()))
+    finally:
+        spark.conf.set(limit, kept)
+    assert len(found) == 60 * 59 // 2 and all(abs(r.jaccard - 7998 / 8002) < 1e-12 for r in found)
+    assert moved < 30_000_000
