@@ -118,3 +118,14 @@ def test_sets_of_a_cluster_move_once_for_each_block(spark):
         spark.conf.set(limit, kept)
     assert len(found) == 60 * 59 // 2 and all(abs(r.jaccard - 7998 / 8002) < 1e-12 for r in found)
     assert moved < 30_000_000
+
+
+@pytest.mark.parametrize("bucket", [7, 1024])
+def test_minhash_compares_all_members_of_large_buckets(spark, monkeypatch, bucket):
+    """By default no partner is dropped, whether a bucket is paired in one task or dealt into parts."""
+    monkeypatch.setattr(dedupe, "BUCKET", bucket)
+    df = spark.createDataFrame(corpus(2), "id int, t string")
+    exact = {(r.id_a, r.id_b) for r in dedupe.near_duplicate_pairs(df, "id", "t", 0.8).collect()}
+    rows = dedupe.near_duplicates_minhash(df, "id", "t", 0.8).collect()
+    found = {(r.id_a, r.id_b) for r in rows}
+    assert found <= exact and len(found) >= 0.99 * len(exact) > 5000 and len(rows) == len(found)
