@@ -202,3 +202,18 @@ def test_like_requests_are_one_group(spark, monkeypatch):
     monkeypatch.setattr(relevance, "_request_groups", lambda df: (seen.append(grouped(df)), seen[-1])[1])
     assert relevance.pair_values(asked, jobs, {"score": F.col("score")}, key="ord").count() == 2000
     assert [(r.bulk, r.asked, len(r.members)) for r in seen[0].collect()] == [(["night"], 50, 50)]
+
+
+def test_requests_that_name_companies_meet_their_titles_only(spark):
+    """Many requests for a frequent word, each at one company: pairs grow with the companies' postings, not with requests times postings."""
+    rng = random.Random(13)
+    named = [(i, "", ["night"], [], [f"firm {i}"], [], ["yeast"], [], None, None, None, None, False, 5) for i in range(20)]
+    postings = [(i, f"night hand{i}", f"firm {i % 30}", None, rng.choice(["yeast", ""]), False) for i in range(120)]
+    asked, jobs = spark.createDataFrame(named, REQUEST), spark.createDataFrame(postings, POSTING)
+    units, _ = relevance._search_units(relevance.prepare_requests(asked))
+    assert relevance._bounded_pairs(units, relevance.posting_profiles(jobs), 35.0).count() == 80
+    every, _ = relevance.topk_relevant(relevance.match_queries_to_postings(asked, jobs))
+    best, overflow = relevance.best_matches(asked, jobs)
+    kept = ["query_id", "ord", "score", "match_rank", "reasons", "mismatches"]
+    assert sorted(map(str, best.select(*kept).collect())) == sorted(map(str, every.select(*kept).collect()))
+    assert {(r.query_id, r.matching) for r in overflow.collect()} == {(i, 4) for i in range(20)}
